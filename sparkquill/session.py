@@ -1,4 +1,4 @@
-"""What a Spark session needs to run this package's Python functions on executors."""
+"""What jobs need from a Spark session: the package on the executors, and a shared folder to cut lineage in."""
 
 from __future__ import annotations
 
@@ -36,3 +36,17 @@ def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
         return query(spark, sf_dir)
 
     return run
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (local tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df.checkpoint() into the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
