@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +68,25 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray,
                 yield first, np.array([start]), np.array([min(offsets[last], start + CHUNK + length - 1)])
 
 
+def _zipped(docs: DataFrame) -> DataFrame:
+    """docs with text as zstandard frames in a binary column of that name: texts cross shuffles compressed."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = pa.array([zip_(x.as_py().encode()) if x.is_valid else None for x in columns[at]], pa.binary())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema))
+
+
+def _unzip(column: pa.Array, row: int) -> np.ndarray:
+    frame = column[row].as_py()
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), np.uint8) if frame else np.zeros(0, np.uint8)
+
+
 def _place(first: np.ndarray, trigger: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (first.astype(np.int64) << 14) | ((trigger - first) << 7) | (last - first)
 
@@ -121,9 +141,8 @@ def _steps(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
         for batch in batches:
-            data, offsets = texts(batch.column(1))
             for r in range(batch.num_rows):
-                text = data[offsets[r] : offsets[r + 1]]
+                text = _unzip(batch.column(1), r)
                 place = np.sort(batch.column(2)[r].values.to_numpy())
                 first = place >> 14
                 trigger, last = first + (place >> 7 & 127), first + (place & 127)
@@ -175,7 +194,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     phrases = cut(_undecided(phrases, F.lit(1) + F.coalesce(F.length("rest"), F.lit(0)) / 16))
     marks = phrases.where("n > 1").select("rid", "place", "rest").mapInArrow(_unpack, "rid long, first int, last int")
     todo = phrases.where("goes_on").groupBy("rid").agg(F.collect_set("place").alias("todo"))
-    steps = docs.dropDuplicates(["rid"]).join(todo, "rid").select("rid", "text", "todo")
+    steps = _zipped(docs).dropDuplicates(["rid"]).join(todo, "rid").select("rid", "text", "todo")
     steps = steps.mapInArrow(_steps(length), "core long, span long, rid long, first int, last int, strings array<long>")
     steps = cut(_undecided(steps, F.lit(1)))
     marks = marks.unionByName(steps.where("n > 1").select("rid", "first", "last"))
@@ -187,10 +206,10 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = texts(batch.column(1))
-        removed, spans, shas = [], [], []
+        size, removed, spans, shas = [], [], [], []
         for r in range(batch.num_rows):
-            text = data[offsets[r] : offsets[r + 1]].tobytes()
+            text = _unzip(batch.column(1), r).tobytes()
+            size.append(len(text))
             todo = batch.column(2)[r]
             start = end = np.zeros(0, np.int64)
             if todo.is_valid:
@@ -203,15 +222,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(int((end - start).sum()))
             spans.append(len(start))
             shas.append(sha.hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(shas)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = texts(batch.column(1))
         out = []
         for r in range(batch.num_rows):
-            text, todo = data[offsets[r] : offsets[r + 1]], batch.column(2)[r]
+            text, todo = _unzip(batch.column(1), r), batch.column(2)[r]
             if todo.is_valid:
                 start, end = merge_spans(*(todo.values.field(k).to_numpy() for k in range(2)))
                 keep = np.ones(len(text), bool)
@@ -239,9 +257,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     columns = docs.columns
     rows = _keyed(docs)
     spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), F.coalesce("text", F.lit("")).alias("text")), length)
-    joined = rows.join(spans, rows["__rid"] == spans["rid"], "left")
-    packed = joined.select("__rid", "text", "spans", F.struct(*[docs[c] for c in columns if c != "text"]).alias("__row"), F.col("text").isNull().alias("__null"))
+    packed = rows.select("__rid", "text", F.struct(*[docs[c] for c in columns if c != "text"]).alias("__row"))
     kind = packed.schema["__row"].dataType.simpleString()
+    joined = _zipped(packed).join(spans, F.col("__rid") == F.col("rid"), "left")
+    packed = joined.select("__rid", "text", "spans", "__row", F.col("text").isNull().alias("__null"))
     cleaned = packed.mapInArrow(_clean, f"__row {kind}, __null boolean, __cleaned string")
     return cleaned.select(*[F.when(~F.col("__null"), F.col("__cleaned")).alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in columns])
 
@@ -254,5 +273,5 @@ def repeat_digest(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     rows = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), "text"), length)
-    joined = rows.join(spans, rows["__rid"] == spans["rid"], "left").select("doc_id", "text", "spans")
+    joined = _zipped(rows).join(spans, F.col("__rid") == F.col("rid"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
