@@ -92,7 +92,7 @@ QUERIES: dict[str, Query] = {
     "dep_edges": _on_files(d.dependency_edges),
     "dep_cycles": _on_files(lambda f: d.cycles(d.dependency_edges(f))),
     "event_cycles": event_cycles,
-    "layer_violations": lambda spark, sf_dir: d.layer_violations(all_files(spark, sf_dir), gate.allowed_layers(spark)),
+    "layer_violations": lambda spark, sf_dir: d.layer_violations(d.dependency_edges(all_files(spark, sf_dir)), gate.allowed_layers(spark)),
     "all_issues": _issues("personal"),
     "issues_by_severity": lambda spark, sf_dir: gate.by_severity(_issues("personal")(spark, sf_dir)),
     "gate_exit_code": lambda spark, sf_dir: gate.verdict(_issues("personal")(spark, sf_dir)),

@@ -1,7 +1,8 @@
 """Detectors: files (path, lang, file_class, layer, content) to issues or metrics, by column expressions over one scan.
 
-Every detector of matches gives ISSUE columns. Its patterns are literals inside one projection, so a scan runs all of them
-in generated code; nothing is shuffled until matches, which are few, are deduplicated.
+Detectors that need one file at a time are arrays of matches (MATCH), built of literal patterns. Any of them can share one
+projection, so a scan of all of them reads and strips each file once; nothing is shuffled until matches, which are
+few, are deduplicated. Every detector gives ISSUE columns.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.functions.text import line_of, strip_comments
+from sparkquill.functions.text import layer_of, line_of, strip_comments
 from sparkquill.session import cut
 
 ISSUE = ("path", "line", "rule_id", "category", "severity", "confidence", "found", "message")
@@ -57,28 +58,67 @@ def stripped(files: DataFrame) -> DataFrame:
     return files.withColumn("stripped", strip_comments(F.col("content"), F.col("lang")))
 
 
-def _issues(rows: DataFrame, category: str) -> DataFrame:
-    return rows.withColumn("category", F.lit(category)).select(*ISSUE)
+def _match(category: str, rule: str | Column, severity: str, message: str | Column, confidence: int, found: Column, line: Column | None = None) -> Column:
+    text = lambda x: F.lit(x) if isinstance(x, str) else x
+    line = F.lit(None) if line is None else line
+    return F.struct(F.lit(category).alias("category"), text(rule).alias("rule_id"), F.lit(severity).alias("severity"), text(message).alias("message"), F.lit(confidence).alias("confidence"), found.alias("found"), line.cast("int").alias("line"))
 
 
-def three_scans(files: DataFrame) -> DataFrame:
-    """Security issues of three passes: raw text, text without comments, and that across lines.
+def _matches(category: str, rule: str, severity: str, message: str, confidence: int, column: str, pattern: str) -> Column:
+    found = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
+    return F.transform(found, lambda f: _match(category, rule, severity, message, confidence, f, line_of(F.col("content"), f)))
+
+
+def _only(condition: Column, matches: Column) -> Column:
+    return F.when(condition, matches).otherwise(F.array())
+
+
+def security_matches() -> list[Column]:
+    return [_matches("security", rule, severity, message, confidence, column, p) for rule, (severity, pattern, across, message) in SECURITY.items() for confidence, column, p in ((RAW, "content", pattern), (STRIPPED, "stripped", pattern), (STRIPPED, "stripped", across))]
+
+
+def exception_matches() -> list[Column]:
+    return [_only(F.col("lang") != "other", _matches("exception_handling", rule, severity, message, STRIPPED, "stripped", p)) for rule, (severity, p, message) in EXCEPTIONS.items()]
+
+
+def metric_matches() -> list[Column]:
+    """What exceeds LIMITS."""
+
+    def over(category: str, found: Column, value: Column) -> Column:
+        return _match(category, f"too_high_{category}", "warn", F.concat(value.cast("string"), F.lit(" is over the limit")), STRIPPED, found)
 
-    A match is (path, rule, matched text), which outlives the shift of lines by stripping. One that the stripped passes
-    have holds at STRIPPED, one that only the raw text has stood in a comment and is dropped; files of languages
-    without a stripper keep their raw matches at RAW. Lines are those of the raw text, null if only a pass over stripped
-    text has the match.
+    def whole(category: str, value: Column) -> Column:
+        return _only(value > LIMITS[category], F.array(over(category, F.lit(""), value)))
+
+    code, braces = F.col("lang") != "other", F.col("lang").isin("javascript", "java", "csharp", "cpp")
+    params = F.filter(_functions(), lambda x: _n_params(x["params"]) > LIMITS["params"])
+    methods = F.filter(_classes(), lambda x: x["n_methods"] > LIMITS["methods"])
+    return [
+        _only(code, whole("complexity", _complexity())),
+        _only(braces, whole("nesting", _depth(F.col("stripped")))),
+        whole("lines", n_lines(F.col("content"))),
+        _only(code, F.transform(params, lambda x: over("params", x["name"], _n_params(x["params"])))),
+        _only(F.col("lang").isin("java", "csharp"), F.transform(methods, lambda x: over("methods", x["class"], x["n_methods"]))),
+    ]
+
+
+def matched(files: DataFrame, matches: list[Column]) -> DataFrame:
+    """Issues of all matches, in one scan. One is (path, rule, found text), which outlives the shift of lines by stripping.
+
+    Of security, a match that a stripped pass has holds at STRIPPED; one that only the raw text has stood in a comment and is
+    dropped; files of languages without a stripper keep raw matches at RAW. Lines are those of the raw text, null if only a
+    pass over stripped text has the match.
     """
-    passes = []
-    for rule, (severity, pattern, across, message) in SECURITY.items():
-        for confidence, column, p in ((RAW, "content", pattern), (STRIPPED, "stripped", pattern), (STRIPPED, "stripped", across)):
-            found = F.regexp_extract_all(column, F.lit(p), F.lit(0))
-            passes.append(F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.lit(confidence).alias("confidence"), found.alias("all")))
-    rows = stripped(files).select("path", "lang", "content", F.explode(F.filter(F.array(*passes), lambda x: F.size(x["all"]) > 0)).alias("p"))
-    rows = rows.select("path", "lang", "p.rule_id", "p.severity", "p.message", "p.confidence", F.explode("p.all").alias("found"), "content").withColumn("line", line_of(F.col("content"), F.col("found")))
-    best = rows.groupBy("path", "lang", "rule_id", "severity", "message", "found").agg(F.max("confidence").alias("top"), F.min("line").alias("line"))
-    kept = best.where((F.col("top") == STRIPPED) | (F.col("lang") == "other")).withColumn("confidence", F.when(F.col("lang") == "other", RAW).otherwise(F.col("top")))
-    return _issues(kept, "security")
+    rows = stripped(files).select("path", "lang", F.explode(F.flatten(F.array(*matches))).alias("m")).select("path", "lang", "m.*")
+    best = rows.groupBy("path", "lang", "category", "rule_id", "severity", "message", "found").agg(F.max("confidence").alias("top"), F.min("line").alias("line"))
+    raw = (F.col("category") == "security") & (F.col("lang") == "other")
+    kept = best.where((F.col("category") != "security") | (F.col("top") == STRIPPED) | raw)
+    return kept.withColumn("confidence", F.when(raw, RAW).otherwise(F.col("top"))).select(*ISSUE)
+
+
+def three_scans(files: DataFrame) -> DataFrame:
+    """Security issues of three passes: raw text, text without comments, and that across lines."""
+    return matched(files, security_matches())
 
 
 def rule_hits(files: DataFrame, rule: str) -> DataFrame:
@@ -90,10 +130,7 @@ def rule_hits(files: DataFrame, rule: str) -> DataFrame:
 
 
 def exception_issues(files: DataFrame) -> DataFrame:
-    options = [F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(message).alias("message"), F.regexp_extract_all("stripped", F.lit(p), F.lit(0)).alias("all")) for rule, (severity, p, message) in EXCEPTIONS.items()]
-    rows = stripped(files).where("lang != 'other'").select("path", "content", F.explode(F.array(*options)).alias("p")).select("path", "p.rule_id", "p.severity", "p.message", F.explode("p.all").alias("found"), "content")
-    rows = rows.withColumn("line", line_of(F.col("content"), F.col("found"))).groupBy("path", "rule_id", "severity", "message", "found").agg(F.min("line").alias("line"))
-    return _issues(rows.withColumn("confidence", F.lit(STRIPPED)), "exception_handling")
+    return matched(files, exception_matches())
 
 
 # ---------------------------------------------------------------- metrics
@@ -107,59 +144,61 @@ def file_sizes(files: DataFrame) -> DataFrame:
     return files.select("path", F.length("content").alias("n_chars"), n_lines(F.col("content")).alias("n_lines"))
 
 
-def complexity(files: DataFrame) -> DataFrame:
-    """1 and the decision points of each file's stripped text, for languages."""
-    return stripped(files).where("lang != 'other'").select("path", "lang", (1 + F.regexp_count("stripped", F.lit(DECISIONS))).alias("complexity"))
+def _complexity() -> Column:
+    return 1 + F.regexp_count("stripped", F.lit(DECISIONS))
 
 
-def functions(files: DataFrame) -> DataFrame:
-    """(path, lang, name, n_params) of every function that its language's pattern finds."""
-    by_lang = F.lit(None).cast("array<struct<name:string,params:string>>")
+def _functions() -> Column:
+    """array<struct<name, params>> of every function that the language's pattern finds in stripped."""
+    out = F.lit(None).cast("array<struct<name:string,params:string>>")
     for lang, pattern in FUNCTIONS.items():
         pairs = F.arrays_zip(F.regexp_extract_all("stripped", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("stripped", F.lit(pattern), F.lit(2)).alias("params"))
-        by_lang = F.when(F.col("lang") == lang, pairs).otherwise(by_lang)
-    rows = stripped(files).where("lang != 'other'").select("path", "lang", F.inline(by_lang))
-    return rows.select("path", "lang", "name", F.when(F.trim("params") == "", 0).otherwise(F.size(F.split("params", ","))).alias("n_params"))
+        out = F.when(F.col("lang") == lang, pairs).otherwise(out)
+    return out
 
 
-def class_methods(files: DataFrame) -> DataFrame:
-    """(path, class, n_methods) for Java and C#: functions from one class declaration to the next."""
-    rows = stripped(files).where("lang IN ('java', 'csharp')")
+def _n_params(params: Column) -> Column:
+    return F.when(F.trim(params) == "", 0).otherwise(F.size(F.split(params, ",")))
+
+
+def _classes() -> Column:
+    """array<struct<class, n_methods>> for Java and C#: functions from one class declaration to the next."""
     names = F.regexp_extract_all("stripped", F.lit(r"\bclass\s+(\w+)"), F.lit(1))
     bodies = F.split("stripped", r"\bclass\s+\w+")
-    rows = rows.select("path", "lang", F.inline(F.arrays_zip(names.alias("class"), F.slice(bodies, F.lit(2), F.size(bodies)).alias("body"))))
-    count = F.when(F.col("lang") == "java", F.regexp_count("body", F.lit(FUNCTIONS["java"]))).otherwise(F.regexp_count("body", F.lit(FUNCTIONS["csharp"])))
-    return rows.select("path", "class", count.alias("n_methods"))
+    count = lambda body: F.when(F.col("lang") == "java", F.regexp_count(body, F.lit(FUNCTIONS["java"]))).otherwise(F.regexp_count(body, F.lit(FUNCTIONS["csharp"])))
+    return F.zip_with(names, F.slice(bodies, F.lit(2), F.size(bodies)), lambda name, body: F.struct(name.alias("class"), count(body).alias("n_methods")))
 
 
-def brace_nesting(texts: DataFrame) -> DataFrame:
-    """(path, max_depth) of braces in texts (path, content), folded within each row: no shuffle."""
-    braces = F.regexp_extract_all("content", F.lit(r"[{}]"), F.lit(0))
+def _depth(text: Column) -> Column:
+    """The greatest depth of braces, folded within the row."""
 
     def step(state, brace):
         depth = state["depth"] + F.when(brace == "{", 1).otherwise(-1)
         return F.struct(depth.alias("depth"), F.greatest(state["most"], depth).alias("most"))
 
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("most"))
-    return texts.select("path", F.aggregate(braces, start, step)["most"].alias("max_depth"))
-
-
-def metric_issues(files: DataFrame) -> DataFrame:
-    """What exceeds LIMITS, as issues of the file."""
-    braces = stripped(files).where("lang IN ('javascript', 'java', 'csharp', 'cpp')").select("path", F.col("stripped").alias("content"))
-    found = [
-        complexity(files).select("path", F.lit("complexity").alias("category"), F.lit("").alias("found"), F.col("complexity").alias("v")),
-        brace_nesting(braces).select("path", F.lit("nesting").alias("category"), F.lit("").alias("found"), F.col("max_depth").alias("v")),
-        functions(files).select("path", F.lit("params").alias("category"), F.col("name").alias("found"), F.col("n_params").alias("v")),
-        class_methods(files).select("path", F.lit("methods").alias("category"), F.col("class").alias("found"), F.col("n_methods").alias("v")),
-        file_sizes(files).select("path", F.lit("lines").alias("category"), F.lit("").alias("found"), F.col("n_lines").alias("v")),
-    ]
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    limits = F.create_map(*[F.lit(x) for pair in LIMITS.items() for x in pair])
-    rows = rows.where(F.col("v") > limits[F.col("category")])
-    return rows.select("path", F.lit(None).cast("int").alias("line"), F.concat(F.lit("too_high_"), "category").alias("rule_id"), "category", F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), "found", F.concat(F.col("v").cast("string"), F.lit(" is over the limit")).alias("message")).distinct()
+    return F.aggregate(F.regexp_extract_all(text, F.lit(r"[{}]"), F.lit(0)), start, step)["most"]
+
+
+def complexity(files: DataFrame) -> DataFrame:
+    """1 and the decision points of each file's stripped text, for languages."""
+    return stripped(files).where("lang != 'other'").select("path", "lang", _complexity().alias("complexity"))
+
+
+def functions(files: DataFrame) -> DataFrame:
+    """(path, lang, name, n_params) of every function."""
+    rows = stripped(files).where("lang != 'other'").select("path", "lang", F.inline(_functions()))
+    return rows.select("path", "lang", "name", _n_params(F.col("params")).alias("n_params"))
+
+
+def class_methods(files: DataFrame) -> DataFrame:
+    """(path, class, n_methods) for Java and C#."""
+    return stripped(files).where("lang IN ('java', 'csharp')").select("path", F.inline(_classes()))
+
+
+def brace_nesting(texts: DataFrame) -> DataFrame:
+    """(path, max_depth) of braces in texts (path, content): no shuffle."""
+    return texts.select("path", _depth(F.col("content")).alias("max_depth"))
 
 
 # ---------------------------------------------------------------- duplicates
@@ -228,11 +267,10 @@ def dependency_edges(files: DataFrame) -> DataFrame:
     return imports(files).join(known, "module").select(F.col("path").alias("src"), "dst").distinct()
 
 
-def layer_violations(files: DataFrame, allowed: DataFrame) -> DataFrame:
+def layer_violations(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     """(src, dst, src_layer, dst_layer): imports between layers that allowed (src_layer, dst_layer) doesn't have."""
-    layers = files.where("layer != 'none'").select("path", "layer")
-    edges = dependency_edges(files).join(layers.select(F.col("path").alias("src"), F.col("layer").alias("src_layer")), "src").join(layers.select(F.col("path").alias("dst"), F.col("layer").alias("dst_layer")), "dst")
-    return edges.where("src_layer != dst_layer").join(allowed, ["src_layer", "dst_layer"], "left_anti").select("src", "dst", "src_layer", "dst_layer")
+    edges = edges.select("src", "dst", layer_of(F.col("src")).alias("src_layer"), layer_of(F.col("dst")).alias("dst_layer"))
+    return edges.where("src_layer != 'none' AND dst_layer != 'none' AND src_layer != dst_layer").join(allowed, ["src_layer", "dst_layer"], "left_anti").select("src", "dst", "src_layer", "dst_layer")
 
 
 def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
@@ -257,13 +295,13 @@ def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
     return closed
 
 
-def cycle_issues(files: DataFrame) -> DataFrame:
-    rows = cycles(dependency_edges(files))
+def cycle_issues(edges: DataFrame) -> DataFrame:
+    rows = cycles(edges)
     return rows.select(F.substring_index("cycle", ">", 1).alias("path"), F.lit(None).cast("int").alias("line"), F.lit("dependency_cycle").alias("rule_id"), F.lit("architecture").alias("category"), F.lit("block").alias("severity"), F.lit(CYCLE).alias("confidence"), F.col("cycle").alias("found"), F.lit("files import each other in a circle").alias("message"))
 
 
-def layer_issues(files: DataFrame, allowed: DataFrame) -> DataFrame:
-    rows = layer_violations(files, allowed)
+def layer_issues(edges: DataFrame, allowed: DataFrame) -> DataFrame:
+    rows = layer_violations(edges, allowed)
     return rows.select(F.col("src").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("layer_violation").alias("rule_id"), F.lit("architecture").alias("category"), F.lit("block").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("dst").alias("found"), F.concat("src_layer", F.lit(" imports "), "dst_layer").alias("message"))
 
 

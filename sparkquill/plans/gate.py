@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill import sample
+from sparkquill.functions.text import class_of
 from sparkquill.operators import detectors
+from sparkquill.session import cut
 
 #: Categories that a class of files switches off. Red lines (security) hold everywhere.
 SWITCHED_OFF: tuple[tuple[str, str], ...] = (
@@ -35,19 +37,20 @@ def collect_issues(files: DataFrame, rules: DataFrame | None = None, mode: str =
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     spark = files.sparkSession
-    found = [detectors.exception_issues(files), detectors.metric_issues(files), detectors.duplicate_issues(files), detectors.cycle_issues(files), detectors.layer_issues(files, allowed_layers(spark))]
+    row_by_row = detectors.matched(files, detectors.security_matches() + detectors.exception_matches() + detectors.metric_matches())
+    edges = cut(detectors.dependency_edges(files))
+    found = [row_by_row, detectors.duplicate_issues(files), detectors.cycle_issues(edges), detectors.layer_issues(edges, allowed_layers(spark))]
     if rules is not None:
         found.append(detectors.custom_issues(files, rules))
     if mode == "team":
         found.append(detectors.naming_issues(files))
-    return adapt(reduce(DataFrame.unionByName, found), files).unionByName(detectors.three_scans(files))
+    return adapt(reduce(DataFrame.unionByName, found))
 
 
-def adapt(issues: DataFrame, files: DataFrame) -> DataFrame:
-    """issues without those of categories that their file's class switches off."""
-    classes = files.select(F.col("path").alias("p"), "file_class")
-    rows = issues.join(classes, issues["path"] == classes["p"])
-    return rows.join(policy(files.sparkSession), ["file_class", "category"], "left_anti").select(*detectors.ISSUE)
+def adapt(issues: DataFrame) -> DataFrame:
+    """issues without those of categories that their file's class switches off; the policy never names red lines."""
+    rows = issues.withColumn("file_class", class_of(F.col("path")))
+    return rows.join(F.broadcast(policy(issues.sparkSession)), ["file_class", "category"], "left_anti").select(*detectors.ISSUE)
 
 
 def by_severity(issues: DataFrame) -> DataFrame:
