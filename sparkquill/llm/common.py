@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,28 +9,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquill.session import cut, shared_folder  # noqa: F401
+
 #: Bytes that part words: 0x20 and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Bytes of text that one numpy pass works on; longer documents are passed over in pieces or alone.
-CHUNK = 1 << 20
+#: Bytes of text that one numpy pass works on, so that its arrays stay near the cache; longer documents are passed over in pieces or alone.
+CHUNK = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (local tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() into the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after each one, Arrow's pool gives what it doesn't need back to the system."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- hashing
@@ -107,7 +102,7 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 def segments(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """The rows of each key, from batches in which equal keys follow each other."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in each(batches):
         if not batch.num_rows:
             continue
         keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)

@@ -1,21 +1,22 @@
 """Repeated substrings by a prefix-free parse of the corpus.
 
-The corpus is parsed where a rolling hash of K bytes triggers: where it is the least one of SPAN neighbouring positions,
-so that every string of ``length`` bytes holds its own trigger, at the same place in each of its copies. A position
-belongs to the first such trigger of the string that starts there; the positions of one trigger and the bytes that they
-have in common are a phrase of the dictionary.
-
-Suffix order of the corpus is the order of (rest of the phrase, rest of the parse), as in prefix-free parsing. Here it is
-needed to a depth of ``length`` bytes and only up to ties: a position is repeated if its suffix ties with another one to
-that depth. So each array is kept as classes of ties (64-bit hashes) rather than as ranks, and refined where it must be:
-
-1. phrases: one whose bytes have the same surroundings wherever they stand is decided: it is repeated with all of its
-   positions, or stands once;
-2. runs of STEP positions around the other phrases, by the same test, one of each set of equal surroundings;
-3. single positions within the runs left over.
-
-Equal phrases of an Arrow batch are one row before the shuffle, with a packed list of their places, so that a passage in
-a third of all documents is a few rows. Each level only sees what the one before could not decide.
+The corpus is parsed where a rolling hash of K bytes triggers: where it is the least one of 2**LOG_SPAN neighbouring
+positions, so that every string of ``length`` bytes holds its own trigger, at the same place in each of its copies. A
+position belongs to the trigger of the string that starts there. What all strings of one trigger share is its phrase; the
+distinct phrases are the dictionary, their sequence is the parse.
+
+A suffix of the corpus is the rest of its phrase up to the trigger and then the rest of the parse from there, so its place
+in corpus order follows from two orders: of the dictionary's left parts and of the parse's right parts. A position is
+repeated if a neighbour in corpus order shares ``length`` bytes with it.
+
+1. Dictionary: phrases are counted. One that stands once rules out all of its positions; equal surroundings of a phrase
+   are one entry, and repeated as a whole. Of equal ones in an Arrow batch one alone is counted, for all of them, so that
+   a passage in a third of all documents is a few rows where it is counted.
+2. Order: for each other phrase, the left parts are sorted backwards and the right parts forwards, each with the common
+   lengths of neighbours; together they give the ties of every position of the phrase at depth ``length``. Texts meet
+   phrases by a join on the row; entries of a phrase are sorted in one task up to ``group`` of them.
+3. Phrases with more entries, as of a passage in very many different surroundings, are refined instead by counts of hashed
+   strings: first of runs of STEP positions, then of single ones. Each count is one row a key, whatever its size.
 """
 
 from __future__ import annotations
@@ -29,10 +30,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import CHUNK, RollingHash, chunks, cut, mix64, texts
+from sparkquill.llm.common import RollingHash, chunks, cut, each, mix64, segments, texts
 
 #: Bytes hashed by a trigger, and positions of which a trigger is the least; K + SPAN - 1 must not exceed the length.
 K, LOG_SPAN, STEP = 16, 7, 8
+#: Bytes of text in one numpy pass, and phrases that are looked through for equal ones together.
+CHUNK, TOGETHER = 1 << 17, 200_000
 _C = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -60,7 +63,7 @@ def _runs(hasher: RollingHash, data: np.ndarray, starts: np.ndarray, ends: np.nd
 
 def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first byte, starts, ends, rows): rows of up to CHUNK bytes together; longer rows in overlapping pieces."""
-    for first, last in chunks(offsets):
+    for first, last in chunks(offsets, CHUNK):
         if offsets[last] - offsets[first] <= CHUNK:
             yield first, offsets[first:last], offsets[first + 1 : last + 1]
         else:
@@ -74,7 +77,7 @@ def _zipped(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in each(batches):
             columns = list(batch.columns)
             columns[at] = pa.array([zip_(x.as_py().encode()) if x.is_valid else None for x in columns[at]], pa.binary())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
@@ -92,15 +95,28 @@ def _place(first: np.ndarray, trigger: np.ndarray, last: np.ndarray) -> np.ndarr
 
 
 def _phrases(length: int):
-    """A row for each phrase and its surroundings in a batch: core, span, one place (rid, place) and the rest of them, packed."""
+    """A row for each occurrence of a phrase: core, span (its surroundings), place (rid, place) and weight.
+
+    Of equal occurrences in a batch the first counts for all; the others are known to be repeated, and go under a key of
+    their own, so that they are spread evenly rather than sent where their phrase is counted."""
+
+    def combined(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        cores, spans, rids, places = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(spans, kind="stable")
+        cores, spans, rids, places = (x[order] for x in (cores, spans, rids, places))
+        heads = np.concatenate([[True], spans[1:] != spans[:-1]])
+        weights = np.full(len(spans), 2, np.int32)  # what follows its like is repeated, and needs no counting
+        weights[heads] = np.minimum(np.diff(np.concatenate([np.flatnonzero(heads), [len(spans)]])), 2)
+        cores, spans = np.where(heads, cores, mix64(rids.view(np.uint64) * _C[0] + places.view(np.uint64))), np.where(heads, spans, 0)
+        return pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(spans.view(np.int64)), pa.array(rids), pa.array(places), pa.array(weights)], ["core", "span", "rid", "place", "weight"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
         core = length + 1 - (1 << LOG_SPAN)
-        for batch in batches:
+        for batch in each(batches):
             data, offsets = texts(batch.column(1))
             rows = batch.column(0).to_numpy()
-            found = []
+            found, n = [], 0
             for row, starts, ends in _pieces(offsets, length):
                 if (ends - starts).max() < length:
                     continue
@@ -109,30 +125,101 @@ def _phrases(length: int):
                 span = mix64(hasher.of(first, last + length) + _C[0] * (trigger - first).astype(np.uint64) + _C[1] * (last - first).astype(np.uint64))
                 shift = base - offsets[row + doc]
                 found.append((hasher.of(trigger, trigger + core), span, rows[row + doc], _place(first + shift, trigger + shift, last + shift)))
-            if not found:
-                continue
-            cores, spans, rids, places = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(spans, kind="stable")
-            cores, spans, packed = cores[order], spans[order], np.stack([rids[order], places[order]], axis=1)
-            heads = np.flatnonzero(np.concatenate([[True], spans[1:] != spans[:-1]]))
-            sizes = np.diff(np.concatenate([heads, [len(spans)]]))
-            rest: list[bytes | None] = [None] * len(heads)
-            for k in np.flatnonzero(sizes > 1).tolist():
-                rest[k] = packed[heads[k] + 1 : heads[k] + sizes[k]].tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cores[heads].view(np.int64)), pa.array(spans[heads].view(np.int64)), pa.array(np.ascontiguousarray(packed[heads, 0])), pa.array(np.ascontiguousarray(packed[heads, 1])), pa.array(rest, pa.binary())], ["core", "span", "rid", "place", "rest"]
-            )
+                n += len(doc)
+                if n >= TOGETHER:
+                    yield combined(found)
+                    found, n = [], 0
+            if found:
+                yield combined(found)
+
+    return run
+
+
+def _contexts(length: int):
+    """Of (rid, text, todo of (core, place)): the bytes of each place's strings."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in each(batches):
+            for r in range(batch.num_rows):
+                text = _unzip(batch.column(1), r)
+                core, place = (batch.column(2)[r].values.field(k) for k in range(2))
+                first = place.to_numpy() >> 14
+                found = [text[i : i + n].tobytes() for i, n in zip(first.tolist(), ((place.to_numpy() & 127) + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([core, pa.array(np.repeat(batch.column(0)[r].as_py(), len(place))), place, pa.array(found, pa.binary())], ["core", "rid", "place", "bytes"])
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        more, _ = texts(batch.column(2))
-        more = more[: len(more) // 16 * 16].view(np.int64).reshape(-1, 2)
-        rid, place = (np.concatenate([batch.column(k).to_numpy(), more[:, k]]) for k in range(2))
-        first = place >> 14
-        yield pa.RecordBatch.from_arrays([pa.array(rid), pa.array(first.astype(np.int32)), pa.array((first + (place & 127)).astype(np.int32))], ["rid", "first", "last"])
+def _ranks(rows: np.ndarray, core: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of byte rows by core and then lexicographically, and for each in order the bytes it shares with the one before (-1: another core)."""
+    keyed = np.concatenate([core.astype(">u8").view(np.uint8).reshape(len(core), 8), rows], axis=1)
+    order = np.argsort(np.ascontiguousarray(keyed).view(f"S{keyed.shape[1]}").reshape(-1), kind="stable")
+    differ = keyed[order[1:]] != keyed[order[:-1]]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), keyed.shape[1])
+    return order, np.concatenate([[-1], np.where(shared < 8, -1, shared - 8)])
+
+
+def repeated_positions(core: np.ndarray, left: list[bytes], right: list[bytes], length: int) -> np.ndarray:
+    """For entries of phrases (bytes before the trigger, bytes from it on): which strings of left[-l:] + right[: length - l] another
+    entry of the same core has too, as a matrix over l and entries. A string exists where both parts are that long."""
+    n, most = len(core), 1 << LOG_SPAN
+    sizes = np.array([[len(x) for x in left], [len(x) for x in right]])
+    backward, forward = np.zeros((n, most), np.uint8), np.zeros((n, length), np.uint8)
+    for k in range(n):
+        backward[k, : sizes[0, k]] = np.frombuffer(left[k], np.uint8)[::-1]
+        forward[k, : sizes[1, k]] = np.frombuffer(right[k], np.uint8)
+    orders = [_ranks(rows, core) for rows in (backward, forward)]
+    out = np.zeros((most, n), bool)
+    height = max(1, (1 << 19) // n)
+    for first in range(0, most, height):
+        depth = np.arange(first, min(most, first + height))[:, None]
+        ids = []
+        for (order, shared), least in zip(orders, (depth, length - depth), strict=True):
+            classes = np.empty((len(depth), n), np.int64)
+            classes[:, order] = np.cumsum(shared[None, :] < least, axis=1)
+            ids.append(classes)
+        key = ids[0] * (n + 1) + ids[1]
+        missing = (depth > sizes[0][None, :]) | (length - depth > sizes[1][None, :])
+        key[missing] = -1 - np.broadcast_to(np.arange(n), key.shape)[missing]  # alone
+        order = np.argsort(key, axis=1)
+        ranked = np.take_along_axis(key, order, axis=1)
+        ties = np.zeros(key.shape, bool)
+        same = ranked[:, 1:] == ranked[:, :-1]
+        ties[:, 1:] |= same
+        ties[:, :-1] |= same
+        np.put_along_axis(out[first : first + height], order, ties, axis=1)
+    return out
+
+
+def _merge(length: int, size: int = 2_048):
+    """Marks the repeated positions of all entries of each core, from batches in which equal cores follow each other."""
+
+    def marked(entries: list[pa.Table]) -> pa.RecordBatch:
+        rows = pa.concat_tables(entries).combine_chunks()
+        place = rows.column("place").to_numpy()
+        first, before, last = place >> 14, place >> 7 & 127, place & 127
+        found = [x.as_py() for x in rows.column("bytes")]
+        ties = repeated_positions(rows.column("core").to_numpy(), [x[:k] for x, k in zip(found, before.tolist(), strict=True)], [x[k:] for x, k in zip(found, before.tolist(), strict=True)], length)
+        ties &= np.arange(len(ties))[:, None] >= (before - last)[None, :]  # no positions past the run of the trigger
+        steps = np.diff(np.pad(ties.T, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        entry, low = np.nonzero(steps == 1)
+        high = np.nonzero(steps == -1)[1] - 1
+        rid = rows.column("rid").to_numpy()[entry]
+        at = first[entry] + before[entry]
+        return pa.RecordBatch.from_arrays([pa.array(rid), pa.array((at - high).astype(np.int32)), pa.array((at - low).astype(np.int32))], ["rid", "first", "last"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for table in segments(batches, "core"):
+            if n and n + table.num_rows > size:
+                yield marked(held)
+                held, n = [], 0
+            held.append(table)
+            n += table.num_rows
+        if held:
+            yield marked(held)
+
+    return run
 
 
 def _steps(length: int):
@@ -140,7 +227,7 @@ def _steps(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
-        for batch in batches:
+        for batch in each(batches):
             for r in range(batch.num_rows):
                 text = _unzip(batch.column(1), r)
                 place = np.sort(batch.column(2)[r].values.to_numpy())
@@ -159,8 +246,8 @@ def _steps(length: int):
                     high, low = t[which] - STEP * q, t[which] - STEP * q - STEP + 1
                     core = mix64(hasher.of(high, low + length) + _C[0])
                     i0, i1 = np.maximum(low, a[which]), np.minimum(high, b[which])
-                    each = np.minimum(i0[:, None] + np.arange(STEP)[None, :], i1[:, None])
-                    strings = hasher.of(each.reshape(-1), each.reshape(-1) + length)
+                    single = np.minimum(i0[:, None] + np.arange(STEP)[None, :], i1[:, None]).reshape(-1)
+                    strings = hasher.of(single, single + length)
                     span = mix64(hasher.of(i0, i1 + length) + _C[1] * (i1 - i0).astype(np.uint64))
                     k = len(which)
                     yield pa.RecordBatch.from_arrays(
@@ -173,10 +260,12 @@ def _steps(length: int):
 
 
 def _undecided(rows: DataFrame, weight: Column) -> DataFrame:
-    """rows without those whose core stands once; n: the weight of the span; goes_on: this row stands for its span, and the core has other spans."""
+    """rows without those whose core stands once; n: the weight of the span; entries: the core's spans; goes_on: this row stands for its span among several."""
     core, span = Window.partitionBy("core"), Window.partitionBy("core", "span")
-    rows = rows.repartition("core").select("*", F.sum(weight).over(span).alias("n"), F.row_number().over(span.orderBy("rid")).alias("k"), F.min("span").over(core).alias("lo"), F.max("span").over(core).alias("hi"))
-    return rows.select(*rows.columns[:-4], "n", ((F.col("k") == 1) & (F.col("lo") != F.col("hi"))).alias("goes_on")).where("n > 1 OR goes_on").drop("core", "span")
+    columns = rows.columns
+    rows = rows.repartition("core").select("*", F.sum(weight).over(span).alias("n"), F.row_number().over(span.orderBy("rid")).alias("k"))
+    rows = rows.withColumn("entries", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(core))
+    return rows.select(*columns, "n", "entries", ((F.col("k") == 1) & (F.col("entries") > 1)).alias("goes_on")).where("n > 1 OR goes_on").drop("span")
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,25 +276,38 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[new], end[np.concatenate([new[1:], [len(start)]]) - 1]
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 200, group: int = 32_768) -> DataFrame:
     """(rid, spans): for each row of docs (rid, text) that has any, the [start, end) byte spans whose strings of length bytes
     also start elsewhere, in the same text or another. rid may repeat only for equal texts. Spans may overlap and abut."""
-    phrases = docs.mapInArrow(_phrases(length), "core long, span long, rid long, place long, rest binary")
-    phrases = cut(_undecided(phrases, F.lit(1) + F.coalesce(F.length("rest"), F.lit(0)) / 16))
-    marks = phrases.where("n > 1").select("rid", "place", "rest").mapInArrow(_unpack, "rid long, first int, last int")
-    todo = phrases.where("goes_on").groupBy("rid").agg(F.collect_set("place").alias("todo"))
-    steps = _zipped(docs).dropDuplicates(["rid"]).join(todo, "rid").select("rid", "text", "todo")
+    phrases = docs.mapInArrow(_phrases(length), "core long, span long, rid long, place long, weight int")
+    phrases = cut(_undecided(phrases, F.col("weight")).drop("weight"))
+    first = F.shiftright("place", 14)
+    marks = phrases.where("n > 1").select("rid", first.cast("int").alias("first"), (first + F.col("place").bitwiseAND(127)).cast("int").alias("last"))
+    zipped = _zipped(docs).dropDuplicates(["rid"])
+    todo = phrases.where(F.col("goes_on") & (F.col("entries") <= group)).groupBy("rid").agg(F.collect_set(F.struct("core", "place")).alias("todo"))
+    contexts = zipped.join(todo, "rid").select("rid", "text", "todo").mapInArrow(_contexts(length), "core long, rid long, place long, bytes binary")
+    ordered = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(_merge(length), "rid long, first int, last int")
+    marks = marks.unionByName(ordered)
+    large = phrases.where(F.col("goes_on") & (F.col("entries") > group)).select("rid", "place")
+    if not large.isEmpty():
+        marks = marks.unionByName(_refined(zipped, large, length))
+    return marks.groupBy("rid").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans"))
+
+
+def _refined(zipped: DataFrame, large: DataFrame, length: int) -> DataFrame:
+    """(rid, first, last): the repeated positions of phrases with very many entries."""
+    todo = large.groupBy("rid").agg(F.collect_set("place").alias("todo"))
+    steps = zipped.join(todo, "rid").select("rid", "text", "todo")
     steps = steps.mapInArrow(_steps(length), "core long, span long, rid long, first int, last int, strings array<long>")
     steps = cut(_undecided(steps, F.lit(1)))
-    marks = marks.unionByName(steps.where("n > 1").select("rid", "first", "last"))
     single = steps.where("goes_on").select("rid", F.posexplode("strings").alias("k", "string"), "first", "last").where("first + k <= last").select("rid", (F.col("first") + F.col("k")).alias("first"), "string")
     known = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     single = single.join(known, "string").select("rid", "first", F.col("first").alias("last"))
-    return marks.unionByName(single).groupBy("rid").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans"))
+    return steps.where("n > 1").select("rid", "first", "last").unionByName(single)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in each(batches):
         size, removed, spans, shas = [], [], [], []
         for r in range(batch.num_rows):
             text = _unzip(batch.column(1), r).tobytes()
@@ -226,7 +328,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in each(batches):
         out = []
         for r in range(batch.num_rows):
             text, todo = _unzip(batch.column(1), r), batch.column(2)[r]
@@ -265,13 +367,13 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     return cleaned.select(*[F.when(~F.col("__null"), F.col("__cleaned")).alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in columns])
 
 
-def repeat_digest(docs: DataFrame, length: int = 200) -> DataFrame:
+def repeat_digest(docs: DataFrame, length: int = 200, group: int = 32_768) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay.
 
     Null text counts as empty. Rows that repeat id and text are copies of each other, so they are removed whole if long
     enough. Further columns are ignored; an empty table gives an empty result.
     """
     rows = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), "text"), length)
+    spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), "text"), length, group)
     joined = _zipped(rows).join(spans, F.col("__rid") == F.col("rid"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
