@@ -15,7 +15,6 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -24,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+from sparkquill.llm.common import each
+
 #: Pre-tokens that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: The character of byte b is chr(FIRST + b): none of them is white space, a control or sentencepiece's own mark.
 FIRST = 0x100
 
@@ -69,7 +70,7 @@ class ByteBpe:
         size = self.processor.get_piece_size() - 1  # without the unknown piece
         self.tokens = [bytes(ord(c) - FIRST for c in self.processor.id_to_piece(i)) for i in range(size)]
         self.whole = {token: i for i, token in enumerate(self.tokens)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> array:
         pretokens = self.pretokens(text)
@@ -79,11 +80,11 @@ class ByteBpe:
             if rank is None:
                 new.append(pretoken)
             else:
-                self.known[pretoken] = (rank,)
+                self.known[pretoken] = array("I", (rank,)).tobytes()
         if new:
             for pretoken, ids in zip(new, self.processor.encode([as_piece(p.encode()) for p in new], num_threads=1), strict=True):
-                self.known[pretoken] = tuple(ids)
-        out = array("I", chain.from_iterable(map(self.known.__getitem__, pretokens)))
+                self.known[pretoken] = array("I", ids).tobytes()
+        out = array("I", b"".join(map(self.known.__getitem__, pretokens)))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         return out
@@ -103,7 +104,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(model.value, pattern)
-        for batch in batches:
+        for batch in each(batches):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 ids = [bpe.encode(text.as_py()) for text in part.column(1)]
@@ -123,7 +124,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(model.value, pattern)
-        for batch in batches:
+        for batch in each(batches):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 lists = [x.values.to_numpy().astype("<u4") for x in part.column(1)]

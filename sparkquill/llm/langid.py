@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkquill.llm.common import each
+
 UNDETERMINED = "und"
 
 
@@ -80,7 +82,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value, level, block) if shared.value else None
-        for batch in batches:
+        for batch in each(batches):
             langs, scores = [], []
             for text, lettered in zip(batch.column(0), batch.column(1), strict=True):
                 if coder is None or not lettered.as_py():

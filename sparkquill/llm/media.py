@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkquill.llm.common import each
+
 RATE, FRAME, HOP, BLOCK, PEAKS, FAN = 8_000, 192, 96, 16, 4, 3
 #: Blocks of frames transformed in one pass.
 PASS = 64
@@ -81,7 +83,7 @@ def fingerprints(payload: bytes) -> np.ndarray:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in each(batches):
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             raw = [x.as_py().encode() for x in part.column(1)]
@@ -95,7 +97,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in each(batches):
         for start in range(0, batch.num_rows, 256):
             part = batch.slice(start, 256)
             media = part.column(part.num_columns - 1)

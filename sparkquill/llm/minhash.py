@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import RollingHash, chunks, connected_components, cut, local_labels, mix64, segments, texts
+from sparkquill.llm.common import RollingHash, chunks, connected_components, cut, each, local_labels, mix64, segments, texts
 
 _M = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
@@ -108,7 +108,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash(lower=True)
-        for batch in batches:
+        for batch in each(batches):
             data, offsets = texts(batch.column(1))
             for first, last in chunks(offsets):
                 own = offsets[first : last + 1]
@@ -138,7 +138,7 @@ def _sketch(width: int, bands: int, rows: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash(lower=True)
-        for batch in batches:
+        for batch in each(batches):
             data, offsets = texts(batch.column(1))
             for first, last in chunks(offsets):
                 own = offsets[first : last + 1]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import connected_components, cut, local_labels, segments
+from sparkquill.llm.common import connected_components, cut, each, local_labels, segments
 
 
 def product_code(dim: int, size: int, seed: int = 20_477) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -75,7 +75,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _decode(size: int, wanted: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, tuple] = {}
-        for batch in batches:
+        for batch in each(batches):
             vectors = batch.column(1)
             dims = np.diff(vectors.offsets.to_numpy())
             for dim in np.unique(dims).tolist():
@@ -93,7 +93,7 @@ def _near(cosine: float):
     """Of (rep, lead, x, y): the least lead of which the vector of rep is that near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in each(batches):
             x, y = batch.column(2), batch.column(3)
             dims = np.diff(x.offsets.to_numpy())
             near = np.zeros(batch.num_rows, bool)
