@@ -115,7 +115,7 @@ def _verify(cosine: float):
             vectors = unit_vectors(_matrix(unit.column("embedding")))
             linked = vectors @ vectors.T >= cosine
             linked &= ball[:, None] != ball[None, :]
-            if (side != side[0]).any():
+            if unit.column("cross")[0].as_py():
                 linked &= side[:, None] != side[None, :]
             rows = np.flatnonzero(linked.any(axis=1))
             if not len(rows):
@@ -170,15 +170,15 @@ def vector_dedup(vectors: DataFrame, cosine: float = 0.95, filters: int = 32, bu
     half = block // 2
     sizes = counts.groupBy("dim", "filter").agg(F.sum("in_ball").alias("n"), F.count("*").alias("n_balls")).where("n_balls > 1")
     placed = cut(whole.join(sizes, ["dim", "filter"]))
-    small = placed.where(F.col("n") <= block).select("rep", "filter", F.xxhash64("dim", "filter").alias("unit"), F.lit(0).cast("long").alias("side"))
+    small = placed.where(F.col("n") <= block).select("rep", "filter", F.xxhash64("dim", "filter").alias("unit"), F.lit(0).cast("long").alias("side"), F.lit(False).alias("cross"))
     group = F.when(F.col("in_ball") > half, F.col("ball"))
     large = placed.where(F.col("n") > block).join(counts, ["dim", "filter", "ball"]).withColumn("grp", group)
     parts = counts.join(sizes.where(F.col("n") > block), ["dim", "filter"]).withColumn("grp", group).groupBy("dim", "filter", "grp").agg(F.ceil(F.sum("in_ball") / half).alias("parts"))
     large = large.join(parts.withColumnsRenamed({"dim": "d", "filter": "f", "grp": "g"}), (F.col("dim") == F.col("d")) & (F.col("filter") == F.col("f")) & F.col("grp").eqNullSafe(F.col("g"))).withColumn("side", F.xxhash64(F.lit("chunk"), "grp", F.pmod(F.xxhash64("rep"), "parts")))
     others = parts.select(F.col("dim").alias("d2"), F.col("filter").alias("f2"), F.col("grp").alias("g2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).withColumn("other", F.xxhash64(F.lit("chunk"), "g2", F.col("k")))
     large = large.join(others, (F.col("dim") == F.col("d2")) & (F.col("filter") == F.col("f2"))).where(~F.coalesce(F.col("grp") == F.col("g2"), F.lit(False)))
-    large = large.select("rep", "filter", F.xxhash64("dim", "filter", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side")
-    shipped = small.unionByName(large).join(rows, "rep").select("unit", "side", "filter", "rep", "mult", "ball", "embedding", "filters")
+    large = large.select("rep", "filter", F.xxhash64("dim", "filter", F.least("side", "other"), F.greatest("side", "other")).alias("unit"), "side", (F.col("side") != F.col("other")).alias("cross"))
+    shipped = small.unionByName(large).join(rows, "rep").select("unit", "side", "cross", "filter", "rep", "mult", "ball", "embedding", "filters")
     found = cut(shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(cosine), "a long, b long, n long"))
     components = connected_components(found.select("a", "b").unionByName(rows.where("led").select(F.col("rep").alias("a"), F.col("ball").alias("b"))))
     linked = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
