@@ -3,7 +3,8 @@
 Each rank's bytes become a piece, one character for each byte, with the negative rank as its score: sentencepiece merges
 the pair whose joined piece scores best, which is the pair of the lowest rank. Piece numbers are ranks. The normaliser is
 the identity, so nothing is escaped, added or collapsed. A text is split into pre-tokens by the vocabulary's pattern; each
-distinct pre-token is encoded once per worker and kept in a table of bounded size. Decoding maps ids back to bytes.
+distinct pre-token is encoded once per worker and kept in a table of bounded size. Decoding maps ids back to bytes. What
+counts as a letter or number follows the tables of the library that the ranks are made for, as they differ by version.
 
 The vocabulary is a fixed table (tens of thousands of entries), broadcast once. Rows are independent, so any partitioning
 works and nothing is shuffled.
@@ -13,12 +14,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -61,19 +64,34 @@ def as_model(ranks: dict[bytes, int]) -> bytes:
     return model.SerializeToString()
 
 
+def stand_ins() -> dict[int, str]:
+    """Characters whose class here isn't that of tiktoken's tables -> one of that class."""
+    everything = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    ours, theirs = {}, {}
+    for kind, example in ((r"\p{L}", "x"), (r"\p{N}", "1"), (r"\s", " ")):
+        ours |= dict.fromkeys(regex.findall(kind, everything), example)
+        probe = tiktoken.Encoding("probe", pat_str=kind, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        theirs |= dict.fromkeys(bytes(probe.encode_ordinary(everything)).decode(), example)  # what doesn't match is left out
+    return {ord(c): theirs.get(c, "!") for c in {*ours, *theirs} if ours.get(c) != theirs.get(c)}
+
+
 class ByteBpe:
     """Encodes and decodes whole texts; built on each worker from the serialised model."""
 
-    def __init__(self, model: bytes, pattern: str) -> None:
+    def __init__(self, model: bytes, pattern: str, stand_ins: dict[int, str]) -> None:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.pretokens = regex.compile(pattern).findall
+        self.pattern, self.stand_ins = regex.compile(pattern), stand_ins
+        self.odd = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(stand_ins)) + "]").search if stand_ins else lambda text: None
         size = self.processor.get_piece_size() - 1  # without the unknown piece
         self.tokens = [bytes(ord(c) - FIRST for c in self.processor.id_to_piece(i)) for i in range(size)]
         self.whole = {token: i for i, token in enumerate(self.tokens)}
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> array:
-        pretokens = self.pretokens(text)
+        if text.isascii() or not self.odd(text):
+            pretokens = self.pattern.findall(text)
+        else:
+            pretokens = [text[slice(*m.span())] for m in self.pattern.finditer(text.translate(self.stand_ins))]
         new = []
         for pretoken in set(pretokens).difference(self.known):
             rank = self.whole.get(pretoken.encode())
@@ -94,7 +112,7 @@ class ByteBpe:
 
 
 def _model(spark, ranks_path: str):
-    return spark.sparkContext.broadcast(as_model(read_ranks(ranks_path)))
+    return spark.sparkContext.broadcast((as_model(read_ranks(ranks_path)), stand_ins()))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -103,7 +121,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     model = _model(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(model.value, pattern)
+        bpe = ByteBpe(model.value[0], pattern, model.value[1])
         for batch in each(batches):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -123,7 +141,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     model = _model(encoded.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(model.value, pattern)
+        bpe = ByteBpe(model.value[0], pattern, model.value[1])
         for batch in each(batches):
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)

@@ -10,8 +10,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from sparkquill.llm.bpe import ByteBpe, as_model, decode, encode, read_ranks, round_trip
+from sparkquill.llm.bpe import ByteBpe, as_model, decode, encode, read_ranks, round_trip, stand_ins
 from sparkquill.llm.langid import held_out, identify, learn
 from sparkquill.llm.media import fingerprints, media_digest, pad, peaks, read_media, store_texts, to_wav
 from tests.llm.helpers import docs
@@ -29,7 +30,7 @@ def rows(texts):
 
 def test_held_out_accuracy(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    found = identify(table, learn(table.where(~held_out(table["doc_id"])))).where(held_out(table["doc_id"])).collect()
+    found = identify(table, learn(table.where(~held_out(table["doc_id"])))).where(held_out(F.col("doc_id"))).collect()
     assert sum(r.lang == r.lang_pred for r in found) >= 0.97 * len(found)
     assert all(0 <= r.score <= 1 for r in found)
     assert sum(r.rejected for r in found) <= 0.02 * len(found)
@@ -43,7 +44,7 @@ def test_languages_of_awkward_rows(spark):
     dictionaries = learn(docs(spark, known), rows=5)
     assert sorted(dictionaries) == ["de", "es"]
     asked = [(1, None), (2, ""), (3, "123 -- !"), (4, say(german, 60)), (5, say(spanish, 60)), (5, say(spanish, 60)), (6, say(german, 100_000)), (None, say(spanish, 50))]
-    table = docs(spark, asked).withColumn("score", docs(spark, asked)["doc_id"])
+    table = docs(spark, asked).withColumn("score", F.col("doc_id"))
     found = identify(table, dictionaries)
     assert found.columns == [*[c for c in table.columns if c != "score"], "lang_pred", "score", "rejected"]
     assert sorted(((r.doc_id, r.lang_pred, r.rejected) for r in found.collect()), key=repr) == sorted([(1, "und", True), (2, "und", True), (3, "und", True), (4, "de", False), (5, "es", False), (5, "es", False), (6, "de", False), (None, "es", False)], key=repr)
@@ -66,7 +67,7 @@ def reference():
 
 def test_ids_are_those_of_merging_by_rank(reference):
     rng = random.Random(7)
-    bpe = ByteBpe(as_model(read_ranks(RANKS)), PATTERN)
+    bpe = ByteBpe(as_model(read_ranks(RANKS)), PATTERN, stand_ins())
     texts = [t or "" for t in ODD] + ["".join(chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(32, 127), rng.randrange(0x10000, 0x1FFFF)])) for _ in range(rng.randrange(60))) for _ in range(1500)]
     for text in texts:
         ids = bpe.encode(text)
