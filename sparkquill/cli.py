@@ -14,7 +14,7 @@ from sparkquill.plans import gate
 from sparkquill.session import ship
 from sparkquill.sources import files as sources
 
-RULES = ".code-guardian/rules.json"
+RULES = ".quality/rules.json"
 
 
 def scan(spark: SparkSession, root: str, mode: str = "personal", rules: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ FILES: tuple[tuple[str, str], ...] = (
     ("shop/infrastructure/store.py", 'import shop.domain.order\n\nAPI_KEY = "a1b2c3d4e5f6"\n\ndef load(name):\n    sql = "SELECT * FROM t WHERE n = " + name\n    logger.info("loading %s with %s", name, password)\n    return run(sql)\n'),
     ("shop/presentation/view.js", 'import { load } from "./helper";\n// eval(userInput)\nfunction renderAll(items, deep) {\n  for (const i of items) {\n    if (i.open && deep) {\n      while (i.next) { i = i.next; }\n    }\n  }\n  const url = "http://example.org/a";\n  return url ? items : null;\n}\nfunction render_one(item) { try { go(item); } catch (e) { } }\n'),
     ("shop/presentation/helper.ts", 'import { renderAll } from "./view";\nexport function load(path: string, retry: number) {\n  const token = "abcdef123456";\n  return fetch(path);\n}\nfunction loadLazily() { return 1; }\n'),
-    ("shop/presentation/OrderController.java", 'import shop.application.Billing;\npublic class OrderController {\n  private DatabaseConnection db;\n  public void show(int id) { db.execute("SELECT 1 " + id); }\n  public int count(int a, int b, int c) { return a > b ? a : c; }\n}\nclass Helper {\n  public void help() { try { run(); } catch (Exception e) { } }\n}\n'),
+    ("shop/presentation/OrderController.java", 'import shop.application.Billing;\npublic class OrderController {\n  private Store store;\n  public void show(int id) { store.query("SELECT 1 " + id); }\n  public int count(int a, int b, int c) { return a > b ? a : c; }\n}\nclass Helper {\n  public void help() { try { run(); } catch (Exception e) { } }\n}\n'),
     ("shop/application/Billing.java", "import shop.presentation.OrderController;\npublic class Billing {\n  /* switch (x) { case 1: } */\n  public void bill(String who) { if (who == null) { return; } }\n}\n"),
     ("cmd/server/main.go", 'package main\n\nfunc Serve(host string, port int) error {\n\tif err := listen(host, port); err != nil {\n\t\treturn err\n\t}\n\tfor {\n\t}\n}\n'),
     ("src/Billing/Invoice.cs", 'public class Invoice {\n  public decimal Total(decimal net, decimal tax) { return net + tax; }\n  public void Print_All() { foreach (var l in lines) { if (l.Ok) { Console.WriteLine(secret); } } }\n}\n'),
@@ -25,7 +25,7 @@ FILES: tuple[tuple[str, str], ...] = (
 )
 CHANGED: tuple[str, ...] = ("shop/application/checkout.py", "shop/presentation/view.js", "docs/guide.md", "gone/removed.py")
 RULES_JSON = r"""{"rules": [
- {"id": "TEAM_NO_DIRECT_DB", "description": "Controllers leave data access to services", "severity": "block", "target": "presentation", "pattern": "(?:DatabaseConnection|db\\.execute|Session\\(\\))", "message": "direct data access", "suggestion": "go through a service"},
+ {"id": "UI_KEEPS_OFF_STORES", "description": "What is shown is fetched by services", "severity": "block", "target": "presentation", "pattern": "\\bstore\\.query\\(|\\bopenStore\\(", "message": "a store is used directly", "suggestion": "ask a service"},
  {"id": "PY_NO_PRINT", "description": "No bare run in Python", "severity": "warn", "target": "python", "pattern": "\\brun\\(", "message": "bare run", "suggestion": "name the runner"},
  {"id": "TS_NO_FETCH", "description": "No bare fetch", "severity": "warn", "target": "*.ts", "pattern": "\\bfetch\\(", "message": "bare fetch", "suggestion": "use the client"},
  {"id": "ANY_LICENSE", "description": "Licence lines are looked at", "severity": "info", "target": "all", "pattern": "(?i)\\blicensed? under\\b", "message": "licence line", "suggestion": "check the licence"},
