@@ -144,8 +144,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the least node it reaches.
 
     Rounds of large-star and small-star joins, each cut by a checkpoint, until no edge changes; the number of
-    rounds grows with the logarithm of the longest path. A hub's minimum is pre-aggregated and its edges are an
-    equi-join that adaptive execution may split, so no task gathers the neighbours of a node. Loops and repeated
+    rounds grows with the logarithm of the longest path. Minima are pre-aggregated, and cut off, so that both sides of the
+    joins are plain shuffles: adaptive execution splits the edges of a hub, and no task gathers the neighbours of a node. Loops and repeated
     edges are allowed; edges with a null end are dropped.
     """
     a, b = F.col("a"), F.col("b")
@@ -157,8 +157,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return edges.select(a.alias("node"), b.alias("component")).unionByName(edges.select(b.alias("node"), b.alias("component"))).distinct()
         seen = state
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(a, F.min("b")).alias("m"))
-        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut(both.groupBy("a").agg(F.least(a, F.min("b")).alias("m")))
+        large = cut(both.where(b > a).join(least, "a").select(b.alias("a"), F.col("m").alias("b")).distinct())
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = cut(small.where(a != b).distinct())
