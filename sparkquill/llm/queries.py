@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import chat, licenses, mixing
+from sparkquill.llm import chat, licenses, mixing, oracle
 from sparkquill.llm.bpe import round_trip
 from sparkquill.llm.common import table
 from sparkquill.llm.langid import held_out, identify, learn
@@ -81,4 +81,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sharding,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": licenses.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op9_source_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_near_dedup": oracle.NEAR_VECTORS,
+    "op3_minhash_near_dedup": oracle.NEAR_TEXTS,
+    "op4_license_scan": licenses.ORACLE_SQL,
+    "op5_chat_formatting": chat.ORACLE_SQL,
+    "op6_suffix_array_dedup": oracle.REPEATS,
+    "op9_source_mixing": mixing.ORACLE_SQL,
+}
