@@ -81,14 +81,15 @@ class ByteBpe:
     def __init__(self, model: bytes, pattern: str, stand_ins: dict[int, str]) -> None:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern, self.stand_ins = regex.compile(pattern), stand_ins
-        self.odd = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(stand_ins)) + "]").search if stand_ins else lambda text: None
+        self.odd = frozenset(map(chr, stand_ins))
+        self.high = re.compile(f"[{min(self.odd)}-\U0010ffff]").search if self.odd else lambda text: None
         size = self.processor.get_piece_size() - 1  # without the unknown piece
         self.tokens = [bytes(ord(c) - FIRST for c in self.processor.id_to_piece(i)) for i in range(size)]
         self.whole = {token: i for i, token in enumerate(self.tokens)}
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> array:
-        if text.isascii() or not self.odd(text):
+        if text.isascii() or not self.high(text) or self.odd.isdisjoint(text):
             pretokens = self.pattern.findall(text)
         else:
             pretokens = [text[slice(*m.span())] for m in self.pattern.finditer(text.translate(self.stand_ins))]
