@@ -6,10 +6,10 @@ circularly by k, min pi(sigma(x) - k). Documents that agree on all rows of a ban
 on their full sets, so the signature never decides a link.
 
 At scale: equal sets are one class before banding. Candidates are joined into groups by identifiers alone. A group of
-up to ``block`` classes is compared in one task, each set being shipped once. Larger groups are compared bucket by
-bucket, and a large bucket in pairs of blocks, so that no task holds more than two blocks. Every comparison is a
-product of 0/1 matrices; what leaves a task is at most one link for each row, never a pair list. The price of a group
-of m different texts that are near copies stays quadratic in m / block, in block products.
+up to ``block`` classes and ``together`` shingles is compared in one task, each set being shipped once. Larger groups
+are compared bucket by bucket, and a large bucket in pairs of blocks, so that no task holds more than two blocks.
+Every comparison is a product of 0/1 matrices; what leaves a task is at most one link for each row, never a pair list.
+The price of a group of m different texts that are near copies stays quadratic in m / block, in block products.
 """
 
 from __future__ import annotations
@@ -194,7 +194,7 @@ def _verify(percent: int):
     return run
 
 
-def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block: int = 512) -> DataFrame:
+def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block: int = 512, together: int = 2_000_000) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Links join documents whose sets of width-word shingles have a Jaccard similarity of threshold or more (in whole
@@ -207,19 +207,20 @@ def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block
     docs = docs.select("doc_id", "text")
     sketch = cut(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands"))
+    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.bands")
     classes = cut(classes)
-    keyed = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
+    keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("rep").alias("hub")).where("n > 1")
     pairs = cut(keyed.join(buckets, "key"))
     groups = connected_components(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("size"))
+    groups = groups.join(classes.select("rep", "n_shingles"), "rep")
+    sizes = groups.groupBy("grp").agg((F.count("*") <= block).alias("few"), (F.sum("n_shingles") <= together).alias("short")).select("grp", (F.col("few") & F.col("short")).alias("small"))
     groups = cut(groups.join(sizes, "grp"))
-    whole = groups.where(F.col("size") <= block).select("rep", F.xxhash64(F.lit(-1), "grp").alias("unit"))
+    whole = groups.where("small").select("rep", F.xxhash64(F.lit(-1), "grp").alias("unit"))
     half = block // 2
-    large = pairs.join(groups.where(F.col("size") > block).select("rep"), "rep")
-    parts = F.ceil(F.col("n") / half).cast("int")
+    large = pairs.join(groups.where("NOT small").select("rep"), "rep")
+    parts = F.ceil(F.greatest(F.col("n") / half, 2 * F.col("weight") / together)).cast("int")
     own = F.pmod(F.xxhash64("rep", "key"), parts).cast("int")
     large = large.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     large = large.select("rep", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))

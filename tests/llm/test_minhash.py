@@ -28,10 +28,10 @@ def found(df):
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.85])
-@pytest.mark.parametrize("block", [512, 4])
-def test_components_are_those_of_all_pairs(spark, threshold, block):
+@pytest.mark.parametrize("options", [{}, {"block": 4}, {"together": 300}])
+def test_components_are_those_of_all_pairs(spark, threshold, options):
     rows = corpus(int(threshold * 100))
-    assert found(minhash_dedup(docs(spark, rows), threshold, block=block)) == near_copies(rows, round(100 * threshold))
+    assert found(minhash_dedup(docs(spark, rows), threshold, **options)) == near_copies(rows, round(100 * threshold))
 
 
 def test_documents(spark, sf_dir):
