@@ -18,6 +18,8 @@ from sparkquill.llm.common import WORD, cut
 WEIGHTS = (5, 2, 1)
 #: No source, and so no row, is taken more often.
 MOST = 3
+#: Columns of a mix.
+ADDED = ("size", "source_size", "target", "epochs", "part", "taken")
 
 
 def words(text: str = "text") -> Column:
@@ -50,8 +52,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, bucket_rows
     epochs * size + part. Null texts have no words; null is a source of its own. Rows that repeat an id stay apart. The order
     depends on doc_id only, so reruns agree. An empty table gives an empty result.
     """
-    added = ["size", "source_size", "target", "epochs", "part", "taken"]
-    docs = docs.drop(*added)
+    docs = docs.drop(*ADDED)
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     thin = cut(docs.select("source", key.alias("__key"), words().alias("size")))
     n_buckets = max(1, math.ceil(thin.count() / bucket_rows))
@@ -70,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, bucket_rows
     rows = rows.withColumn("epochs", F.when(some, F.expr("floor(target + 0.5) div source_size")).otherwise(0))
     rest = budget - F.col("epochs") * F.col("source_size")
     rows = rows.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before") - F.col("offset"))))
-    return rows.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part")).select(*docs.columns, *added)
+    return rows.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part")).select(*docs.columns, *ADDED)
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:
