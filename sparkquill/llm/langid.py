@@ -1,8 +1,9 @@
 """Language identification by compression: the language whose dictionary codes a text in the fewest bytes.
 
-For each language a sample of labelled texts is a zstandard raw-content dictionary. A text is coded once with each
-dictionary, in blocks, so that the dictionary stays in reach all along a long text; the smallest total wins, and the
-margin to the next one is the confidence. A narrow margin rejects the prediction.
+For each language a sample of labelled texts is a zstandard raw-content dictionary. A text's words, in lower case, are coded
+once with each dictionary, in blocks, so that the dictionary stays in reach all along a long text; the smallest total
+wins, and the margin to the next one is the confidence. Where it is small the text is coded once more, at a higher level,
+and both totals count. A narrow margin rejects the prediction.
 
 Learning reads the labels of all rows for their counts, then draws a bounded sample: up to ``rows`` texts for each
 language, of ``max_chars`` characters at most, by the order of a hash. Dictionaries are broadcast; their size is bound by
@@ -11,6 +12,7 @@ language, of ``max_chars`` characters at most, by the order of a hash. Dictionar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,15 @@ from pyspark.sql import functions as F
 from sparkquill.llm.common import each
 
 UNDETERMINED = "und"
+#: Columns of a prediction.
+ADDED = ("lang_pred", "score", "rejected")
+#: A margin under UNSURE asks for the level AGAIN too.
+UNSURE, AGAIN = 0.05, 12
+_between_words = re.compile(r"[\W\d_]+").sub
+
+
+def words(text: str) -> str:
+    return _between_words(" ", text.lower())
 
 
 def learn(labelled: DataFrame, rows: int = 128, max_chars: int = 8_000, dictionary_bytes: int = 65_536, max_languages: int = 400) -> dict[str, bytes]:
@@ -38,7 +49,7 @@ def learn(labelled: DataFrame, rows: int = 128, max_chars: int = 8_000, dictiona
         drawn.setdefault(r["lang"], []).append((r["draw"], r["text"]))
     out = {}
     for lang in sorted(drawn):
-        texts = dict.fromkeys(text.lower() for _, text in sorted(drawn[lang])[:rows])
+        texts = dict.fromkeys(words(text) for _, text in sorted(drawn[lang])[:rows])
         out[lang] = "\n".join(texts).encode()[:dictionary_bytes]
     return out
 
@@ -49,16 +60,20 @@ class Coder:
     def __init__(self, dictionaries: dict[str, bytes], level: int = 7, block: int = 2_048) -> None:
         self.languages = sorted(dictionaries)
         self.block = block
-        self.compressors = []
-        for lang in self.languages:
-            own = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=level)
-            self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.usual, self.again = ([self._compressor(dictionaries[lang], x) for lang in self.languages] for x in (level, AGAIN))
+
+    @staticmethod
+    def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+        own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(self, text: str) -> np.ndarray:
-        data = text.lower().encode()
+        data = words(text).encode()
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return np.array([sum(len(c.compress(b)) for b in blocks) for c in self.compressors], np.int64)
+        total = lambda compressors: np.array([sum(len(c.compress(b)) for b in blocks) for c in compressors], np.int64)
+        sizes = total(self.usual)
+        return sizes + total(self.again) if classify(sizes)[1] < UNSURE else sizes
 
 
 def classify(sizes: np.ndarray) -> tuple[int, float]:
@@ -76,7 +91,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     0 to 1, 0 for ``und``; rejected: ``und``, or a margin under min_margin. Ties go to the language first in order, with a
     score of 0. Columns of docs of the same names are replaced.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = docs.drop(*ADDED)
     names = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
@@ -84,7 +99,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
         coder = Coder(shared.value, level, block) if shared.value else None
         for batch in each(batches):
             langs, scores = [], []
-            for text, lettered in zip(batch.column(0), batch.column(1), strict=True):
+            for text, lettered in zip(batch.column(0).field("text"), batch.column(1), strict=True):
                 if coder is None or not lettered.as_py():
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
@@ -92,9 +107,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                     best, margin = classify(coder.sizes(text.as_py()))
                     langs.append(coder.languages[best])
                     scores.append(margin)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(2, batch.num_columns)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[2:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["__row", "lang_pred", "score"])
 
-    rows = docs.select(F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered"), F.struct(*[docs[c] for c in names]).alias("__row"))
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__lettered"))
     kind = rows.schema["__row"].dataType.simpleString()
     found = rows.mapInArrow(run, f"__row {kind}, lang_pred string, score double")
     return found.select(*[F.col("__row").getField(c).alias(c) for c in names], "lang_pred", "score", ((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < min_margin)).alias("rejected"))
