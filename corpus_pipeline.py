@@ -13,24 +13,35 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquill.llm import langid
 from sparkquill.llm.bpe import round_trip
 from sparkquill.llm.common import shared_folder, table
 from sparkquill.llm.langid import held_out, identify, learn
 from sparkquill.llm.minhash import minhash_dedup
-from sparkquill.llm.mixing import mix_sources, repeat_rows
+from sparkquill.llm.mixing import ADDED, mix_sources, repeat_rows
 from sparkquill.llm.repeats import remove_repeats
 
 
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """docs with columns of these names, which an operator would replace, under others."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c in names})
+
+
+def _back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs of what an operator made of _aside(docs)."""
+    return rows.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in rows.columns else F.col(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter and those whose language is too close to call."""
-    found = identify(docs, learn(docs.where(~held_out(docs["doc_id"]))))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = identify(_aside(docs, langid.ADDED), learn(docs.where(~held_out(docs["doc_id"]))))
+    return _back(found.where(~F.col("rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least id of each group of near copies; of rows that repeat an id and text, one."""
-    kept = minhash_dedup(docs, threshold=0.8).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id")).select(*docs.columns).dropDuplicates(["doc_id"])
+    kept = minhash_dedup(docs, threshold=0.8).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id")).select(*docs.columns).dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -42,7 +53,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target takes them."""
-    return repeat_rows(mix_sources(docs), docs.columns)
+    own = _aside(docs, ADDED)
+    return _back(repeat_rows(mix_sources(own), own.columns), docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
