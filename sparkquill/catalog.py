@@ -36,8 +36,8 @@ def class_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.join(gate.policy(spark), "file_class", "left").groupBy("file_class", "n_files").agg(F.count("category").alias("n_off"))
 
 
-def _issues(mode: str) -> Query:
-    return lambda spark, sf_dir: gate.collect_issues(all_files(spark, sf_dir), _rules(spark), mode)
+def _issues(mode: str, trees: bool = False) -> Query:
+    return lambda spark, sf_dir: gate.collect_issues(all_files(spark, sf_dir), _rules(spark), mode, trees)
 
 
 def nesting_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "issues_by_severity": lambda spark, sf_dir: gate.by_severity(_issues("personal")(spark, sf_dir)),
     "gate_exit_code": lambda spark, sf_dir: gate.verdict(_issues("personal")(spark, sf_dir)),
     "issue_json": lambda spark, sf_dir: gate.as_json(_issues("personal")(spark, sf_dir)),
+    "all_issues_ast": _issues("team", trees=True),
     "complexity_ast": _syntax("function", "name", "line", "complexity"),
     "nesting_ast": _syntax("function", "name", "line", "nesting"),
     "param_count_ast": _syntax("function", "name", "line", "n_params"),

@@ -11,6 +11,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sparkquill.operators import detectors
+from sparkquill.session import cut
 
 SCHEMA = "path string, kind string, name string, line int, complexity int, nesting int, n_params int, n_methods int"
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
@@ -67,3 +71,14 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def python_syntax(files: DataFrame) -> DataFrame:
     """One row for each function, class and empty handler of the Python files, and each that doesn't parse: SCHEMA."""
     return files.where("lang = 'python'").select("path", "content").mapInPandas(_run, SCHEMA)
+
+
+def syntax_issues(files: DataFrame) -> DataFrame:
+    """Issues of Python files by their syntax trees; a file that doesn't parse has those of the patterns, at their confidence."""
+    rows = cut(python_syntax(files))
+    over = [F.when(F.col(column) > detectors.LIMITS[category], F.struct(F.lit(category).alias("category"), F.lit(f"too_high_{category}").alias("rule_id"), F.lit("warn").alias("severity"), F.concat(F.col(column).cast("string"), F.lit(" is over the limit")).alias("message"))) for category, column in (("complexity", "complexity"), ("nesting", "nesting"), ("params", "n_params"), ("methods", "n_methods"))]
+    empty = F.when(F.col("kind") == "empty_handler", F.struct(F.lit("exception_handling").alias("category"), F.lit("swallowed_error").alias("rule_id"), F.lit("block").alias("severity"), F.lit("an error is swallowed").alias("message")))
+    found = rows.select("path", "line", F.coalesce("name", F.lit("")).alias("found"), F.explode(F.array_compact(F.array(*over, empty))).alias("x"))
+    issues = found.select("path", "line", "x.rule_id", "x.category", "x.severity", F.lit(detectors.SYNTAX).alias("confidence"), "found", "x.message")
+    unparsable = rows.where("kind = 'unparsable'").select("path").distinct()
+    return issues.unionByName(detectors.matched(files.where("lang = 'python'").join(unparsable, "path", "left_semi"), detectors.metric_matches()))

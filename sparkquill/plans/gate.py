@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkquill import sample
 from sparkquill.functions.text import class_of
 from sparkquill.operators import detectors
+from sparkquill.operators.syntax import syntax_issues
 from sparkquill.session import cut
 
 #: Categories that a class of files switches off. Red lines (security) hold everywhere.
@@ -32,14 +33,17 @@ def policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SWITCHED_OFF), "file_class string, category string")
 
 
-def collect_issues(files: DataFrame, rules: DataFrame | None = None, mode: str = "personal") -> DataFrame:
-    """All issues of files in a mode; naming belongs to ``team`` only. In ``diff`` mode files are the changed ones."""
+def collect_issues(files: DataFrame, rules: DataFrame | None = None, mode: str = "personal", trees: bool = True) -> DataFrame:
+    """All issues of files in a mode; naming belongs to ``team`` only. In ``diff`` mode files are the changed ones.
+    trees: Python files are measured by their syntax trees, else by patterns as other languages are."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     spark = files.sparkSession
-    row_by_row = detectors.matched(files, detectors.security_matches() + detectors.exception_matches() + detectors.metric_matches())
+    row_by_row = detectors.matched(files, detectors.security_matches() + detectors.exception_matches() + detectors.metric_matches("python" if trees else ""))
     edges = cut(detectors.dependency_edges(files))
     found = [row_by_row, detectors.duplicate_issues(files), detectors.cycle_issues(edges), detectors.layer_issues(edges, allowed_layers(spark))]
+    if trees:
+        found.append(syntax_issues(files))
     if rules is not None:
         found.append(detectors.custom_issues(files, rules))
     if mode == "team":

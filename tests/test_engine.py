@@ -108,6 +108,14 @@ def test_contrast_pair(spark):
     assert verdicts == [2, 0]
 
 
+def test_python_is_measured_by_its_trees(spark):
+    rows = gate.collect_issues(files(spark, ("app/x.py", BAD), ("app/y.py", "def f(:\n" + "if x:\n" * 20), ("app/z.py", "if x: pass\n" * 40))).collect()
+    found = {(r.path, r.rule_id, r.found, r.confidence) for r in rows}
+    assert {("app/x.py", "too_high_params", "handle", d.SYNTAX), ("app/x.py", "too_high_nesting", "handle", d.SYNTAX), ("app/x.py", "swallowed_error", "", d.SYNTAX)} <= found
+    assert ("app/y.py", "too_high_complexity", "", d.STRIPPED) in found
+    assert not any(path == "app/z.py" and rule == "too_high_complexity" for path, rule, *_ in found)
+
+
 def test_syntax_rows(spark):
     rows = python_syntax(files(spark, ("a.py", "class A:\n  def f(self): pass\n  async def g(self, *a, k=1, **b): return [x for x in a if x]\n"), ("b.py", "def ("), ("c.js", "x"))).collect()
     kinds = sorted((r.path, r.kind, r.name, r.n_params, r.n_methods, r.complexity) for r in rows)
