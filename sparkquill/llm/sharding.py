@@ -2,7 +2,8 @@
 
 The number of slots never changes, so the map is a table of fixed size whatever the data: it may be sorted in one place and
 broadcast. Rebalancing edits it: a slot stays on its shard as long as that keeps within the tolerance of an even share.
-Equal texts hash to one slot. A slot heavier than half a shard, as copies of one text may make it, is dealt out by id.
+Equal texts hash to one slot, and so stay on one shard, unless their copies alone outweigh half a shard; then those copies are
+dealt out by id. What else shares a slot that heavy hashes once more by its text.
 A row's place in its shard is a prefix sum over hash units of even size, so no shard is ever one task.
 """
 
@@ -25,10 +26,15 @@ def slot_rows(docs: DataFrame, slots: int = SLOTS, shards: int = 8) -> DataFrame
     rows = cut(docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("digest")))
     by_text = F.pmod("digest", F.lit(slots)).cast("int")
     sums = rows.groupBy(by_text.alias("s")).agg(F.sum("size").alias("bytes"))
-    # Fewer than 2 * shards slots can be that heavy.
-    heavy = [r["s"] for r in sums.withColumn("total", F.sum("bytes").over(Window.partitionBy())).where(f"2 * {shards} * bytes > total").select("s").collect()]
-    by_id = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(slots)).cast("int")
-    return rows.select("doc_id", "size", "text_crc32", F.when(by_text.isin(heavy), by_id).otherwise(by_text).alias("vslot"))
+    # Fewer than 2 * shards slots, or texts, can be that heavy.
+    half = sums.withColumn("total", F.sum("bytes").over(Window.partitionBy())).where(f"2 * {shards} * bytes > total").collect()
+    if not half:
+        return rows.select("doc_id", "size", "text_crc32", by_text.alias("vslot"))
+    crowded = by_text.isin([r["s"] for r in half])
+    texts = rows.where(crowded).groupBy("digest").agg(F.sum("size").alias("bytes")).where(2 * shards * F.col("bytes") > half[0]["total"])
+    heavy = F.col("digest").isin([r["digest"] for r in texts.select("digest").collect()])
+    again, by_id = (F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int") for key in ((F.lit("again"), "digest"), ("doc_id", "digest")))
+    return rows.select("doc_id", "size", "text_crc32", F.when(heavy, by_id).when(crowded, again).otherwise(by_text).alias("vslot"))
 
 
 def build_map(slot_bytes: DataFrame, shards: int, previous: DataFrame | None = None, tolerance: float = 0.005) -> DataFrame:
