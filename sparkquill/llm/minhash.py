@@ -6,10 +6,12 @@ circularly by k, min pi(sigma(x) - k). Documents that agree on all rows of a ban
 on their full sets, so the signature never decides a link.
 
 At scale: equal sets are one class before banding. Candidates are joined into groups by identifiers alone. A group of
-up to ``block`` classes and ``together`` shingles is compared in one task, each set being shipped once. Larger groups
-are compared bucket by bucket, and a large bucket in pairs of blocks, so that no task holds more than two blocks.
-Every comparison is a product of 0/1 matrices; what leaves a task is at most one link for each row, never a pair list.
-The price of a group of m different texts that are near copies stays quadratic in m / block, in block products.
+up to ``block`` classes and ``together`` shingles is compared in one task, each set being shipped once. In larger groups
+each class is first compared with the hubs of its buckets, at a price that grows with the group's size alone. As only
+components are asked for, the classes of one component so found need no further comparison; those of different ones are
+compared bucket by bucket, in pairs of chunks, so that no task holds more than two. Every comparison is a product of 0/1
+matrices; what leaves a task is at most one link for each row, never a pair list. Quadratic is only what stays
+in different components within a bucket.
 """
 
 from __future__ import annotations
@@ -194,6 +196,35 @@ def _verify(percent: int):
     return run
 
 
+def _with_hubs(large: DataFrame, half: int, together: int) -> DataFrame:
+    """(rep, unit): the classes that share a bucket with a hub, its least class, in chunks that each hold the hub too."""
+    members = large.where("rep != hub").select("rep", "hub", "n_shingles").distinct()
+    hubs = cut(members.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / half, 2 * F.sum("n_shingles") / together)).alias("parts")))
+    unit = F.xxhash64(F.lit(-2), "hub", "k").alias("unit")
+    own = members.join(hubs, "hub").withColumn("k", F.pmod(F.xxhash64("rep"), "parts")).select("rep", unit)
+    everywhere = hubs.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
+    return own.unionByName(everywhere.select(F.col("hub").alias("rep"), unit))
+
+
+def _between(large: DataFrame, near: DataFrame, half: int, together: int) -> DataFrame:
+    """(rep, unit): pairs of chunks of each bucket that holds classes of several components of near (node, component).
+
+    A component of more than half classes has chunks of its own, never compared with each other; the others share theirs."""
+    placed = large.join(near, F.col("rep") == F.col("node"), "left").select("rep", "key", "n_shingles", F.coalesce("component", "rep").alias("near"))
+    kinds = placed.groupBy("key", "near").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
+    several = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key")
+    alone = F.col("m") > half
+    kinds = cut(kinds.join(several, "key").select("key", "near", alone.alias("alone"), F.when(alone, F.col("near")).otherwise(0).alias("grp"), "m", "w"))
+    parts = kinds.groupBy("key", "alone", "grp").agg(F.ceil(F.greatest(F.sum("m") / half, 2 * F.sum("w") / together)).alias("parts"))
+    chunk = F.xxhash64("key", "alone", "grp", "k")
+    pieces = cut(parts.select("key", "alone", "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k")).withColumn("chunk", chunk))
+    others = pieces.select(F.col("key").alias("key2"), F.col("alone").alias("alone2"), F.col("grp").alias("grp2"), F.col("chunk").alias("other"))
+    apart = ~(F.col("alone") & F.col("alone2") & (F.col("grp") == F.col("grp2")))
+    units = pieces.join(others, (F.col("key") == F.col("key2")) & apart).select("chunk", F.xxhash64(F.least("chunk", "other"), F.greatest("chunk", "other")).alias("unit"))
+    rows = placed.join(kinds.select("key", "near", "alone", "grp"), ["key", "near"]).join(parts, ["key", "alone", "grp"]).withColumn("k", F.pmod(F.xxhash64("rep"), "parts"))
+    return rows.select("rep", chunk.alias("chunk")).join(units, "chunk").select("rep", "unit")
+
+
 def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block: int = 512, together: int = 2_000_000) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -217,18 +248,22 @@ def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block
     groups = groups.join(classes.select("rep", "n_shingles"), "rep")
     sizes = groups.groupBy("grp").agg((F.count("*") <= block).alias("few"), (F.sum("n_shingles") <= together).alias("short")).select("grp", (F.col("few") & F.col("short")).alias("small"))
     groups = cut(groups.join(sizes, "grp"))
-    whole = groups.where("small").select("rep", F.xxhash64(F.lit(-1), "grp").alias("unit"))
-    half = block // 2
-    large = pairs.join(groups.where("NOT small").select("rep"), "rep")
-    parts = F.ceil(F.greatest(F.col("n") / half, 2 * F.col("weight") / together)).cast("int")
-    own = F.pmod(F.xxhash64("rep", "key"), parts).cast("int")
-    large = large.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    large = large.select("rep", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
-    units = whole.unionByName(large).groupBy("rep").agg(F.collect_set("unit").alias("units"))
-    text = docs.join(units, docs["doc_id"] == units["rep"]).select("doc_id", "text", "units").dropDuplicates(["doc_id"])
-    shipped = text.mapInArrow(_sets(width), "doc_id long, shingles binary, units array<long>").select("doc_id", "shingles", F.explode("units").alias("unit"))
-    links = shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long")
-    found = connected_components(links)
+    units = groups.where("small").select("rep", F.xxhash64(F.lit(-1), "grp").alias("unit"))
+
+    def compared(units: DataFrame) -> DataFrame:
+        """(a, b): links found between the texts of each unit."""
+        units = units.groupBy("rep").agg(F.collect_set("unit").alias("units"))
+        text = docs.join(units, docs["doc_id"] == units["rep"]).select("doc_id", "text", "units").dropDuplicates(["doc_id"])
+        shipped = text.mapInArrow(_sets(width), "doc_id long, shingles binary, units array<long>").select("doc_id", "shingles", F.explode("units").alias("unit"))
+        return shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long")
+
+    large = cut(pairs.join(groups.where("NOT small").select("rep"), "rep"))
+    if large.isEmpty():
+        found = connected_components(compared(units))
+    else:
+        near = cut(compared(_with_hubs(large, block // 2, together)))
+        units = units.unionByName(_between(large, connected_components(near), block // 2, together))
+        found = connected_components(near.unionByName(compared(units)))
     members = sketch.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
     return members.join(found, members["rep"] == found["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component", "rep", "doc_id"))).alias("kept")
