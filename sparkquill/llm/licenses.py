@@ -1,21 +1,31 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, and inheritance from the nearest directory that has a licence.
 
-A text's lines that hold a word of a template are its notices; neighbouring ones are one block. Blocks and templates are
-bags of words (lower case, letters a-z and digits, without STOPWORDS), weighed by term frequency times inverse document
-frequency over all documents. As every line with a template word is looked at, those lines give the exact document
-frequency of each template word; a word of no template weighs as one that no document has. A block takes the licence of the
-nearest template if the cosine reaches the threshold; a document takes its best block's.
+Notices and templates are bags of words (lower case, letters a-z and digits, without STOPWORDS), weighed by term frequency
+times inverse document frequency over all documents; a word of no template weighs as one that no document has. A template is
+held against two kinds of notices, and a document takes the licence of the greatest cosine that reaches the threshold:
 
-A licence file is a document named as one, or of which the licence's block is a large part. It holds for its directory and
-those below, up to the next one: each directory's ancestors are joined to the directories that have a licence file, and the
-deepest one wins. A notice of its own goes before.
+- blocks: neighbouring lines that hold a word of TEMPLATES, whole;
+- windows: runs of words from one of the template's words to another one, of up to SPAN times the template's words and over
+  any line ends. So a notice counts by itself, whatever stands beside it or in its line. A window must also hold what the
+  template has of the licence's name: "released under license" is no "mit", and version 2 of a licence isn't version 3.
 
-Only blocks are exploded into words, never whole texts; the templates are a constant of fixed size, and are broadcast.
+A licence file is a document named as one, or of which the notice is a large part. It holds for its directory and those below,
+up to the next one: each directory's ancestors are joined to the directories that have a licence file, and the deepest one
+wins. A notice of its own goes before.
+
+Texts are read twice: for the document frequency of the templates' words, and to be scored, within their row. A cosine needs so
+much of a template that one of its rarest words must be there (``_anchors``); only texts with such a word are scored. The
+templates are a constant of fixed size.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+import re
+from collections import Counter
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.llm.common import cut
@@ -38,6 +48,25 @@ TEMPLATES = (
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
+#: Titles and notices of whole licence files, beside TEMPLATES; windows alone are held against them.
+FURTHER = (
+    ("agpl-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("agpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("cc-by-4.0", "Creative Commons Attribution 4.0 International"),
+    ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("gpl-2.0", "GNU General Public License Version 2, June 1991"),
+    ("gpl-2.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("gpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("lgpl-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("lgpl-2.1", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("lgpl-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("mpl-2.0", "Mozilla Public License Version 2.0"),
+)
+#: The longest window, in a template's words.
+SPAN = 3
 STOPWORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "in", "into", "is", "it", "may", "not", "of", "on", "or", "the", "this", "to", "under", "was", "with", "you")
 NAMED = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
@@ -46,17 +75,112 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(*STOPWORDS))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """(template, license, term, tf)."""
-    values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
-    rows = spark.sql(f"SELECT * FROM VALUES {values} AS x(template, license, notice)")
-    return rows.select("template", "license", F.explode(terms(F.col("notice"))).alias("term")).groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
+def _words(text: str) -> list[str]:
+    return [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in STOPWORDS]
+
+
+def _vocabulary(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
+    return sorted({t for _, text in templates for t in _words(text)})
+
+
+def _weights(idf: dict[str, float]) -> list[tuple[str, dict[str, float], list[str], int, bool]]:
+    """Of each template: license, weights of its words (of length 1), words of the licence's name, longest window, whether blocks count."""
+    out = []
+    for k, (name, text) in enumerate(TEMPLATES + FURTHER):
+        tf = Counter(_words(text))
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
+        named = sorted(set(re.split("[^a-z0-9]", name)) & tf.keys())
+        out.append((name, {t: n * idf[t] / norm for t, n in tf.items()}, named, SPAN * sum(tf.values()), k < len(TEMPLATES)))
+    return out
+
+
+def _anchors(weights: list[dict[str, float]], least: float) -> list[str]:
+    """Words of which a text needs one: of a template's other words, the mass is under the least that a notice must hold."""
+    out = set()
+    for words in weights:
+        left = 1.0
+        for term in sorted(words, key=lambda t: (-words[t], t)):
+            if left < least:
+                break
+            out.add(term)
+            left -= words[term] ** 2
+    return sorted(out)
+
+
+def _strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values)).cast("array<string>")
+
+
+def _map(values: dict[str, float]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _mass(weights: Column, words: Column) -> Column:
+    """The part of a template's squared length that words hold."""
+    return F.aggregate(F.map_keys(weights), F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(words, t), F.try_element_at(weights, t) * F.try_element_at(weights, t)).otherwise(0.0))
+
+
+def _blocks(text: Column, words: Column) -> Column:
+    """array<array<term>>: of each run of lines that hold one of words."""
+    joined = F.transform(F.split(text, "\n"), lambda line: _let(terms(line), lambda ts: F.when(F.arrays_overlap(ts, words), F.array_join(ts, " ")).otherwise("\n")))
+    return F.transform(F.filter(F.split(F.array_join(joined, " "), "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), " +"))
+
+
+def _block_score(block: Column, weights: Column, value: Callable[[Column], Column]) -> Column:
+    def step(state: Column, t: Column) -> Column:
+        run = F.when(state["last"] == t, state["run"] + 1).otherwise(0)
+        return F.struct(t.alias("last"), run.alias("run"), (state["dot"] + value(t) * F.coalesce(F.try_element_at(weights, t), F.lit(0.0))).alias("dot"), (state["square"] + (2 * run + 1) * value(t) * value(t)).alias("square"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"))
+    return F.aggregate(F.array_sort(block), start, step, lambda x: F.round(x["dot"] / F.sqrt(x["square"]), 6))
+
+
+def _window_score(window: Column, weights: Column, named: Column, value: Callable[[Column], Column]) -> Column:
+    """struct<score, size> of the best run of words from the window's first one to a word of the template."""
+    steps = F.transform(window, lambda t, i: F.struct(value(t).alias("v"), F.try_element_at(weights, t).alias("w"), F.array_contains(named, t).alias("named"), F.size(F.filter(F.slice(window, F.lit(1), i), lambda x: x == t)).alias("seen")))
+
+    def step(state: Column, x: Column) -> Column:
+        dot = state["dot"] + x["v"] * F.coalesce(x["w"], F.lit(0.0))
+        square = state["square"] + (2 * x["seen"] + 1) * x["v"] * x["v"]
+        held = state["held"] + F.when(x["named"] & (x["seen"] == 0), 1).otherwise(0)
+        score = F.when(x["w"].isNotNull() & (held == F.size(named)), F.round(dot / F.sqrt(square), 6)).otherwise(0.0)
+        best = F.when(score > state["score"], state["at"] + 1).otherwise(state["size"])
+        return F.struct(dot.alias("dot"), square.alias("square"), held.alias("held"), (state["at"] + 1).alias("at"), F.greatest(state["score"], score).alias("score"), best.alias("size"))
+
+    start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"), F.lit(0).alias("held"), F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("size"))
+    return F.aggregate(steps, start, step, lambda x: F.struct(x["score"].alias("score"), x["size"].alias("size")))
+
+
+def _best(text: Column, idf: dict[str, float], unseen: float, threshold: float, least: float) -> Column:
+    """struct<less, license, size> of the best notice of a text: less is its cosine, negative, and so is size, its number of words."""
+    known = _map(idf)
+    templates = F.array(*[F.struct(F.lit(name).alias("license"), _map(weights).alias("weights"), _strings(named).alias("named"), F.lit(span).alias("span"), F.lit(whole).alias("whole")) for name, weights, named, span, whole in _weights(idf)])
+
+    def value(t: Column) -> Column:
+        return F.coalesce(F.try_element_at(known, t), F.lit(unseen))
+
+    def notice(template: Column, score: Column, size: Column) -> Column:
+        return F.struct((-score).alias("less"), template["license"].alias("license"), (-size).alias("size"))
 
+    def found(ts: Column, blocks: Column, template: Column) -> Column:
+        weights, named = template["weights"], template["named"]
+        fit = F.filter(F.when(template["whole"], blocks).otherwise(F.slice(blocks, 1, 0)), lambda b: _mass(weights, b) >= least)
+        whole = F.transform(fit, lambda b: notice(template, _block_score(b, weights, value), F.size(b)))
+        starts = F.filter(F.transform(ts, lambda t, i: F.when(F.map_contains_key(weights, t), i + 1)), lambda i: i.isNotNull())
+        windows = F.filter(F.transform(starts, lambda i: F.slice(ts, i, template["span"])), lambda w: (_mass(weights, w) >= least) & (F.size(F.array_except(named, w)) == 0))
+        parts = F.transform(F.array_distinct(windows), lambda w: _let(_window_score(w, weights, named, value), lambda x: notice(template, x["score"], x["size"])))
+        return F.filter(F.concat(whole, parts), lambda x: x["less"] <= -threshold)
 
-def _vocabulary() -> list[str]:
-    import re
+    def of(ts: Column, blocks: Column) -> Column:
+        near = F.filter(templates, lambda template: _mass(template["weights"], ts) >= least)
+        return F.array_min(F.flatten(F.transform(near, lambda template: found(ts, blocks, template))))
 
-    return sorted({t for _, text in TEMPLATES for t in re.findall("[a-z0-9]+", text.lower())} - set(STOPWORDS))
+    return _let(F.struct(terms(text).alias("ts"), _blocks(text, _strings(_vocabulary())).alias("blocks")), lambda x: of(x["ts"], x["blocks"]))
 
 
 def scan_licenses(files: DataFrame, threshold: float = 0.7, licence_share: float = 0.4) -> DataFrame:
@@ -66,33 +190,23 @@ def scan_licenses(files: DataFrame, threshold: float = 0.7, licence_share: float
     places, or null; ties go to the licence first in order. doc_id tells documents apart and shouldn't repeat; a null
     path has no directory, so it inherits nothing; null and empty texts have no notice. Further columns are ignored.
     """
-    spark = files.sparkSession
-    words = F.array(*map(F.lit, _vocabulary()))
-    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line, i: F.struct(i.alias("line"), terms(line).alias("terms")))
-    kept = F.filter(lines, lambda x: F.arrays_overlap(x["terms"], words))
-    size = F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"))
+    words = _vocabulary(TEMPLATES + FURTHER)
+    text = F.coalesce("text", F.lit(""))
+    present = F.array_intersect(terms(text), _strings(words))
+    # a word that no template has stands for each row, so that one aggregate counts rows too
+    counted = files.select(F.explode(F.concat(F.array(F.lit("")), present)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df = {r.term: r.df for r in counted.collect()}
+    n = df.get("", 0)
+    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in words}
+    least = (threshold - 1e-6) ** 2 - 1e-9  # of a template's squared length, by Cauchy-Schwarz; scores are rounded
+    anchors = _anchors([weights for _, weights, *_ in _weights(idf)], least)
+    held = F.arrays_overlap(terms(text), _strings(anchors))
+    best = F.when(held, F.struct(_best(text, idf, math.log(n + 1) + 1, threshold, least).alias("x"), F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("n_words")))
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
-    scanned = cut(files.select("doc_id", "path", directory.alias("dir"), size.alias("n_words"), kept.alias("notices")))
-    n = scanned.count()
-    notices = scanned.select("doc_id", F.inline("notices"))
-    island = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    bags = cut(notices.withColumn("block", island).select("doc_id", "block", F.explode("terms").alias("term")).groupBy("doc_id", "block", "term").agg(F.count("*").alias("tf")))
-    templates = _templates(spark)
-    seen = bags.join(F.broadcast(templates.select("term").distinct()), "term").groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
-    idf = F.log((F.lit(n) + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weighed = templates.join(seen, "term", "left").withColumn("w", F.col("tf") * idf)
-    norms = weighed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighed = weighed.join(norms, "template").select("template", "license", "term", (F.col("w") / F.col("norm")).alias("w"), idf.alias("idf"))
-    known = weighed.select("term", "idf").distinct()
-    bags = bags.join(F.broadcast(known), "term", "left").withColumn("v", F.col("tf") * F.coalesce("idf", F.log(F.lit(n) + 1) + 1))
-    lengths = bags.groupBy("doc_id", "block").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("length"), F.sum("tf").alias("size"))
-    dots = bags.drop("idf").join(F.broadcast(weighed), "term").groupBy("doc_id", "block", "template", "license").agg(F.sum(F.col("v") * F.col("w")).alias("dot"))
-    scores = dots.join(lengths, ["doc_id", "block"]).withColumn("score", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("score") >= threshold)
-    best = scores.groupBy("doc_id").agg(F.min(F.struct((-F.col("score")).alias("less"), "license", (-F.col("size")).alias("size"))).alias("x"))
-    best = best.select(F.col("doc_id").alias("id"), F.col("x.license").alias("own"), (-F.col("x.less")).alias("score"), (-F.col("x.size")).alias("size"))
-    found = scanned.select("doc_id", "path", "dir", "n_words").join(best, scanned["doc_id"] == best["id"], "left")
+    scored = cut(files.select("doc_id", "path", directory.alias("dir"), best.alias("best")))
+    found = scored.select("doc_id", "path", "dir", F.col("best.x.license").alias("own"), (-F.col("best.x.less")).alias("score"), (-F.col("best.x.size")).alias("size"), "best.n_words")
     is_file = F.col("own").isNotNull() & (F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (F.col("size") >= licence_share * F.col("n_words")))
-    found = cut(found.withColumn("licence_file", is_file).drop("id", "n_words", "size"))
+    found = found.withColumn("licence_file", is_file).drop("size", "n_words")
     licensed = found.where("licence_file AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("less"), "own")).alias("x")).select(F.col("dir").alias("at"), F.col("x.own").alias("inherited"))
     parts = F.split("dir", "/")
     ancestors = found.where("dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("at"), i.alias("depth")))).alias("a"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,41 @@ def test_licences_of_an_empty_table_and_a_long_text(spark):
     assert scanned(spark, [("a/x", "word " * 300_000 + "\nReleased under the MIT License.\n" + "word\n" * 50_000)]) == [("mit", "own")]
 
 
+MIT = """Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+
+
+def test_notices_within_other_text(spark):
+    prose = " ".join(f"wort{k}" for k in range(300))
+    beside = "1 mit use work " + prose
+    notices = {name: text for name, text in licenses.TEMPLATES + licenses.FURTHER}
+    rows = [
+        ("a", f"{beside}\nLicensed under CC BY-NC 4.0.\n{beside}"),
+        ("b", f"{prose} Released under the MIT License. {prose}"),
+        ("c", f"{prose} Licensed under the Apache\n\n # License, Version 2.0 {prose}"),
+        ("d", MIT + prose),
+        ("e", f"{prose} released under license, {prose} public general, {prose} version 3"),
+        *((name, f"{beside} {text}\n{beside}") for name, text in notices.items()),
+    ]
+    found = [license for license, _ in scanned(spark, rows)]
+    assert found == ["cc-by-nc-4.0", "mit", "apache-2.0", "mit", None, *notices]
+
+
+@pytest.mark.parametrize(("name", "license"), [("Apache-2.0", "apache-2.0"), ("GPL-2", "gpl-2.0"), ("GPL-3", "gpl-3.0"), ("LGPL-2.1", "lgpl-2.1"), ("LGPL-3", "lgpl-3.0"), ("MPL-2.0", "mpl-2.0"), ("BSD", "bsd-3-clause")])
+def test_whole_licence_files(spark, name, license):
+    file = Path("/usr/share/common-licenses", name)
+    if not file.exists():
+        pytest.skip("this system has no such file")
+    assert scanned(spark, [("a/LICENSE", file.read_text()), ("a/b/x.c", "x")]) == [(license, "own"), (license, "inherited")]
+
+
 # ---------------------------------------------------------------- chat
 
 NASTY = ["", "\\", "\\\\|", "<|end|>", "<\\|end|>", "<<|turn|>", "<", "</s>[INST] ok [/INST]", "[\\INST]", "<<SYS>>x<</SYS>>", "a\n|>", "é😀", "\\<|text|>\\", "[INST", "$1 \\$1"]
