@@ -90,7 +90,7 @@ QUERIES: dict[str, Query] = {
     "dup_files": _on_files(d.duplicate_files),
     "naming_consistency": _on_files(d.naming_issues),
     "dep_edges": _on_files(d.dependency_edges),
-    "dep_cycles": _on_files(lambda f: d.cycles(d.dependency_edges(f))),
+    "dep_cycles": _on_files(lambda f: d.all_circles(d.cut(d.dependency_edges(f)))),
     "event_cycles": event_cycles,
     "layer_violations": lambda spark, sf_dir: d.layer_violations(d.dependency_edges(all_files(spark, sf_dir)), gate.allowed_layers(spark)),
     "all_issues": _issues("personal"),

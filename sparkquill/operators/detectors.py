@@ -273,30 +273,66 @@ def layer_violations(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     return edges.where("src_layer != 'none' AND dst_layer != 'none' AND src_layer != dst_layer").join(allowed, ["src_layer", "dst_layer"], "left_anti").select("src", "dst", "src_layer", "dst_layer")
 
 
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """(cycle, length): simple cycles of edges (src, dst) as 'A>B>A', each from its least node.
+def _core(edges: DataFrame) -> DataFrame:
+    """Distinct edges without those of nodes that have none in or none out, which can't be on a cycle; peeled off until all have both."""
+    edges, left = cut(edges.select("src", "dst").distinct()), None
+    while left != (n := edges.count()):
+        left = n
+        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
+        edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return edges
+
+
+def _short_cycles(edges: DataFrame, max_length: int) -> DataFrame:
+    """(path): all simple cycles of up to max_length edges of _core(), from their least node back to it.
 
-    Nodes without an edge in and out can't be on a cycle, so they are peeled off first. Walks grow by joins, one for each length,
-    cut by checkpoints, and never pass below their start, so each cycle is found once. Their number may grow fast with max_length.
+    Walks grow by joins, one for each length, cut by checkpoints, and never pass below their start, so each cycle is found once.
+    Their number may grow fast with max_length.
     """
-    edges = edges.select("src", "dst").distinct()
-    for _ in range(2):
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-    edges = cut(edges)
-    closed = edges.where("src = dst").select(F.concat_ws(">", "src", "dst").alias("cycle"), F.lit(1).alias("length"))
+    closed = edges.where("src = dst").select(F.array("src", "dst").alias("path"))
     walks = edges.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
     for length in range(2, max_length + 1):
         step = cut(walks.join(edges, walks["node"] == edges["src"]).where((F.col("dst") >= F.col("start")) & ~F.array_contains(F.slice("path", 2, length), F.col("dst"))))
-        closed = closed.unionByName(step.where("dst = start").select(F.concat_ws(">", F.concat("path", F.array("start"))).alias("cycle"), F.lit(length).alias("length")))
+        closed = closed.unionByName(step.where("dst = start").select(F.concat("path", F.array("start")).alias("path")))
         walks = step.where("dst > start").select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         if walks.isEmpty():
             break
     return closed
 
 
+def _named(paths: DataFrame) -> DataFrame:
+    return paths.select(F.concat_ws(">", "path").alias("cycle"), (F.size("path") - 1).alias("length"))
+
+
+def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
+    """(cycle, length): simple cycles of edges (src, dst) of up to max_length, as 'A>B>A', each from its least node."""
+    return _named(_short_cycles(_core(edges), max_length))
+
+
+def all_circles(edges: DataFrame, max_length: int = 6) -> DataFrame:
+    """(cycle, length): cycles(), and a shortest cycle, of any length, through each further edge that is on one.
+
+    So each strongly connected component has a cycle here, and each of its edges is on one. Shortest paths from the ends of the
+    edges that cycles() leaves grow by joins, one for each length, cut by checkpoints, until no node is new: one row for each
+    end and node that it reaches. Of equally short paths the first in order stays.
+    """
+    edges = _core(edges)
+    short = cut(_short_cycles(edges, max_length))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
+    rest = cut(edges.join(short.select(F.inline(pairs)).distinct(), ["src", "dst"], "left_anti"))
+    reached = new = rest.select(F.col("dst").alias("start"), F.col("dst").alias("node"), F.array("dst").alias("path")).distinct()
+    while not new.isEmpty():
+        further = new.join(edges, new["node"] == edges["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        new = cut(further.join(reached, ["start", "node"], "left_anti"))
+        reached = cut(reached.unionByName(new))
+    closed = rest.join(reached, (F.col("dst") == F.col("start")) & (F.col("src") == F.col("node"))).select("path")
+    at = F.array_position("path", F.array_min("path")).cast("int")
+    turned = F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at))
+    return _named(short.unionByName(closed.select(turned.alias("path")).distinct()))
+
+
 def cycle_issues(edges: DataFrame) -> DataFrame:
-    rows = cycles(edges)
+    rows = all_circles(edges)
     return rows.select(F.substring_index("cycle", ">", 1).alias("path"), F.lit(None).cast("int").alias("line"), F.lit("dependency_cycle").alias("rule_id"), F.lit("architecture").alias("category"), F.lit("block").alias("severity"), F.lit(CYCLE).alias("confidence"), F.col("cycle").alias("found"), F.lit("files import each other in a circle").alias("message"))
 
 

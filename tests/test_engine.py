@@ -84,6 +84,22 @@ def test_cycles_are_those_of_a_search(spark, seed):
     assert all(r.cycle.count(">") == r.length for r in rows)
 
 
+def test_circles_of_any_length(spark):
+    ring = [f"n{k:02}" for k in range(9)]
+    edges = {*zip(ring, ring[1:] + ring[:1], strict=True)}  # longer than the enumeration goes
+    edges |= {("a", "b"), ("b", "a"), *zip("bcdefgh", "cdefghb", strict=True)}  # a short and a long one that share a node
+    edges |= {("n00", "a"), ("h", "end"), ("end", "after")}  # on no circle
+    found = {r.cycle: r.length for r in d.all_circles(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()}
+    assert found == {">".join([*ring, "n00"]): 9, "a>b>a": 2, "b>c>d>e>f>g>h>b": 7}
+
+
+def test_a_long_circle_of_imports_blocks(spark):
+    rows = [(f"app/m{k}.py", f"import app.m{(k + 1) % 8}\n") for k in range(8)]
+    issues = gate.collect_issues(files(spark, *rows))
+    assert gate.verdict(issues).first().exit_code == 2
+    assert [r.found.count(">") for r in issues.where("rule_id = 'dependency_cycle'").collect()] == [8]
+
+
 @given(st.text("{}x", max_size=30))
 def test_depth_counts(text):
     depth = most = 0
