@@ -41,7 +41,7 @@ def collect_issues(files: DataFrame, rules: DataFrame | None = None, mode: str =
     spark = files.sparkSession
     row_by_row = detectors.matched(files, detectors.security_matches() + detectors.exception_matches() + detectors.metric_matches("python" if trees else ""))
     edges = cut(detectors.dependency_edges(files))
-    found = [row_by_row, detectors.duplicate_issues(files), detectors.cycle_issues(edges), detectors.layer_issues(edges, allowed_layers(spark))]
+    found = [row_by_row, detectors.duplicate_issues(switched_on(files, "duplicate_code")), detectors.cycle_issues(edges), detectors.layer_issues(edges, allowed_layers(spark))]
     if trees:
         found.append(syntax_issues(files))
     if rules is not None:
@@ -51,6 +51,12 @@ def collect_issues(files: DataFrame, rules: DataFrame | None = None, mode: str =
     return adapt(reduce(DataFrame.unionByName, found))
 
 
+def switched_on(files: DataFrame, category: str) -> DataFrame:
+    """files without those whose class switches a category off."""
+    off = [file_class for file_class, c in SWITCHED_OFF if c == category]
+    return files.where(~F.coalesce(class_of(F.col("path")).isin(*off), F.lit(False)))
+
+
 def adapt(issues: DataFrame) -> DataFrame:
     """issues without those of categories that their file's class switches off; the policy never names red lines."""
     rows = issues.withColumn("file_class", class_of(F.col("path")))

@@ -171,6 +171,13 @@ def test_red_lines_hold_in_every_class(spark):
         assert [r.rule_id for r in rows] == ["hardcoded_secret"]
 
 
+def test_duplicates_count_where_they_are_switched_on(spark):
+    block = "".join(f"let v{k} = {k};\n" for k in range(6))
+    found = lambda *paths: [(r.path, r.message) for r in gate.collect_issues(files(spark, *[(p, block) for p in paths])).where("rule_id = 'duplicate_block'").collect()]
+    assert found("build/generated/x.js", "src/a.js", "src/b.js") == [("src/a.js", "stands 2 times")]
+    assert found("build/generated/x.js", "src/a.js") == []
+
+
 def test_modes_and_verdicts(spark):
     with pytest.raises(ValueError):
         gate.collect_issues(files(spark, ("a.py", "")), mode="other")
