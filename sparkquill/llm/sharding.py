@@ -1,55 +1,71 @@
-"""Sharding by fixed virtual slots: records hash into slots, bytes are summed by slot, and a versioned map deals slots to shards.
+"""Sharding by fixed virtual slots: records hash into slots, bytes are summed by slot, and a stored, versioned map deals slots to shards.
 
-The number of slots never changes, so the map is a table of fixed size whatever the data: it may be sorted in one place and
-broadcast. Rebalancing edits it: a slot stays on its shard as long as that keeps within the tolerance of an even share.
-Equal texts hash to one slot, and so stay on one shard, unless their copies alone outweigh half a shard; then those copies are
-dealt out by id. What else shares a slot that heavy hashes once more by its text.
+A record's slot depends on its text alone and never changes, so equal texts share a slot and so a shard. The map has an entry
+for each slot; the few texts that outweigh LARGE of an even share have an entry of their own in their slot, and one that
+outweighs a whole share, which no shard could hold, has PARTS entries, into which its copies fall by id. So the map is a
+table of bounded size whatever the data: SLOTS entries, and fewer than shards / LARGE + shards * PARTS more. It may be sorted
+in one place and broadcast.
+
+The first version deals slots evenly without looking at the data. Rebalancing reads it back, edits it by the bytes that were
+measured and stores the next version: an entry stays on its shard as long as that keeps within the tolerance of an even share.
 A row's place in its shard is a prefix sum over hash units of even size, so no shard is ever one task.
 """
 
 from __future__ import annotations
 
 import math
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import cut
+from sparkquill.llm.common import cut, shared_folder
 
 SLOTS = 4_096
+#: The part of an even share from which a text has an entry of its own, and the entries of a text that outweighs a share.
+LARGE, PARTS = 1 / 16, 256
+#: What names an entry: digest and part are null but for large texts.
+ENTRY = ("vslot", "digest", "part")
 
 
-def slot_rows(docs: DataFrame, slots: int = SLOTS, shards: int = 8) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot) for each row of docs (doc_id, text): its bytes and one, and its virtual slot."""
+def slot_rows(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, digest, vslot) for each row of docs (doc_id, text): its bytes and one, and its virtual slot."""
     text = F.coalesce("text", F.lit(""))
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
-    rows = cut(docs.select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("digest")))
-    by_text = F.pmod("digest", F.lit(slots)).cast("int")
-    sums = rows.groupBy(by_text.alias("s")).agg(F.sum("size").alias("bytes"))
-    # Fewer than 2 * shards slots, or texts, can be that heavy.
-    half = sums.withColumn("total", F.sum("bytes").over(Window.partitionBy())).where(f"2 * {shards} * bytes > total").collect()
-    if not half:
-        return rows.select("doc_id", "size", "text_crc32", by_text.alias("vslot"))
-    crowded = by_text.isin([r["s"] for r in half])
-    texts = rows.where(crowded).groupBy("digest").agg(F.sum("size").alias("bytes")).where(2 * shards * F.col("bytes") > half[0]["total"])
-    heavy = F.col("digest").isin([r["digest"] for r in texts.select("digest").collect()])
-    again, by_id = (F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int") for key in ((F.lit("again"), "digest"), ("doc_id", "digest")))
-    return rows.select("doc_id", "size", "text_crc32", F.when(heavy, by_id).when(crowded, again).otherwise(by_text).alias("vslot"))
-
-
-def build_map(slot_bytes: DataFrame, shards: int, previous: DataFrame | None = None, tolerance: float = 0.005) -> DataFrame:
-    """(version, vslot, shard, bytes) for slot_bytes (vslot, bytes), heaviest slot first onto the lightest shard.
-
-    With a previous version, slots keep their shard where that stays within (1 + tolerance) of an even share, and the version
-    is one more; slots that it doesn't have are new, shards beyond those it names start empty.
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("digest"))
+    return rows.withColumn("vslot", F.pmod("digest", F.lit(slots)).cast("int"))
+
+
+def large_texts(rows: DataFrame, shards: int) -> DataFrame:
+    """(digest, parts) of the texts that have entries of their own: parts is null for one entry. Only slots that are that heavy are looked into."""
+    sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"))
+    heavy = sums.withColumn("share", F.sum("bytes").over(Window.partitionBy()) / shards).where(F.col("bytes") > F.col("share") * LARGE)
+    texts = rows.join(F.broadcast(heavy.select("vslot", "share")), "vslot").groupBy("digest", "share").agg(F.sum("size").alias("bytes"))
+    return texts.where(F.col("bytes") > F.col("share") * LARGE).select("digest", F.when(F.col("bytes") > F.col("share"), PARTS).alias("parts"))
+
+
+def with_entries(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """slot_rows with the entry of the map that holds for each row: digest becomes null but for large texts, and part is added."""
+    named = large.select(F.col("digest").alias("__digest"), "parts")
+    found = rows.join(F.broadcast(named), F.col("digest") == F.col("__digest"), "left")
+    part = F.pmod(F.xxhash64("doc_id", "digest"), F.col("parts")).cast("int")
+    return found.withColumn("part", part).withColumn("digest", F.col("__digest")).drop("__digest", "parts")
+
+
+def first_map(entries: DataFrame, shards: int) -> DataFrame:
+    """(vslot, digest, part, shard, bytes): slots dealt round about, before anything is known of the data."""
+    return entries.select(*ENTRY, F.pmod(F.col("vslot") + F.coalesce("part", F.lit(0)), F.lit(shards)).cast("int").alias("shard"), "bytes")
+
+
+def rebalance(entries: DataFrame, shards: int, previous: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """The next map for entries (vslot, digest, part, bytes), heaviest first onto the lightest shard.
+
+    Entries keep the shard of the previous map where that stays within (1 + tolerance) of an even share; those that it
+    doesn't have are new, shards beyond those it names start empty.
     """
-    if previous is None:
-        slot_bytes = slot_bytes.select("vslot", "bytes", F.lit(None).cast("int").alias("old"), F.lit(0).alias("from"))
-    else:
-        old = previous.select("vslot", F.col("shard").alias("old"), F.col("version").alias("from"))
-        slot_bytes = slot_bytes.join(old, "vslot", "left").select("vslot", "bytes", "old", F.coalesce(F.max("from").over(Window.partitionBy()), F.lit(0)).alias("from"))
-    entry = F.struct((-F.col("bytes")).alias("less"), "vslot", "old")
-    whole = slot_bytes.agg(F.array_sort(F.collect_list(entry)).alias("slots"), F.sum("bytes").alias("total"), F.max("from").alias("from"))
+    old = previous.select(*[F.col(c).alias(f"old_{c}") for c in ENTRY], F.col("shard").alias("old"))
+    known = entries.join(F.broadcast(old), [F.col(c).eqNullSafe(F.col(f"old_{c}")) for c in ENTRY], "left").select(*ENTRY, "bytes", "old")
+    entry = F.struct((-F.col("bytes")).alias("less"), *ENTRY, "old")
+    whole = known.agg(F.array_sort(F.collect_list(entry)).alias("slots"), F.sum("bytes").alias("total"))
     limit = F.col("total") * ((1 + tolerance) / shards)
 
     def place(state, slot):
@@ -61,36 +77,50 @@ def build_map(slot_bytes: DataFrame, shards: int, previous: DataFrame | None = N
         return F.struct(F.transform(loads, lambda x, i: x - F.when(i == shard, slot["less"]).otherwise(0)).alias("loads"), F.concat(state["dealt"], F.array(shard)).alias("dealt"))
 
     start = F.struct(F.array_repeat(F.lit(0).cast("long"), shards).alias("loads"), F.array().cast("array<int>").alias("dealt"))
-    dealt = whole.select("from", F.explode(F.arrays_zip("slots", F.aggregate("slots", start, place)["dealt"].alias("dealt"))).alias("x"))
-    return dealt.select((F.col("from") + 1).alias("version"), F.col("x.slots.vslot").alias("vslot"), F.col("x.dealt").alias("shard"), (-F.col("x.slots.less")).alias("bytes"))
+    dealt = whole.select(F.explode(F.arrays_zip("slots", F.aggregate("slots", start, place)["dealt"].alias("dealt"))).alias("x"))
+    return dealt.select(*[F.col(f"x.slots.{c}").alias(c) for c in ENTRY], F.col("x.dealt").alias("shard"), (-F.col("x.slots.less")).alias("bytes"))
+
+
+def save_map(slot_map: DataFrame, path: str, version: int) -> None:
+    """Adds a version to the maps in path; one that is there already is an error."""
+    slot_map.write.parquet(f"{path.rstrip('/')}/version={version}")
 
 
-def save_map(slot_map: DataFrame, path: str) -> None:
-    """Adds this version to the maps in path; a version that is there already is an error."""
-    version = slot_map.agg(F.max("version")).first()[0]
-    slot_map.drop("version").write.parquet(f"{path.rstrip('/')}/version={version}")
+def latest_version(spark: SparkSession, path: str) -> int:
+    """0 if the folder holds no map, or doesn't exist."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(folder)] if system.exists(folder) else []
+    return max((int(n.removeprefix("version=")) for n in names if n.startswith("version=")), default=0)
 
 
-def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """The map of this version, or the latest one."""
-    maps = spark.read.parquet(path)
-    version = maps.agg(F.max("version")).first()[0] if version is None else version
-    return maps.where(F.col("version") == version)
+def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
+    return spark.read.parquet(f"{path.rstrip('/')}/version={version}").withColumn("version", F.lit(version))
 
 
-def shard_rows(docs: DataFrame, shards: int = 8, slots: int = SLOTS, unit_rows: int = 2_000) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 8, slots: int = SLOTS, unit_rows: int = 2_000, path: str | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, size, text_crc32, law (``bytes``), shard, slot (its place in the shard,
     from 0 without gaps), grown_shard (null: the law isn't ``key``), vslot, version.
 
-    Null text: no bytes, crc32 of nothing. Repeated rows stand apart. Further columns are ignored; an empty table gives an empty result.
+    Shards come from the maps in path (a new folder in the shared one, unless given): the latest one is edited by the bytes of
+    these docs, stored as the next version and read back; an empty folder gets a first version to start from. Null text counts
+    as empty: no bytes, crc32 of nothing. Repeated rows stand apart. Further columns are ignored; an empty table gives an empty result.
     """
-    rows = cut(slot_rows(docs, slots, shards))
-    slot_map = cut(build_map(rows.groupBy("vslot").agg(F.sum("size").alias("bytes")), shards))
+    spark = docs.sparkSession
+    rows = cut(slot_rows(docs, slots))
+    rows = cut(with_entries(rows, large_texts(rows, shards)))
+    entries = cut(rows.groupBy(*ENTRY).agg(F.sum("size").alias("bytes")))
+    path = path or f"{shared_folder(spark)}/shard-map-{uuid4().hex}"
+    version = latest_version(spark, path)
+    if not version:
+        save_map(first_map(entries, shards), path, version := 1)
+    save_map(rebalance(entries, shards, load_map(spark, path, version)), path, version + 1)
+    slot_map = load_map(spark, path, version + 1).select(*[F.col(c).alias(f"map_{c}") for c in ENTRY], "shard", "version")
     units = max(1, math.ceil(rows.count() / shards / unit_rows))
-    placed = rows.join(F.broadcast(slot_map.select("vslot", "shard", "version")), "vslot").withColumn("unit", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(units)))
+    placed = rows.join(F.broadcast(slot_map), [F.col(c).eqNullSafe(F.col(f"map_{c}")) for c in ENTRY]).withColumn("unit", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(units)))
     counts = placed.groupBy("shard", "unit").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("shard", "unit", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     within = F.row_number().over(Window.partitionBy("shard", "unit").orderBy("doc_id", "text_crc32", "size"))
     placed = placed.withColumn("own", within).join(counts, ["shard", "unit"])
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("own") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), (F.col("before") + F.col("own") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "version")
