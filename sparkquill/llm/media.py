@@ -1,8 +1,9 @@
 """Media columns: payloads stored as WAV, read back by the wave module, with spectral-peak pair fingerprints.
 
 A short-time Fourier transform gives a magnitude for each frame and frequency. In each block of BLOCK frames the PEAKS
-strongest local maxima over frequency stay. Each is paired with the next FAN ones in time; a pair of two frequencies and
-the frames between them is one fingerprint, stored as (pair << 32) | first frame.
+strongest local maxima over frequency stay; of equally strong ones the first by frame, then by bin. Magnitudes count to
+DIGITS decimal places, so that builds of numpy that differ in the last bits agree. Each peak is paired with the next FAN ones
+in time; a pair of two frequencies and the frames between them is one fingerprint, stored as (pair << 32) | first frame.
 
 Each row stands alone, so nothing is shuffled and a media column may be of any number of rows. Samples are transformed in
 passes of bounded length, so a long recording needs little more memory than its bytes.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm.common import each
 
-RATE, FRAME, HOP, BLOCK, PEAKS, FAN = 8_000, 192, 96, 16, 4, 3
+RATE, FRAME, HOP, BLOCK, PEAKS, FAN, DIGITS = 8_000, 192, 96, 16, 4, 3, 6
 #: Blocks of frames transformed in one pass.
 PASS = 64
 _WINDOW = np.hanning(FRAME)
@@ -57,15 +58,22 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, bins = [], []
     for first in range(0, n, BLOCK * PASS):
         part = frames[first : first + BLOCK * PASS]
-        magnitude = np.abs(np.fft.rfft((part.astype(np.float64) - 128) * _WINDOW, axis=1))
+        magnitude = np.round(np.abs(np.fft.rfft((part.astype(np.float64) - 128) * _WINDOW, axis=1)), DIGITS)
         inner = magnitude[:, 1:-1]
         inner = np.where((inner > magnitude[:, :-2]) & (inner >= magnitude[:, 2:]), inner, 0)
         short = -len(inner) % BLOCK
         if short:
             inner = np.concatenate([inner, np.zeros((short, inner.shape[1]))])
         flat = inner.reshape(len(inner) // BLOCK, -1)
-        best = np.sort(np.argpartition(-flat, PEAKS, axis=1)[:, :PEAKS], axis=1)
-        block, column = np.nonzero(np.take_along_axis(flat, best, axis=1) > 0)
+        best, height = np.empty((len(flat), PEAKS), np.int64), np.empty((len(flat), PEAKS))
+        rows = np.arange(len(flat))
+        for k in range(PEAKS):  # argmax gives the first of equals
+            best[:, k] = flat.argmax(axis=1)
+            height[:, k] = flat[rows, best[:, k]]
+            flat[rows, best[:, k]] = 0
+        order = np.argsort(best, axis=1, kind="stable")
+        best, height = np.take_along_axis(best, order, axis=1), np.take_along_axis(height, order, axis=1)
+        block, column = np.nonzero(height > 0)
         place = best[block, column]
         at.append(first + block * BLOCK + place // inner.shape[1])
         bins.append(place % inner.shape[1] + 1)
