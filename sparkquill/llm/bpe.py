@@ -22,7 +22,8 @@ import pyarrow as pa
 import regex
 import sentencepiece
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
@@ -112,14 +113,15 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _model(spark, ranks_path: str):
+def broadcast_model(spark: SparkSession, ranks_path: str) -> Broadcast:
+    """What workers need of the ranks; both directions can share one."""
     return spark.sparkContext.broadcast((as_model(read_ranks(ranks_path)), stand_ins()))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, model: Broadcast | None = None) -> DataFrame:
     """(doc_id, ids array<int>) for each row of docs (doc_id, text), without special tokens. Null text counts as empty: no ids.
     Further columns are ignored; an empty table gives an empty result."""
-    model = _model(docs.sparkSession, ranks_path)
+    model = model or broadcast_model(docs.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(model.value[0], pattern, model.value[1])
@@ -136,10 +138,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode(encoded: DataFrame, ranks_path: str, pattern: str, model: Broadcast | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256 of the ids as little-endian unsigned 32-bit integers, decoded binary) for each row of encoded (doc_id, ids).
     Null ids count as none."""
-    model = _model(encoded.sparkSession, ranks_path)
+    model = model or broadcast_model(encoded.sparkSession, ranks_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = ByteBpe(model.value[0], pattern, model.value[1])
@@ -157,4 +159,5 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row of docs (doc_id, text): encoded, then decoded from the ids."""
-    return decode(encode(docs, ranks_path, pattern), ranks_path, pattern).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    model = broadcast_model(docs.sparkSession, ranks_path)
+    return decode(encode(docs, ranks_path, pattern, model), ranks_path, pattern, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
