@@ -6,7 +6,7 @@ wins, and the margin to the next one is the confidence. Where it is small the te
 and both totals count. A narrow margin rejects the prediction.
 
 Learning reads the labels of all rows for their counts, then draws a bounded sample: up to ``rows`` texts for each
-language, of ``max_chars`` characters at most, by the order of a hash. Dictionaries are broadcast; their size is bound by
+language, and ``max_chars`` characters at most of each, by the order of a hash. Dictionaries are broadcast; their size is bound by
 ``dictionary_bytes`` times the number of languages (``max_languages`` at most).
 """
 
@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -36,22 +37,26 @@ def words(text: str) -> str:
 
 
 def learn(labelled: DataFrame, rows: int = 128, max_chars: int = 8_000, dictionary_bytes: int = 65_536, max_languages: int = 400) -> dict[str, bytes]:
-    """Language -> dictionary, from labelled (doc_id, text, lang). Rows with a null or without text are left out."""
-    labelled = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL").where(F.length("text").between(1, max_chars)).select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)).alias("draw"))
+    """Language -> dictionary, from labelled (doc_id, text, lang). Rows with a null or without text are left out.
+
+    Texts of any length are drawn, and max_chars characters read of each. A language's dictionary is built in one task from
+    about 2 * rows drawn texts; the driver gets dictionaries alone. More than max_languages languages are an error.
+    """
+    labelled = labelled.where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0").select("lang", F.substring("text", 1, max_chars).alias("text"), F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)).alias("draw"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
     if len(counts) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     if not counts:
         return {}
     bound = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1, 2 * rows / n)) + 1)])
-    drawn: dict[str, list] = {}
-    for r in labelled.where(F.col("draw") < bound[F.col("lang")]).collect():
-        drawn.setdefault(r["lang"], []).append((r["draw"], r["text"]))
-    out = {}
-    for lang in sorted(drawn):
-        texts = dict.fromkeys(words(text) for _, text in sorted(drawn[lang])[:rows])
-        out[lang] = "\n".join(texts).encode()[:dictionary_bytes]
-    return out
+
+    def build(drawn: pd.DataFrame) -> pd.DataFrame:
+        first = sorted(zip(drawn["draw"], drawn["text"], strict=True))[:rows]
+        texts = dict.fromkeys(words(text) for _, text in first)
+        return pd.DataFrame({"lang": drawn["lang"][:1], "dictionary": ["\n".join(texts).encode()[:dictionary_bytes]]})
+
+    built = labelled.where(F.col("draw") < bound[F.col("lang")]).groupBy("lang").applyInPandas(build, "lang string, dictionary binary")
+    return {r["lang"]: bytes(r["dictionary"]) for r in built.collect()}
 
 
 class Coder:
