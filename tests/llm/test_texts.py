@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import wave
 import zlib
 from io import BytesIO
@@ -10,8 +11,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
+from sparkquill.llm import media, queries
 from sparkquill.llm.bpe import ByteBpe, as_model, decode, encode, read_ranks, round_trip, stand_ins
 from sparkquill.llm.langid import held_out, identify, learn
 from sparkquill.llm.media import fingerprints, media_digest, pad, peaks, read_media, store_texts, to_wav
@@ -57,6 +60,35 @@ def test_the_held_out_third(spark):
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in table.select("doc_id", held_out(table["doc_id"]).alias("h")).collect())
 
 
+def test_long_labelled_texts_are_learned(spark):
+    known = [(1, "los niños que " * 2_000, "es"), (2, "der und nicht " * 2_000, "de")]
+    dictionaries = learn(docs(spark, known), max_chars=1_000)
+    assert sorted(dictionaries) == ["de", "es"] and all(0 < len(d) <= 1_200 for d in dictionaries.values())
+    with pytest.raises(ValueError):
+        learn(docs(spark, known), max_languages=1)
+
+
+def test_sizes_are_those_of_coding_each_block_alone(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    dictionaries = learn(table.where(~held_out(table["doc_id"])))
+
+    def size(text, dictionary, level):
+        data = re.sub(r"[\W\d_]+", " ", text.lower()).encode()
+        own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        code = lambda block: zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(block)
+        return sum(len(code(data[i : i + 2_048])) for i in range(0, len(data), 2_048))
+
+    texts = {r.doc_id: r.text for r in table.where("doc_id % 10 = 3").collect()}
+    for r in queries.op2_language_id(spark, sf_dir).where("doc_id % 10 = 3").collect():
+        sizes = {lang: size(texts[r.doc_id], d, 7) for lang, d in dictionaries.items()}
+        first, second = sorted(sizes.values())[:2]
+        if (second - first) / second < 0.05:
+            sizes = {lang: n + size(texts[r.doc_id], dictionaries[lang], 12) for lang, n in sizes.items()}
+            first, second = sorted(sizes.values())[:2]
+        assert r.lang_pred == min(sizes, key=lambda lang: (sizes[lang], lang))
+        assert r.score == pytest.approx((second - first) / second) and r.rejected == (r.score < 0.005)
+
+
 # ---------------------------------------------------------------- tokens
 
 
@@ -121,3 +153,51 @@ def test_peaks_of_a_tone():
     assert set(bin_) == {24} and len(frame)  # 1000 Hz of 8000 in 192 samples
     prints = fingerprints(tone.tobytes())
     assert (np.diff(prints & 0xFFFFFFFF) >= 0).all() and set(prints >> 56) == {24}
+
+
+def by_definition(payload):
+    """Fingerprints by sums of cosines and sines, and by sorting all maxima of a block."""
+    x = np.frombuffer(payload, np.uint8).astype(float) - 128
+    n, angle = (len(x) - 192) // 96 + 1, 2 * np.pi * np.outer(np.arange(192), np.arange(97)) / 192
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(192) / 191)
+    frames = np.stack([x[96 * k : 96 * k + 192] * window for k in range(n)])
+    power = np.round(np.hypot(frames @ np.cos(angle), frames @ np.sin(angle)), 6)
+    chosen = []
+    for block in range(0, n, 16):
+        found = [(-power[k, b], k, b) for k in range(block, min(n, block + 16)) for b in range(1, 96) if power[k, b] > power[k, b - 1] and power[k, b] >= power[k, b + 1]]
+        chosen += sorted((k, b) for _, k, b in sorted(found)[:4])
+    pairs = []
+    for gap in range(1, 4):
+        pairs += [(k, gap, i, (b << 24 | d << 16 | min(m - k, 0xFFFF)) << 32 | k) for i, ((k, b), (m, d)) in enumerate(zip(chosen, chosen[gap:], strict=False))]
+    return [code for *_, code in sorted(pairs, key=lambda p: p[:3])]
+
+
+@pytest.mark.parametrize("n", [10, 1_000, 250_000])
+def test_fingerprints_are_those_of_the_definition(n):
+    rng = random.Random(n)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    payload = pad(" ".join(rng.choice(words) for _ in range(n // 5)).encode())
+    assert fingerprints(payload).tolist() == by_definition(payload)
+
+
+def test_equal_peaks_go_by_frame_and_bin():
+    payload = pad(b"aabb" * 48 * 40)  # the same frame again and again
+    frame, bin_ = peaks(np.frombuffer(payload, np.uint8))
+    assert frame[:4].tolist() == [0, 1, 2, 3] and len(set(bin_[:4].tolist())) == 1
+    assert fingerprints(payload).tolist() == by_definition(payload)
+
+
+def test_long_texts_are_transformed_in_passes(monkeypatch):
+    payload = pad(("%d " * 40_000 % (*range(40_000),)).encode())
+    whole = fingerprints(payload)
+    monkeypatch.setattr(media, "PASS", 3)
+    assert len(payload) > 2 * 96 * 16 * 64 and fingerprints(payload).tolist() == whole.tolist()
+
+
+def test_digest_of_the_registered_query(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op8_media_columns(spark, sf_dir).collect():
+        payload = pad((texts[r.doc_id] or "").encode())
+        prints = by_definition(payload) if r.doc_id % 10 == 0 else fingerprints(payload).tolist()
+        assert r.feature == f"{len(prints)}:{hashlib.sha256(','.join(map(str, prints)).encode()).hexdigest()}"
+        assert r.media_sha256 == hashlib.sha256(to_wav(payload)).hexdigest()
