@@ -50,10 +50,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, bucket_rows
 
     epochs: how often the row is taken whole; part: words of it taken once more, where the budget ends within it; taken:
     epochs * size + part. Null texts have no words; null is a source of its own. Rows that repeat an id stay apart. The order
-    depends on doc_id only, so reruns agree. An empty table gives an empty result.
+    depends on doc_id only, or on the text where that is null, so reruns agree. An empty table gives an empty result.
     """
     docs = docs.drop(*ADDED)
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit(""))))))
     thin = cut(docs.select("source", key.alias("__key"), words().alias("size")))
     n_buckets = max(1, math.ceil(thin.count() / bucket_rows))
     bucket = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("double") / 2**32 * n_buckets).alias("__bucket")
