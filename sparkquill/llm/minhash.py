@@ -6,10 +6,12 @@ circularly by k, min pi(sigma(x) - k). Documents that agree on all rows of a ban
 on their full sets, so the signature never decides a link.
 
 At scale: equal sets are one class before banding. Candidates are joined into groups by identifiers alone. A group of
-up to ``block`` classes and ``together`` shingles is compared in one task, each set being shipped once. Larger groups
-are compared bucket by bucket, and a large bucket in pairs of blocks, so that no task holds more than two blocks.
+up to ``block`` classes and ``together`` shingles is compared in one task, each set being shipped once. In larger groups
+each class is first compared with the hub (the least class) that it shares most buckets with, in chunks of bounded size; so
+a tight group, however large, is linked by shipping each set once. Then only buckets that still hold classes not known to be
+linked are compared, in pairs of chunks, without those within one linked part. What stays quadratic, in block products, is a
+large bucket of classes that are candidates of each other and yet not linked.
 Every comparison is a product of 0/1 matrices; what leaves a task is at most one link for each row, never a pair list.
-The price of a group of m different texts that are near copies stays quadratic in m / block, in block products.
 """
 
 from __future__ import annotations
@@ -71,9 +73,13 @@ def shingle_sets(hasher: RollingHash, data: np.ndarray, offsets: np.ndarray, wid
     return out
 
 
-def _pi(x: np.ndarray, scratch: np.ndarray) -> None:
+#: Shifts and odd factors of the two permutations.
+SIGMA, PI = ((15, 0xD35A2D97), (17, 0xC2B2AE3D)), ((16, 0x7FEB352D), (15, 0x846CA68B))
+
+
+def _permute(x: np.ndarray, scratch: np.ndarray, steps: tuple[tuple[int, int], ...]) -> None:
     """A permutation of the integers modulo 2**32, in place."""
-    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+    for shift, factor in steps:
         np.right_shift(x, np.uint32(shift), out=scratch)
         np.bitwise_xor(x, scratch, out=x)
         np.multiply(x, np.uint32(factor), out=x)
@@ -91,11 +97,11 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
         shuffled = (np.concatenate(sets[first:last]) >> np.uint64(32)).astype(np.uint32)
         scratch, work = np.empty_like(shuffled), np.empty_like(shuffled)
         np.bitwise_xor(shuffled, np.uint32(0x5BD1E995), out=shuffled)
-        _pi(shuffled, scratch)  # sigma: the same family of permutations, on other points
+        _permute(shuffled, scratch, SIGMA)
         starts = np.concatenate([[0], np.cumsum([len(s) for s in sets[first : last - 1]])]).astype(np.intp)
         for k in range(size):
             np.subtract(shuffled, np.uint32(k), out=work)
-            _pi(work, scratch)
+            _permute(work, scratch, PI)
             out[first:last, k] = np.minimum.reduceat(work, starts)
         first = last
     return out
@@ -116,7 +122,7 @@ def _sketch(width: int, bands: int, rows: int):
                 n = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(n)
                 keys = np.zeros((len(sets), bands), np.uint64)
-                h1, h2 = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+                cls = np.zeros(len(sets), np.uint64)
                 if len(full):
                     kept = [sets[i] for i in full]
                     signed = signatures(kept, bands * rows).reshape(len(kept), bands, rows)
@@ -124,13 +130,12 @@ def _sketch(width: int, bands: int, rows: int):
                     for r in range(rows):
                         key = mix64(key * _M[2] + signed[:, :, r].astype(np.uint64))
                     keys[full] = key
-                    h1[full] = [s.sum() for s in kept]
-                    h2[full] = [mix64(s * _M[3]).sum() for s in kept]
+                    sums = [np.array([f(s).sum() for s in kept], np.uint64) for f in (lambda s: s, lambda s: mix64(s * _M[3]))]
+                    cls[full] = mix64(sums[0] * _M[0] + mix64(sums[1]))
                 empty = n == 0
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(sets) + 1, bands), pa.int32()), pa.array(_signed(keys.reshape(-1))))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(n), pa.array(_signed(h1), mask=empty), pa.array(_signed(h2), mask=empty), lists], ["doc_id", "n_shingles", "h1", "h2", "bands"]
-                )
+                own = (batch.column(k).slice(first, last - first) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), pa.array(_signed(cls), mask=empty), lists], ["doc_id", "text_key", "n_shingles", "cls", "bands"])
 
     return run
 
@@ -143,7 +148,7 @@ def _sets(width: int):
             for first, last in chunks(offsets):
                 own = offsets[first : last + 1]
                 sets = shingle_sets(hasher, data[own[0] : own[-1]], own - own[0], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(2).slice(first, last - first)], ["doc_id", "shingles", "units"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(2).slice(first, last - first)], ["cls", "shingles", "units"])
 
     return run
 
@@ -182,7 +187,7 @@ def _verify(percent: int):
         for unit in segments(batches, "unit"):
             if unit.num_rows < 2:
                 continue
-            ids = unit.column("doc_id").to_numpy()
+            ids = unit.column("cls").to_numpy()
             order = np.argsort(ids, kind="stable")
             shingles = unit.column("shingles")
             labels = local_labels(jaccard_links([np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in order], percent))
@@ -194,42 +199,79 @@ def _verify(percent: int):
     return run
 
 
+def _hub_units(pairs: DataFrame, block: int, together: int) -> DataFrame:
+    """(cls, unit) for pairs (cls, key, hub, n_shingles): each class with the hub that it shares most buckets with, in chunks of up to
+    about block classes and together shingles; the hub itself is in each of its chunks."""
+    best = pairs.groupBy("cls", "hub", "n_shingles").agg((-F.count("*")).alias("less")).groupBy("cls", "n_shingles").agg(F.min(F.struct("less", "hub"))["hub"].alias("hub"))
+    sizes = best.groupBy("hub").agg(F.ceil(F.greatest(F.count("*") / (block - 1), F.sum("n_shingles") / together)).cast("int").alias("parts"))
+    own = best.join(sizes, "hub").select("cls", F.xxhash64("hub", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).alias("unit"))
+    hubs = sizes.select(F.col("hub").alias("cls"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("cls", F.xxhash64("cls", "k").alias("unit"))
+    return own.unionByName(hubs).distinct()
+
+
+def _bucket_units(rows: DataFrame, block: int, together: int) -> DataFrame:
+    """(cls, unit) for rows (cls, key, label, n_shingles): in each bucket that holds several labels, chunks of up to half a block, in
+    pairs; chunks of one label that has its own are not paired with each other."""
+    mixed = rows.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
+    rows = rows.join(mixed, "key")
+    half, short = block // 2, together // 2
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"))
+    counts = counts.withColumn("grp", F.when((F.col("n") > half) | (F.col("weight") > short), F.col("label")))
+    parts = counts.groupBy("key", "grp").agg(F.ceil(F.greatest(F.sum("n") / half, F.sum("weight") / short)).cast("int").alias("parts"))
+    parts = parts.select(F.col("key").alias("k"), F.col("grp").alias("g"), "parts")
+    placed = counts.join(parts, (F.col("key") == F.col("k")) & F.col("grp").eqNullSafe(F.col("g"))).select("key", "label", "grp", "parts")
+    placed = rows.join(placed, ["key", "label"]).withColumn("side", F.xxhash64("grp", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")))
+    others = parts.select(F.col("k").alias("key"), "g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("k")).select("key", "g", F.xxhash64("g", "k").alias("other"))
+    met = placed.join(others, "key").where(~F.coalesce(F.col("grp") == F.col("g"), F.lit(False)))
+    return met.select("cls", F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other")).alias("unit"))
+
+
 def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block: int = 512, together: int = 2_000_000) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, text_key, group_key.
 
-    Links join documents whose sets of width-word shingles have a Jaccard similarity of threshold or more (in whole
-    percents). Null, empty and wordless texts have no shingles and link with nothing; fewer than width words make one
-    shingle. A row without doc_id links with nothing and is kept. Rows that repeat a doc_id are one node. Further
-    columns of docs are ignored; join the result on doc_id. An empty table gives an empty result.
+    Links join rows whose sets of width-word shingles have a Jaccard similarity of threshold or more (in whole percents);
+    component_id is the least doc_id that a row reaches. Null, empty and wordless texts have no shingles and link with nothing;
+    fewer than width words make one shingle. A row without doc_id links with nothing and is kept. Rows that repeat a doc_id are
+    rows of their own, linked by their texts only; text_key (a hash of the text) tells them apart, and group_key (null without
+    links to be had) is the same for all rows of a component. Sets are equal if 64-bit hashes of them are. Further columns of
+    docs are ignored; an empty table gives an empty result.
     """
     bands, rows = banding(threshold)
     percent = round(threshold * 100)
-    docs = docs.select("doc_id", "text")
-    sketch = cut(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    sketch = cut(docs.mapInArrow(_sketch(width, bands, rows), "doc_id long, text_key long, n_shingles long, cls long, bands array<long>"))
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("x")).select("h1", "h2", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.bands")
-    classes = cut(classes)
-    keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("rep").alias("hub")).where("n > 1")
+    classes = cut(full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "bands")).alias("x")).select("cls", "x.*"))
+
+    def linked(units: DataFrame) -> DataFrame:
+        """(a, b): links found by comparing the classes of each unit of (cls, unit)."""
+        todo = units.groupBy("cls").agg(F.collect_set("unit").alias("units")).join(classes.select("cls", "doc_id", "text_key"), "cls")
+        text = docs.join(todo, ["doc_id", "text_key"]).select("cls", "text", "units").dropDuplicates(["cls"])
+        shipped = text.mapInArrow(_sets(width), "cls long, shingles binary, units array<long>").select("cls", "shingles", F.explode("units").alias("unit"))
+        return cut(shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long"))
+
+    keyed = classes.select("cls", "n_shingles", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1").select("key", "hub")
     pairs = cut(keyed.join(buckets, "key"))
-    groups = connected_components(pairs.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
-    groups = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
-    groups = groups.join(classes.select("rep", "n_shingles"), "rep")
-    sizes = groups.groupBy("grp").agg((F.count("*") <= block).alias("few"), (F.sum("n_shingles") <= together).alias("short")).select("grp", (F.col("few") & F.col("short")).alias("small"))
+    groups = connected_components(pairs.select(F.col("cls").alias("a"), F.col("hub").alias("b")))
+    groups = groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")).join(classes.select("cls", "n_shingles"), "cls")
+    sizes = groups.groupBy("grp").agg(((F.count("*") <= block) & (F.sum("n_shingles") <= together)).alias("small"))
     groups = cut(groups.join(sizes, "grp"))
-    whole = groups.where("small").select("rep", F.xxhash64(F.lit(-1), "grp").alias("unit"))
-    half = block // 2
-    large = pairs.join(groups.where("NOT small").select("rep"), "rep")
-    parts = F.ceil(F.greatest(F.col("n") / half, 2 * F.col("weight") / together)).cast("int")
-    own = F.pmod(F.xxhash64("rep", "key"), parts).cast("int")
-    large = large.select("rep", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    large = large.select("rep", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
-    units = whole.unionByName(large).groupBy("rep").agg(F.collect_set("unit").alias("units"))
-    text = docs.join(units, docs["doc_id"] == units["rep"]).select("doc_id", "text", "units").dropDuplicates(["doc_id"])
-    shipped = text.mapInArrow(_sets(width), "doc_id long, shingles binary, units array<long>").select("doc_id", "shingles", F.explode("units").alias("unit"))
-    links = shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long")
-    found = connected_components(links)
-    members = sketch.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
-    return members.join(found, members["rep"] == found["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("component", "rep", "doc_id"))).alias("kept")
-    )
+    units = groups.where("small").select("cls", F.xxhash64(F.lit(-1), "grp").alias("unit"))
+    near = None
+    large = groups.where("NOT small").select("cls")
+    if not large.isEmpty():
+        pairs = cut(pairs.join(large, "cls"))
+        near = linked(_hub_units(pairs, block, together))
+        one = near.groupBy("a").agg(F.min("b").alias("b"))
+        two = one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("cls"), F.coalesce("c", "b").alias("label"))
+        pairs = pairs.join(two, "cls", "left").select("cls", "key", "n_shingles", F.coalesce("label", "cls").alias("label"))
+        units = units.unionByName(_bucket_units(cut(pairs), block, together))
+    links = linked(units)
+    found = connected_components(links if near is None else links.unionByName(near))
+    labels = classes.select("cls", "doc_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("group_key"))
+    least = labels.groupBy("group_key").agg(F.min("doc_id").alias("component_id"))
+    labels = labels.join(least, "group_key").select(F.col("cls").alias("c"), "group_key", "component_id")
+    members = sketch.join(labels, F.col("doc_id").isNotNull() & (F.col("cls") == F.col("c")), "left")
+    component = F.coalesce("component_id", "doc_id")
+    return members.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"), "text_key", "group_key")

@@ -31,7 +31,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup(table(spark, sf_dir, "documents"), threshold=0.85)
+    return minhash_dedup(table(spark, sf_dir, "documents"), threshold=0.85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

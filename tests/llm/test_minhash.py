@@ -46,6 +46,50 @@ def test_awkward_rows(spark):
     assert found(minhash_dedup(docs(spark, rows), 0.85)) == near_copies(rows, 85)
 
 
+def test_a_large_group_of_near_copies_and_what_is_close_to_it(spark):
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(80)]
+    rows = []
+    for k in range(10_000):
+        text = list(base)
+        if k % 3:
+            text[rng.randrange(80)] = f"o{k}"
+        rows.append((k, " ".join(text)))
+    far = list(base)
+    for k in range(0, 80, 16):
+        far[k] = "far"
+    rows += [(20_000 + k, " ".join([*far, f"e{k}"])) for k in range(600)]  # near each other, candidates of the others
+    result = found(minhash_dedup(docs(spark, rows), 0.85, block=256))
+    sample = [rows[k] for k in (*range(0, 10_000, 250), *range(10_000, 10_600, 40))]
+    assert {result[i][0] == len(shingles(t)) for i, t in sample} == {True}
+    groups = {}
+    for i, (_, c) in result.items():
+        groups.setdefault(c, []).append(i)
+    assert {c for _, c in near_copies([(0, " ".join(base)), *rows[:10_000:100]], 85).values()} == {0}  # all are linked with the base
+    assert sorted(groups[0]) == [*range(10_000)] and sorted(groups[20_000]) == [*range(20_000, 20_600)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_groups_of_several_components(spark, seed):
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for k in range(120):  # a family: all candidates of each other, about half of them linked
+        text = list(base)
+        for _ in range(rng.randrange(6)):
+            text[rng.randrange(60)] = rng.choice(WORDS[:9])
+        rows.append((k, " ".join(text)))
+    for options in ({"block": 8}, {"block": 16, "together": 500}):
+        assert found(minhash_dedup(docs(spark, rows), 0.85, **options)) == near_copies(rows, 85)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(4, a), (4, b), (5, a), (3, b + " "), (4, b), (None, a)]
+    result = sorted(((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in minhash_dedup(docs(spark, rows), 0.85).collect()), key=repr)
+    assert result == sorted([(4, 4, True, 4), (4, 3, False, 2), (4, 3, False, 2), (5, 4, False, 4), (3, 3, True, 2), (None, None, True, 4)], key=repr)
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     rows = minhash_dedup(docs(spark, [(None, "a b c"), (None, "a b c"), (2, "a b c"), (2, "a b c"), (3, "a b c")]), 0.85).collect()
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in rows if r.doc_id is not None), key=repr) == [(2, 2, True), (2, 2, True), (3, 2, False)]
