@@ -11,12 +11,13 @@ repeated if a neighbour in corpus order shares ``length`` bytes with it.
 
 1. Dictionary: phrases are counted. One that stands once rules out all of its positions; equal surroundings of a phrase
    are one entry, and repeated as a whole. Of equal ones in an Arrow batch one alone is counted, for all of them, so that
-   a passage in a third of all documents is a few rows where it is counted.
+   a passage in a third of all documents is a few rows where it is counted. A phrase that has SEVERAL surroundings in one
+   batch surely isn't alone: its rows meet by surroundings only, spread evenly, and one row for the batch tells the others.
 2. Order: for each other phrase, the left parts are sorted backwards and the right parts forwards, each with the common
    lengths of neighbours; together they give the ties of every position of the phrase at depth ``length``. Texts meet
-   phrases by a join on the row; entries of a phrase are sorted in one task up to ``group`` of them.
+   phrases by a join on the row; entries of a phrase are sorted in one task up to ``group`` of them (about 350 bytes each).
 3. Phrases with more entries, as of a passage in very many different surroundings, are refined instead by counts of hashed
-   strings: first of runs of STEP positions, then of single ones. Each count is one row a key, whatever its size.
+   strings: first of runs of STEP positions, then of single ones. Each count is a sum that is combined before it is shuffled.
 """
 
 from __future__ import annotations
@@ -27,15 +28,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.llm.common import RollingHash, chunks, cut, each, mix64, segments, texts
 
 #: Bytes hashed by a trigger, and positions of which a trigger is the least; K + SPAN - 1 must not exceed the length.
 K, LOG_SPAN, STEP = 16, 7, 8
-#: Bytes of text in one numpy pass, and phrases that are looked through for equal ones together.
-CHUNK, TOGETHER = 1 << 17, 200_000
+#: Bytes of text in one numpy pass, phrases that are looked through for equal ones together, and how many surroundings of a
+#: phrase among these make it one that isn't counted as a whole.
+CHUNK, TOGETHER, SEVERAL = 1 << 17, 200_000, 16
 _C = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -95,20 +97,30 @@ def _place(first: np.ndarray, trigger: np.ndarray, last: np.ndarray) -> np.ndarr
 
 
 def _phrases(length: int):
-    """A row for each occurrence of a phrase: core, span (its surroundings), place (rid, place) and weight.
+    """A row for each occurrence of a phrase: key (rows meet by it), core, span (its surroundings), place (rid, place), weight and sure
+    (the phrase has several surroundings).
 
     Of equal occurrences in a batch the first counts for all; the others are known to be repeated, and go under a key of
-    their own, so that they are spread evenly rather than sent where their phrase is counted."""
+    their own, so that they are spread evenly rather than sent where their phrase is counted. So do the occurrences of phrases
+    with SEVERAL surroundings in the batch; a row without a place (-1) says so under the phrase's own key."""
 
     def combined(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         cores, spans, rids, places = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(spans, kind="stable")
+        order = np.lexsort((spans, cores))
         cores, spans, rids, places = (x[order] for x in (cores, spans, rids, places))
-        heads = np.concatenate([[True], spans[1:] != spans[:-1]])
+        new = np.concatenate([[True], cores[1:] != cores[:-1]])
+        heads = np.concatenate([[True], spans[1:] != spans[:-1]]) | new
         weights = np.full(len(spans), 2, np.int32)  # what follows its like is repeated, and needs no counting
         weights[heads] = np.minimum(np.diff(np.concatenate([np.flatnonzero(heads), [len(spans)]])), 2)
-        cores, spans = np.where(heads, cores, mix64(rids.view(np.uint64) * _C[0] + places.view(np.uint64))), np.where(heads, spans, 0)
-        return pa.RecordBatch.from_arrays([pa.array(cores.view(np.int64)), pa.array(spans.view(np.int64)), pa.array(rids), pa.array(places), pa.array(weights)], ["core", "span", "rid", "place", "weight"])
+        first = np.flatnonzero(new)
+        entries = np.add.reduceat(heads, first)
+        sure = np.repeat(entries >= SEVERAL, np.diff(np.concatenate([first, [len(cores)]])))
+        keys = np.where(sure, mix64(cores + spans * _C[1]), cores)
+        keys = np.where(heads, keys, mix64(rids.view(np.uint64) * _C[0] + places.view(np.uint64)))
+        told = first[entries >= SEVERAL]
+        n = len(told)
+        columns = ((keys.view(np.int64), cores[told].view(np.int64)), (cores.view(np.int64), cores[told].view(np.int64)), (spans.view(np.int64), np.zeros(n, np.int64)), (rids, np.zeros(n, np.int64)), (places, np.full(n, -1)), (weights, np.zeros(n, np.int32)), ((sure & heads).astype(np.int32), np.ones(n, np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["key", "core", "span", "rid", "place", "weight", "sure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = RollingHash()
@@ -259,13 +271,12 @@ def _steps(length: int):
     return run
 
 
-def _undecided(rows: DataFrame, weight: Column) -> DataFrame:
-    """rows without those whose core stands once; n: the weight of the span; entries: the core's spans; goes_on: this row stands for its span among several."""
-    core, span = Window.partitionBy("core"), Window.partitionBy("core", "span")
-    columns = rows.columns
-    rows = rows.repartition("core").select("*", F.sum(weight).over(span).alias("n"), F.row_number().over(span.orderBy("rid")).alias("k"))
-    rows = rows.withColumn("entries", F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(core))
-    return rows.select(*columns, "n", "entries", ((F.col("k") == 1) & (F.col("entries") > 1)).alias("goes_on")).where("n > 1 OR goes_on").drop("span")
+def _undecided(phrases: DataFrame) -> DataFrame:
+    """phrases without those that stand once: (core, rid, place, n, goes_on); n: the weight of the span; goes_on: this row stands for its span among several."""
+    key, span = Window.partitionBy("key"), Window.partitionBy("key", "span")
+    rows = phrases.repartition("key").select("*", F.sum("weight").over(span).alias("n"), F.row_number().over(span.orderBy("rid")).alias("k"))
+    rows = rows.withColumn("several", (F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).over(key) > 1) | (F.max("sure").over(key) == 1))
+    return rows.where("place >= 0").select("core", "rid", "place", "n", ((F.col("k") == 1) & F.col("several")).alias("goes_on")).where("n > 1 OR goes_on")
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,16 +290,19 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
 def repeated_spans(docs: DataFrame, length: int = 200, group: int = 32_768) -> DataFrame:
     """(rid, spans): for each row of docs (rid, text) that has any, the [start, end) byte spans whose strings of length bytes
     also start elsewhere, in the same text or another. rid may repeat only for equal texts. Spans may overlap and abut."""
-    phrases = docs.mapInArrow(_phrases(length), "core long, span long, rid long, place long, weight int")
-    phrases = cut(_undecided(phrases, F.col("weight")).drop("weight"))
+    phrases = docs.mapInArrow(_phrases(length), "key long, core long, span long, rid long, place long, weight int, sure int")
+    phrases = cut(_undecided(phrases))
     first = F.shiftright("place", 14)
     marks = phrases.where("n > 1").select("rid", first.cast("int").alias("first"), (first + F.col("place").bitwiseAND(127)).cast("int").alias("last"))
     zipped = _zipped(docs).dropDuplicates(["rid"])
-    todo = phrases.where(F.col("goes_on") & (F.col("entries") <= group)).groupBy("rid").agg(F.collect_set(F.struct("core", "place")).alias("todo"))
+    open_ = phrases.where("goes_on").select("core", "rid", "place")
+    many = open_.groupBy("core").agg(F.count("*").alias("entries")).where(F.col("entries") > group).select("core", F.lit(True).alias("many"))
+    open_ = open_.join(many, "core", "left")
+    todo = open_.where("many IS NULL").groupBy("rid").agg(F.collect_set(F.struct("core", "place")).alias("todo"))
     contexts = zipped.join(todo, "rid").select("rid", "text", "todo").mapInArrow(_contexts(length), "core long, rid long, place long, bytes binary")
     ordered = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(_merge(length), "rid long, first int, last int")
     marks = marks.unionByName(ordered)
-    large = phrases.where(F.col("goes_on") & (F.col("entries") > group)).select("rid", "place")
+    large = open_.where("many").select("rid", "place")
     if not large.isEmpty():
         marks = marks.unionByName(_refined(zipped, large, length))
     return marks.groupBy("rid").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans"))
@@ -299,7 +313,11 @@ def _refined(zipped: DataFrame, large: DataFrame, length: int) -> DataFrame:
     todo = large.groupBy("rid").agg(F.collect_set("place").alias("todo"))
     steps = zipped.join(todo, "rid").select("rid", "text", "todo")
     steps = steps.mapInArrow(_steps(length), "core long, span long, rid long, first int, last int, strings array<long>")
-    steps = cut(_undecided(steps, F.lit(1)))
+    steps = cut(steps)
+    spans = steps.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("stands"))
+    cores = spans.groupBy("core").agg((F.count("*") > 1).alias("several"))
+    spans = spans.join(cores, "core").where("n > 1 OR several").select("core", "span", "n", "several", "stands")
+    steps = steps.join(spans, ["core", "span"]).withColumn("goes_on", F.col("several") & (F.struct("rid", "first") == F.col("stands")))
     single = steps.where("goes_on").select("rid", F.posexplode("strings").alias("k", "string"), "first", "last").where("first + k <= last").select("rid", (F.col("first") + F.col("k")).alias("first"), "string")
     known = single.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
     single = single.join(known, "string").select("rid", "first", F.col("first").alias("last"))

@@ -32,6 +32,17 @@ def test_digests_are_those_of_counting_every_string(spark, group):
     assert digest(repeat_digest(docs(spark, rows), 200, group=group)) == repeated(rows, 200)
 
 
+@pytest.mark.parametrize("group", [4096, 20])
+def test_a_passage_in_many_surroundings(spark, group):
+    rng = random.Random(11)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passages = [say(n) for n in (90, 150, 230)]
+    rows = [(k, say(rng.randrange(120)) + rng.choice(passages) + say(rng.randrange(300))) for k in range(150)]
+    rows += [(200 + k, rows[k][1][:300]) for k in range(20)]
+    table = docs(spark, rows).repartition(4)
+    assert digest(repeat_digest(table, 200, group=group)) == repeated(rows, 200)
+
+
 @pytest.mark.parametrize("group", [4096, 0])
 def test_awkward_rows(spark, group):
     x = "".join(chr(97 + k * k % 26) + str(k) for k in range(120))
