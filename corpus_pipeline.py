@@ -10,7 +10,7 @@ from collections.abc import Callable
 from uuid import uuid4
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkquill.llm import langid
@@ -39,9 +39,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near copies; of rows that repeat an id and text, one."""
-    kept = minhash_dedup(docs, threshold=0.8).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("__kept_id")).select(*docs.columns).dropDuplicates(["doc_id"])
+    """Keeps of each group of near copies the document of least id (and then of least hash of its text).
+
+    Rows that repeat an id with unrelated texts are documents of their own; of rows that repeat id and text the first by their
+    further columns, as JSON, stays. Documents without words or id stay.
+    """
+    found = minhash_dedup(docs, threshold=0.8).where("doc_id IS NOT NULL")
+    one = F.struct("doc_id", "text_key")
+    kept = found.where("group_key IS NOT NULL").groupBy("group_key").agg(F.min(one).alias("x")).select("x.*")
+    kept = kept.unionByName(found.where("group_key IS NULL").select("doc_id", "text_key").distinct())
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    further = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    named = docs.join(kept, (docs["doc_id"] == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key")))
+    first = F.row_number().over(Window.partitionBy("__id", "__key").orderBy(F.to_json(F.struct(*further)) if further else F.lit(1)))
+    named = named.withColumn("__first", first).where("__first = 1").select(*docs.columns)
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -73,11 +84,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read back."""
+    """All stages over documents, each written as Parquet and read back. A stage's folder goes when the next one is written; the last stays."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _delete(spark, before)
+        before = f"{folder}/{name}"
     return docs
