@@ -38,6 +38,17 @@ def test_near_duplicates_leave_one_of_each_group(stages):
     assert {r.doc_id for r in stages["near_duplicates"].collect()} == {i for i, (_, c) in groups.items() if i == c}
 
 
+def test_rows_of_one_id_with_other_texts_stay(spark, sf_dir):
+    a, b, c = ("".join(f"{x}{k} " for k in range(60)) for x in "abc")
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (1, a + "z", "en", "s"), (2, a, "en", "t"), (3, c, "en", "s"), (3, c, "en", "s"), (3, c, "de", "s"), (4, None, None, None), (4, None, None, "x"), (None, a, None, None), (5, "", None, None)]
+    table = docs(spark, rows)
+    kept = corpus_pipeline.near_duplicates(spark, table, sf_dir).collect()
+    texts = sorted((repr(r.doc_id), r.text or "", r.lang or "") for r in kept)
+    assert [t[0] for t in texts] == ["1", "1", "3", "4", "5", "None"]
+    assert {t[1] for t in texts if t[0] == "1"} in ({a, b}, {a + "z", b})
+    assert [t[2] for t in texts if t[0] == "3"] == ["de"]  # the first by its further columns
+
+
 def test_repeats_are_cut(stages):
     before = {r.doc_id: r.text for r in stages["near_duplicates"].collect()}
     counted = {r[0]: r for r in repeated(list(before.items()), 200)}
