@@ -1,21 +1,21 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, and inheritance from the nearest directory that has a licence.
 
-Notices and templates are bags of words (lower case, letters a-z and digits, without STOPWORDS), weighed by term frequency
-times inverse document frequency over all documents; a word of no template weighs as one that no document has. A template is
-held against two kinds of notices, and a document takes the licence of the greatest cosine that reaches the threshold:
-
-- blocks: neighbouring lines that hold a word of TEMPLATES, whole;
-- windows: runs of words from one of the template's words to another one, of up to SPAN times the template's words and over
-  any line ends. So a notice counts by itself, whatever stands beside it or in its line. A window must also hold what the
-  template has of the licence's name: "released under license" is no "mit", and version 2 of a licence isn't version 3.
+Texts and templates are bags of words (lower case, letters a-z and digits, without STOPWORDS), weighed by term frequency times
+inverse document frequency, of every word, over all documents. Templates are titles, standard headers, opening sentences and
+SPDX lines; they stand for whole licence texts too, as one of them is in each. A template is held against windows: runs of words
+from one of the template's words to another one, of up to SPAN times the template's words and over any line ends. So a notice
+counts by itself, whatever stands beside it or in its line. A window must also hold what the template has of the licence's
+name: "released under license" is no "mit", and version 2 of a licence isn't version 3. A document takes the licence of the
+greatest cosine that reaches the threshold.
 
 A licence file is a document named as one, or of which the notice is a large part. It holds for its directory and those below,
 up to the next one: each directory's ancestors are joined to the directories that have a licence file, and the deepest one
 wins. A notice of its own goes before.
 
-Texts are read twice: for the document frequency of the templates' words, and to be scored, within their row. A cosine needs so
-much of a template that one of its rarest words must be there (``_anchors``); only texts with such a word are scored. The
-templates are a constant of fixed size.
+At scale: texts are read twice, once for the document frequencies, a sum that combines before it is shuffled, and once to find
+windows within their row. A cosine needs so much of a template that one of its rarest words must be there (``_anchors``); only
+texts with such a word are looked into, and only windows that hold enough of a template go on. Their words meet the document
+frequencies by a join; each window, of bounded length, is scored by itself. The templates are a constant of fixed size.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkquill.llm.common import cut
 
-#: Licence and wording of its notices (public texts).
+#: Licence and wording of its notices (public texts, fixed values).
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
@@ -47,9 +47,6 @@ TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
-)
-#: Titles and notices of whole licence files, beside TEMPLATES; windows alone are held against them.
-FURTHER = (
     ("agpl-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
     ("agpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("apache-2.0", "Apache License Version 2.0, January 2004"),
@@ -63,8 +60,10 @@ FURTHER = (
     ("lgpl-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
     ("lgpl-2.1", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
     ("lgpl-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("lgpl-3.0", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("mpl-2.0", "Mozilla Public License Version 2.0"),
 )
+TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES}))
 #: The longest window, in a template's words.
 SPAN = 3
 STOPWORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "in", "into", "is", "it", "may", "not", "of", "on", "or", "the", "this", "to", "under", "was", "with", "you")
@@ -79,18 +78,21 @@ def _words(text: str) -> list[str]:
     return [t for t in re.findall("[a-z0-9]+", text.lower()) if t not in STOPWORDS]
 
 
-def _vocabulary(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[str]:
-    return sorted({t for _, text in templates for t in _words(text)})
+def _vocabulary() -> list[str]:
+    return sorted({t for _, text in TEMPLATES for t in _words(text)})
+
 
+def _named(name: str, text: str) -> list[str]:
+    return sorted(set(re.split("[^a-z0-9]", name)) & set(_words(text)))
 
-def _weights(idf: dict[str, float]) -> list[tuple[str, dict[str, float], list[str], int, bool]]:
-    """Of each template: license, weights of its words (of length 1), words of the licence's name, longest window, whether blocks count."""
+
+def _weights(idf: dict[str, float]) -> list[dict[str, float]]:
+    """Of each template: the weights of its words, of length 1."""
     out = []
-    for k, (name, text) in enumerate(TEMPLATES + FURTHER):
+    for _, text in TEMPLATES:
         tf = Counter(_words(text))
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in tf.items()))
-        named = sorted(set(re.split("[^a-z0-9]", name)) & tf.keys())
-        out.append((name, {t: n * idf[t] / norm for t, n in tf.items()}, named, SPAN * sum(tf.values()), k < len(TEMPLATES)))
+        out.append({t: n * idf[t] / norm for t, n in tf.items()})
     return out
 
 
@@ -125,24 +127,31 @@ def _mass(weights: Column, words: Column) -> Column:
     return F.aggregate(F.map_keys(weights), F.lit(0.0), lambda acc, t: acc + F.when(F.array_contains(words, t), F.try_element_at(weights, t) * F.try_element_at(weights, t)).otherwise(0.0))
 
 
-def _blocks(text: Column, words: Column) -> Column:
-    """array<array<term>>: of each run of lines that hold one of words."""
-    joined = F.transform(F.split(text, "\n"), lambda line: _let(terms(line), lambda ts: F.when(F.arrays_overlap(ts, words), F.array_join(ts, " ")).otherwise("\n")))
-    return F.transform(F.filter(F.split(F.array_join(joined, " "), "\n"), lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), " +"))
+def _templates(weights: list[dict[str, float]]) -> Column:
+    """array<struct<license, weights, named, span>>: named holds words of the licence's name, span is the longest window."""
+    return F.array(*[F.struct(F.lit(name).alias("license"), _map(w).alias("weights"), _strings(_named(name, text)).alias("named"), F.lit(SPAN * len(_words(text))).alias("span")) for (name, text), w in zip(TEMPLATES, weights, strict=True)])
 
 
-def _block_score(block: Column, weights: Column, value: Callable[[Column], Column]) -> Column:
-    def step(state: Column, t: Column) -> Column:
-        run = F.when(state["last"] == t, state["run"] + 1).otherwise(0)
-        return F.struct(t.alias("last"), run.alias("run"), (state["dot"] + value(t) * F.coalesce(F.try_element_at(weights, t), F.lit(0.0))).alias("dot"), (state["square"] + (2 * run + 1) * value(t) * value(t)).alias("square"))
+def _windows(text: Column, templates: Column, least: float) -> Column:
+    """array<struct<k, words>>: the windows that hold enough of template k (from 1), each as long as may be."""
 
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"))
-    return F.aggregate(F.array_sort(block), start, step, lambda x: F.round(x["dot"] / F.sqrt(x["square"]), 6))
+    def of(ts: Column, template: Column, k: Column) -> Column:
+        weights, named = template["weights"], template["named"]
+        starts = F.filter(F.transform(ts, lambda t, i: F.when(F.map_contains_key(weights, t), i + 1)), lambda i: i.isNotNull())
+        fit = F.filter(F.transform(starts, lambda i: F.slice(ts, i, template["span"])), lambda w: (_mass(weights, w) >= least) & (F.size(F.array_except(named, w)) == 0))
+        return F.transform(F.array_distinct(fit), lambda w: F.struct(k.alias("k"), w.alias("words")))
+
+    def near(ts: Column) -> Column:
+        return F.flatten(F.transform(templates, lambda template, i: F.when(_mass(template["weights"], ts) >= least, of(ts, template, i + 1)).otherwise(F.expr("slice(array(named_struct('k', 0, 'words', array(''))), 1, 0)"))))
 
+    return _let(terms(text), near)
 
-def _window_score(window: Column, weights: Column, named: Column, value: Callable[[Column], Column]) -> Column:
-    """struct<score, size> of the best run of words from the window's first one to a word of the template."""
-    steps = F.transform(window, lambda t, i: F.struct(value(t).alias("v"), F.try_element_at(weights, t).alias("w"), F.array_contains(named, t).alias("named"), F.size(F.filter(F.slice(window, F.lit(1), i), lambda x: x == t)).alias("seen")))
+
+def _score(window: Column, template: Column) -> Column:
+    """struct<less, license, size> of the best run from the first word of a window (array<struct<at, term, idf>>) to a word of the template:
+    less is its cosine, negative, and so is size, its number of words."""
+    weights, named = template["weights"], template["named"]
+    steps = F.transform(window, lambda x, i: F.struct(x["idf"].alias("v"), F.try_element_at(weights, x["term"]).alias("w"), F.array_contains(named, x["term"]).alias("named"), F.size(F.filter(F.slice(window, F.lit(1), i), lambda y: y["term"] == x["term"])).alias("seen")))
 
     def step(state: Column, x: Column) -> Column:
         dot = state["dot"] + x["v"] * F.coalesce(x["w"], F.lit(0.0))
@@ -153,58 +162,35 @@ def _window_score(window: Column, weights: Column, named: Column, value: Callabl
         return F.struct(dot.alias("dot"), square.alias("square"), held.alias("held"), (state["at"] + 1).alias("at"), F.greatest(state["score"], score).alias("score"), best.alias("size"))
 
     start = F.struct(F.lit(0.0).alias("dot"), F.lit(0.0).alias("square"), F.lit(0).alias("held"), F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("size"))
-    return F.aggregate(steps, start, step, lambda x: F.struct(x["score"].alias("score"), x["size"].alias("size")))
-
-
-def _best(text: Column, idf: dict[str, float], unseen: float, threshold: float, least: float) -> Column:
-    """struct<less, license, size> of the best notice of a text: less is its cosine, negative, and so is size, its number of words."""
-    known = _map(idf)
-    templates = F.array(*[F.struct(F.lit(name).alias("license"), _map(weights).alias("weights"), _strings(named).alias("named"), F.lit(span).alias("span"), F.lit(whole).alias("whole")) for name, weights, named, span, whole in _weights(idf)])
-
-    def value(t: Column) -> Column:
-        return F.coalesce(F.try_element_at(known, t), F.lit(unseen))
-
-    def notice(template: Column, score: Column, size: Column) -> Column:
-        return F.struct((-score).alias("less"), template["license"].alias("license"), (-size).alias("size"))
-
-    def found(ts: Column, blocks: Column, template: Column) -> Column:
-        weights, named = template["weights"], template["named"]
-        fit = F.filter(F.when(template["whole"], blocks).otherwise(F.slice(blocks, 1, 0)), lambda b: _mass(weights, b) >= least)
-        whole = F.transform(fit, lambda b: notice(template, _block_score(b, weights, value), F.size(b)))
-        starts = F.filter(F.transform(ts, lambda t, i: F.when(F.map_contains_key(weights, t), i + 1)), lambda i: i.isNotNull())
-        windows = F.filter(F.transform(starts, lambda i: F.slice(ts, i, template["span"])), lambda w: (_mass(weights, w) >= least) & (F.size(F.array_except(named, w)) == 0))
-        parts = F.transform(F.array_distinct(windows), lambda w: _let(_window_score(w, weights, named, value), lambda x: notice(template, x["score"], x["size"])))
-        return F.filter(F.concat(whole, parts), lambda x: x["less"] <= -threshold)
-
-    def of(ts: Column, blocks: Column) -> Column:
-        near = F.filter(templates, lambda template: _mass(template["weights"], ts) >= least)
-        return F.array_min(F.flatten(F.transform(near, lambda template: found(ts, blocks, template))))
-
-    return _let(F.struct(terms(text).alias("ts"), _blocks(text, _strings(_vocabulary())).alias("blocks")), lambda x: of(x["ts"], x["blocks"]))
+    return F.aggregate(steps, start, step, lambda x: F.struct((-x["score"]).alias("less"), template["license"].alias("license"), (-x["size"]).alias("size")))
 
 
 def scan_licenses(files: DataFrame, threshold: float = 0.7, licence_share: float = 0.4) -> DataFrame:
     """One row for each row of files (doc_id, path, text): doc_id, path, license, origin, score, licence_file.
 
     license: null if there is none; origin: ``own``, ``inherited`` or ``none``; score: the cosine of the own notice, to six
-    places, or null; ties go to the licence first in order. doc_id tells documents apart and shouldn't repeat; a null
-    path has no directory, so it inherits nothing; null and empty texts have no notice. Further columns are ignored.
+    places, or null; ties go to the licence first in order, then to the longer notice. Rows stand for themselves, whether doc_id
+    is null or repeats; rows of one path are files of one directory; a null path has no directory, so it inherits nothing; null
+    and empty texts have no notice. Further columns are ignored; an empty table gives an empty result.
     """
-    words = _vocabulary(TEMPLATES + FURTHER)
     text = F.coalesce("text", F.lit(""))
-    present = F.array_intersect(terms(text), _strings(words))
-    # a word that no template has stands for each row, so that one aggregate counts rows too
-    counted = files.select(F.explode(F.concat(F.array(F.lit("")), present)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    df = {r.term: r.df for r in counted.collect()}
+    # the empty word stands for each row, so that one aggregate counts rows too
+    counted = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(terms(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    counted = cut(counted)
+    df = {r.term: r.df for r in counted.where(F.col("term").isin("", *_vocabulary())).collect()}
     n = df.get("", 0)
-    idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in words}
+    weights = _weights({t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in _vocabulary()})
+    templates = _templates(weights)
     least = (threshold - 1e-6) ** 2 - 1e-9  # of a template's squared length, by Cauchy-Schwarz; scores are rounded
-    anchors = _anchors([weights for _, weights, *_ in _weights(idf)], least)
-    held = F.arrays_overlap(terms(text), _strings(anchors))
-    best = F.when(held, F.struct(_best(text, idf, math.log(n + 1) + 1, threshold, least).alias("x"), F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("n_words")))
+    held = F.arrays_overlap(terms(text), _strings(_anchors(weights, least)))
+    windows = F.when(held, F.struct(_windows(text, templates, least).alias("windows"), F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("n_words")))
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
-    scored = cut(files.select("doc_id", "path", directory.alias("dir"), best.alias("best")))
-    found = scored.select("doc_id", "path", "dir", F.col("best.x.license").alias("own"), (-F.col("best.x.less")).alias("score"), (-F.col("best.x.size")).alias("size"), "best.n_words")
+    rows = cut(files.select("doc_id", "path", directory.alias("dir"), windows.alias("x"), F.monotonically_increasing_id().alias("row")))
+    words = rows.where("size(x.windows) > 0").select("row", F.posexplode("x.windows").alias("window", "w")).select("row", "window", "w.k", F.posexplode("w.words").alias("at", "term"))
+    idf = counted.select("term", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    whole = words.join(idf, "term").groupBy("row", "window", "k").agg(F.sort_array(F.collect_list(F.struct("at", "term", "idf"))).alias("words"))
+    best = whole.select("row", _score(F.col("words"), F.element_at(templates, F.col("k"))).alias("x")).where(F.col("x.less") <= -threshold).groupBy("row").agg(F.min("x").alias("best"))
+    found = cut(rows.join(best, "row", "left").select("doc_id", "path", "dir", F.col("best.license").alias("own"), (-F.col("best.less")).alias("score"), (-F.col("best.size")).alias("size"), "x.n_words"))
     is_file = F.col("own").isNotNull() & (F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (F.col("size") >= licence_share * F.col("n_words")))
     found = found.withColumn("licence_file", is_file).drop("size", "n_words")
     licensed = found.where("licence_file AND dir IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("less"), "own")).alias("x")).select(F.col("dir").alias("at"), F.col("x.own").alias("inherited"))
@@ -224,37 +210,47 @@ def _sql() -> str:
         return f"list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9]+'), lambda t: t <> '' AND t NOT IN ({quoted(STOPWORDS)}))"
 
     values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+    names = ", ".join(f"({k}, '{word}')" for k, (name, text) in enumerate(TEMPLATES) for word in _named(name, text))
     return rf"""
 WITH templates AS (
-  SELECT template, license, term, count(*) AS tf FROM (
-    SELECT template, license, unnest({bag("notice")}) AS term FROM (VALUES {values}) AS x(template, license, notice))
+  SELECT k, license, term, count(*) AS tf FROM (
+    SELECT k, license, unnest({bag("notice")}) AS term FROM (VALUES {values}) AS x(k, license, notice))
   GROUP BY ALL),
+names AS (SELECT * FROM (VALUES {names}) AS x(k, term)),
+n_names AS (SELECT t.k, count(DISTINCT n.term) AS n_names FROM templates t LEFT JOIN names n USING (k) GROUP BY t.k),
+spans AS (SELECT k, CAST({SPAN} * sum(tf) AS BIGINT) AS span FROM templates GROUP BY k),
 files AS (
   SELECT doc_id, '/' || source || '/' || CAST(doc_id // 1000 AS VARCHAR) || '/' || CAST(doc_id // 20 AS VARCHAR) AS dir, coalesce(text, '') AS text FROM documents),
 paths AS (SELECT doc_id, dir, dir || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, text FROM files),
-total AS (SELECT count(*) AS n FROM files),
-lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM files),
-notices AS (
-  SELECT doc_id, pos, {bag("line")} AS terms FROM lines
-  WHERE list_has_any({bag("line")}, (SELECT list(DISTINCT term) FROM templates))),
-blocks AS (
-  SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block, terms FROM notices),
-bags AS (
-  SELECT doc_id, block, term, count(*) AS tf FROM (SELECT doc_id, block, unnest(terms) AS term FROM blocks) GROUP BY ALL),
+tokens AS (
+  SELECT doc_id, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, {bag("text")} AS ts FROM files)),
+counted AS (SELECT term, count(DISTINCT doc_id) AS df FROM tokens GROUP BY term),
 idf AS (
-  SELECT t.term, ln((max(n) + 1) / (count(DISTINCT b.doc_id) + 1)) + 1 AS idf
-  FROM (SELECT DISTINCT term FROM templates) t LEFT JOIN bags b ON b.term = t.term CROSS JOIN total GROUP BY t.term),
+  SELECT term, ln(((SELECT count(*) FROM files) + 1) / (coalesce(df, 0) + 1)) + 1 AS idf
+  FROM (SELECT term FROM templates UNION SELECT term FROM counted) LEFT JOIN counted USING (term)),
 weighed AS (
-  SELECT template, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS w FROM templates JOIN idf USING (term)),
-valued AS (
-  SELECT b.*, tf * coalesce(idf, ln(n + 1) + 1) AS v FROM bags b LEFT JOIN idf USING (term) CROSS JOIN total),
-lengths AS (SELECT doc_id, block, sqrt(sum(v * v)) AS length, sum(tf) AS size FROM valued GROUP BY ALL),
-scores AS (
-  SELECT doc_id, block, license, size, round(sum(v * w) / max(length), 6) AS score
-  FROM valued JOIN weighed USING (term) JOIN lengths USING (doc_id, block) GROUP BY doc_id, block, template, license, size),
+  SELECT k, license, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY k)) AS w FROM templates JOIN idf USING (term)),
+likely AS (
+  SELECT doc_id, k FROM (SELECT DISTINCT doc_id, term FROM tokens) JOIN weighed USING (term) GROUP BY doc_id, k HAVING sum(w * w) > 0.48),
+starts AS (
+  SELECT t.doc_id, t.pos AS start, l.k FROM tokens t JOIN likely l ON l.doc_id = t.doc_id JOIN weighed w ON w.k = l.k AND w.term = t.term),
+cells AS (
+  SELECT s.doc_id, s.k, start, t.pos, t.term, idf AS v, w,
+         row_number() OVER (PARTITION BY s.doc_id, s.k, start, t.term ORDER BY t.pos) - 1 AS seen,
+         t.term IN (SELECT term FROM names n WHERE n.k = s.k) AS named
+  FROM starts s JOIN spans p ON p.k = s.k JOIN tokens t ON t.doc_id = s.doc_id AND t.pos BETWEEN start AND start + span - 1
+  JOIN idf ON idf.term = t.term LEFT JOIN weighed w ON w.k = s.k AND w.term = t.term),
+running AS (
+  SELECT doc_id, k, start, pos, w, sum(v * coalesce(w, 0)) OVER run AS dot, sum((2 * seen + 1) * v * v) OVER run AS square,
+         sum(CASE WHEN named AND seen = 0 THEN 1 ELSE 0 END) OVER run AS held
+  FROM cells WINDOW run AS (PARTITION BY doc_id, k, start ORDER BY pos)),
+scored AS (
+  SELECT doc_id, k, start, pos - start + 1 AS size, round(dot / sqrt(square), 6) AS score FROM running JOIN n_names USING (k) WHERE w IS NOT NULL AND held = n_names),
+runs AS (
+  SELECT * FROM scored WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id, k, start ORDER BY score DESC, size) = 1),
 best AS (
-  SELECT * FROM scores WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, size DESC) = 1),
+  SELECT doc_id, license, size, score FROM runs JOIN (SELECT DISTINCT k, license FROM templates) USING (k)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, size DESC) = 1),
 found AS (
   SELECT p.doc_id, path, dir, license AS own, score,
          license IS NOT NULL AND coalesce(size >= 0.4 * len(regexp_extract_all(lower(text), '[a-z0-9]+')), false) AS licence_file

@@ -73,7 +73,7 @@ furnished to do so, subject to the following conditions:
 def test_notices_within_other_text(spark):
     prose = " ".join(f"wort{k}" for k in range(300))
     beside = "1 mit use work " + prose
-    notices = {name: text for name, text in licenses.TEMPLATES + licenses.FURTHER}
+    notices = {name: text for name, text in licenses.TEMPLATES[::-1] if not text.startswith("SPDX")}
     rows = [
         ("a", f"{beside}\nLicensed under CC BY-NC 4.0.\n{beside}"),
         ("b", f"{prose} Released under the MIT License. {prose}"),
@@ -86,6 +86,42 @@ def test_notices_within_other_text(spark):
     assert found == ["cc-by-nc-4.0", "mit", "apache-2.0", "mit", None, *notices]
 
 
+HEADER = """This {what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by
+the Free Software Foundation{mark} either version {version} of the License, or (at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details.
+"""
+
+
+def test_headers_tell_versions_apart(spark):
+    kinds = [("gpl-2.0", "General Public License", "2"), ("gpl-3.0", "General Public License", "3"), ("lgpl-2.1", "Lesser General Public License", "2.1"), ("lgpl-3.0", "Lesser General Public License", "3"), ("agpl-3.0", "Affero General Public License", "3")]
+    rows = [(f"{n}.c", "\n".join(f" * {line}" for line in HEADER.format(what=what, mark=mark, kind=kind, version=version).split("\n")) + "\nint main() {}\n" * 30) for n, kind, version in kinds for what in ("program", "library") for mark in (":", ";", ",")]
+    assert [license for license, _ in scanned(spark, rows)] == [n for n, *_ in kinds for _ in range(6)]
+
+
+def test_spdx_lines(spark):
+    prose = " ".join(f"wort{k}" for k in range(200))
+    names = sorted({name for name, _ in licenses.TEMPLATES})
+    rows = [(f"{n}.c", f"// SPDX-License-Identifier: {n.upper()}\n{prose}") for n in names] + [("or.c", f"# SPDX-License-Identifier: GPL-2.0-or-later\n{prose}"), ("no.c", f"# SPDX-License-Identifier: Unknown-9.9\n{prose}")]
+    assert [license for license, _ in scanned(spark, rows)] == [*names, "gpl-2.0", None]
+
+
+def test_rows_that_repeat_or_have_no_id(spark):
+    notice, schema = "Released under the MIT License.", "doc_id long, path string, text string, row long, term string, idf double"
+    rows = [(1, "a/LICENSE", notice), (1, "b/x.c", "int x"), (1, "b/LICENSE", "Licensed under CC BY 4.0"), (None, "a/y.c", "int y"), (None, "c/z.c", notice + " int z " * 60), (1, "a/LICENSE", notice)]
+    table = spark.createDataFrame([(*r, 7, "t", 0.5) for r in rows], schema)
+    found = sorted((repr(r.doc_id), r.path, r.license, r.origin) for r in licenses.scan_licenses(table).collect())
+    assert found == sorted([("1", "a/LICENSE", "mit", "own"), ("1", "b/x.c", "cc-by-4.0", "inherited"), ("1", "b/LICENSE", "cc-by-4.0", "own"), ("None", "a/y.c", "mit", "inherited"), ("None", "c/z.c", "mit", "own"), ("1", "a/LICENSE", "mit", "own")])
+
+
+def test_frequent_words_weigh_little(spark):
+    rows = [(f"{k}.txt", f"common words here {k}") for k in range(60)] + [("x.txt", "Released common under common the MIT License"), ("y.txt", "Released rare2 under rare3 the MIT License")]
+    table = spark.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    score = {r.path: r.score for r in licenses.scan_licenses(table).collect()}
+    assert score["x.txt"] > score["y.txt"] > 0.7
+
+
 @pytest.mark.parametrize(("name", "license"), [("Apache-2.0", "apache-2.0"), ("GPL-2", "gpl-2.0"), ("GPL-3", "gpl-3.0"), ("LGPL-2.1", "lgpl-2.1"), ("LGPL-3", "lgpl-3.0"), ("MPL-2.0", "mpl-2.0"), ("BSD", "bsd-3-clause")])
 def test_whole_licence_files(spark, name, license):
     file = Path("/usr/share/common-licenses", name)
