@@ -148,7 +148,7 @@ def _sets(width: int):
             for first, last in chunks(offsets):
                 own = offsets[first : last + 1]
                 sets = shingle_sets(hasher, data[own[0] : own[-1]], own - own[0], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(2).slice(first, last - first)], ["cls", "shingles", "units"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
 
     return run
 
@@ -243,13 +243,6 @@ def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block
     full = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(full.groupBy("cls").agg(F.min(F.struct("doc_id", "text_key", "n_shingles", "bands")).alias("x")).select("cls", "x.*"))
 
-    def linked(units: DataFrame) -> DataFrame:
-        """(a, b): links found by comparing the classes of each unit of (cls, unit)."""
-        todo = units.groupBy("cls").agg(F.collect_set("unit").alias("units")).join(classes.select("cls", "doc_id", "text_key"), "cls")
-        text = docs.join(todo, ["doc_id", "text_key"]).select("cls", "text", "units").dropDuplicates(["cls"])
-        shipped = text.mapInArrow(_sets(width), "cls long, shingles binary, units array<long>").select("cls", "shingles", F.explode("units").alias("unit"))
-        return cut(shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long"))
-
     keyed = classes.select("cls", "n_shingles", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1").select("key", "hub")
     pairs = cut(keyed.join(buckets, "key"))
@@ -257,18 +250,29 @@ def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block
     groups = groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")).join(classes.select("cls", "n_shingles"), "cls")
     sizes = groups.groupBy("grp").agg(((F.count("*") <= block) & (F.sum("n_shingles") <= together)).alias("small"))
     groups = cut(groups.join(sizes, "grp"))
+    # The sets of all classes that have candidates, made once.
+    todo = groups.select("cls").join(classes.select("cls", "doc_id", "text_key"), "cls")
+    sets = cut(docs.join(todo, ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_sets(width), "cls long, shingles binary"))
+
+    def linked(units: DataFrame) -> DataFrame:
+        """(a, b): links found by comparing the classes of each unit of (cls, unit)."""
+        shipped = sets.join(units, "cls").select("unit", "cls", "shingles")
+        return cut(shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long"))
+
     units = groups.where("small").select("cls", F.xxhash64(F.lit(-1), "grp").alias("unit"))
-    near = None
     large = groups.where("NOT small").select("cls")
-    if not large.isEmpty():
+    if large.isEmpty():
+        links = linked(units)
+    else:
         pairs = cut(pairs.join(large, "cls"))
-        near = linked(_hub_units(pairs, block, together))
-        one = near.groupBy("a").agg(F.min("b").alias("b"))
+        links = linked(units.unionByName(_hub_units(pairs, block, together)))
+        one = links.groupBy("a").agg(F.min("b").alias("b"))
         two = one.join(one.select(F.col("a").alias("b"), F.col("b").alias("c")), "b", "left").select(F.col("a").alias("cls"), F.coalesce("c", "b").alias("label"))
-        pairs = pairs.join(two, "cls", "left").select("cls", "key", "n_shingles", F.coalesce("label", "cls").alias("label"))
-        units = units.unionByName(_bucket_units(cut(pairs), block, together))
-    links = linked(units)
-    found = connected_components(links if near is None else links.unionByName(near))
+        pairs = cut(pairs.join(two, "cls", "left").select("cls", "key", "n_shingles", F.coalesce("label", "cls").alias("label")))
+        rest = cut(_bucket_units(pairs, block, together).distinct())
+        if not rest.isEmpty():
+            links = links.unionByName(linked(rest))
+    found = connected_components(links)
     labels = classes.select("cls", "doc_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "doc_id", F.coalesce("component", "cls").alias("group_key"))
     least = labels.groupBy("group_key").agg(F.min("doc_id").alias("component_id"))
     labels = labels.join(least, "group_key").select(F.col("cls").alias("c"), "group_key", "component_id")
