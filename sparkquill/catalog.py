@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 
 from sparkquill import sample
 from sparkquill.operators import detectors as d
-from sparkquill.operators.syntax import python_syntax
+from sparkquill.operators.structure import identifiers, structure
 from sparkquill.oracle import ORACLE_SQL
 from sparkquill.plans import gate
-from sparkquill.sources.files import all_files, parse_rules, sample_files, valid_rules
+from sparkquill.sources.files import all_files, sample_files
+from sparkquill.sources.rules import Rule, as_table, parse_rules, valid_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _rules(spark: SparkSession) -> DataFrame:
+def _rules(spark: SparkSession) -> list[Rule]:
     return valid_rules(spark, sample.RULES_JSON)[0]
 
 
@@ -26,8 +27,9 @@ def _on_files(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def scan_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of the changed files, against imports, blocks and names of all."""
     changed = spark.createDataFrame([(p,) for p in sample.CHANGED], "path string")
-    return all_files(spark, sf_dir).join(changed, "path", "left_semi").select("path", "lang", F.length("content").alias("n_chars"))
+    return gate.collect_issues(all_files(spark, sf_dir), _rules(spark), "diff", changed=changed)
 
 
 def class_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def _issues(mode: str, trees: bool = False) -> Query:
 
 def nesting_braces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("path"), F.coalesce("html", F.lit("")).alias("content"))
-    return d.brace_nesting(d.stripped(sample_files(spark)).select("path", F.col("stripped").alias("content")).unionByName(pages))
+    return d.brace_nesting(d.with_code(sample_files(spark)).select("path", F.col("code").alias("content")).unionByName(pages))
 
 
 def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +54,16 @@ def event_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     following = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     steps = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("src"), following.alias("dst")).where("dst IS NOT NULL AND src != dst")
     counts = steps.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    return d.cycles(counts.join(counts.agg(F.avg("n").alias("mean")), F.col("n") > F.col("mean")).select("src", "dst"), max_length=5)
+    often = counts.join(F.broadcast(counts.agg(F.avg("n").alias("mean"))), F.col("n") > F.col("mean")).select("src", "dst")
+    return d.cycle_members(often).withColumnRenamed("path", "event_type")
 
 
-def _syntax(kind: str, *columns: str) -> Query:
-    return _on_files(lambda files: python_syntax(files).where(F.col("kind") == kind).select("path", *columns))
+def _parts(kind: str, *columns: str, trees: bool = True) -> Query:
+    def run(files: DataFrame) -> DataFrame:
+        rows = structure(files, trees).where(F.col("kind") == kind)
+        return (rows.where("by = 'tree'") if trees else rows).select("path", *columns)
+
+    return _on_files(run)
 
 
 QUERIES: dict[str, Query] = {
@@ -68,11 +75,11 @@ QUERIES: dict[str, Query] = {
     "classify_file": _on_files(lambda f: f.groupBy("file_class").agg(F.count("*").alias("n_files"))),
     "classify_layer": _on_files(lambda f: f.groupBy("layer").agg(F.count("*").alias("n_files"))),
     "class_policy": class_policy,
-    "rule_scope": lambda spark, sf_dir: d.rule_scope(all_files(spark, sf_dir), _rules(spark).where("kind != 'glob'")),
-    "rule_scope_glob": lambda spark, sf_dir: d.rule_scope(all_files(spark, sf_dir), _rules(spark).where("kind = 'glob'")),
+    "rule_scope": lambda spark, sf_dir: d.rule_scope(all_files(spark, sf_dir), [r for r in _rules(spark) if r.kind != "glob"]),
+    "rule_scope_glob": lambda spark, sf_dir: d.rule_scope(all_files(spark, sf_dir), [r for r in _rules(spark) if r.kind == "glob"]),
     "custom_rules": lambda spark, sf_dir: d.custom_issues(all_files(spark, sf_dir), _rules(spark)),
-    "constraint_view": lambda spark, sf_dir: gate.constraints(_rules(spark)),
-    "strip_comments": _on_files(lambda f: d.stripped(f).select("path", F.md5(F.col("stripped").cast("binary")).alias("stripped_md5"), F.length("stripped").alias("n_chars"))),
+    "constraint_view": lambda spark, sf_dir: gate.constraints(as_table(spark, _rules(spark))),
+    "strip_comments": _on_files(lambda f: d.with_code(f).select("path", F.md5(F.col("code").cast("binary")).alias("stripped_md5"), F.length("code").alias("n_chars"))),
     "three_scan_security": _on_files(d.three_scans),
     "red_lines": _on_files(lambda f: d.three_scans(f).groupBy("rule_id", "confidence").agg(F.count("*").alias("n_issues"), F.count_distinct("path").alias("n_files"))),
     "secrets": _on_files(lambda f: d.rule_hits(f, "hardcoded_secret")),
@@ -82,15 +89,15 @@ QUERIES: dict[str, Query] = {
     "empty_handlers": _on_files(lambda f: d.rule_hits(f, "empty_handler")),
     "exception_handling": _on_files(d.exception_issues),
     "file_size": _on_files(d.file_sizes),
-    "complexity_regex": _on_files(d.complexity),
-    "param_count_regex": _on_files(d.functions),
-    "class_methods_regex": _on_files(d.class_methods),
+    "complexity_regex": _parts("function", "lang", "name", "line", "complexity", trees=False),
+    "param_count_regex": _parts("function", "lang", "name", "line", "n_params", trees=False),
+    "class_methods_regex": _parts("class", "lang", "name", "line", "n_methods", trees=False),
     "nesting_braces": nesting_braces,
     "dup_blocks": _on_files(d.duplicate_blocks),
     "dup_files": _on_files(d.duplicate_files),
-    "naming_consistency": _on_files(d.naming_issues),
+    "naming_consistency": _on_files(lambda f: d.naming_issues(d.cut(identifiers(f)))),
     "dep_edges": _on_files(d.dependency_edges),
-    "dep_cycles": _on_files(lambda f: d.all_circles(d.cut(d.dependency_edges(f)))),
+    "dep_cycles": _on_files(lambda f: d.cycle_members(d.dependency_edges(f))),
     "event_cycles": event_cycles,
     "layer_violations": lambda spark, sf_dir: d.layer_violations(d.dependency_edges(all_files(spark, sf_dir)), gate.allowed_layers(spark)),
     "all_issues": _issues("personal"),
@@ -98,9 +105,9 @@ QUERIES: dict[str, Query] = {
     "gate_exit_code": lambda spark, sf_dir: gate.verdict(_issues("personal")(spark, sf_dir)),
     "issue_json": lambda spark, sf_dir: gate.as_json(_issues("personal")(spark, sf_dir)),
     "all_issues_ast": _issues("team", trees=True),
-    "complexity_ast": _syntax("function", "name", "line", "complexity"),
-    "nesting_ast": _syntax("function", "name", "line", "nesting"),
-    "param_count_ast": _syntax("function", "name", "line", "n_params"),
-    "class_methods_ast": _syntax("class", "name", "line", "n_methods"),
-    "empty_handlers_ast": _syntax("empty_handler", "line"),
+    "complexity_ast": _parts("function", "name", "line", "complexity"),
+    "nesting_ast": _parts("function", "name", "line", "nesting"),
+    "param_count_ast": _parts("function", "name", "line", "n_params"),
+    "class_methods_ast": _parts("class", "name", "line", "n_methods"),
+    "empty_handlers_ast": _parts("empty_handler", "line"),
 }

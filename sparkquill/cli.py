@@ -9,48 +9,86 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkquill.plans import gate
 from sparkquill.session import ship
-from sparkquill.sources import files as sources
+from sparkquill.sources import files
+from sparkquill.sources import rules as sources
 
 RULES = ".quality/rules.json"
+#: Issues in one answer, unless a request names a limit; the answer says how many there are.
+PAGE = 1_000
 
 
 def scan(spark: SparkSession, root: str, mode: str = "personal", rules: str | None = None) -> DataFrame:
     """All issues of the project at root; rules: a catalog's path, by default the project's own, if there is one."""
     path = Path(rules) if rules else Path(root) / RULES
-    found = sources.valid_rules(spark, path.read_text())[0] if path.exists() else None
-    files = sources.read_changed(spark, root, sources.git_changes(root)) if mode == "diff" else sources.read_project(spark, root)
-    return gate.collect_issues(files.where("path NOT RLIKE '(^|/)[.]git/'"), found, mode)
+    found = sources.valid_rules(spark, path.read_text())[0] if path.exists() else []
+    changed = spark.createDataFrame([(p,) for p in files.git_changes(root)], "path string") if mode == "diff" else None
+    return gate.collect_issues(files.read_project(spark, root), found, mode, changed=changed)
+
+
+def page(issues: DataFrame, limit: int = PAGE) -> list[str]:
+    """The count of issues, then the worst ones, each as JSON."""
+    issues = issues.cache()
+    worst = issues.orderBy(gate.rank().desc(), F.desc("confidence"), "path", "line", "rule_id", "found").limit(limit)
+    out = [json.dumps({"issues": issues.count(), "shown": limit}), *(r["issue"] for r in gate.as_json(worst).collect())]
+    issues.unpersist()
+    return out
+
+
+def _call(spark: SparkSession, root: str, params: object) -> list[str]:
+    """The texts that a tool gives; a ValueError says what is wrong with params."""
+    if not isinstance(params, dict) or params.get("name") not in ("scan", "verdict"):
+        raise ValueError("no such tool")
+    arguments = params.get("arguments") or {}
+    if not isinstance(arguments, dict):
+        raise ValueError("arguments must be an object")
+    mode, limit = arguments.get("mode", "personal"), arguments.get("limit", PAGE)
+    if mode not in gate.MODES:
+        raise ValueError(f"mode must be one of {', '.join(gate.MODES)}")
+    if not isinstance(limit, int) or isinstance(limit, bool) or not 0 <= limit <= 100 * PAGE:
+        raise ValueError(f"limit must be a number up to {100 * PAGE}")
+    issues = scan(spark, root, mode)
+    return [str(gate.verdict(issues).first()["exit_code"])] if params["name"] == "verdict" else page(issues, limit)
 
 
 def answer(spark: SparkSession, root: str, lines: Iterable[str]) -> Iterator[str]:
-    """JSON-RPC 2.0 answers to requests, one a line: ``initialize``, ``tools/list`` and ``tools/call`` of ``scan`` and ``verdict``."""
+    """JSON-RPC 2.0 answers to requests, one a line: ``initialize``, ``tools/list`` and ``tools/call`` of ``scan`` and ``verdict``. No request ends the server."""
+
+    def failed(number: object, code: int, message: str) -> str:
+        return json.dumps({"jsonrpc": "2.0", "id": number, "error": {"code": code, "message": message}})
+
     for line in filter(str.strip, lines):
         try:
             request = json.loads(line)
         except ValueError:
-            yield json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "not JSON"}})
+            yield failed(None, -32700, "not JSON")
+            continue
+        if not isinstance(request, dict) or not isinstance(request.get("method"), str):
+            yield failed(request.get("id") if isinstance(request, dict) else None, -32600, "not a request")
             continue
         if "id" not in request:
             continue  # a notification
         head = {"jsonrpc": "2.0", "id": request["id"]}
-        method, params = request.get("method"), request.get("params") or {}
+        method = request["method"]
         if method == "initialize":
             yield json.dumps(head | {"result": {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "sparkquill", "version": "0.1"}}})
         elif method == "tools/list":
-            tool = {"type": "object", "properties": {"mode": {"enum": list(gate.MODES)}}}
+            tool = {"type": "object", "properties": {"mode": {"enum": list(gate.MODES)}, "limit": {"type": "integer"}}}
             yield json.dumps(head | {"result": {"tools": [{"name": n, "inputSchema": tool} for n in ("scan", "verdict")]}})
-        elif method == "tools/call" and params.get("name") in ("scan", "verdict"):
-            issues = scan(spark, root, (params.get("arguments") or {}).get("mode", "personal"))
-            if params["name"] == "verdict":
-                text = [str(gate.verdict(issues).first()["exit_code"])]
+        elif method == "tools/call":
+            try:
+                text = _call(spark, root, request.get("params"))
+            except ValueError as wrong:
+                yield failed(request["id"], -32602, str(wrong))
+            except Exception as wrong:  # noqa: BLE001  a scan that fails is answered, and the next request served
+                yield failed(request["id"], -32603, f"{type(wrong).__name__}: {wrong}"[:2_000])
             else:
-                text = [r["issue"] for r in gate.as_json(issues).toLocalIterator()]
-            yield json.dumps(head | {"result": {"content": [{"type": "text", "text": x} for x in text]}})
+                yield json.dumps(head | {"result": {"content": [{"type": "text", "text": x} for x in text]}})
         else:
-            yield json.dumps(head | {"error": {"code": -32601, "message": f"no such method: {method}"}})
+            yield failed(request["id"], -32601, f"no such method: {method}")
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,18 +63,48 @@ def layer_of(path: Column) -> Column:
     return first_fit(F.lower(path), LAYERS, "none")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is computed once."""
+    return F.transform(F.array(value), f)[0]
+
+
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def _without_comments(content: Column, pattern: str) -> Column:
+    """content without comments but with the newlines within them, so that lines keep their numbers."""
+    pieces, found = F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    kept = F.transform(found, lambda x: F.when(x.startswith("/"), F.regexp_replace(x, "[^\n]+", "")).otherwise(x))
+    return F.array_join(F.zip_with(pieces, F.concat(kept, F.array(F.lit(""))), lambda piece, x: F.concat(piece, x)), "")
+
+
 def strip_comments(content: Column, lang: Column) -> Column:
-    """content without comments; of a language without a stripper it is unchanged. Newlines of block comments go too."""
+    """content without comments, lines kept apart; of a language without a stripper it is unchanged."""
     out = F
     for name, pattern in COMMENTS.items():
-        out = out.when(lang == name, F.regexp_replace(content, pattern, "$1"))
+        plain = F.regexp_replace(content, pattern, "$1")
+        out = out.when(lang == name, plain if name == "python" else F.when(content.contains("/*"), _without_comments(content, pattern)).otherwise(plain))
     return out.otherwise(content)
 
 
-def line_of(content: Column, found: Column) -> Column:
-    """The 1-based line at which found first stands in content; null if it doesn't."""
-    at = F.instr(content, found)
-    return F.when(at > 0, F.size(F.split(F.substring(content, F.lit(1), at - 1), "\n")))
+def places(text: Column, pattern: str) -> Column:
+    """array<struct<found, line>>: every match of a pattern in order, with the 1-based line at which it starts (null if a match is
+    empty). Pieces between matches are counted only where there are matches."""
+
+    def counted(found: Column) -> Column:
+        start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<found:string,line:int>>").alias("out"))
+        parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda piece, x: F.struct(newlines(piece).alias("before"), x.alias("found")))
+
+        def step(state: Column, x: Column) -> Column:
+            line = (state["line"] + x["before"]).cast("int")
+            return F.struct((line + newlines(x["found"])).cast("int").alias("line"), F.concat(state["out"], F.array(F.struct(x["found"].alias("found"), line.alias("line")))).alias("out"))
+
+        lines = F.aggregate(parts, start, step)["out"]
+        unplaced = F.transform(found, lambda x: F.struct(x.alias("found"), F.lit(None).cast("int").alias("line")))
+        return F.when(F.size(found) == 0, F.array().cast("array<struct<found:string,line:int>>")).when(F.array_contains(found, ""), unplaced).otherwise(lines)
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), counted)
 
 
 def glob_to_regex(glob: str) -> str:

@@ -1,136 +1,169 @@
 """Detectors: files (path, lang, file_class, layer, content) to issues or metrics, by column expressions over one scan.
 
-Detectors that need one file at a time are arrays of matches (MATCH), built of literal patterns. Any of them can share one
-projection, so a scan of all of them reads and strips each file once; nothing is shuffled until matches, which are
-few, are deduplicated. Every detector gives ISSUE columns.
+Detectors that need one file at a time are arrays of matches, built of literal patterns that share one projection, so a scan of
+all of them reads and strips each file once. Each pattern stands behind a gate of words that a match can't do without, found
+by plain search; so most files pass most patterns by. A match is known by file, rule, line and text, and repeats within a
+file are dropped within its row: nothing is shuffled. Every detector gives ISSUE columns.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.functions.text import layer_of, line_of, strip_comments
+from sparkquill.functions.text import layer_of, places, strip_comments
+from sparkquill.operators import graph, imports
 from sparkquill.session import cut
+from sparkquill.sources.rules import Rule
 
 ISSUE = ("path", "line", "rule_id", "category", "severity", "confidence", "found", "message")
 #: Confidence of a match in raw text, in stripped text, of a syntax tree, of a dependency cycle.
 RAW, STRIPPED, SYNTAX, CYCLE = 70, 80, 90, 95
 LIMITS = {"complexity": 10, "nesting": 4, "params": 5, "methods": 20, "lines": 500, "block_lines": 6}
-#: rule: (severity, pattern, pattern across lines, message)
+_MATCH = "array<struct<category:string,rule_id:string,severity:string,message:string,confidence:int,found:string,line:int>>"
+
+
+@dataclass(frozen=True)
+class Pattern:
+    """words: of each tuple one must stand in the text, in lower case; languages: none for all."""
+
+    severity: str
+    words: tuple[tuple[str, ...], ...]
+    patterns: tuple[str, ...]
+    message: str
+    languages: tuple[str, ...] = ()
+
+
+_SECRET = r"password|passwd|api_?key|secret|token"
+_SECRETS = ("password", "passwd", "apikey", "api_key", "secret", "token")
+_HANDLER = (
+    r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}",
+    r"\bexcept\b[^:\n]*:\s*(?:pass\b|\.\.\.)",
+    r"\.catch\(\s*(?:\w+|\([^)]*\))\s*=>\s*\{\s*\}\s*\)",
+    r"\bif\s+err\s*!=\s*nil\s*\{\s*\}",
+    r"\bErr\([^)]*\)\s*=>\s*(?:\{\s*\}|\(\s*\))",
+)
+_HANDLER_WORDS = (("catch", "except", "err"),)
+#: Red lines: a pattern within lines, and one across them where that finds more.
 SECURITY = {
-    "hardcoded_secret": ("block", r"(?i)\b(?:password|passwd|api_?key|secret|token)\s*[:=]\s*[\"'][^\"'\n]{6,}[\"']", r"(?is)\b(?:password|passwd|api_?key|secret|token)\s*[:=]\s*[\"'][^\"'\n]{6,}[\"']", "a secret is written into the code"),
-    "sql_concatenation": ("block", r"(?i)[\"']\s*(?:select|insert|update|delete)\b[^\"'\n]*[\"']\s*[+%]", r"(?is)[\"']\s*(?:select|insert|update|delete)\b[^\"']*[\"']\s*[+%]", "a statement is put together from strings"),
-    "dangerous_call": ("block", r"\b(?:eval|exec|os\.system)\(\s*[^)\"'\s][^)\n]*\)", r"(?s)\b(?:eval|exec|os\.system)\(\s*[^)\"'\s][^)]*\)", "input may be run as code"),
-    "sensitive_log": ("block", r"(?i)\b(?:log|logger|logging|console)[.\w]*\([^)\n]*\b(?:password|passwd|secret|token|api_?key)\b[^)\n]*\)", r"(?is)\b(?:log|logger|logging|console)[.\w]*\([^)]*\b(?:password|passwd|secret|token|api_?key)\b[^)]*\)", "sensitive data may reach a log"),
-    "empty_handler": ("block", r"\bcatch[ \t]*(?:\([^)\n]*\))?[ \t]*\{[ \t]*\}", r"(?s)\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}|\bexcept\b[^:\n]*:\s*pass\b", "an error is swallowed"),
+    "hardcoded_secret": Pattern("block", (_SECRETS, (":", "="), ('"', "'")), (rf"(?i)\b(?:{_SECRET})\s*[:=]\s*[\"'][^\"'\n]{{6,}}[\"']",), "a secret is written into the code"),
+    "sql_concatenation": Pattern("block", (("select", "insert", "update", "delete"), ('"', "'"), ("+", "%")), (r"(?i)[\"']\s*(?:select|insert|update|delete)\b[^\"'\n]*[\"']\s*[+%]", r"(?is)[\"']\s*(?:select|insert|update|delete)\b[^\"']*[\"']\s*[+%]"), "a statement is put together from strings"),
+    "dangerous_call": Pattern(
+        "block",
+        (("eval(", "exec(", "os.system("),),
+        (r"\b(?:eval|exec|os\.system)\(\s*(?:[^)\"'\s]|\"[^\"\n]*\"\s*[^)\"\s]|'[^'\n]*'\s*[^)'\s])[^)\n]*\)", r"(?s)\b(?:eval|exec|os\.system)\(\s*(?:[^)\"'\s]|\"[^\"\n]*\"\s*[^)\"\s]|'[^'\n]*'\s*[^)'\s])[^)]*\)"),
+        "input may be run as code",
+    ),
+    "sensitive_log": Pattern("block", (_SECRETS, ("log", "console"), ("(",)), (rf"(?i)\b(?:log|logger|logging|console)[.\w]*\([^)\n]*\b(?:{_SECRET})\b[^)\n]*\)", rf"(?is)\b(?:log|logger|logging|console)[.\w]*\([^)]*\b(?:{_SECRET})\b[^)]*\)"), "sensitive data may reach a log"),
+    "empty_handler": Pattern("block", _HANDLER_WORDS, _HANDLER, "an error is swallowed"),
 }
 EXCEPTIONS = {
-    "bare_except": ("warn", r"\bexcept[ \t]*:", "catches everything"),
-    "broad_catch": ("warn", r"\bexcept[ \t]+(?:Base)?Exception\b|\bcatch[ \t]*\([ \t]*(?:Exception|Throwable)\b|\bcatch[ \t]*\([ \t]*\.\.\.", "catches more than it can handle"),
-    "swallowed_error": ("block", r"(?s)\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}|\bexcept\b[^:\n]*:\s*pass\b", "an error is swallowed"),
-}
-DECISIONS = r"\b(?:if|for|foreach|while|case|catch|except|elif|match)\b|&&|\|\||\?"
-#: Name in group 1, parameters in group 2.
-FUNCTIONS = {
-    "python": r"\bdef\s+(\w+)\s*\(([^)]*)\)",
-    "javascript": r"\bfunction\s+(\w+)\s*\(([^)]*)\)",
-    "java": r"\b(?:public|private|protected|static)\s+(?:static\s+|final\s+)*[\w<>\[\]]+\s+(\w+)\s*\(([^)]*)\)",
-    "csharp": r"\b(?:public|private|protected|internal|static)\s+(?:static\s+|async\s+)*[\w<>\[\]]+\s+(\w+)\s*\(([^)]*)\)",
-    "go": r"\bfunc\s+(?:\([^)]*\)\s*)?(\w+)\s*\(([^)]*)\)",
-    "cpp": r"\b(?:void|int|bool|char|float|double|auto|long|size_t)\s+(\w+)\s*\(([^)]*)\)\s*\{",
-    "rust": r"\bfn\s+(\w+)\s*\(([^)]*)\)",
-}
-IMPORTS = {
-    "python": r"(?:^|\n)[ \t]*(?:from|import)[ \t]+([\w.]+)",
-    "javascript": r"\bfrom[ \t]+[\"']([^\"'\n]+)[\"']",
-    "java": r"(?:^|\n)[ \t]*import[ \t]+([\w.]+)",
-}
-STYLES = {
-    "snake_case": r"^[a-z][a-z0-9]*(?:_[a-z0-9]+)+$",
-    "camelCase": r"^[a-z][a-z0-9]*(?:[A-Z][a-zA-Z0-9]*)+$",
-    "PascalCase": r"^[A-Z][a-zA-Z0-9]*$",
-    "lower": r"^[a-z][a-z0-9]*$",
+    "bare_except": Pattern("warn", (("except", "catch"),), (r"\bexcept[ \t]*:", r"\bcatch[ \t]*\{"), "catches everything", ("python", "csharp")),
+    "broad_catch": Pattern("warn", (("except", "catch"),), (r"\bexcept[ \t]*\(?[ \t]*(?:Base)?Exception\b", r"\bcatch[ \t]*\([ \t]*(?:final[ \t]+)?(?:Exception|Throwable)\b", r"\bcatch[ \t]*\([ \t]*\.\.\."), "catches more than it can handle", ("python", "java", "csharp", "cpp")),
+    "swallowed_error": Pattern("block", _HANDLER_WORDS, _HANDLER, "an error is swallowed", ("python", "javascript", "java", "go", "csharp", "cpp", "rust")),
+    "ignored_error": Pattern("warn", (("_",), ("=",)), (r"\b_[ \t]*:?=[ \t]*[\w.:]+\(",), "an error is dropped", ("go", "rust")),
+    "may_panic": Pattern("warn", ((".unwrap(", ".expect(", "panic("),), (r"\.unwrap\(\)", r"\.expect\([^)\n]*\)", r"\bpanic\("), "an error ends the program", ("go", "rust")),
 }
 
 
-def stripped(files: DataFrame) -> DataFrame:
-    return files.withColumn("stripped", strip_comments(F.col("content"), F.col("lang")))
+def with_code(files: DataFrame) -> DataFrame:
+    """files with code: the text without comments, or as it is for languages without a stripper."""
+    return files.withColumn("code", strip_comments(F.col("content"), F.col("lang")))
 
 
-def _match(category: str, rule: str | Column, severity: str, message: str | Column, confidence: int, found: Column, line: Column | None = None) -> Column:
-    text = lambda x: F.lit(x) if isinstance(x, str) else x
-    line = F.lit(None) if line is None else line
-    return F.struct(F.lit(category).alias("category"), text(rule).alias("rule_id"), F.lit(severity).alias("severity"), text(message).alias("message"), F.lit(confidence).alias("confidence"), found.alias("found"), line.cast("int").alias("line"))
+def _no_matches() -> Column:
+    return F.array().cast(_MATCH)
 
 
-def _matches(category: str, rule: str, severity: str, message: str, confidence: int, column: str, pattern: str) -> Column:
-    found = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
-    return F.transform(found, lambda f: _match(category, rule, severity, message, confidence, f, line_of(F.col("content"), f)))
+def _match(category: str, rule: str, severity: str, message: str | Column, confidence: Column, found: Column, line: Column) -> Column:
+    message = F.lit(message) if isinstance(message, str) else message
+    return F.struct(F.lit(category).alias("category"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), message.alias("message"), confidence.cast("int").alias("confidence"), found.alias("found"), line.cast("int").alias("line"))
 
 
-def _only(condition: Column, matches: Column) -> Column:
-    return F.when(condition, matches).otherwise(F.array())
+def _pattern_matches(category: str, rules: dict[str, Pattern], confidence: Column) -> list[Column]:
+    out = []
+    for rule, p in rules.items():
+        gate = reduce(and_, (reduce(or_, (F.col("lower").contains(word) for word in words)) for words in p.words))
+        if p.languages:
+            gate = F.col("lang").isin(*p.languages) & gate
+        found = F.concat(*[places(F.col("code"), pattern) for pattern in p.patterns]) if len(p.patterns) > 1 else places(F.col("code"), p.patterns[0])
+        matches = F.transform(F.array_distinct(found), lambda x: _match(category, rule, p.severity, p.message, confidence, x["found"], x["line"]))  # noqa: B023
+        out.append(F.when(gate, matches).otherwise(_no_matches()))
+    return out
 
 
 def security_matches() -> list[Column]:
-    return [_matches("security", rule, severity, message, confidence, column, p) for rule, (severity, pattern, across, message) in SECURITY.items() for confidence, column, p in ((RAW, "content", pattern), (STRIPPED, "stripped", pattern), (STRIPPED, "stripped", across))]
+    """Red lines by three passes: raw text, text without comments, and that across lines.
 
+    A match that stripped text has holds at STRIPPED. One that the raw text alone has stood in a comment and is dropped; so where
+    comments can be stripped the raw pass only decides, by its words, whether the others are made. Files of languages without
+    a stripper have their raw text matched, at RAW."""
+    return _pattern_matches("security", SECURITY, F.when(F.col("lang") == "other", RAW).otherwise(STRIPPED))
 
-def exception_matches() -> list[Column]:
-    return [_only(F.col("lang") != "other", _matches("exception_handling", rule, severity, message, STRIPPED, "stripped", p)) for rule, (severity, p, message) in EXCEPTIONS.items()]
 
+def exception_matches() -> list[Column]:
+    return _pattern_matches("exception_handling", EXCEPTIONS, F.lit(STRIPPED))
 
-def metric_matches(but: str = "") -> list[Column]:
-    """What exceeds LIMITS, by patterns; of all languages but one, of which only the length of files counts."""
 
-    def over(category: str, found: Column, value: Column) -> Column:
-        return _match(category, f"too_high_{category}", "warn", F.concat(value.cast("string"), F.lit(" is over the limit")), STRIPPED, found)
+def _over(category: str, value: Column, found: Column, line: Column, confidence: Column) -> Column:
+    return _match(category, f"too_high_{category}", "warn", F.concat(value.cast("string"), F.lit(" is over the limit")), confidence, found, line)
 
-    def whole(category: str, value: Column) -> Column:
-        return _only(value > LIMITS[category], F.array(over(category, F.lit(""), value)))
 
-    code, braces = ~F.col("lang").isin("other", but), F.col("lang").isin("javascript", "java", "csharp", "cpp")
-    params = F.filter(_functions(), lambda x: _n_params(x["params"]) > LIMITS["params"])
-    methods = F.filter(_classes(), lambda x: x["n_methods"] > LIMITS["methods"])
+def size_matches() -> list[Column]:
+    """Files of too many lines, and of braces nested too deep; Python's nesting is measured for each function instead."""
+    depth, lines, nothing = _depth(F.col("code")), n_lines(F.col("content")), F.lit("")
+    code = F.col("lang").isin("javascript", "java", "csharp", "cpp")
     return [
-        _only(code, whole("complexity", _complexity())),
-        _only(braces, whole("nesting", _depth(F.col("stripped")))),
-        whole("lines", n_lines(F.col("content"))),
-        _only(code, F.transform(params, lambda x: over("params", x["name"], _n_params(x["params"])))),
-        _only(F.col("lang").isin("java", "csharp"), F.transform(methods, lambda x: over("methods", x["class"], x["n_methods"]))),
+        F.when(lines > LIMITS["lines"], F.array(_over("lines", lines, nothing, F.lit(1), F.lit(STRIPPED)))).otherwise(_no_matches()),
+        F.when(code, F.filter(F.array(_over("nesting", depth, nothing, F.lit(1), F.lit(STRIPPED))), lambda x: depth > LIMITS["nesting"])).otherwise(_no_matches()),
     ]
 
 
-def matched(files: DataFrame, matches: list[Column]) -> DataFrame:
-    """Issues of all matches, in one scan. One is (path, rule, found text), which outlives the shift of lines by stripping.
+def custom_matches(rules: list[Rule]) -> list[Column]:
+    """Every match of each rule's pattern in the raw text of files in its scope. Rules are settings, so they are literals."""
+    out = []
+    for rule in rules:
+        matches = F.transform(F.array_distinct(places(F.col("content"), rule.pattern)), lambda x: _match("custom", rule.id, rule.severity, rule.message, F.lit(RAW), x["found"], x["line"]))  # noqa: B023
+        out.append(F.when(rule.fits(), matches).otherwise(_no_matches()))
+    return out
+
+
+def matches(files: DataFrame, found: list[Column]) -> DataFrame:
+    """files (path, content, ...) with code and their matches in one array, each once."""
+    rows = with_code(files).withColumn("lower", F.lower("content"))
+    return rows.withColumn("matches", F.array_distinct(F.flatten(F.array(*found)))).drop("lower")
+
 
-    Of security, a match that a stripped pass has holds at STRIPPED; one that only the raw text has stood in a comment and is
-    dropped; files of languages without a stripper keep raw matches at RAW. Lines are those of the raw text, null if only a
-    pass over stripped text has the match.
-    """
-    rows = stripped(files).select("path", "lang", F.explode(F.flatten(F.array(*matches))).alias("m")).select("path", "lang", "m.*")
-    best = rows.groupBy("path", "lang", "category", "rule_id", "severity", "message", "found").agg(F.max("confidence").alias("top"), F.min("line").alias("line"))
-    raw = (F.col("category") == "security") & (F.col("lang") == "other")
-    kept = best.where((F.col("category") != "security") | (F.col("top") == STRIPPED) | raw)
-    return kept.withColumn("confidence", F.when(raw, RAW).otherwise(F.col("top"))).select(*ISSUE)
+def exploded(rows: DataFrame) -> DataFrame:
+    return rows.select("path", F.inline("matches")).select(*ISSUE)
 
 
 def three_scans(files: DataFrame) -> DataFrame:
-    """Security issues of three passes: raw text, text without comments, and that across lines."""
-    return matched(files, security_matches())
+    return exploded(matches(files, security_matches()))
 
 
 def rule_hits(files: DataFrame, rule: str) -> DataFrame:
-    """Matches of one red line in stripped text: path, found, n."""
-    _, pattern, across, _ = SECURITY[rule]
-    text = stripped(files)
-    rows = text.select("path", F.explode(F.regexp_extract_all("stripped", F.lit(across if rule == "empty_handler" else pattern), F.lit(0))).alias("found"))
+    """Matches of one red line: path, found, n."""
+    rows = exploded(matches(files, _pattern_matches("security", {rule: SECURITY[rule]}, F.lit(STRIPPED))))
     return rows.groupBy("path", "found").agg(F.count("*").alias("n"))
 
 
 def exception_issues(files: DataFrame) -> DataFrame:
-    return matched(files, exception_matches())
+    return exploded(matches(files, exception_matches()))
+
+
+def custom_issues(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    return exploded(matches(files, custom_matches(rules)))
+
+
+def rule_scope(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(id, path): the files that each rule's target takes in."""
+    ids = F.array_compact(F.array(*[F.when(rule.fits(), F.lit(rule.id)) for rule in rules])) if rules else F.array().cast("array<string>")
+    return files.select(F.explode(ids).alias("id"), "path")
 
 
 # ---------------------------------------------------------------- metrics
@@ -144,31 +177,6 @@ def file_sizes(files: DataFrame) -> DataFrame:
     return files.select("path", F.length("content").alias("n_chars"), n_lines(F.col("content")).alias("n_lines"))
 
 
-def _complexity() -> Column:
-    return 1 + F.regexp_count("stripped", F.lit(DECISIONS))
-
-
-def _functions() -> Column:
-    """array<struct<name, params>> of every function that the language's pattern finds in stripped."""
-    out = F.lit(None).cast("array<struct<name:string,params:string>>")
-    for lang, pattern in FUNCTIONS.items():
-        pairs = F.arrays_zip(F.regexp_extract_all("stripped", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("stripped", F.lit(pattern), F.lit(2)).alias("params"))
-        out = F.when(F.col("lang") == lang, pairs).otherwise(out)
-    return out
-
-
-def _n_params(params: Column) -> Column:
-    return F.when(F.trim(params) == "", 0).otherwise(F.size(F.split(params, ",")))
-
-
-def _classes() -> Column:
-    """array<struct<class, n_methods>> for Java and C#: functions from one class declaration to the next."""
-    names = F.regexp_extract_all("stripped", F.lit(r"\bclass\s+(\w+)"), F.lit(1))
-    bodies = F.split("stripped", r"\bclass\s+\w+")
-    count = lambda body: F.when(F.col("lang") == "java", F.regexp_count(body, F.lit(FUNCTIONS["java"]))).otherwise(F.regexp_count(body, F.lit(FUNCTIONS["csharp"])))
-    return F.zip_with(names, F.slice(bodies, F.lit(2), F.size(bodies)), lambda name, body: F.struct(name.alias("class"), count(body).alias("n_methods")))
-
-
 def _depth(text: Column) -> Column:
     """The greatest depth of braces, folded within the row."""
 
@@ -180,35 +188,28 @@ def _depth(text: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(text, F.lit(r"[{}]"), F.lit(0)), start, step)["most"]
 
 
-def complexity(files: DataFrame) -> DataFrame:
-    """1 and the decision points of each file's stripped text, for languages."""
-    return stripped(files).where("lang != 'other'").select("path", "lang", _complexity().alias("complexity"))
-
-
-def functions(files: DataFrame) -> DataFrame:
-    """(path, lang, name, n_params) of every function."""
-    rows = stripped(files).where("lang != 'other'").select("path", "lang", F.inline(_functions()))
-    return rows.select("path", "lang", "name", _n_params(F.col("params")).alias("n_params"))
-
-
-def class_methods(files: DataFrame) -> DataFrame:
-    """(path, class, n_methods) for Java and C#."""
-    return stripped(files).where("lang IN ('java', 'csharp')").select("path", F.inline(_classes()))
-
-
 def brace_nesting(texts: DataFrame) -> DataFrame:
     """(path, max_depth) of braces in texts (path, content): no shuffle."""
     return texts.select("path", _depth(F.col("content")).alias("max_depth"))
 
 
+def structure_issues(parts: DataFrame) -> DataFrame:
+    """Functions and classes of structure() that exceed LIMITS, and empty handlers of syntax trees."""
+    found, confidence = F.coalesce("name", F.lit("")), F.when(F.col("by") == "tree", SYNTAX).otherwise(STRIPPED)
+    limits = (("complexity", "complexity", F.lit(True)), ("nesting", "nesting", F.col("lang") == "python"), ("params", "n_params", F.lit(True)), ("methods", "n_methods", F.col("lang").isin("python", "java", "csharp")))
+    over = [F.when((F.col(column) > LIMITS[category]) & applies, _over(category, F.col(column), found, F.col("line"), confidence)) for category, column, applies in limits]
+    empty = F.when(F.col("kind") == "empty_handler", _match("exception_handling", "swallowed_error", "block", "an error is swallowed", confidence, found, F.col("line")))
+    return parts.select("path", F.inline(F.array_compact(F.array(*over, empty)))).select(*ISSUE).distinct()
+
+
 # ---------------------------------------------------------------- duplicates
 
 
 def line_blocks(files: DataFrame, size: int = LIMITS["block_lines"]) -> DataFrame:
-    """(path, at, hash) of every run of size lines, trimmed, without blank ones; at counts from 1. Built within each row."""
-    lines = F.filter(F.transform(F.split("content", "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    rows = files.select("path", lines.alias("lines")).where(F.size("lines") >= size)
-    blocks = F.transform(F.sequence(F.lit(1), F.size("lines") - (size - 1)), lambda i: F.struct(i.alias("at"), F.md5(F.array_join(F.slice("lines", i, F.lit(size)), "\n").cast("binary")).alias("hash")))
+    """(path, line, hash) of every run of size lines, trimmed, without blank ones; line is where the run starts. Built within each row."""
+    lines = F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct(F.trim(x).alias("text"), (i + 1).alias("line"))), lambda x: x["text"] != "")
+    rows = files.select("path", lines.alias("lines")).where(F.size("lines") >= size).select("path", "lines", F.col("lines.text").alias("texts"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size("lines") - (size - 1)), lambda i: F.struct(F.get("lines", i - 1)["line"].alias("line"), F.md5(F.array_join(F.slice("texts", i, F.lit(size)), "\n").cast("binary")).alias("hash")))
     return rows.select("path", F.inline(blocks))
 
 
@@ -224,136 +225,57 @@ def duplicate_files(files: DataFrame) -> DataFrame:
 
 
 def duplicate_issues(files: DataFrame) -> DataFrame:
-    rows = duplicate_blocks(files)
-    return rows.select(F.col("first_path").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("hash").alias("found"), F.concat(F.lit("stands "), F.col("occurrences").cast("string"), F.lit(" times")).alias("message"))
+    """An issue for each place of each block that stands more than once: counts by hash meet the blocks again, and adaptive
+    execution splits a block that is everywhere."""
+    counts = line_blocks(files).groupBy("hash").agg(F.count("*").alias("occurrences")).where("occurrences > 1")
+    rows = line_blocks(files).join(counts, "hash")
+    return rows.select("path", F.col("line").cast("int"), F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("hash").alias("found"), F.concat(F.lit("stands "), F.col("occurrences").cast("string"), F.lit(" times")).alias("message"))
 
 
 # ---------------------------------------------------------------- names
 
 
-def identifiers(files: DataFrame) -> DataFrame:
-    """(path, lang, name, style) of every function."""
-    style = F
-    for name, pattern in STYLES.items():
-        style = style.when(F.col("name").rlike(pattern), F.lit(name))
-    return functions(files).select("path", "lang", "name", style.otherwise("mixed").alias("style"))
-
-
-def naming_issues(files: DataFrame) -> DataFrame:
-    """Functions whose style isn't their language's most frequent one; single lower-case words fit any; ties go to the first by name."""
-    names = identifiers(files)
-    counts = names.where("style != 'lower'").groupBy("lang", "style").agg(F.count("*").alias("n"))
-    usual = counts.groupBy("lang").agg(F.min(F.struct((-F.col("n")).alias("less"), "style")).alias("x")).select("lang", F.col("x.style").alias("usual"))
-    rows = names.where("style != 'lower'").join(usual, "lang").where("style != usual").select("path", "name", "style", "usual").distinct()
-    return rows.select("path", F.lit(None).cast("int").alias("line"), F.lit("naming_style").alias("rule_id"), F.lit("naming").alias("category"), F.lit("info").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("name").alias("found"), F.concat("style", F.lit(" among "), "usual").alias("message"))
+def naming_issues(names: DataFrame) -> DataFrame:
+    """Names of identifiers() whose style isn't the most frequent one of their language and kind (function, class, variable); single
+    lower-case words and names in capitals fit any; ties go to the first style by name."""
+    styled = names.where("style NOT IN ('lower', 'UPPER_CASE')")
+    counts = styled.groupBy("lang", "kind", "style").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("lang", "kind").agg(F.min(F.struct((-F.col("n")).alias("less"), "style"))["style"].alias("usual"))
+    rows = styled.join(usual, ["lang", "kind"]).where("style != usual").groupBy("path", "kind", "name", "style", "usual").agg(F.min("line").alias("line"))
+    return rows.select("path", "line", F.lit("naming_style").alias("rule_id"), F.lit("naming").alias("category"), F.lit("info").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("name").alias("found"), F.concat("kind", F.lit(" is "), "style", F.lit(" among "), "usual").alias("message"))
 
 
 # ---------------------------------------------------------------- dependencies
 
 
-def imports(files: DataFrame) -> DataFrame:
-    """(path, module): modules as paths without extension; a relative one is resolved against the file's directory."""
-    by_lang = F.lit(None).cast("array<string>")
-    for lang, pattern in IMPORTS.items():
-        by_lang = F.when(F.col("lang") == lang, F.regexp_extract_all("stripped", F.lit(pattern), F.lit(1))).otherwise(by_lang)
-    rows = stripped(files).where(F.col("lang").isin(*IMPORTS)).select("path", "lang", F.explode(by_lang).alias("name"))
-    relative = F.concat(F.regexp_replace("path", r"[^/]*$", ""), F.regexp_replace("name", r"^\./", ""))
-    return rows.select("path", F.when(F.col("lang") == "javascript", relative).otherwise(F.replace("name", F.lit("."), F.lit("/"))).alias("module"))
+def facts(rows: DataFrame) -> DataFrame:
+    """(path, lang, imports, package) of files with code, for those of a language."""
+    return rows.where("lang != 'other'").select("path", "lang", imports.candidates().alias("imports"), imports.package().alias("package"))
 
 
 def dependency_edges(files: DataFrame) -> DataFrame:
-    """(src, dst): a file imports another one."""
-    known = files.where(F.col("lang").isin(*IMPORTS)).select(F.col("path").alias("dst"), F.regexp_replace("path", r"\.[a-z]+$", "").alias("module"))
-    return imports(files).join(known, "module").select(F.col("path").alias("src"), "dst").distinct()
+    """(src, dst): a file imports another one, or a package (a path that ends in a slash); an imported package has a file."""
+    return imports.edges(cut(facts(with_code(files))))
 
 
 def layer_violations(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     """(src, dst, src_layer, dst_layer): imports between layers that allowed (src_layer, dst_layer) doesn't have."""
-    edges = edges.select("src", "dst", layer_of(F.col("src")).alias("src_layer"), layer_of(F.col("dst")).alias("dst_layer"))
-    return edges.where("src_layer != 'none' AND dst_layer != 'none' AND src_layer != dst_layer").join(allowed, ["src_layer", "dst_layer"], "left_anti").select("src", "dst", "src_layer", "dst_layer")
-
-
-def _core(edges: DataFrame) -> DataFrame:
-    """Distinct edges without those of nodes that have none in or none out, which can't be on a cycle; peeled off until all have both."""
-    edges, left = cut(edges.select("src", "dst").distinct()), None
-    while left != (n := edges.count()):
-        left = n
-        edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").select("src", "dst")
-        edges = cut(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-    return edges
-
-
-def _short_cycles(edges: DataFrame, max_length: int) -> DataFrame:
-    """(path): all simple cycles of up to max_length edges of _core(), from their least node back to it.
-
-    Walks grow by joins, one for each length, cut by checkpoints, and never pass below their start, so each cycle is found once.
-    Their number may grow fast with max_length.
-    """
-    closed = edges.where("src = dst").select(F.array("src", "dst").alias("path"))
-    walks = edges.where("src < dst").select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
-    for length in range(2, max_length + 1):
-        step = cut(walks.join(edges, walks["node"] == edges["src"]).where((F.col("dst") >= F.col("start")) & ~F.array_contains(F.slice("path", 2, length), F.col("dst"))))
-        closed = closed.unionByName(step.where("dst = start").select(F.concat("path", F.array("start")).alias("path")))
-        walks = step.where("dst > start").select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        if walks.isEmpty():
-            break
-    return closed
-
-
-def _named(paths: DataFrame) -> DataFrame:
-    return paths.select(F.concat_ws(">", "path").alias("cycle"), (F.size("path") - 1).alias("length"))
-
-
-def cycles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """(cycle, length): simple cycles of edges (src, dst) of up to max_length, as 'A>B>A', each from its least node."""
-    return _named(_short_cycles(_core(edges), max_length))
-
-
-def all_circles(edges: DataFrame, max_length: int = 6) -> DataFrame:
-    """(cycle, length): cycles(), and a shortest cycle, of any length, through each further edge that is on one.
-
-    So each strongly connected component has a cycle here, and each of its edges is on one. Shortest paths from the ends of the
-    edges that cycles() leaves grow by joins, one for each length, cut by checkpoints, until no node is new: one row for each
-    end and node that it reaches. Of equally short paths the first in order stays.
-    """
-    edges = _core(edges)
-    short = cut(_short_cycles(edges, max_length))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at("path", i).alias("src"), F.element_at("path", i + 1).alias("dst")))
-    rest = cut(edges.join(short.select(F.inline(pairs)).distinct(), ["src", "dst"], "left_anti"))
-    reached = new = rest.select(F.col("dst").alias("start"), F.col("dst").alias("node"), F.array("dst").alias("path")).distinct()
-    while not new.isEmpty():
-        further = new.join(edges, new["node"] == edges["src"]).groupBy("start", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        new = cut(further.join(reached, ["start", "node"], "left_anti"))
-        reached = cut(reached.unionByName(new))
-    closed = rest.join(reached, (F.col("dst") == F.col("start")) & (F.col("src") == F.col("node"))).select("path")
-    at = F.array_position("path", F.array_min("path")).cast("int")
-    turned = F.concat(F.slice("path", at, F.size("path")), F.slice("path", F.lit(1), at))
-    return _named(short.unionByName(closed.select(turned.alias("path")).distinct()))
+    edges = edges.where(~F.col("src").endswith("/")).select("src", "dst", layer_of(F.col("src")).alias("src_layer"), layer_of(F.col("dst")).alias("dst_layer"))
+    return edges.where("src_layer != 'none' AND dst_layer != 'none' AND src_layer != dst_layer").join(F.broadcast(allowed), ["src_layer", "dst_layer"], "left_anti").select("src", "dst", "src_layer", "dst_layer")
+
+
+def cycle_members(edges: DataFrame) -> DataFrame:
+    """(path, component, n_nodes, length, cycle): everything on a cycle, with a shortest cycle of its strongly connected component."""
+    inner = graph.cyclic_edges(edges)
+    return graph.members(inner).join(graph.cycles(inner), "component").select(F.col("node").alias("path"), "component", "n_nodes", "length", "cycle")
 
 
 def cycle_issues(edges: DataFrame) -> DataFrame:
-    rows = all_circles(edges)
-    return rows.select(F.substring_index("cycle", ">", 1).alias("path"), F.lit(None).cast("int").alias("line"), F.lit("dependency_cycle").alias("rule_id"), F.lit("architecture").alias("category"), F.lit("block").alias("severity"), F.lit(CYCLE).alias("confidence"), F.col("cycle").alias("found"), F.lit("files import each other in a circle").alias("message"))
+    """An issue for each file on a cycle of any length."""
+    rows = cycle_members(edges).where(~F.col("path").endswith("/"))
+    return rows.select("path", F.lit(None).cast("int").alias("line"), F.lit("dependency_cycle").alias("rule_id"), F.lit("architecture").alias("category"), F.lit("block").alias("severity"), F.lit(CYCLE).alias("confidence"), F.col("cycle").alias("found"), F.concat(F.col("n_nodes").cast("string"), F.lit(" files or packages import each other in a circle")).alias("message"))
 
 
 def layer_issues(edges: DataFrame, allowed: DataFrame) -> DataFrame:
     rows = layer_violations(edges, allowed)
     return rows.select(F.col("src").alias("path"), F.lit(None).cast("int").alias("line"), F.lit("layer_violation").alias("rule_id"), F.lit("architecture").alias("category"), F.lit("block").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("dst").alias("found"), F.concat("src_layer", F.lit(" imports "), "dst_layer").alias("message"))
-
-
-# ---------------------------------------------------------------- custom rules
-
-
-def rule_scope(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, path): the files that each rule's target takes in. Rules are a small file of settings, so they are broadcast."""
-    fits = (F.col("kind") == "all") | ((F.col("kind") == "layer") & (F.col("layer") == F.col("scope"))) | ((F.col("kind") == "language") & (F.col("lang") == F.col("scope"))) | ((F.col("kind") == "glob") & F.expr("path rlike scope"))
-    return files.join(F.broadcast(rules), fits).select("id", "path")
-
-
-def custom_issues(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """One issue for each file in a rule's scope whose text its pattern finds."""
-    fits = (F.col("kind") == "all") | ((F.col("kind") == "layer") & (F.col("layer") == F.col("scope"))) | ((F.col("kind") == "language") & (F.col("lang") == F.col("scope"))) | ((F.col("kind") == "glob") & F.expr("path rlike scope"))
-    rows = files.join(F.broadcast(rules), fits & F.expr("content rlike pattern"))
-    found = F.expr("regexp_extract(content, pattern, 0)")
-    return rows.select("path", line_of(F.col("content"), found).alias("line"), F.col("id").alias("rule_id"), F.lit("custom").alias("category"), "severity", F.lit(RAW).alias("confidence"), found.alias("found"), "message")
-

@@ -1,225 +1,213 @@
-"""DuckDB SQL for the queries of the code-quality engine, built from the same literal tables and patterns."""
+"""DuckDB SQL for the queries of the code-quality engine.
+
+It shares no pattern with the engine. The sample project's parts are taken from answers; what follows from them (metrics, cycles by
+reachability, the policy, the gate) and all that is found in documents is worked out here by other formulations.
+"""
 
 from __future__ import annotations
 
-from sparkquill import sample
-from sparkquill.functions import text as t
-from sparkquill.operators import detectors as d
+from sparkquill import answers, sample
 from sparkquill.plans import gate
 from sparkquill.sample import quoted, values_sql
-from sparkquill.sources.files import LANGUAGE_TARGETS, LAYER_TARGETS, glob_to_regex
+
+ISSUE = "path, line, rule_id, category, severity, confidence, found, message"
 
 
-def _case(column: str, patterns: dict[str, str], otherwise: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({column}, {quoted(p)}) THEN '{name}'" for name, p in patterns.items()) + f" ELSE '{otherwise}' END"
+def _values(rows) -> str:
+    """Rows as a VALUES list; null, numbers and strings."""
+    literal = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else quoted(x)
+    return "VALUES " + ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
 
 
-def _by_lang(expressions: dict[str, str], otherwise: str) -> str:
-    return "CASE lang " + " ".join(f"WHEN '{lang}' THEN {e}" for lang, e in expressions.items()) + f" ELSE {otherwise} END"
+def _with(*parts: str, recursive: bool = False) -> str:
+    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(parts) + "\n"
 
 
-_FILES = f"""raw(path, content) AS (
-  {values_sql(sample.FILES)}
-  UNION ALL SELECT 'corpus/' || coalesce(source, 'none') || '/' || CAST(doc_id AS VARCHAR) || '.txt', coalesce(text, '') FROM documents),
+_RAW = f"""sample(path, content) AS ({values_sql(sample.FILES)}),
+docs AS (SELECT 'corpus/' || coalesce(source, 'none') || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS content FROM documents),
+raw AS (SELECT * FROM sample UNION ALL SELECT * FROM docs)"""
+_FILES = f"""{_RAW},
+traits(path, lang, file_class, layer) AS ({_values(answers.TRAITS)}),
+dirs AS (SELECT path, content, list_filter(string_split(lower(path), '/')[:-2], lambda d: d <> '') AS d FROM docs),
 files AS (
-  SELECT *, {_case("lower(path)", t.LANGUAGES, "other")} AS lang, {_case("lower(path)", t.CLASSES, "source")} AS file_class, {_case("lower(path)", t.LAYERS, "none")} AS layer FROM raw),
-stripped AS (
-  SELECT *, {_by_lang({lang: f"regexp_replace(content, {quoted(p)}, '" + chr(92) + "1', 'g')" for lang, p in t.COMMENTS.items()}, "content")} AS stripped FROM files)"""
-_LINE = "CASE WHEN strpos(content, found) > 0 THEN CAST(len(string_split(left(content, strpos(content, found) - 1), chr(10))) AS INTEGER) END"
-_NO_LINE = "CAST(NULL AS INTEGER) AS line"
-_OFF = f"off(file_class, category) AS ({values_sql(gate.SWITCHED_OFF)})"
-_ALLOWED = f"allowed(src_layer, dst_layer) AS ({values_sql(sample.ALLOWED_LAYERS)})"
-
-
-def _rules() -> list[dict[str, str]]:
-    import json
-
-    return [r for r in json.loads(sample.RULES_JSON)["rules"] if r["id"] != "BROKEN"]
-
-
-def _fits(target: str) -> str:
-    if target in LAYER_TARGETS:
-        return f"layer = '{target}'"
-    if target in LANGUAGE_TARGETS:
-        return f"lang = '{target}'"
-    return "true" if target == "all" else f"regexp_matches(path, {quoted(glob_to_regex(target))})"
-
-
-def _is_glob(target: str) -> bool:
-    return target not in (*LAYER_TARGETS, *LANGUAGE_TARGETS, "all")
-
-
-_SECURITY = "matches AS (" + " UNION ALL ".join(
-    f"SELECT path, lang, content, '{rule}' AS rule_id, '{severity}' AS severity, {quoted(message)} AS message, {confidence} AS confidence, unnest(regexp_extract_all({column}, {quoted(p)})) AS found FROM stripped"
-    for rule, (severity, pattern, across, message) in d.SECURITY.items()
-    for confidence, column, p in ((d.RAW, "content", pattern), (d.STRIPPED, "stripped", pattern), (d.STRIPPED, "stripped", across))
-) + f"""),
-top_matches AS (
-  SELECT path, lang, rule_id, severity, message, found, max(confidence) AS confidence, min({_LINE}) AS line FROM matches GROUP BY ALL),
-security AS (
-  SELECT path, line, rule_id, 'security' AS category, severity, CASE WHEN lang = 'other' THEN {d.RAW} ELSE confidence END AS confidence, found, message
-  FROM top_matches WHERE confidence = {d.STRIPPED} OR lang = 'other')"""
-_EXCEPTIONS = "exceptions_found AS (" + " UNION ALL ".join(
-    f"SELECT path, content, '{rule}' AS rule_id, '{severity}' AS severity, {quoted(message)} AS message, unnest(regexp_extract_all(stripped, {quoted(p)})) AS found FROM stripped WHERE lang <> 'other'" for rule, (severity, p, message) in d.EXCEPTIONS.items()
-) + f"""),
-exceptions AS (
-  SELECT path, min({_LINE}) AS line, rule_id, 'exception_handling' AS category, severity, {d.STRIPPED} AS confidence, found, message FROM exceptions_found GROUP BY path, rule_id, severity, message, found)"""
-_FUNCTIONS = f"""functions AS (
-  SELECT path, lang, unnest({_by_lang({lang: f"regexp_extract_all(stripped, {quoted(p)}, 1)" for lang, p in d.FUNCTIONS.items()}, "[]")}) AS name,
-         unnest({_by_lang({lang: f"regexp_extract_all(stripped, {quoted(p)}, 2)" for lang, p in d.FUNCTIONS.items()}, "[]")}) AS params
-  FROM stripped WHERE lang <> 'other'),
-counted AS (
-  SELECT path, lang, name, CAST(CASE WHEN trim(params) = '' THEN 0 ELSE len(string_split(params, ',')) END AS INTEGER) AS n_params FROM functions)"""
-_METHODS = r"""parts AS (
-  SELECT path, lang, regexp_extract_all(stripped, '\bclass\s+(\w+)', 1) AS names, string_split_regex(stripped, '\bclass\s+\w+') AS bodies FROM stripped WHERE lang IN ('java', 'csharp')),
-bodies AS (
-  SELECT path, lang, names[k] AS class, bodies[k + 1] AS body FROM (SELECT *, unnest(range(1, len(names) + 1)) AS k FROM parts)),
-methods AS (
-  SELECT path, class, CAST(CASE lang WHEN 'java' THEN len(regexp_extract_all(body, """ + quoted(d.FUNCTIONS["java"]) + r""")) ELSE len(regexp_extract_all(body, """ + quoted(d.FUNCTIONS["csharp"]) + r""")) END AS INTEGER) AS n_methods FROM bodies)"""
-_COMPLEXITY = f"complexities AS (SELECT path, lang, CAST(1 + len(regexp_extract_all(stripped, {quoted(d.DECISIONS)})) AS INTEGER) AS complexity FROM stripped WHERE lang <> 'other')"
-
-
-def _depths(name: str, source: str) -> str:
-    """Running sums over positions, not a fold."""
-    return f"""{name}_braces AS (
-  SELECT path, generate_subscripts(b, 1) AS k, unnest(b) AS brace FROM (SELECT path, regexp_extract_all(content, '[{{}}]') AS b FROM ({source}))),
-{name} AS (
-  SELECT s.path, CAST(coalesce(max(depth), 0) AS INTEGER) AS max_depth FROM (SELECT path FROM ({source})) s LEFT JOIN (
-    SELECT path, greatest(0, sum(CASE brace WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY k)) AS depth FROM {name}_braces) x ON s.path = x.path GROUP BY s.path)"""
-
-
-_BLOCKS = f"""trimmed AS (
-  SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY k) AS k FROM (
-    SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS k, trim(unnest(string_split(content, chr(10)))) AS line FROM files) WHERE line <> ''),
+  SELECT path, content, lang, file_class, layer FROM sample JOIN traits USING (path)
+  UNION ALL SELECT path, content, 'other',
+    CASE WHEN list_has_any(d, ['test', 'tests', '__tests__', 'spec']) THEN 'test' WHEN list_has_any(d, ['generated', 'gen', 'dist', 'build']) THEN 'generated' WHEN list_has_any(d, ['migration', 'migrations']) THEN 'migration' ELSE 'doc' END,
+    CASE WHEN list_has_any(d, ['domain', 'entities']) THEN 'domain' WHEN list_has_any(d, ['application', 'service', 'services', 'usecase', 'usecases']) THEN 'application'
+         WHEN list_has_any(d, ['infrastructure', 'infra', 'persistence', 'repositories']) THEN 'infrastructure' WHEN list_has_any(d, ['presentation', 'controller', 'controllers', 'view', 'views', 'api', 'ui']) THEN 'presentation' ELSE 'none' END
+  FROM dirs)"""
+
+
+def _code(source: str) -> str:
+    """content without the comments that the sample is known to have."""
+    out = "content"
+    for path, comment, left in answers.COMMENTS:
+        out = f"CASE WHEN path = {quoted(path)} THEN replace({out}, {quoted(comment)}, {quoted(left)}) ELSE {out} END"
+    return f"(SELECT path, {out} AS content FROM {source})"
+
+
+#: Red lines and the licence rule in texts: rule, category, severity, message, pattern. Gaps between words may hold line ends.
+_GAP, _Q, _NQ = r"[ \t\n\r\f\v]*", r"[\x22\x27]", r"[^\x22\x27\n]"
+_WORD = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[aA][pP][iI]_?[kK][eE][yY]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN])"
+_CALLED = rf"\b(eval|exec|os\.system)\({_GAP}([^)\x22\x27\s]|\x22[^\x22\n]*\x22{_GAP}[^)\x22\s]|\x27[^\x27\n]*\x27{_GAP}[^)\x27\s])"
+_LOGGED = rf"(?i)\b(logging|logger|log|console)[.\w]*\("
+_IN_TEXTS = (
+    ("hardcoded_secret", "security", "block", "a secret is written into the code", rf"\b{_WORD}{_GAP}(:|=){_GAP}{_Q}{_NQ}{{6,}}{_Q}"),
+    ("sql_concatenation", "security", "block", "a statement is put together from strings", rf"(?i){_Q}{_GAP}(select|insert|update|delete)\b{_NQ}*{_Q}{_GAP}(\+|%)"),
+    ("sql_concatenation", "security", "block", "a statement is put together from strings", rf"(?i){_Q}{_GAP}(select|insert|update|delete)\b[^\x22\x27]*{_Q}{_GAP}(\+|%)"),
+    ("dangerous_call", "security", "block", "input may be run as code", rf"{_CALLED}[^)\n]*\)"),
+    ("dangerous_call", "security", "block", "input may be run as code", rf"{_CALLED}[^)]*\)"),
+    ("sensitive_log", "security", "block", "sensitive data may reach a log", rf"{_LOGGED}[^)\n]*\b{_WORD}\b[^)\n]*\)"),
+    ("sensitive_log", "security", "block", "sensitive data may reach a log", rf"{_LOGGED}[^)]*\b{_WORD}\b[^)]*\)"),
+    ("empty_handler", "security", "block", "an error is swallowed", rf"\bcatch{_GAP}(\([^)]*\))?{_GAP}\{{{_GAP}\}}"),
+    ("empty_handler", "security", "block", "an error is swallowed", rf"\bexcept\b[^:\n]*:{_GAP}(pass\b|\.\.\.)"),
+    ("ANY_LICENSE", "custom", "info", "licence line", r"\b[lL][iI][cC][eE][nN][sS][eE][dD]? [uU][nN][dD][eE][rR]\b"),
+)
+_NL = "(length({0}) - length(replace({0}, chr(10), '')))"
+_TEXT_ISSUES = (
+    "hits AS ("
+    + " UNION ALL ".join(
+        f"SELECT path, '{rule}' AS rule_id, '{category}' AS category, '{severity}' AS severity, '{message}' AS message, regexp_extract_all(content, {quoted(p)}) AS f, string_split_regex(content, {quoted(p)}) AS pieces FROM docs WHERE regexp_matches(content, {quoted(p)})"
+        for rule, category, severity, message, p in _IN_TEXTS
+    )
+    + f"""),
+placed AS (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM hits),
+text_issues AS (
+  SELECT DISTINCT path, CAST(1 + {_NL.format("array_to_string(pieces[1:k], '')")} + {_NL.format("array_to_string(f[1:k - 1], '')")} AS INTEGER) AS line, rule_id, category, severity, 70 AS confidence, f[k] AS found, message FROM placed)"""
+)
+_LINES = f"""known(path, line, rule_id, category, severity, confidence, found, message) AS ({_values(answers.LINES)}),
+line_issues AS (SELECT {ISSUE} FROM known UNION ALL SELECT {ISSUE} FROM text_issues)"""
+_PART = "path, lang, kind, name, line, complexity, nesting, n_params, n_methods"
+_PARTS = f"parts({_PART}) AS ({_values(answers.PARTS)})"
+_PLAIN = f"parts({_PART}) AS ({_values([r for r in answers.PARTS if r[1] != 'python'] + list(answers.PYTHON_BY_PATTERNS))})"
+_METRICS = """measured AS (
+  SELECT path, lang, line, coalesce(name, '') AS found, kind, unnest([{'c': 'complexity', 'v': complexity, 'most': 10}, {'c': 'params', 'v': n_params, 'most': 5},
+    {'c': 'nesting', 'v': CASE WHEN lang = 'python' THEN nesting END, 'most': 4}, {'c': 'methods', 'v': CASE WHEN lang IN ('python', 'java', 'csharp') THEN n_methods END, 'most': 20}]) AS m FROM parts),
+part_issues AS (
+  SELECT path, CAST(line AS INTEGER) AS line, 'too_high_' || m.c AS rule_id, m.c AS category, 'warn' AS severity, CASE WHEN lang = 'python' AND %(trees)s AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable') THEN 90 ELSE 80 END AS confidence, found, CAST(m.v AS VARCHAR) || ' is over the limit' AS message
+  FROM measured WHERE m.v > m.most
+  UNION ALL SELECT path, CAST(line AS INTEGER), 'swallowed_error', 'exception_handling', 'block', 90, '', 'an error is swallowed' FROM parts WHERE kind = 'empty_handler'),
+long_files AS (
+  SELECT path, 1 AS line, 'too_high_lines' AS rule_id, 'lines' AS category, 'warn' AS severity, 80 AS confidence, '' AS found, CAST(len(string_split(content, chr(10))) AS VARCHAR) || ' is over the limit' AS message
+  FROM raw WHERE len(string_split(content, chr(10))) > 500)"""
+_BLOCKS = """trimmed AS (
+  SELECT path, stands, line, row_number() OVER (PARTITION BY path ORDER BY stands) AS k FROM (
+    SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS stands, trim(unnest(string_split(content, chr(10)))) AS line FROM {0}) WHERE line <> ''),
 blocks AS (
-  SELECT path, count(*) OVER w AS n, string_agg(line, chr(10)) OVER w AS block FROM trimmed
-  WINDOW w AS (PARTITION BY path ORDER BY k ROWS BETWEEN CURRENT ROW AND {d.LIMITS["block_lines"] - 1} FOLLOWING)),
+  SELECT path, stands, count(*) OVER w AS n, md5(string_agg(line, chr(10)) OVER w) AS hash FROM trimmed
+  WINDOW w AS (PARTITION BY path ORDER BY k ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
 dup_blocks AS (
-  SELECT md5(block) AS hash, count(*) AS occurrences, count(DISTINCT path) AS n_files, min(path) AS first_path FROM blocks WHERE n = {d.LIMITS["block_lines"]} GROUP BY 1 HAVING count(*) > 1)"""
-_EDGES = f"""imported AS (
-  SELECT path, lang, unnest({_by_lang({lang: f"regexp_extract_all(stripped, {quoted(p)}, 1)" for lang, p in d.IMPORTS.items()}, "[]")}) AS name FROM stripped WHERE lang IN ('python', 'javascript', 'java')),
-modules AS (
-  SELECT path, CASE WHEN lang = 'javascript' THEN regexp_replace(path, '[^/]*$', '') || regexp_replace(name, '^\\./', '') ELSE replace(name, '.', '/') END AS module FROM imported),
-edges AS (
-  SELECT DISTINCT m.path AS src, f.path AS dst FROM modules m JOIN files f ON regexp_replace(f.path, '\\.[a-z]+$', '') = m.module AND f.lang IN ('python', 'javascript', 'java'))""".replace("\\\\", "\\")
-
-
-def _cycles(edges: str, most: int) -> str:
-    return f"""walks AS (
-  SELECT src AS start, dst AS node, [src, dst] AS nodes, 1 AS length FROM {edges} WHERE src < dst
-  UNION ALL
-  SELECT start, e.dst, list_append(nodes, e.dst), length + 1 FROM walks w JOIN {edges} e ON e.src = w.node
-  WHERE e.dst > start AND NOT list_contains(nodes, e.dst) AND length < {most - 1}),
-cycles AS (
-  SELECT array_to_string(list_append(nodes, start), '>') AS cycle, CAST(length + 1 AS INTEGER) AS length FROM walks w JOIN {edges} e ON e.src = w.node AND e.dst = w.start
-  UNION ALL SELECT src || '>' || dst, 1 FROM {edges} WHERE src = dst)"""
-
-
-_VIOLATIONS = """violations AS (
-  SELECT src, dst, a.layer AS src_layer, b.layer AS dst_layer FROM edges JOIN files a ON a.path = src JOIN files b ON b.path = dst
-  WHERE a.layer <> 'none' AND b.layer <> 'none' AND a.layer <> b.layer AND NOT EXISTS (SELECT 1 FROM allowed WHERE src_layer = a.layer AND dst_layer = b.layer))"""
-_CUSTOM = "custom AS (" + " UNION ALL ".join(
-    f"SELECT path, {_LINE} AS line, '{r['id']}' AS rule_id, 'custom' AS category, '{r['severity']}' AS severity, {d.RAW} AS confidence, found, {quoted(r['message'])} AS message FROM (SELECT *, regexp_extract(content, {quoted(r['pattern'])}) AS found FROM files WHERE {_fits(r['target'])} AND regexp_matches(content, {quoted(r['pattern'])}))" for r in _rules()
-) + ")"
-_NAMING = f"""styled AS (
-  SELECT path, lang, name, {_case("name", d.STYLES, "mixed")} AS style FROM counted),
-usual AS (
-  SELECT lang, style AS usual FROM (SELECT lang, style, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, style) AS k FROM styled WHERE style <> 'lower' GROUP BY lang, style) WHERE k = 1),
-naming AS (
-  SELECT DISTINCT path, {_NO_LINE}, 'naming_style' AS rule_id, 'naming' AS category, 'info' AS severity, {d.STRIPPED} AS confidence, name AS found, style || ' among ' || usual AS message
-  FROM styled JOIN usual USING (lang) WHERE style <> 'lower' AND style <> usual)"""
-
-
-def _metric(category: str, found: str, value: str, source: str) -> str:
-    return f"SELECT DISTINCT path, {_NO_LINE}, 'too_high_{category}' AS rule_id, '{category}' AS category, 'warn' AS severity, {d.STRIPPED} AS confidence, {found} AS found, CAST({value} AS VARCHAR) || ' is over the limit' AS message FROM {source} WHERE {value} > {d.LIMITS[category]}"
-
-
-_METRICS = "metrics AS (" + " UNION ALL ".join((
-    _metric("complexity", "''", "complexity", "complexities"),
-    _metric("nesting", "''", "max_depth", "depths"),
-    _metric("params", "name", "n_params", "counted"),
-    _metric("methods", "class", "n_methods", "methods"),
-    _metric("lines", "''", "len(string_split(content, chr(10)))", "files"),
-)) + ")"
-_ALL = [_FILES, _OFF, _ALLOWED, _SECURITY, _EXCEPTIONS, _FUNCTIONS, _METHODS, _COMPLEXITY, _depths("depths", "SELECT path, stripped AS content FROM stripped WHERE lang IN ('javascript', 'java', 'csharp', 'cpp')"), _METRICS, _BLOCKS, _EDGES, _cycles("edges", 6), _VIOLATIONS, _CUSTOM, _NAMING]
-
-
-def _issues(team: bool) -> str:
-    plain = f"""SELECT * FROM exceptions UNION ALL SELECT * FROM metrics UNION ALL SELECT * FROM custom
-  UNION ALL SELECT first_path, {_NO_LINE}, 'duplicate_block', 'duplicate_code', 'warn', {d.STRIPPED}, hash, 'stands ' || CAST(occurrences AS VARCHAR) || ' times' FROM dup_blocks
-  UNION ALL SELECT string_split(cycle, '>')[1], {_NO_LINE}, 'dependency_cycle', 'architecture', 'block', {d.CYCLE}, cycle, 'files import each other in a circle' FROM cycles
-  UNION ALL SELECT src, {_NO_LINE}, 'layer_violation', 'architecture', 'block', {d.STRIPPED}, dst, src_layer || ' imports ' || dst_layer FROM violations""" + " UNION ALL SELECT * FROM naming" * team
-    return f"""plain AS ({plain}),
-issues AS (
-  SELECT p.* FROM plain p JOIN files f USING (path) WHERE NOT EXISTS (SELECT 1 FROM off WHERE off.file_class = f.file_class AND off.category = p.category)
-  UNION ALL SELECT * FROM security)"""
-
-
-def _with(*parts: str, recursive: bool = False) -> str:
-    return f"WITH {'RECURSIVE ' * recursive}" + ",\n".join(parts) + "\n"
+  SELECT hash, count(*) AS occurrences, count(DISTINCT path) AS n_files, min(path) AS first_path FROM blocks WHERE n = 6 GROUP BY 1 HAVING count(*) > 1)"""
+_DUPLICATES = _BLOCKS.format("(SELECT f.path, f.content FROM files f WHERE file_class NOT IN ('generated', 'migration'))") + """,
+duplicate_issues AS (
+  SELECT path, CAST(stands AS INTEGER) AS line, 'duplicate_block' AS rule_id, 'duplicate_code' AS category, 'warn' AS severity, 80 AS confidence, hash AS found, 'stands ' || CAST(occurrences AS VARCHAR) || ' times' AS message
+  FROM blocks JOIN dup_blocks USING (hash) WHERE n = 6)"""
+_EDGES = f"edges(src, dst) AS ({_values(answers.EDGES)})"
+
+
+def _cycles(edges: str) -> str:
+    """Components by what reaches what; of each, paths from the least node that repeat nothing, until they are back."""
+    return f"""reached(src, dst) AS (SELECT src, dst FROM {edges} UNION SELECT r.src, e.dst FROM reached r JOIN {edges} e ON e.src = r.dst),
+member AS (
+  SELECT a.src AS node, min(a.dst) AS component FROM reached a JOIN reached b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src),
+walks AS (
+  SELECT component, node, [node] AS path FROM member WHERE node = component
+  UNION ALL SELECT w.component, e.dst, list_append(path, e.dst) FROM walks w JOIN {edges} e ON e.src = w.node JOIN member m ON m.node = e.dst AND m.component = w.component
+  WHERE (w.node <> w.component OR len(path) = 1) AND (e.dst = w.component OR NOT list_contains(path, e.dst))),
+shortest AS (
+  SELECT component, path FROM walks WHERE len(path) > 1 AND node = component QUALIFY row_number() OVER (PARTITION BY component ORDER BY len(path), path) = 1),
+circles AS (
+  SELECT m.node, m.component, (SELECT count(*) FROM member x WHERE x.component = m.component) AS n_nodes, CAST(len(s.path) - 1 AS INTEGER) AS length, array_to_string(s.path, '>') AS cycle
+  FROM member m JOIN shortest s USING (component))"""
+
+
+_GRAPH = f"""{_EDGES},
+{_cycles("edges")},
+violations(src, dst, src_layer, dst_layer) AS ({_values(answers.VIOLATIONS)}),
+graph_issues AS (
+  SELECT node AS path, CAST(NULL AS INTEGER) AS line, 'dependency_cycle' AS rule_id, 'architecture' AS category, 'block' AS severity, 95 AS confidence, cycle AS found, CAST(n_nodes AS VARCHAR) || ' files or packages import each other in a circle' AS message FROM circles WHERE node NOT LIKE '%/'
+  UNION ALL SELECT src, NULL, 'layer_violation', 'architecture', 'block', 80, dst, src_layer || ' imports ' || dst_layer FROM violations)"""
+_NAMING = f"naming({ISSUE}) AS ({_values(answers.NAMING)})"
+_OFF = f"off(file_class, category) AS ({values_sql(gate.SWITCHED_OFF)})"
 
 
-def _hits(rule: str) -> str:
-    p = d.SECURITY[rule][2 if rule == "empty_handler" else 1]
-    return _with(_FILES) + f"SELECT path, found, count(*) AS n FROM (SELECT path, unnest(regexp_extract_all(stripped, {quoted(p)})) AS found FROM stripped) GROUP BY ALL"
-
+def _issues(team: bool = False, trees: bool = False, where: str = "true") -> str:
+    plain = f"""SELECT {ISSUE} FROM line_issues UNION ALL SELECT {ISSUE} FROM part_issues UNION ALL SELECT {ISSUE} FROM long_files
+  UNION ALL SELECT {ISSUE} FROM duplicate_issues UNION ALL SELECT {ISSUE} FROM graph_issues""" + f" UNION ALL SELECT {ISSUE} FROM naming" * team
+    return _with(_FILES, _OFF, _TEXT_ISSUES, _LINES, _PARTS if trees else _PLAIN, _METRICS % {"trees": str(trees).lower()}, _DUPLICATES, _GRAPH, _NAMING, f"""plain AS ({plain}),
+issues AS (
+  SELECT p.* FROM plain p JOIN files f USING (path) WHERE {where} AND (p.category = 'security' OR NOT EXISTS (SELECT 1 FROM off WHERE off.file_class = f.file_class AND off.category = p.category)))""", recursive=True)
 
-_RULE_COLUMNS = ("id", "description", "severity", "target", "pattern", "message", "suggestion")
 
+_DEPTHS = """braces AS (SELECT path, generate_subscripts(b, 1) AS k, unnest(b) AS brace FROM (SELECT path, regexp_extract_all(content, '[{}]') AS b FROM texts)),
+depths AS (
+  SELECT s.path, CAST(coalesce(max(depth), 0) AS INTEGER) AS max_depth FROM texts s LEFT JOIN (
+    SELECT path, greatest(0, sum(CASE brace WHEN '{' THEN 1 ELSE -1 END) OVER (PARTITION BY path ORDER BY k)) AS depth FROM braces) x ON s.path = x.path GROUP BY s.path)"""
+_RULES = f"catalog AS (SELECT unnest(json_extract(CAST({quoted(sample.RULES_JSON)} AS JSON), '$.rules[*]')) AS r)"
+_RULE = ", ".join(f"r->>'{c}' AS {c}" for c in ("id", "description", "severity", "target", "pattern", "message", "suggestion"))
 
-def _all_rules() -> list[tuple[str, ...]]:
-    import json
 
-    return [tuple(r[c] for c in _RULE_COLUMNS) for r in json.loads(sample.RULES_JSON)["rules"]]
+def _hits(rule: str) -> str:
+    return _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT path, found, count(*) AS n FROM line_issues WHERE rule_id = '{rule}' GROUP BY ALL"
 
 
-def _scope(glob: bool) -> str:
-    return _with(_FILES) + " UNION ALL ".join(f"SELECT '{r['id']}' AS id, path FROM files WHERE {_fits(r['target'])}" for r in _rules() if _is_glob(r["target"]) == glob)
+def _part(kind: str, columns: str, trees: bool = True) -> str:
+    """By trees only what trees gave."""
+    only = " AND lang = 'python' AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable')" * trees
+    whole = ", ".join(f"CAST({c} AS INTEGER) AS {c}" if c not in ("name", "lang") else c for c in columns.split(", "))
+    return _with(_PARTS if trees else _PLAIN) + f"SELECT path, {whole} FROM parts WHERE kind = '{kind}'{only}"
 
 
-_PERSONAL = _with(*_ALL, _issues(False), recursive=True)
-_COLUMNS = ", ".join(d.ISSUE)
+_CHANGED = f"path IN (SELECT x FROM ({values_sql(sample.CHANGED)}) AS c(x))"
+_TEXTS = f"texts AS (SELECT path, content FROM {_code('sample')} UNION ALL SELECT CAST(page_id AS VARCHAR), coalesce(html, '') FROM pages)"
 ORACLE_SQL: dict[str, str] = {
     "scan_files": _with(_FILES) + "SELECT path, lang, file_class, layer, CAST(length(content) AS INTEGER) AS n_chars FROM files",
-    "scan_diff": _with(_FILES, f"changed(path) AS ({values_sql(sample.CHANGED)})") + "SELECT path, lang, CAST(length(content) AS INTEGER) AS n_chars FROM files WHERE path IN (SELECT path FROM changed)",
-    "scan_team": _with(*_ALL, _issues(True), recursive=True) + f"SELECT {_COLUMNS} FROM issues",
-    "load_rules": f"SELECT * FROM ({values_sql(_all_rules())}) AS x({', '.join(_RULE_COLUMNS)})",
+    "scan_diff": _issues(trees=True, where=_CHANGED) + f"SELECT {ISSUE} FROM issues",
+    "scan_team": _issues(team=True) + f"SELECT {ISSUE} FROM issues",
+    "load_rules": _with(_RULES) + f"SELECT {_RULE} FROM catalog",
     "detect_language": _with(_FILES) + "SELECT lang, count(*) AS n_files FROM files GROUP BY lang",
     "classify_file": _with(_FILES) + "SELECT file_class, count(*) AS n_files FROM files GROUP BY file_class",
     "classify_layer": _with(_FILES) + "SELECT layer, count(*) AS n_files FROM files GROUP BY layer",
     "class_policy": _with(_FILES, _OFF) + "SELECT file_class, count(*) AS n_files, (SELECT count(*) FROM off WHERE off.file_class = files.file_class) AS n_off FROM files GROUP BY file_class",
-    "rule_scope": _scope(False),
-    "rule_scope_glob": _scope(True),
-    "custom_rules": _with(_FILES, _CUSTOM) + f"SELECT {_COLUMNS} FROM custom",
-    "constraint_view": f"SELECT id, '[' || upper(severity) || '] ' || target || ': ' || description || ' - ' || suggestion AS line FROM ({values_sql(_all_rules())}) AS x({', '.join(_RULE_COLUMNS)}) WHERE id <> 'BROKEN'",
-    "strip_comments": _with(_FILES) + "SELECT path, md5(stripped) AS stripped_md5, CAST(length(stripped) AS INTEGER) AS n_chars FROM stripped",
-    "three_scan_security": _with(_FILES, _SECURITY) + f"SELECT {_COLUMNS} FROM security",
-    "red_lines": _with(_FILES, _SECURITY) + "SELECT rule_id, confidence, count(*) AS n_issues, count(DISTINCT path) AS n_files FROM security GROUP BY ALL",
+    "rule_scope": _with(_FILES) + "SELECT 'DOMAIN_HAS_NO_CLOCK' AS id, path FROM files WHERE layer = 'domain' UNION ALL SELECT 'PY_RUN_IS_NAMED', path FROM files WHERE lang = 'python' UNION ALL SELECT 'ANY_LICENSE', path FROM files",
+    "rule_scope_glob": _with(_FILES) + "SELECT 'TS_HOSTS_BY_NAME' AS id, path FROM files WHERE path LIKE '%.ts'",
+    "custom_rules": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'custom'",
+    "constraint_view": _with(_RULES) + f"SELECT id, '[' || upper(severity) || '] ' || target || ': ' || description || ' - ' || suggestion AS line FROM (SELECT {_RULE} FROM catalog) WHERE id <> 'BROKEN'",
+    "strip_comments": _with(_RAW) + f"SELECT path, md5(content) AS stripped_md5, CAST(length(content) AS INTEGER) AS n_chars FROM {_code('raw')}",
+    "three_scan_security": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'security'",
+    "red_lines": _with(_RAW, _TEXT_ISSUES, _LINES) + "SELECT rule_id, confidence, count(*) AS n_issues, count(DISTINCT path) AS n_files FROM line_issues WHERE category = 'security' GROUP BY ALL",
     "secrets": _hits("hardcoded_secret"),
     "sql_concat": _hits("sql_concatenation"),
     "dangerous_calls": _hits("dangerous_call"),
     "log_leak": _hits("sensitive_log"),
     "empty_handlers": _hits("empty_handler"),
-    "exception_handling": _with(_FILES, _EXCEPTIONS) + f"SELECT {_COLUMNS} FROM exceptions",
-    "file_size": _with(_FILES) + "SELECT path, CAST(length(content) AS INTEGER) AS n_chars, CAST(len(string_split(content, chr(10))) AS INTEGER) AS n_lines FROM files",
-    "complexity_regex": _with(_FILES, _COMPLEXITY) + "SELECT * FROM complexities",
-    "param_count_regex": _with(_FILES, _FUNCTIONS) + "SELECT path, lang, name, n_params FROM counted",
-    "class_methods_regex": _with(_FILES, _METHODS) + "SELECT * FROM methods",
-    "nesting_braces": _with(_FILES, "texts AS (SELECT path, stripped AS content FROM stripped WHERE path NOT LIKE 'corpus/%' UNION ALL SELECT CAST(page_id AS VARCHAR), coalesce(html, '') FROM pages)", _depths("depths", "SELECT * FROM texts")) + "SELECT * FROM depths",
-    "dup_blocks": _with(_FILES, _BLOCKS) + "SELECT * FROM dup_blocks",
-    "dup_files": _with(_FILES) + "SELECT md5(content) AS hash, count(*) AS copies, min(path) AS first_path FROM files GROUP BY 1 HAVING count(*) > 1",
-    "naming_consistency": _with(_FILES, _FUNCTIONS, _NAMING) + f"SELECT {_COLUMNS} FROM naming",
-    "dep_edges": _with(_FILES, _EDGES) + "SELECT * FROM edges",
-    "dep_cycles": _with(_FILES, _EDGES, _cycles("edges", 6), recursive=True) + "SELECT * FROM cycles",
+    "exception_handling": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'exception_handling'",
+    "file_size": _with(_RAW) + "SELECT path, CAST(length(content) AS INTEGER) AS n_chars, CAST(len(string_split(content, chr(10))) AS INTEGER) AS n_lines FROM raw",
+    "complexity_regex": _part("function", "lang, name, line, complexity", trees=False),
+    "param_count_regex": _part("function", "lang, name, line, n_params", trees=False),
+    "class_methods_regex": _part("class", "lang, name, line, n_methods", trees=False),
+    "nesting_braces": _with(_RAW, _TEXTS, _DEPTHS) + "SELECT * FROM depths",
+    "dup_blocks": _with(_RAW, _BLOCKS.format("raw")) + "SELECT * FROM dup_blocks",
+    "dup_files": _with(_RAW) + "SELECT md5(content) AS hash, count(*) AS copies, min(path) AS first_path FROM raw GROUP BY 1 HAVING count(*) > 1",
+    "naming_consistency": _with(_NAMING) + f"SELECT {ISSUE} FROM naming",
+    "dep_edges": _with(_EDGES) + "SELECT * FROM edges",
+    "dep_cycles": _with(_EDGES, _cycles("edges"), recursive=True) + "SELECT node AS path, component, n_nodes, length, cycle FROM circles",
     "event_cycles": _with(
         "steps AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events)",
         "counts AS (SELECT src, dst, count(*) AS n FROM steps WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst)",
         "often AS (SELECT src, dst FROM counts WHERE n > (SELECT avg(n) FROM counts))",
-        _cycles("often", 5),
+        _cycles("often"),
         recursive=True,
-    ) + "SELECT * FROM cycles",
-    "layer_violations": _with(_FILES, _ALLOWED, _EDGES, _VIOLATIONS) + "SELECT * FROM violations",
-    "all_issues": _PERSONAL + f"SELECT {_COLUMNS} FROM issues",
-    "issues_by_severity": _PERSONAL + "SELECT severity, count(*) AS n_issues, count(DISTINCT path) AS n_files, min(confidence) AS least_confidence FROM issues GROUP BY severity",
-    "gate_exit_code": _PERSONAL + "SELECT coalesce(max(CASE severity WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END), 0) AS exit_code FROM issues",
+    ) + "SELECT node AS event_type, component, n_nodes, length, cycle FROM circles",
+    "layer_violations": _with(f"violations(src, dst, src_layer, dst_layer) AS ({_values(answers.VIOLATIONS)})") + "SELECT * FROM violations",
+    "all_issues": _issues() + f"SELECT {ISSUE} FROM issues",
+    "issues_by_severity": _issues() + "SELECT severity, count(*) AS n_issues, count(DISTINCT path) AS n_files, min(confidence) AS least_confidence FROM issues GROUP BY severity",
+    "gate_exit_code": _issues() + "SELECT coalesce(max(CASE severity WHEN 'block' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END), 0) AS exit_code FROM issues",
+    "issue_json": _issues() + "SELECT CAST(to_json(struct_pack(" + ", ".join(f"{c} := {c}" for c in ISSUE.split(", ")) + ")) AS VARCHAR) AS issue FROM issues",
+    "all_issues_ast": _issues(team=True, trees=True) + f"SELECT {ISSUE} FROM issues",
+    "complexity_ast": _part("function", "name, line, complexity"),
+    "nesting_ast": _part("function", "name, line, nesting"),
+    "param_count_ast": _part("function", "name, line, n_params"),
+    "class_methods_ast": _part("class", "name, line, n_methods"),
+    "empty_handlers_ast": _part("empty_handler", "line"),
 }

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill import sample
 from sparkquill.functions.text import class_of
-from sparkquill.operators import detectors
-from sparkquill.operators.syntax import syntax_issues
+from sparkquill.operators import detectors, imports
+from sparkquill.operators.structure import identifiers, structure
 from sparkquill.session import cut
+from sparkquill.sources.rules import Rule
 
 #: Categories that a class of files switches off. Red lines (security) hold everywhere.
 SWITCHED_OFF: tuple[tuple[str, str], ...] = (
@@ -33,22 +35,37 @@ def policy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(SWITCHED_OFF), "file_class string, category string")
 
 
-def collect_issues(files: DataFrame, rules: DataFrame | None = None, mode: str = "personal", trees: bool = True) -> DataFrame:
-    """All issues of files in a mode; naming belongs to ``team`` only. In ``diff`` mode files are the changed ones.
-    trees: Python files are measured by their syntax trees, else by patterns as other languages are."""
+def collect_issues(files: DataFrame, rules: Sequence[Rule] = (), mode: str = "personal", trees: bool = True, changed: DataFrame | None = None) -> DataFrame:
+    """All issues of files in a mode; naming belongs to ``team`` only. trees: Python files are measured by their syntax trees, else
+    by patterns as other languages are.
+
+    In ``diff`` mode the issues are those of changed (path). Files are all the same: imports, repeated blocks and usual names
+    are of the whole project, so that what a changed file breaks together with unchanged ones is found.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     spark = files.sparkSession
-    row_by_row = detectors.matched(files, detectors.security_matches() + detectors.exception_matches() + detectors.metric_matches("python" if trees else ""))
-    edges = cut(detectors.dependency_edges(files))
-    found = [row_by_row, detectors.duplicate_issues(switched_on(files, "duplicate_code")), detectors.cycle_issues(edges), detectors.layer_issues(edges, allowed_layers(spark))]
-    if trees:
-        found.append(syntax_issues(files))
-    if rules is not None:
-        found.append(detectors.custom_issues(files, rules))
+    if mode == "diff":
+        if changed is None:
+            raise ValueError("diff mode needs the changed paths")
+        changed = cut(changed.select("path").distinct())
+    only = (lambda rows: rows.join(changed, "path", "left_semi")) if mode == "diff" else (lambda rows: rows)
+    # One scan: matches of each file, and what languages' files import.
+    found = [*detectors.security_matches(), *detectors.exception_matches(), *detectors.size_matches(), *detectors.custom_matches(list(rules))]
+    rows = detectors.matches(files, found)
+    known = F.col("lang") != "other"
+    rows = cut(rows.where(known | (F.size("matches") > 0)).select("path", "lang", "matches", F.when(known, imports.candidates()).alias("imports"), F.when(known, imports.package()).alias("package")))
+    edges = cut(imports.edges(rows.where(known).select("path", "lang", "imports", "package")))
+    parts = [
+        only(detectors.exploded(rows)),
+        only(detectors.structure_issues(structure(only(files), trees))),
+        only(detectors.duplicate_issues(switched_on(files, "duplicate_code"))),
+        only(detectors.cycle_issues(edges)),
+        only(detectors.layer_issues(edges, allowed_layers(spark))),
+    ]
     if mode == "team":
-        found.append(detectors.naming_issues(files))
-    return adapt(reduce(DataFrame.unionByName, found))
+        parts.append(detectors.naming_issues(cut(identifiers(files))))
+    return adapt(reduce(DataFrame.unionByName, parts))
 
 
 def switched_on(files: DataFrame, category: str) -> DataFrame:
@@ -58,24 +75,29 @@ def switched_on(files: DataFrame, category: str) -> DataFrame:
 
 
 def adapt(issues: DataFrame) -> DataFrame:
-    """issues without those of categories that their file's class switches off; the policy never names red lines."""
-    rows = issues.withColumn("file_class", class_of(F.col("path")))
-    return rows.join(F.broadcast(policy(issues.sparkSession)), ["file_class", "category"], "left_anti").select(*detectors.ISSUE)
+    """issues without those of categories that their file's class switches off. Red lines never go through the policy."""
+    bound = issues.where(F.col("category") != "security").withColumn("file_class", class_of(F.col("path")))
+    kept = bound.join(F.broadcast(policy(issues.sparkSession)), ["file_class", "category"], "left_anti")
+    return kept.select(*detectors.ISSUE).unionByName(issues.where(F.col("category") == "security").select(*detectors.ISSUE))
 
 
 def by_severity(issues: DataFrame) -> DataFrame:
     return issues.groupBy("severity").agg(F.count("*").alias("n_issues"), F.count_distinct("path").alias("n_files"), F.min("confidence").alias("least_confidence"))
 
 
+def rank() -> Column:
+    """RANKS of severity; a rule's severity of another name counts as info."""
+    return reduce(lambda out, pair: F.when(F.col("severity") == pair[0], pair[1]).otherwise(out), RANKS.items(), F.lit(0))
+
+
 def verdict(issues: DataFrame) -> DataFrame:
     """One row: 0 to pass, 1 to warn, 2 to block, by the worst severity; no issue passes."""
-    ranks = F.create_map(*[F.lit(x) for pair in RANKS.items() for x in pair])
-    return issues.agg(F.coalesce(F.max(ranks[F.col("severity")]), F.lit(0)).alias("exit_code"))
+    return issues.agg(F.coalesce(F.max(rank()), F.lit(0)).alias("exit_code"))
 
 
 def as_json(issues: DataFrame) -> DataFrame:
     """Each issue as one JSON string, for clients."""
-    return issues.select(F.to_json(F.struct(*detectors.ISSUE)).alias("issue"))
+    return issues.select(F.to_json(F.struct(*detectors.ISSUE), {"ignoreNullFields": "false"}).alias("issue"))
 
 
 def constraints(rules: DataFrame) -> DataFrame:

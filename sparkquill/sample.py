@@ -1,33 +1,55 @@
-"""A small project as literal tables: one file for each language, class and layer, hits and near misses of each rule."""
+"""A small project as literal tables: files for each language, class and layer, hits and near misses of each rule."""
 
 from __future__ import annotations
 
 FILES: tuple[tuple[str, str], ...] = (
+    # Python: a circle of three, relative and multiple imports, members of a package
+    ("shop/domain/__init__.py", ""),
     ("shop/domain/order.py", 'import shop.domain.money\n\nclass Order:\n    """An order."""\n\n    def total(self, lines):\n        s = 0\n        for l in lines:\n            if l.price > 0 and l.count > 0:\n                s += l.price * l.count\n        return s\n\n    def add(self, line):\n        self.lines.append(line)\n'),
-    ("shop/domain/money.py", "import shop.infrastructure.store\n\ndef round_up(value, digits=2):\n    # password = \"only-in-a-comment\"\n    return value\n"),
-    ("shop/application/checkout.py", "from shop.domain.order import Order\nimport shop.infrastructure.store\n\ndef check_out(a, b, c, d, e, f, g):\n    try:\n        return eval(a)\n    except:\n        pass\n"),
+    ("shop/domain/money.py", "from ..infrastructure import store\n\ndef round_up(value, digits=2):\n    # password = \"only-in-a-comment\"\n    return value\n"),
+    ("shop/application/checkout.py", "import os, shop.infrastructure.store as place\nfrom shop.domain import (\n    order,\n    money as cash,\n)\n\ndef check_out(a, b, c, d, e, f, g):\n    try:\n        return eval(a)\n    except:\n        pass\n"),
     ("shop/infrastructure/store.py", 'import shop.domain.order\n\nAPI_KEY = "a1b2c3d4e5f6"\n\ndef load(name):\n    sql = "SELECT * FROM t WHERE n = " + name\n    logger.info("loading %s with %s", name, password)\n    return run(sql)\n'),
-    ("shop/presentation/view.js", 'import { load } from "./helper";\n// eval(userInput)\nfunction renderAll(items, deep) {\n  for (const i of items) {\n    if (i.open && deep) {\n      while (i.next) { i = i.next; }\n    }\n  }\n  const url = "http://example.org/a";\n  return url ? items : null;\n}\nfunction render_one(item) { try { go(item); } catch (e) { } }\n'),
-    ("shop/presentation/helper.ts", 'import { renderAll } from "./view";\nexport function load(path: string, retry: number) {\n  const token = "abcdef123456";\n  return fetch(path);\n}\nfunction loadLazily() { return 1; }\n'),
-    ("shop/presentation/OrderController.java", 'import shop.application.Billing;\npublic class OrderController {\n  private Store store;\n  public void show(int id) { store.query("SELECT 1 " + id); }\n  public int count(int a, int b, int c) { return a > b ? a : c; }\n}\nclass Helper {\n  public void help() { try { run(); } catch (Exception e) { } }\n}\n'),
-    ("shop/application/Billing.java", "import shop.presentation.OrderController;\npublic class Billing {\n  /* switch (x) { case 1: } */\n  public void bill(String who) { if (who == null) { return; } }\n}\n"),
-    ("cmd/server/main.go", 'package main\n\nfunc Serve(host string, port int) error {\n\tif err := listen(host, port); err != nil {\n\t\treturn err\n\t}\n\tfor {\n\t}\n}\n'),
-    ("src/Billing/Invoice.cs", 'public class Invoice {\n  public decimal Total(decimal net, decimal tax) { return net + tax; }\n  public void Print_All() { foreach (var l in lines) { if (l.Ok) { Console.WriteLine(secret); } } }\n}\n'),
-    ("src/native/matrix.cpp", "int multiply(int a, int b) {\n  // nothing { here\n  for (int i = 0; i < a; i++) { for (int j = 0; j < b; j++) { if (i == j) { k++; } } }\n  return k;\n}\n"),
-    ("src/native/lib.rs", "fn parse(input: &str, strict: bool) -> u32 {\n    if strict { 1 } else { 0 }\n}\nfn parseFast(input: &str) -> u32 { 2 }\n"),
+    # JavaScript and TypeScript: a circle of two, ../ and require()
+    ("web/ui/view.js", 'import { load } from "./helper";\n// eval(userInput)\n/* const token = "abcdefgh12";\n*/\nfunction renderAll(items, deep) {\n  for (const i of items) {\n    if (i.open && deep) {\n      while (i.next) { i = i.next; }\n    }\n  }\n  const url = "http://example.org/a";\n  return url ? items : null;\n}\nfunction render_one(item) { try { go(item); } catch (e) { } }\n'),
+    ("web/ui/helper.ts", 'import { renderAll } from "./view";\nconst db = require("../infrastructure/db");\nexport function load(path: string, retry: Map<string, number>) {\n  const token = "abcdef123456";\n  return fetch(path).catch(() => {});\n}\nconst loadLazily = async (a, b = f(1, 2)) => { return a || b; };\n'),
+    ("web/infrastructure/db/index.ts", "export class Pool {\n  open(host: string, port: number) {\n    return eval('1' + host);\n  }\n}\n"),
+    # Java: classes, methods, wildcards, source roots
+    ("erp/src/main/java/shop/presentation/OrderController.java", 'package shop.presentation;\nimport shop.application.Billing;\npublic class OrderController {\n  private Store store;\n  public void show(int id) { store.query("SELECT 1 " + id); }\n  public int count(Map<String, Integer> a, int b, int c) { return a.size() > b ? b : c; }\n}\nclass Helper {\n  public void help() { try { run(); } catch (Exception e) { } }\n}\n'),
+    ("erp/src/main/java/shop/application/Billing.java", "package shop.application;\nimport shop.presentation.OrderController;\nimport shop.domain.*;\npublic class Billing {\n  /* switch (x) { case 1: } */\n  public void bill(String who) { if (who == null) { return; } }\n}\n"),
+    ("erp/src/main/java/shop/domain/Invoice.java", "package shop.domain;\npublic class Invoice {\n  int total;\n}\n"),
+    # Go: packages, a layer violation, ignored and swallowed errors
+    ("cmd/server/main.go", 'package main\n\nimport (\n\t"fmt"\n\t"example.com/acme/shop/internal/domain"\n)\n\nfunc Serve(host string, port int) error {\n\tif err := listen(host, port); err != nil {\n\t\treturn err\n\t}\n\tfor {\n\t\tif err != nil { }\n\t}\n}\n'),
+    ("internal/domain/price.go", 'package domain\n\nimport "example.com/acme/shop/internal/infra"\n\nfunc (p *Price) Load(key string) (int, error) {\n\tv, _ := infra.Get(key)\n\t_ = infra.Touch(key)\n\treturn v, nil\n}\n'),
+    ("internal/infra/cache.go", "package infra\n\nfunc Get(key string) (int, error) { return 0, nil }\n"),
+    # C#: namespaces, an expression for a body, a catch of everything
+    ("src/Billing/Invoice.cs", "using System;\nusing Shop.Infrastructure;\nnamespace Shop.Domain\n{\npublic class Invoice {\n  public decimal Total(decimal net, decimal tax) => net + tax;\n  public void Print_All() { foreach (var l in lines) { if (l.Ok) { Console.WriteLine(secret); } } }\n  public void Save() { try { Db.Open(); } catch { Log(); } }\n}\n}\n"),
+    ("src/Billing/Db.cs", "namespace Shop.Infrastructure\n{\npublic static class Db {\n  public static void Open() { }\n}\n}\n"),
+    # C and C++: includes, types of their own
+    ("native/services/matrix.cpp", '#include "matrix.h"\n#include "../ui/window.h"\n#include <vector>\nstd::vector<int> multiply(const Matrix& a, int (*f)(int, int)) {\n  // nothing { here\n  for (int i = 0; i < a; i++) { for (int j = 0; j < b; j++) { if (i == j) { k++; } } }\n  try { k(); } catch (...) { throw; }\n  return k;\n}\n'),
+    ("native/services/matrix.h", "struct Matrix { int rows; };\n"),
+    ("native/ui/window.h", "void show(void);\n"),
+    # Rust: modules, use, a panic and a swallowed error
+    ("engine/src/lib.rs", "mod parser;\nmod domain;\n"),
+    ("engine/src/parser.rs", "use crate::domain::rule;\n\nfn parse<'a>(input: &'a str, strict: bool) -> u32 {\n    if strict { 1 } else { read(input).unwrap() }\n}\nfn parseFast(input: &str) -> u32 {\n    match go(input) { Ok(v) => v, Err(_) => {} }\n}\n"),
+    ("engine/src/domain/mod.rs", "pub mod rule;\n"),
+    ("engine/src/domain/rule.rs", "use super::super::parser;\n\npub struct Rule { level: u8 }\n"),
+    # classes of files
     ("tests/test_order.py", 'def test_total():\n    secret = "not-a-real-one"\n    assert True\n'),
     ("config/settings.yaml", 'password: "changeme-now"\nport: 80\n'),
     ("build/generated/api.min.js", "function a(b,c,d,e,f,g,h){return eval(b)}\n"),
     ("shop/migrations/0001_init.py", "def up(db):\n    db.run('create table t (a int)')\n"),
-    ("docs/guide.md", 'Guide\n\nSet token = "put-yours-here" first.\n'),
-    ("tools/broken.py", "def broken(:\n    pass\n"),
-    ("tools/clean.py", 'def load_user(name):\n    """Loads one."""\n    try:\n        return find(name)\n    except KeyError:\n        logger.exception("no such user")\n        return None\n'),
+    ("docs/guide.md", 'Guide\n\nSet token = "put-yours-here" first.\nThen token = "put-yours-here" again.\n'),
+    ("tools/broken.py", "def broken(:\n    pass\ndef whole(a, b=(1, 2)):\n    return a if b else 0\n"),
+    ("tools/clean.py", 'def load_user(name):\n    """Loads one."""\n    maxAge = 3\n    try:\n        return find(name)\n    except KeyError:\n        logger.exception("no such user")\n        return eval("1 + 1")\n'),
+    # repeated lines
+    ("tools/first.sh", "set -e\ncd build\nmake clean\nmake all\nmake test\nmake install\necho done\n"),
+    ("tools/second.sh", "#!/bin/sh\n\nset -e\ncd build\nmake clean\n\nmake all\nmake test\nmake install\n"),
 )
-CHANGED: tuple[str, ...] = ("shop/application/checkout.py", "shop/presentation/view.js", "docs/guide.md", "gone/removed.py")
+CHANGED: tuple[str, ...] = ("shop/domain/money.py", "web/ui/view.js", "tools/second.sh", "docs/guide.md", "gone/removed.py")
 RULES_JSON = r"""{"rules": [
- {"id": "UI_KEEPS_OFF_STORES", "description": "What is shown is fetched by services", "severity": "block", "target": "presentation", "pattern": "\\bstore\\.query\\(|\\bopenStore\\(", "message": "a store is used directly", "suggestion": "ask a service"},
- {"id": "PY_NO_PRINT", "description": "No bare run in Python", "severity": "warn", "target": "python", "pattern": "\\brun\\(", "message": "bare run", "suggestion": "name the runner"},
- {"id": "TS_NO_FETCH", "description": "No bare fetch", "severity": "warn", "target": "*.ts", "pattern": "\\bfetch\\(", "message": "bare fetch", "suggestion": "use the client"},
+ {"id": "DOMAIN_HAS_NO_CLOCK", "description": "Domain code is told the time", "severity": "warn", "target": "domain", "pattern": "\\bround_up\\(|\\btime\\.now\\(", "message": "reads a clock or rounds by itself", "suggestion": "pass the value in"},
+ {"id": "PY_RUN_IS_NAMED", "description": "No bare run in Python", "severity": "warn", "target": "python", "pattern": "\\brun\\(", "message": "bare run", "suggestion": "name the runner"},
+ {"id": "TS_HOSTS_BY_NAME", "description": "Hosts come from the settings", "severity": "info", "target": "*.ts", "pattern": "\\b(?P<what>host|port)\\b", "message": "host or port", "suggestion": "read the settings"},
  {"id": "ANY_LICENSE", "description": "Licence lines are looked at", "severity": "info", "target": "all", "pattern": "(?i)\\blicensed? under\\b", "message": "licence line", "suggestion": "check the licence"},
  {"id": "BROKEN", "description": "A pattern that does not compile", "severity": "warn", "target": "all", "pattern": "(unclosed", "message": "-", "suggestion": "-"}
 ]}"""

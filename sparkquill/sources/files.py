@@ -1,19 +1,20 @@
-"""Sources: a project's files, a table's texts as files, git's change list, and rule catalogs."""
+"""Sources: a project's files, git's change list, and a table's texts as files."""
 
 from __future__ import annotations
 
-import json
+import os
 import subprocess
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill import sample
-from sparkquill.functions.text import class_of, glob_to_regex, language_of, layer_of, portable
+from sparkquill.functions.text import class_of, glob_to_regex, language_of, layer_of
 
-RULE = "struct<id:string,description:string,severity:string,target:string,pattern:string,message:string,suggestion:string>"
-LAYER_TARGETS = ("domain", "application", "infrastructure", "presentation")
-LANGUAGE_TARGETS = ("python", "javascript", "java", "go", "csharp", "cpp", "rust")
+#: Directories that hold no files of a project.
+NO_SOURCES = (".git",)
 
 
 def with_traits(files: DataFrame) -> DataFrame:
@@ -21,28 +22,71 @@ def with_traits(files: DataFrame) -> DataFrame:
     return files.select("path", "content", language_of(F.col("path")).alias("lang"), class_of(F.col("path")).alias("file_class"), layer_of(F.col("path")).alias("layer"))
 
 
-def read_project(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """Every file below root as (path, content, ...), path relative to root; root may be any file system that Spark reads."""
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri"))
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    path = F.substring_index(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), f"{base}/", -1)
-    return with_traits(rows.select(path.alias("path"), "content"))
+def _qualified(spark: SparkSession, root: str) -> tuple[str, str]:
+    """The scheme and the whole path of root, however it is written: '.', '../x', with or without a scheme."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return uri.getScheme(), uri.getPath().rstrip("/")
+
+
+def _below(base: str) -> Column:
+    """The path of _metadata.file_path relative to base."""
+    uri = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    whole = F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?", "")
+    return F.when(F.startswith(whole, F.lit(f"{base}/")), F.substring(whole, len(base) + 2, 1 << 30)).otherwise(F.regexp_extract(whole, "([^/]*)$", 1))
+
+
+def _unlisted(base: str) -> list[str]:
+    """Files below a local base that Spark's listing leaves out, as they or a directory of theirs begin with _ or a dot: ``__init__.py``, ``.env``."""
+    out = []
+    for folder, folders, files in os.walk(base):
+        folders[:] = [f for f in folders if f not in NO_SOURCES]
+        inner = os.path.relpath(folder, base).replace(os.sep, "/")
+        hidden = any(part[:1] in "_." for part in inner.split("/")) and inner != "."
+        out += [name if inner == "." else f"{inner}/{name}" for name in files if hidden or name[:1] in "_."]
+    return sorted(out)
+
+
+def _opened(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
+    """(path, content) of local files, read by tasks; Spark reads local paths by the same rule, that all machines see them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for path in batch.column(0).to_pylist():
+                try:
+                    with open(f"{base}/{path}", "rb") as file:
+                        texts.append(file.read().decode("utf-8", "replace"))
+                        names.append(path)
+                except OSError:  # gone since it was listed, or a broken link
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
+
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, content string")
+
 
+def read_project(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """Every file below root as (path, content, ...), path relative to root; root may be any file system that Spark reads.
 
-def read_changed(spark: SparkSession, root: str, paths: list[str], pattern: str = "*") -> DataFrame:
-    """The files of paths only: unchanged ones aren't opened."""
-    found = [f"{root.rstrip('/')}/{p}" for p in paths]
-    if not found:
-        return read_project(spark, root, pattern).limit(0)
-    rows = spark.read.text(found, wholetext=True, pathGlobFilter=pattern).select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("uri"))
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    return with_traits(rows.select(F.substring_index(F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))), f"{base}/", -1).alias("path"), "content"))
+    Files that Spark's listing hides (names that begin with _ or a dot, but for .git) are read too where root is local.
+    """
+    scheme, base = _qualified(spark, root)
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(_below(base).alias("path"), F.col("value").alias("content"))
+    hidden = _unlisted(base) if scheme == "file" else []
+    if hidden:
+        rows = rows.unionByName(_opened(spark, base, hidden).where(F.lit(pattern == "*") | F.regexp_extract("path", "([^/]*)$", 1).rlike(glob_to_regex(pattern))))
+    return with_traits(rows)
 
 
 def git_changes(root: str, base: str = "HEAD") -> list[str]:
-    """Changed and untracked files of a work tree, by git on the driver."""
-    run = lambda *a: subprocess.run(["git", "-C", root, *a], capture_output=True, text=True, check=True).stdout.split("\0")
-    return sorted({p for p in (*run("diff", "--name-only", "-z", "--diff-filter=d", base), *run("ls-files", "--others", "--exclude-standard", "-z")) if p})
+    """Changed and untracked files below root, by git on the driver, as paths from root; before the first commit all files."""
+
+    def run(*arguments: str) -> list[str]:
+        return subprocess.run(["git", "-C", root, *arguments], capture_output=True, text=True, check=True).stdout.split("\0")
+
+    known = subprocess.run(["git", "-C", root, "rev-parse", "-q", "--verify", base], capture_output=True).returncode == 0
+    changed = run("diff", "--name-only", "--relative", "-z", "--diff-filter=d", base) if known else run("ls-files", "-z")
+    return sorted({p for p in (*changed, *run("ls-files", "--others", "--exclude-standard", "-z")) if p})
 
 
 def texts_as_files(docs: DataFrame) -> DataFrame:
@@ -57,30 +101,3 @@ def sample_files(spark: SparkSession) -> DataFrame:
 def all_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sample project and every document."""
     return sample_files(spark).unionByName(texts_as_files(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-
-
-def parse_rules(spark: SparkSession, text: str) -> DataFrame:
-    """(id, description, severity, target, pattern, message, suggestion) of a catalog's JSON text."""
-    rows = spark.createDataFrame([(text,)], "json string")
-    return rows.select(F.explode(F.from_json("json", f"struct<rules:array<{RULE}>>")["rules"]).alias("r")).select("r.*")
-
-
-def valid_rules(spark: SparkSession, text: str) -> tuple[DataFrame, list[str]]:
-    """The rules whose patterns Java compiles, with kind and scope for joins, and the ids of the rest.
-
-    A bad pattern would end the whole job, so each is tried alone, on the driver: a catalog is a small file of settings.
-    kind: ``layer``, ``language``, ``glob`` or ``all``; scope: what the kind compares with, a pattern for globs.
-    """
-    good, bad = [], []
-    for rule in json.loads(text)["rules"]:
-        rule = {k: str(rule.get(k) or "") for k in ("id", "description", "severity", "target", "pattern", "message", "suggestion")}
-        rule["pattern"] = portable(rule["pattern"])
-        try:
-            spark.range(1).select(F.lit("x").rlike(rule["pattern"])).collect()
-        except Exception:  # noqa: BLE001  whatever the engine raises, the pattern is what it can't take
-            bad.append(rule["id"])
-            continue
-        target = rule["target"]
-        kind = "layer" if target in LAYER_TARGETS else "language" if target in LANGUAGE_TARGETS else "all" if target == "all" else "glob"
-        good.append((*rule.values(), kind, glob_to_regex(target) if kind == "glob" else target))
-    return spark.createDataFrame(good, "id string, description string, severity string, target string, pattern string, message string, suggestion string, kind string, scope string"), bad

@@ -3,6 +3,7 @@
 import fnmatch
 import io
 import json
+import os
 import random
 import re
 import subprocess
@@ -14,9 +15,13 @@ from hypothesis import strategies as st
 from sparkquill import cli, sample
 from sparkquill.functions.text import glob_to_regex, portable
 from sparkquill.operators import detectors as d
-from sparkquill.operators.syntax import measure, python_syntax
+from sparkquill.operators import graph
+from sparkquill.operators.outline import outline
+from sparkquill.operators.structure import measure, structure
 from sparkquill.plans import gate
 from sparkquill.sources import files as sources
+from sparkquill.sources import rules as catalogs
+from sparkquill.sources.rules import Rule
 from sparkquill.streaming.watch import watch
 
 BAD = '''import os
@@ -63,41 +68,56 @@ def test_globs_with_directories():
     assert portable("(?P<n>a)") == "(?<n>a)"
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_cycles_are_those_of_a_search(spark, seed):
-    rng = random.Random(seed)
-    edges = {(rng.choice("abcdef"), rng.choice("abcdef")) for _ in range(12)}
-    found = set()
+def edges_of(spark, edges):
+    return spark.createDataFrame(sorted(edges), "src string, dst string")
 
-    def walk(path):
-        for a, b in edges:
-            if a == path[-1] and len(path) <= 5:
-                if b == path[0]:
-                    found.add(">".join([*path, b]))
-                elif b > path[0] and b not in path:
-                    walk([*path, b])
 
-    for node in "abcdef":
-        walk([node])
-    rows = d.cycles(spark.createDataFrame(sorted(edges), "src string, dst string"), 5).collect()
-    assert sorted(r.cycle for r in rows) == sorted(found)
-    assert all(r.cycle.count(">") == r.length for r in rows)
+def strong(edges):
+    """node -> least node of its strongly connected component, for nodes on a cycle; by search."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reach(a):
+        seen, todo = set(), [a]
+        while todo:
+            for b in after.get(todo.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        return seen
+
+    far = {a: reach(a) for a in {x for e in edges for x in e}}
+    return {a: min(b for b in far[a] if a in far[b]) for a in far if a in far[a]}
+
+
+def test_components_are_those_of_a_search(spark):
+    rng = random.Random(1)
+    edges = {(f"{g}{rng.choice('abcdefgh')}", f"{g}{rng.choice('abcdefgh')}") for g in range(12) for _ in range(11)}
+    edges |= {(f"{g}a", f"{g + 1}b") for g in range(11)}
+    inner = graph.cyclic_edges(edges_of(spark, edges))
+    assert {r.node: r.component for r in graph.members(inner).collect()} == strong(edges)
+    for r in graph.cycles(inner).collect():
+        nodes = r.cycle.split(">")
+        assert nodes[0] == nodes[-1] == r.component and len(nodes) == r.length + 1 == len(set(nodes)) + 1
+        assert set(zip(nodes, nodes[1:], strict=False)) <= edges
+        assert r.n_nodes == sum(c == r.component for c in strong(edges).values())
 
 
 def test_circles_of_any_length(spark):
-    ring = [f"n{k:02}" for k in range(9)]
-    edges = {*zip(ring, ring[1:] + ring[:1], strict=True)}  # longer than the enumeration goes
-    edges |= {("a", "b"), ("b", "a"), *zip("bcdefgh", "cdefghb", strict=True)}  # a short and a long one that share a node
-    edges |= {("n00", "a"), ("h", "end"), ("end", "after")}  # on no circle
-    found = {r.cycle: r.length for r in d.all_circles(spark.createDataFrame(sorted(edges), "src string, dst string")).collect()}
-    assert found == {">".join([*ring, "n00"]): 9, "a>b>a": 2, "b>c>d>e>f>g>h>b": 7}
+    ring = lambda name, n: {(f"{name}{k:02}", f"{name}{(k + 1) % n:02}") for k in range(n)}
+    edges = ring("s", 7) | ring("t", 20) | ring("u", 5) | ring("v", 6) | {("u00", "v03"), ("v04", "u02"), ("loop", "loop"), ("s00", "t00"), ("end", "s01"), ("t03", "after")}
+    found = {r.component: (r.n_nodes, r.length) for r in graph.cycles(graph.cyclic_edges(edges_of(spark, edges))).collect()}
+    assert found == {"s00": (7, 7), "t00": (20, 20), "u00": (11, 5), "loop": (1, 1)}
+    assert graph.cyclic_edges(edges_of(spark, {("a", "b"), ("b", "c")})).count() == 0
+    assert d.cycle_members(edges_of(spark, {("a", "b")})).count() == 0
 
 
 def test_a_long_circle_of_imports_blocks(spark):
     rows = [(f"app/m{k}.py", f"import app.m{(k + 1) % 8}\n") for k in range(8)]
     issues = gate.collect_issues(files(spark, *rows))
     assert gate.verdict(issues).first().exit_code == 2
-    assert [r.found.count(">") for r in issues.where("rule_id = 'dependency_cycle'").collect()] == [8]
+    assert [r.found.count(">") for r in issues.where("rule_id = 'dependency_cycle'").collect()] == [8] * 8  # one for each file
 
 
 @given(st.text("{}x", max_size=30))
@@ -115,33 +135,76 @@ def test_brace_nesting(spark):
 
 
 def test_contrast_pair(spark):
-    bad, good = measure("bad.py", BAD), measure("good.py", GOOD)
-    (function,) = [r for r in bad if r[1] == "function"]
-    assert function[6] == 10 and function[5] >= 6 and function[4] >= 10
-    (function,) = [r for r in good if r[1] == "function"]
-    assert function[6] == 2 and function[5] == 2 and function[4] <= 5
+    (bad,) = [r for r in measure("python", BAD) if r[0] == "function"]
+    assert bad[5] == 10 and bad[4] >= 6 and bad[3] >= 10
+    (good,) = [r for r in measure("python", GOOD) if r[0] == "function"]
+    assert good[5] == 2 and good[4] == 2 and good[3] <= 5
     verdicts = [gate.verdict(gate.collect_issues(files(spark, ("app/x.py", text)))).first().exit_code for text in (BAD, GOOD)]
     assert verdicts == [2, 0]
 
 
 def test_python_is_measured_by_its_trees(spark):
-    rows = gate.collect_issues(files(spark, ("app/x.py", BAD), ("app/y.py", "def f(:\n" + "if x:\n" * 20), ("app/z.py", "if x: pass\n" * 40))).collect()
-    found = {(r.path, r.rule_id, r.found, r.confidence) for r in rows}
-    assert {("app/x.py", "too_high_params", "handle", d.SYNTAX), ("app/x.py", "too_high_nesting", "handle", d.SYNTAX), ("app/x.py", "swallowed_error", "", d.SYNTAX)} <= found
-    assert ("app/y.py", "too_high_complexity", "", d.STRIPPED) in found
+    rows = gate.collect_issues(files(spark, ("app/x.py", BAD), ("app/y.py", "def f(:\n" + "def g(a):\n" + "  if x: pass\n" * 20), ("app/z.py", "if x: pass\n" * 40))).collect()
+    found = {(r.path, r.rule_id, r.found, r.line, r.confidence) for r in rows}
+    assert {("app/x.py", "too_high_params", "handle", 2, d.SYNTAX), ("app/x.py", "too_high_nesting", "handle", 2, d.SYNTAX), ("app/x.py", "swallowed_error", "", 11, d.SYNTAX)} <= found
+    assert ("app/y.py", "too_high_complexity", "g", 2, d.STRIPPED) in found
     assert not any(path == "app/z.py" and rule == "too_high_complexity" for path, rule, *_ in found)
 
 
-def test_syntax_rows(spark):
-    rows = python_syntax(files(spark, ("a.py", "class A:\n  def f(self): pass\n  async def g(self, *a, k=1, **b): return [x for x in a if x]\n"), ("b.py", "def ("), ("c.js", "x"))).collect()
-    kinds = sorted((r.path, r.kind, r.name, r.n_params, r.n_methods, r.complexity) for r in rows)
+def test_structure_rows(spark):
+    rows = structure(files(spark, ("a.py", "class A:\n  def f(self): pass\n  async def g(self, *a, k=1, **b): return [x for x in a if x]\n"), ("b.py", "def ("), ("c.txt", "x"), ("d.js", None))).collect()
+    kinds = sorted(((r.path, r.kind, r.name, r.n_params, r.n_methods, r.complexity) for r in rows), key=repr)
     assert ("a.py", "class", "A", None, 2, None) in kinds and ("a.py", "function", "g", 4, None, 2) in kinds
     assert ("b.py", "unparsable", None, None, None, None) in kinds and len(kinds) == 4
 
 
-def test_strings_hold_no_comments(spark):
-    rows = {r.path: r.stripped for r in d.stripped(files(spark, ("a.js", 'x = "http://h/p"; // gone\n/* a\nb */y'), ("b.py", "s = '# kept' # gone\n"), ("c.txt", "// stays"))).collect()}
-    assert rows == {"a.js": 'x = "http://h/p"; \ny', "b.py": "s = '# kept' \n", "c.txt": "// stays"}
+def parts(lang, text):
+    return {(p.name, p.complexity, p.n_params) if p.kind == "function" else (p.name, p.n_methods) for p in outline(text, lang)}
+
+
+def test_outlines_of_every_language():
+    assert parts("javascript", "function a(x, y = f(1, 2)) { if (x && y) { for (;;) {} } const g = (p, q) => { return p ? q : 0; }; const h = z => z + 1; const s = 'if { ('; }\nclass C { async run(m: Map<string, number>, b) : void { while (m) { b?.c; } } get v() { return 1 } }\nfoo.bar(1); if (x) { y(); }") == {("a", 4, 2), ("g", 2, 2), ("h", 1, 1), ("run", 2, 2), ("v", 1, 0), ("C", 2)}
+    assert parts("java", "public class A<T> { private Map<String, Integer> f(Map<String, Integer> m, int k) throws E { if (k > 0 || m == null) { return g(k); } else if (k < 3) { new B() { public void z() { } }; } return m; } public abstract int h(int a, int b); class Inner { void i() { } } }") == {("f", 4, 2), ("z", 1, 0), ("h", 1, 2), ("i", 1, 0), ("Inner", 1), ("A", 2)}
+    assert parts("go", "func (s *Store) Load(ctx C, f func(int, int) error) (int, error) { if err := x(); err != nil && y { return 0, err } }\nfunc Plain() {}") == {("Load", 3, 2), ("Plain", 1, 0)}
+    assert parts("csharp", "class I { public int T(int a, int b) => a + b; public async Task<int> R(Dictionary<string,int> d) { foreach (var l in d) { if (l) { } } } }") == {("T", 1, 2), ("R", 3, 1), ("I", 2)}
+    assert parts("cpp", "std::vector<int> f(int (*g)(int, int), const Foo& x) const { return x ? 1 : 2; }\nvoid K::q(void) { call(a); }") == {("f", 2, 2), ("q", 1, 0)}
+    assert parts("rust", "impl S { fn p<'a>(&self, v: Vec<(u8, u8)>) -> u32 { if x { 1 } else { match y { _ => 2 } } } }\nfn main() { let c = '{'; }") == {("p", 3, 2), ("S", 1), ("main", 1, 0)}
+    assert parts("python", "def f(self, a=(1, 2), *, b: dict[str, int] = {}):\n  if a and b: pass\ndef g(): return 'if'") == {("f", 3, 3), ("g", 1, 0)}
+
+
+def test_code_keeps_its_lines(spark):
+    rows = {r.path: r.code for r in d.with_code(files(spark, ("a.js", 'x = "http://h/p"; // gone\n/* a\nb */y "/* kept */" /*z*/'), ("b.py", "s = '# kept' # gone\n"), ("c.txt", "// stays"))).collect()}
+    assert rows == {"a.js": 'x = "http://h/p"; \n\ny "/* kept */" ', "b.py": "s = '# kept' \n", "c.txt": "// stays"}
+
+
+def test_every_match_has_its_own_line(spark):
+    text = "/* token = 'abcdefgh' */\ntoken = 'abcdefgh'\n// token = 'abcdefgh'\n\nx; token = 'abcdefgh'; token =\n 'abcdefgh'\n"
+    rows = d.three_scans(files(spark, ("a.js", text), ("b.txt", text))).collect()
+    assert sorted((r.path, r.line, r.confidence) for r in rows) == [("a.js", 2, 80), ("a.js", 5, 80), ("a.js", 5, 80), *[("b.txt", k, 70) for k in (1, 2, 3, 5, 5)]]
+    rule = Rule("R", "", "warn", "all", "foo|x*", "m", "")
+    found = [(r.line, r.found) for r in d.custom_issues(files(spark, ("a.py", "foo\nbar foo\nfoo")), [Rule("R", "", "warn", "all", "foo", "m", "")]).collect()]
+    assert sorted(found) == [(1, "foo"), (2, "foo"), (3, "foo")]
+    assert {(r.line, r.found) for r in d.custom_issues(files(spark, ("a.py", "foo")), [rule]).collect()} == {(None, "foo"), (None, "")}  # empty matches have no line
+
+
+def test_dangerous_arguments(spark):
+    calls = {"eval('x' + y)": 1, 'eval("x")': 0, "exec(code)": 1, "os.system('ls')": 0, "os.system('rm ' + p)": 1, "eval()": 0, "eval(f'{x}')": 1, "medieval(x)": 0, "eval(\n  x)": 1}
+    rows = d.three_scans(files(spark, *[(f"{k}.py", call) for k, call in enumerate(calls)])).collect()
+    assert {int(r.path[:-3]) for r in rows} == {k for k, hit in enumerate(calls.values()) if hit}
+
+
+def edges_in(spark, *rows):
+    return {(r.src, r.dst) for r in d.dependency_edges(files(spark, *rows)).collect()}
+
+
+def test_imports_are_resolved_as_the_languages_do(spark):
+    assert edges_in(spark, ("p/src/shop/a.py", "import os, shop.b as x, shop.c\nfrom . import d\nfrom ..shop.e import f\nfrom .pkg import (g,\n  h as i)\n"), *[(f"p/src/shop/{n}.py", "") for n in ("b", "c", "d", "e", "pkg/__init__", "pkg/g", "pkg/h")], ("q/src/shop/b.py", "")) == {("p/src/shop/a.py", f"p/src/shop/{n}.py") for n in ("b", "c", "d", "e", "pkg/__init__", "pkg/g", "pkg/h")}
+    assert edges_in(spark, ("w/a/x.ts", "import y from '../b/y.js'; const z = require('./z'); import('..'); export * from '@/deep/q'; import 'react'"), ("w/b/y.js", ""), ("w/a/z.tsx", ""), ("w/index.js", ""), ("deep/q.ts", "")) == {("w/a/x.ts", n) for n in ("w/b/y.js", "w/a/z.tsx", "w/index.js", "deep/q.ts")}
+    assert edges_in(spark, ("src/main/java/a/X.java", "package a;\nimport static b.Y.make;\nimport b.Y.Inner;\nimport c.*;\nimport a.*;\n"), ("src/main/java/b/Y.java", "package b;"), ("src/main/java/c/Z.java", "package c;")) == {("src/main/java/a/X.java", "src/main/java/b/Y.java"), ("src/main/java/a/X.java", "c/"), ("c/", "src/main/java/c/Z.java")}
+    assert edges_in(spark, ("cmd/m.go", 'import (\n x "example.com/o/r/pkg/s"\n "fmt"\n)\n'), ("pkg/s/one.go", ""), ("pkg/s/two.go", ""), ("pkg/s/one_test.go", "")) == {("cmd/m.go", "pkg/s/"), ("pkg/s/", "pkg/s/one.go"), ("pkg/s/", "pkg/s/two.go")}
+    assert edges_in(spark, ("A.cs", "using B.C;\nusing D = B.C.E;\nnamespace A;\n"), ("x.cs", "namespace B.C { }")) == {("A.cs", "B/C/"), ("B/C/", "x.cs")}
+    assert edges_in(spark, ("n/a.cc", '#include "a.h"\n#include "../m/b.hpp"\n#include <lib/c.h>\n'), ("n/a.h", ""), ("m/b.hpp", ""), ("include/lib/c.h", "")) == {("n/a.cc", n) for n in ("n/a.h", "m/b.hpp", "include/lib/c.h")}
+    assert edges_in(spark, ("k/src/main.rs", "mod a;\nuse crate::b::{c, d::e};\n"), ("k/src/a.rs", "use super::b;"), ("k/src/b/mod.rs", "use self::c::X;"), ("k/src/b/c.rs", ""), ("k/src/b/d.rs", "")) == {("k/src/main.rs", "k/src/a.rs"), ("k/src/main.rs", "k/src/b/c.rs"), ("k/src/main.rs", "k/src/b/d.rs"), ("k/src/main.rs", "k/src/b/mod.rs"), ("k/src/a.rs", "k/src/b/mod.rs"), ("k/src/b/mod.rs", "k/src/b/c.rs")}
 
 
 def test_secret_in_a_comment_is_dropped_and_lines_are_raw(spark):
@@ -160,9 +223,9 @@ def test_long_and_null_texts(spark):
 
 
 def test_bad_rules_are_named_and_left_out(spark):
-    rules, bad = sources.valid_rules(spark, sample.RULES_JSON)
-    assert bad == ["BROKEN"] and rules.count() == 4
-    assert sources.parse_rules(spark, sample.RULES_JSON).count() == 5
+    rules, bad = catalogs.valid_rules(spark, sample.RULES_JSON)
+    assert bad == ["BROKEN"] and len(rules) == 4
+    assert catalogs.parse_rules(spark, sample.RULES_JSON).count() == 5
 
 
 def test_red_lines_hold_in_every_class(spark):
@@ -173,8 +236,8 @@ def test_red_lines_hold_in_every_class(spark):
 
 def test_duplicates_count_where_they_are_switched_on(spark):
     block = "".join(f"let v{k} = {k};\n" for k in range(6))
-    found = lambda *paths: [(r.path, r.message) for r in gate.collect_issues(files(spark, *[(p, block) for p in paths])).where("rule_id = 'duplicate_block'").collect()]
-    assert found("build/generated/x.js", "src/a.js", "src/b.js") == [("src/a.js", "stands 2 times")]
+    found = lambda *paths: sorted((r.path, r.message) for r in gate.collect_issues(files(spark, *[(p, block) for p in paths])).where("rule_id = 'duplicate_block'").collect())
+    assert found("build/generated/x.js", "src/a.js", "src/b.js") == [("src/a.js", "stands 2 times"), ("src/b.js", "stands 2 times")]
     assert found("build/generated/x.js", "src/a.js") == []
 
 
@@ -201,21 +264,53 @@ def project(tmp_path):
 
 
 def test_scans_of_a_project(spark, project):
+    (project / "app" / "__init__.py").write_text("")
+    (project / ".env").write_text("password = 'hunter2hunter2'\n")
     found = sources.read_project(spark, str(project), "*.py")
-    assert {r.path for r in found.collect()} == {"app/good.py", "app/bad.py", "app/a b+c%.py"}
-    assert sources.git_changes(str(project)) == ["app/bad.py"]
-    assert {r.path for r in cli.scan(spark, str(project), "diff").collect()} == {"app/bad.py"}
+    assert {r.path for r in found.collect()} == {"app/good.py", "app/bad.py", "app/a b+c%.py", "app/__init__.py"}
+    assert ".env" in {r.path for r in sources.read_project(spark, str(project)).collect()}
+    assert sources.git_changes(str(project)) == [".env", "app/__init__.py", "app/bad.py"]
+    assert {r.path for r in cli.scan(spark, str(project), "diff").collect()} == {"app/bad.py", ".env"}
     assert gate.verdict(cli.scan(spark, str(project))).first().exit_code == 2
 
 
+def test_roots_however_they_are_written(spark, project, monkeypatch):
+    (project / "project").mkdir()
+    (project / "project" / "deep.py").write_text("x = 1\n")
+    whole = {"app/good.py", "app/bad.py", "app/a b+c%.py", "project/deep.py"}
+    monkeypatch.chdir(project)
+    home = os.getcwd()
+    for root in (str(project), f"{project}/", f"file://{project}", f"{project}/app/.."):
+        assert {r.path for r in sources.read_project(spark, root).collect()} == whole, root
+    if spark.sparkContext._jvm.java.lang.System.getProperty("user.dir") != home:  # Java's working directory is fixed
+        root = os.path.relpath(project, spark.sparkContext._jvm.java.lang.System.getProperty("user.dir"))
+        assert {r.path for r in sources.read_project(spark, root).collect()} == whole
+    assert sources._qualified(spark, ".")[1] == spark.sparkContext._jvm.java.lang.System.getProperty("user.dir")
+    assert sources.git_changes(str(project / "app")) == ["bad.py"]
+    assert {r.path for r in cli.scan(spark, str(project / "app"), "diff").collect()} == {"bad.py"}
+
+
+def test_changes_are_judged_with_what_is_unchanged(spark):
+    table = files(spark, ("app/domain/a.py", "import app.infra.b\n"), ("app/infra/b.py", "import app.domain.a\n" + "".join(f"v{k} = {k}\n" for k in range(6))), ("app/c.py", "".join(f"v{k} = {k}\n" for k in range(6)) + "password = 'hunter2hunter2'\n"))
+    changed = lambda *paths: {(r.path, r.rule_id) for r in gate.collect_issues(table, mode="diff", changed=spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert changed("app/domain/a.py") == {("app/domain/a.py", "layer_violation"), ("app/domain/a.py", "dependency_cycle")}
+    assert changed("app/infra/b.py") == {("app/infra/b.py", "dependency_cycle"), ("app/infra/b.py", "duplicate_block")}
+    assert changed("gone.py") == set()
+
+
 def test_json_rpc(spark, project):
-    requests = [{"id": 1, "method": "initialize"}, {"method": "note"}, {"id": 2, "method": "tools/list"}, {"id": 3, "method": "tools/call", "params": {"name": "verdict"}}, {"id": 4, "method": "tools/call", "params": {"name": "scan"}}, {"id": 5, "method": "other"}]
+    call = lambda k, **params: {"id": k, "method": "tools/call", "params": params}
+    requests = [{"id": 1, "method": "initialize"}, {"method": "note"}, {"id": 2, "method": "tools/list"}, call(3, name="verdict"), call(4, name="scan", arguments={"limit": 2}), {"id": 5, "method": "other"}]
+    requests += [7, {"id": 8}, call(9, name="scan", arguments={"mode": "zzz"}), call(10, name="none"), {"id": 11, "method": "tools/call", "params": [1]}, call(12, name="scan", arguments=3)]
     lines = io.StringIO("\n".join([*map(json.dumps, requests), "not json"]))
     answers = [json.loads(x) for x in cli.answer(spark, str(project), lines)]
-    assert [a["id"] for a in answers] == [1, 2, 3, 4, 5, None]
+    assert [a["id"] for a in answers] == [1, 2, 3, 4, 5, None, 8, 9, 10, 11, 12, None]
     assert answers[2]["result"]["content"][0]["text"] == "2"
-    assert all("rule_id" in json.loads(x["text"]) for x in answers[3]["result"]["content"])
-    assert answers[4]["error"]["code"] == -32601 and answers[5]["error"]["code"] == -32700
+    first, *issues = [json.loads(x["text"]) for x in answers[3]["result"]["content"]]
+    assert first["issues"] > 2 and [x["severity"] for x in issues] == ["block", "block"]
+    assert [a["error"]["code"] for a in answers[4:]] == [-32601, -32600, -32600, -32602, -32602, -32602, -32602, -32700]
+    broken = [json.loads(x) for x in cli.answer(spark, str(project / "nothing"), [json.dumps(call(1, name="verdict")), json.dumps({"id": 2, "method": "initialize"})])]
+    assert broken[0]["error"]["code"] == -32603 and "result" in broken[1]
 
 
 def test_watch(spark, project, tmp_path):
