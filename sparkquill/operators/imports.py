@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("python", "javascript", "java", "go", "csharp", "cpp", "rust")
 #: What stands before the part of a path that imports name.
-ROOTS = r"^(?:.*?/)?(?:src/main/java|src/test/java|src|lib|include|python|app)/"
+ROOTS = r"^(?:.*?/)??(?:src/main/java|src/test/java|src|lib|include|python|app)/"
 _STRING = "array<string>"
 
 
