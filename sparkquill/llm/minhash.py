@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import RollingHash, chunks, connected_components, cut, each, local_labels, mix64, segments, texts
+from sparkquill.llm.common import RollingHash, chunks, connected_components, cut, each, local_labels, mix64, segments, texts, unzipped, zipped
 
 _M = [np.uint64(x | 1) for x in (0x8CB92BA72F3D8DD7, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
@@ -140,17 +140,13 @@ def _sketch(width: int, bands: int, rows: int):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = RollingHash(lower=True)
-        for batch in each(batches):
-            data, offsets = texts(batch.column(1))
-            for first, last in chunks(offsets):
-                own = offsets[first : last + 1]
-                sets = shingle_sets(hasher, data[own[0] : own[-1]], own - own[0], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "shingles"])
-
-    return run
+def _unit_sets(hasher: RollingHash, frames: pa.ChunkedArray, order: np.ndarray, width: int) -> list[np.ndarray]:
+    """The shingle sets of compressed texts, in this order."""
+    out: list[np.ndarray] = []
+    for chunk in np.array_split(order, max(1, len(order) // 64)):
+        raw = [unzipped(frames, int(i)) for i in chunk]
+        out += shingle_sets(hasher, np.concatenate(raw), np.cumsum([0, *map(len, raw)]), width)
+    return out
 
 
 def jaccard_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -182,15 +178,15 @@ def jaccard_links(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return linked
 
 
-def _verify(percent: int):
+def _verify(percent: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = RollingHash(lower=True)
         for unit in segments(batches, "unit"):
             if unit.num_rows < 2:
                 continue
             ids = unit.column("cls").to_numpy()
             order = np.argsort(ids, kind="stable")
-            shingles = unit.column("shingles")
-            labels = local_labels(jaccard_links([np.frombuffer(shingles[int(i)].as_py(), np.uint64) for i in order], percent))
+            labels = local_labels(jaccard_links(_unit_sets(hasher, unit.column("text"), order, width), percent))
             joined = np.flatnonzero(labels != np.arange(len(ids)))
             if len(joined):
                 ids = ids[order]
@@ -250,14 +246,14 @@ def minhash_dedup(docs: DataFrame, threshold: float = 0.8, width: int = 5, block
     groups = groups.select(F.col("node").alias("cls"), F.col("component").alias("grp")).join(classes.select("cls", "n_shingles"), "cls")
     sizes = groups.groupBy("grp").agg(((F.count("*") <= block) & (F.sum("n_shingles") <= together)).alias("small"))
     groups = cut(groups.join(sizes, "grp"))
-    # The sets of all classes that have candidates, made once.
+    # The texts of all classes that have candidates, compressed; their sets are made where they are compared.
     todo = groups.select("cls").join(classes.select("cls", "doc_id", "text_key"), "cls")
-    sets = cut(docs.join(todo, ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]).mapInArrow(_sets(width), "cls long, shingles binary"))
+    held = cut(zipped(docs).join(todo, ["doc_id", "text_key"]).select("cls", "text").dropDuplicates(["cls"]))
 
     def linked(units: DataFrame) -> DataFrame:
         """(a, b): links found by comparing the classes of each unit of (cls, unit)."""
-        shipped = sets.join(units, "cls").select("unit", "cls", "shingles")
-        return cut(shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent), "a long, b long"))
+        shipped = held.join(units, "cls").select("unit", "cls", "text")
+        return cut(shipped.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify(percent, width), "a long, b long"))
 
     units = groups.where("small").select("cls", F.xxhash64(F.lit(-1), "grp").alias("unit"))
     large = groups.where("NOT small").select("cls")

@@ -27,11 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkquill.llm.common import RollingHash, chunks, cut, each, mix64, segments, texts
+from sparkquill.llm.common import RollingHash, chunks, cut, each, mix64, segments, texts, unzipped, zipped
 
 #: Bytes hashed by a trigger, and positions of which a trigger is the least; K + SPAN - 1 must not exceed the length.
 K, LOG_SPAN, STEP = 16, 7, 8
@@ -73,25 +72,6 @@ def _pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray,
                 yield first, np.array([start]), np.array([min(offsets[last], start + CHUNK + length - 1)])
 
 
-def _zipped(docs: DataFrame) -> DataFrame:
-    """docs with text as zstandard frames in a binary column of that name: texts cross shuffles compressed."""
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=1).compress
-        for batch in each(batches):
-            columns = list(batch.columns)
-            columns[at] = pa.array([zip_(x.as_py().encode()) if x.is_valid else None for x in columns[at]], pa.binary())
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema))
-
-
-def _unzip(column: pa.Array, row: int) -> np.ndarray:
-    frame = column[row].as_py()
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), np.uint8) if frame else np.zeros(0, np.uint8)
-
-
 def _place(first: np.ndarray, trigger: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (first.astype(np.int64) << 14) | ((trigger - first) << 7) | (last - first)
 
@@ -153,7 +133,7 @@ def _contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in each(batches):
             for r in range(batch.num_rows):
-                text = _unzip(batch.column(1), r)
+                text = unzipped(batch.column(1), r)
                 core, place = (batch.column(2)[r].values.field(k) for k in range(2))
                 first = place.to_numpy() >> 14
                 found = [text[i : i + n].tobytes() for i, n in zip(first.tolist(), ((place.to_numpy() & 127) + length).tolist(), strict=True)]
@@ -241,7 +221,7 @@ def _steps(length: int):
         hasher = RollingHash()
         for batch in each(batches):
             for r in range(batch.num_rows):
-                text = _unzip(batch.column(1), r)
+                text = unzipped(batch.column(1), r)
                 place = np.sort(batch.column(2)[r].values.to_numpy())
                 first = place >> 14
                 trigger, last = first + (place >> 7 & 127), first + (place & 127)
@@ -294,26 +274,28 @@ def repeated_spans(docs: DataFrame, length: int = 200, group: int = 32_768) -> D
     phrases = cut(_undecided(phrases))
     first = F.shiftright("place", 14)
     marks = phrases.where("n > 1").select("rid", first.cast("int").alias("first"), (first + F.col("place").bitwiseAND(127)).cast("int").alias("last"))
-    zipped = _zipped(docs).dropDuplicates(["rid"])
+    packed = zipped(docs).dropDuplicates(["rid"])
     open_ = phrases.where("goes_on").select("core", "rid", "place")
     many = open_.groupBy("core").agg(F.count("*").alias("entries")).where(F.col("entries") > group).select("core", F.lit(True).alias("many"))
-    open_ = open_.join(many, "core", "left")
-    todo = open_.where("many IS NULL").groupBy("rid").agg(F.collect_set(F.struct("core", "place")).alias("todo"))
-    contexts = zipped.join(todo, "rid").select("rid", "text", "todo").mapInArrow(_contexts(length), "core long, rid long, place long, bytes binary")
+    large = None
+    many = cut(many)
+    if not many.isEmpty():
+        open_ = cut(open_.join(many, "core", "left"))
+        large, open_ = open_.where("many").select("rid", "place"), open_.where("many IS NULL")
+    todo = open_.groupBy("rid").agg(F.collect_set(F.struct("core", "place")).alias("todo"))
+    contexts = packed.join(todo, "rid").select("rid", "text", "todo").mapInArrow(_contexts(length), "core long, rid long, place long, bytes binary")
     ordered = contexts.repartition("core").sortWithinPartitions("core").mapInArrow(_merge(length), "rid long, first int, last int")
     marks = marks.unionByName(ordered)
-    large = open_.where("many").select("rid", "place")
-    if not large.isEmpty():
-        marks = marks.unionByName(_refined(zipped, large, length))
+    if large is not None:
+        marks = marks.unionByName(_refined(packed, large, length))
     return marks.groupBy("rid").agg(F.collect_set(F.struct(F.col("first").alias("start"), (F.col("last") + length).alias("end"))).alias("spans"))
 
 
-def _refined(zipped: DataFrame, large: DataFrame, length: int) -> DataFrame:
+def _refined(packed: DataFrame, large: DataFrame, length: int) -> DataFrame:
     """(rid, first, last): the repeated positions of phrases with very many entries."""
     todo = large.groupBy("rid").agg(F.collect_set("place").alias("todo"))
-    steps = zipped.join(todo, "rid").select("rid", "text", "todo")
+    steps = packed.join(todo, "rid").select("rid", "text", "todo")
     steps = steps.mapInArrow(_steps(length), "core long, span long, rid long, first int, last int, strings array<long>")
-    steps = cut(steps)
     spans = steps.groupBy("core", "span").agg(F.count("*").alias("n"), F.min(F.struct("rid", "first")).alias("stands"))
     cores = spans.groupBy("core").agg((F.count("*") > 1).alias("several"))
     spans = spans.join(cores, "core").where("n > 1 OR several").select("core", "span", "n", "several", "stands")
@@ -328,7 +310,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in each(batches):
         size, removed, spans, shas = [], [], [], []
         for r in range(batch.num_rows):
-            text = _unzip(batch.column(1), r).tobytes()
+            text = unzipped(batch.column(1), r).tobytes()
             size.append(len(text))
             todo = batch.column(2)[r]
             start = end = np.zeros(0, np.int64)
@@ -349,7 +331,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in each(batches):
         out = []
         for r in range(batch.num_rows):
-            text, todo = _unzip(batch.column(1), r), batch.column(2)[r]
+            text, todo = unzipped(batch.column(1), r), batch.column(2)[r]
             if todo.is_valid:
                 start, end = merge_spans(*(todo.values.field(k).to_numpy() for k in range(2)))
                 keep = np.ones(len(text), bool)
@@ -379,7 +361,7 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), F.coalesce("text", F.lit("")).alias("text")), length)
     packed = rows.select("__rid", "text", F.struct(*[docs[c] for c in columns if c != "text"]).alias("__row"))
     kind = packed.schema["__row"].dataType.simpleString()
-    joined = _zipped(packed).join(spans, F.col("__rid") == F.col("rid"), "left")
+    joined = zipped(packed).join(spans, F.col("__rid") == F.col("rid"), "left")
     packed = joined.select("__rid", "text", "spans", "__row", F.col("text").isNull().alias("__null"))
     cleaned = packed.mapInArrow(_clean, f"__row {kind}, __null boolean, __cleaned string")
     return cleaned.select(*[F.when(~F.col("__null"), F.col("__cleaned")).alias("text") if c == "text" else F.col("__row").getField(c).alias(c) for c in columns])
@@ -393,5 +375,5 @@ def repeat_digest(docs: DataFrame, length: int = 200, group: int = 32_768) -> Da
     """
     rows = _keyed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
     spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), "text"), length, group)
-    joined = _zipped(rows).join(spans, F.col("__rid") == F.col("rid"), "left").select("doc_id", "text", "spans")
+    joined = zipped(rows).join(spans, F.col("__rid") == F.col("rid"), "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
