@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.llm import chat, licenses, mixing, oracle
+from sparkquill.llm import centroids, chat, licenses, middle, mixing, oracle, quality
 from sparkquill.llm.bpe import round_trip
 from sparkquill.llm.common import table
 from sparkquill.llm.langid import held_out, identify, learn
@@ -66,6 +66,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle.middle_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dim=64, scale=256)
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(~quality.held_out(labels["doc_id"])))
+    found = quality.quality_scores(docs, model, threshold=0.3)
+    return found.select("doc_id", quality.held_out(found["doc_id"]).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_media_columns,
         op9_source_mixing,
         op10_sharding,
+        op11_fill_in_middle,
+        op12_centroid_clustering,
+        op13_quality_classifier,
     )
 }
 ORACLE_SQL: dict[str, str] = {
@@ -88,4 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_chat_formatting": chat.ORACLE_SQL,
     "op6_suffix_array_dedup": oracle.REPEATS,
     "op9_source_mixing": mixing.ORACLE_SQL,
+    "op11_fill_in_middle": middle.ORACLE_SQL,
+    "op12_centroid_clustering": centroids.ORACLE_SQL,
 }
