@@ -1,4 +1,4 @@
-"""Column functions over paths and source text; patterns keep to what Java's and RE2's dialects share."""
+"""Column functions over paths and source text. No pattern repeats a group other than possessively: see _DOUBLE."""
 
 from __future__ import annotations
 
@@ -31,7 +31,9 @@ LAYERS = {
     "infrastructure": r"(^|/)(infrastructure|infra|persistence|repositories)/",
     "presentation": r"(^|/)(presentation|controllers?|views?|api|ui)/",
 }
-_DOUBLE, _SINGLE, _BACK = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"', r"'[^'\\\n]*(?:\\.[^'\\\n]*)*'", r"`[^`\\]*(?:\\.[^`\\]*)*`"
+# Java recurses once a turn of a repeated group, unless it is possessive: then it is a loop, and a literal may have any number of
+# escapes. What can follow a turn can't begin another one, so giving nothing back loses no match.
+_DOUBLE, _SINGLE, _BACK = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'", r"`[^`\\]*+(?:\\.[^`\\]*+)*+`"
 #: What stands in group 1 stays: string literals, matched first so that no comment starts within one.
 COMMENTS = {
     "python": rf'("""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|{_DOUBLE}|{_SINGLE})|#[^\n]*',
@@ -68,10 +70,6 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
 def _without_comments(content: Column, pattern: str) -> Column:
     """content without comments but with the newlines within them, so that lines keep their numbers."""
     pieces, found = F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
@@ -88,23 +86,38 @@ def strip_comments(content: Column, lang: Column) -> Column:
     return out.otherwise(content)
 
 
+#: Characters that mark where a match begins and ends.
+_OPEN, _SHUT = "\x01", "\x02"
+PLACES = "array<struct<found:string,line:int>>"
+
+
+def _lines_of(marked: Column) -> Column:
+    """The 1-based line of each _OPEN, in order: one pass over the lines."""
+    return F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(i + 1, F.length(line) - F.length(F.replace(line, F.lit(_OPEN), F.lit(""))))))
+
+
 def places(text: Column, pattern: str) -> Column:
-    """array<struct<found, line>>: every match of a pattern in order, with the 1-based line at which it starts (null if a match is
-    empty). Pieces between matches are counted only where there are matches."""
+    """array<struct<found, line>>: every match of a pattern in order, with the 1-based line at which it starts (null if a match is empty).
+
+    The pattern is searched for once, which puts marks around its matches; the rest is done to texts that have marks. Texts that hold
+    such characters themselves are searched twice instead."""
 
-    def counted(found: Column) -> Column:
-        start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<found:string,line:int>>").alias("out"))
-        parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda piece, x: F.struct(newlines(piece).alias("before"), x.alias("found")))
+    def paired(found: Column, lines: Column) -> Column:
+        none = F.exists(found, lambda x: x == "")
+        return F.zip_with(found, lines, lambda x, line: F.struct(x.alias("found"), F.when(~none, line).cast("int").alias("line")))
 
-        def step(state: Column, x: Column) -> Column:
-            line = (state["line"] + x["before"]).cast("int")
-            return F.struct((line + newlines(x["found"])).cast("int").alias("line"), F.concat(state["out"], F.array(F.struct(x["found"].alias("found"), line.alias("line")))).alias("out"))
+    def marked(text: Column) -> Column:
+        pieces = F.split(text, _OPEN, -1)
+        found = F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), lambda x: F.substring_index(x, _SHUT, 1))
+        return F.when(~text.contains(_OPEN), F.array().cast(PLACES)).otherwise(paired(found, _lines_of(text)))
 
-        lines = F.aggregate(parts, start, step)["out"]
-        unplaced = F.transform(found, lambda x: F.struct(x.alias("found"), F.lit(None).cast("int").alias("line")))
-        return F.when(F.size(found) == 0, F.array().cast("array<struct<found:string,line:int>>")).when(F.array_contains(found, ""), unplaced).otherwise(lines)
+    def twice(found: Column) -> Column:
+        plain = lambda x: F.replace(x, F.lit(_OPEN), F.lit(""))
+        parts = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), found, lambda piece, x: F.concat(plain(piece), F.lit(_OPEN), plain(x)))
+        return F.when(F.size(found) == 0, F.array().cast(PLACES)).otherwise(paired(found, _lines_of(F.array_join(parts, ""))))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), counted)
+    holds = text.contains(_OPEN) | text.contains(_SHUT)
+    return F.when(holds, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), twice)).otherwise(let(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), marked))
 
 
 def glob_to_regex(glob: str) -> str:

@@ -15,7 +15,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.functions.text import layer_of, places, strip_comments
+from sparkquill.functions.text import PLACES, layer_of, places, strip_comments
 from sparkquill.operators import graph, imports
 from sparkquill.session import cut
 from sparkquill.sources.rules import Rule
@@ -27,46 +27,58 @@ LIMITS = {"complexity": 10, "nesting": 4, "params": 5, "methods": 20, "lines": 5
 _MATCH = "array<struct<category:string,rule_id:string,severity:string,message:string,confidence:int,found:string,line:int>>"
 
 
+@dataclass(frozen=True)
+class Search:
+    """A pattern and what a match can't do without: of each tuple one must stand in the text, in lower case."""
+
+    pattern: str
+    words: tuple[tuple[str, ...], ...]
+
+
 @dataclass(frozen=True)
 class Pattern:
-    """words: of each tuple one must stand in the text, in lower case; languages: none for all."""
+    """languages: none for all."""
 
     severity: str
-    words: tuple[tuple[str, ...], ...]
-    patterns: tuple[str, ...]
+    searches: tuple[Search, ...]
     message: str
     languages: tuple[str, ...] = ()
 
 
 _SECRET = r"password|passwd|api_?key|secret|token"
 _SECRETS = ("password", "passwd", "apikey", "api_key", "secret", "token")
+_QUOTES = ('"', "'")
+_STATEMENT = (("select", "insert", "update", "delete"), _QUOTES, ("+", "%"))
+_CALL = (("eval(", "exec(", "os.system("),)
+_LOG = (_SECRETS, ("log", "console"), ("(",))
 _HANDLER = (
-    r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}",
-    r"\bexcept\b[^:\n]*:\s*(?:pass\b|\.\.\.)",
-    r"\.catch\(\s*(?:\w+|\([^)]*\))\s*=>\s*\{\s*\}\s*\)",
-    r"\bif\s+err\s*!=\s*nil\s*\{\s*\}",
-    r"\bErr\([^)]*\)\s*=>\s*(?:\{\s*\}|\(\s*\))",
+    Search(r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}", (("catch",), ("{",))),
+    Search(r"\bexcept\b[^:\n]*:\s*(?:pass\b|\.\.\.)", (("except",), ("pass", "..."))),
+    Search(r"\.catch\(\s*(?:\w+|\([^)]*\))\s*=>\s*\{\s*\}\s*\)", ((".catch(",), ("=>",))),
+    Search(r"\bif\s+err\s*!=\s*nil\s*\{\s*\}", (("!=",), ("nil",))),
+    Search(r"\bErr\([^)]*\)\s*=>\s*(?:\{\s*\}|\(\s*\))", (("err(",), ("=>",))),
 )
-_HANDLER_WORDS = (("catch", "except", "err"),)
 #: Red lines: a pattern within lines, and one across them where that finds more.
 SECURITY = {
-    "hardcoded_secret": Pattern("block", (_SECRETS, (":", "="), ('"', "'")), (rf"(?i)\b(?:{_SECRET})\s*[:=]\s*[\"'][^\"'\n]{{6,}}[\"']",), "a secret is written into the code"),
-    "sql_concatenation": Pattern("block", (("select", "insert", "update", "delete"), ('"', "'"), ("+", "%")), (r"(?i)[\"']\s*(?:select|insert|update|delete)\b[^\"'\n]*[\"']\s*[+%]", r"(?is)[\"']\s*(?:select|insert|update|delete)\b[^\"']*[\"']\s*[+%]"), "a statement is put together from strings"),
+    "hardcoded_secret": Pattern("block", (Search(rf"(?i)\b(?:{_SECRET})\s*[:=]\s*[\"'][^\"'\n]{{6,}}[\"']", (_SECRETS, (":", "="), _QUOTES)),), "a secret is written into the code"),
+    "sql_concatenation": Pattern("block", (Search(r"(?i)[\"']\s*(?:select|insert|update|delete)\b[^\"'\n]*[\"']\s*[+%]", _STATEMENT), Search(r"(?is)[\"']\s*(?:select|insert|update|delete)\b[^\"']*[\"']\s*[+%]", _STATEMENT)), "a statement is put together from strings"),
     "dangerous_call": Pattern(
         "block",
-        (("eval(", "exec(", "os.system("),),
-        (r"\b(?:eval|exec|os\.system)\(\s*(?:[^)\"'\s]|\"[^\"\n]*\"\s*[^)\"\s]|'[^'\n]*'\s*[^)'\s])[^)\n]*\)", r"(?s)\b(?:eval|exec|os\.system)\(\s*(?:[^)\"'\s]|\"[^\"\n]*\"\s*[^)\"\s]|'[^'\n]*'\s*[^)'\s])[^)]*\)"),
+        (
+            Search(r"\b(?:eval|exec|os\.system)\(\s*(?:[^)\"'\s]|\"[^\"\n]*\"\s*[^)\"\s]|'[^'\n]*'\s*[^)'\s])[^)\n]*\)", _CALL),
+            Search(r"(?s)\b(?:eval|exec|os\.system)\(\s*(?:[^)\"'\s]|\"[^\"\n]*\"\s*[^)\"\s]|'[^'\n]*'\s*[^)'\s])[^)]*\)", _CALL),
+        ),
         "input may be run as code",
     ),
-    "sensitive_log": Pattern("block", (_SECRETS, ("log", "console"), ("(",)), (rf"(?i)\b(?:log|logger|logging|console)[.\w]*\([^)\n]*\b(?:{_SECRET})\b[^)\n]*\)", rf"(?is)\b(?:log|logger|logging|console)[.\w]*\([^)]*\b(?:{_SECRET})\b[^)]*\)"), "sensitive data may reach a log"),
-    "empty_handler": Pattern("block", _HANDLER_WORDS, _HANDLER, "an error is swallowed"),
+    "sensitive_log": Pattern("block", (Search(rf"(?i)\b(?:log|logger|logging|console)[.\w]*\([^)\n]*\b(?:{_SECRET})\b[^)\n]*\)", _LOG), Search(rf"(?is)\b(?:log|logger|logging|console)[.\w]*\([^)]*\b(?:{_SECRET})\b[^)]*\)", _LOG)), "sensitive data may reach a log"),
+    "empty_handler": Pattern("block", _HANDLER, "an error is swallowed"),
 }
 EXCEPTIONS = {
-    "bare_except": Pattern("warn", (("except", "catch"),), (r"\bexcept[ \t]*:", r"\bcatch[ \t]*\{"), "catches everything", ("python", "csharp")),
-    "broad_catch": Pattern("warn", (("except", "catch"),), (r"\bexcept[ \t]*\(?[ \t]*(?:Base)?Exception\b", r"\bcatch[ \t]*\([ \t]*(?:final[ \t]+)?(?:Exception|Throwable)\b", r"\bcatch[ \t]*\([ \t]*\.\.\."), "catches more than it can handle", ("python", "java", "csharp", "cpp")),
-    "swallowed_error": Pattern("block", _HANDLER_WORDS, _HANDLER, "an error is swallowed", ("python", "javascript", "java", "go", "csharp", "cpp", "rust")),
-    "ignored_error": Pattern("warn", (("_",), ("=",)), (r"\b_[ \t]*:?=[ \t]*[\w.:]+\(",), "an error is dropped", ("go", "rust")),
-    "may_panic": Pattern("warn", ((".unwrap(", ".expect(", "panic("),), (r"\.unwrap\(\)", r"\.expect\([^)\n]*\)", r"\bpanic\("), "an error ends the program", ("go", "rust")),
+    "bare_except": Pattern("warn", (Search(r"\bexcept[ \t]*:", (("except",),)), Search(r"\bcatch[ \t]*\{", (("catch",),))), "catches everything", ("python", "csharp")),
+    "broad_catch": Pattern("warn", (Search(r"\bexcept[ \t]*\(?[ \t]*(?:Base)?Exception\b", (("except",), ("exception",))), Search(r"\bcatch[ \t]*\([ \t]*(?:final[ \t]+)?(?:Exception|Throwable)\b", (("catch",), ("exception", "throwable"))), Search(r"\bcatch[ \t]*\([ \t]*\.\.\.", (("catch",), ("...",)))), "catches more than it can handle", ("python", "java", "csharp", "cpp")),
+    "swallowed_error": Pattern("block", _HANDLER, "an error is swallowed", ("python", "javascript", "java", "go", "csharp", "cpp", "rust")),
+    "ignored_error": Pattern("warn", (Search(r"\b_[ \t]*:?=[ \t]*[\w.:]+\(", (("_",), ("=",))),), "an error is dropped", ("go", "rust")),
+    "may_panic": Pattern("warn", (Search(r"\.unwrap\(\)", ((".unwrap(",),)), Search(r"\.expect\([^)\n]*\)", ((".expect(",),)), Search(r"\bpanic\(", (("panic(",),))), "an error ends the program", ("go", "rust")),
 }
 
 
@@ -84,15 +96,18 @@ def _match(category: str, rule: str, severity: str, message: str | Column, confi
     return F.struct(F.lit(category).alias("category"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), message.alias("message"), confidence.cast("int").alias("confidence"), found.alias("found"), line.cast("int").alias("line"))
 
 
+def _has(words: tuple[tuple[str, ...], ...]) -> Column:
+    return reduce(and_, (reduce(or_, (F.col("lower").contains(word) for word in any_of)) for any_of in words))
+
+
 def _pattern_matches(category: str, rules: dict[str, Pattern], confidence: Column) -> list[Column]:
+    """Each search behind its own gate; a text that no search of a rule may match in makes no array for it."""
     out = []
     for rule, p in rules.items():
-        gate = reduce(and_, (reduce(or_, (F.col("lower").contains(word) for word in words)) for words in p.words))
-        if p.languages:
-            gate = F.col("lang").isin(*p.languages) & gate
-        found = F.concat(*[places(F.col("code"), pattern) for pattern in p.patterns]) if len(p.patterns) > 1 else places(F.col("code"), p.patterns[0])
-        matches = F.transform(F.array_distinct(found), lambda x: _match(category, rule, p.severity, p.message, confidence, x["found"], x["line"]))  # noqa: B023
-        out.append(F.when(gate, matches).otherwise(_no_matches()))
+        applies = F.col("lang").isin(*p.languages) if p.languages else F.lit(True)
+        found = [F.when(_has(x.words), places(F.col("code"), x.pattern)).otherwise(F.array().cast(PLACES)) for x in p.searches]
+        matches = F.transform(F.array_distinct(F.concat(*found)) if len(found) > 1 else F.array_distinct(found[0]), lambda x: _match(category, rule, p.severity, p.message, confidence, x["found"], x["line"]))  # noqa: B023
+        out.append(F.when(applies & reduce(or_, (_has(x.words) for x in p.searches)), matches).otherwise(_no_matches()))
     return out
 
 

@@ -46,8 +46,8 @@ def _slashes(name: Column) -> Column:
 
 def _resolved(name: Column) -> Column:
     """A relative path './x' or '../../x' against the directory of path."""
-    ups = F.regexp_count(F.regexp_extract(name, r"^((?:\.\.?/)+)", 1), F.lit(r"\.\./"))
-    return _join(_up(ups), F.regexp_replace(name, r"^(?:\.\.?/)+", ""))
+    ups = F.regexp_count(F.regexp_extract(name, r"^((?:\.\.?/)++)", 1), F.lit(r"\.\./"))
+    return _join(_up(ups), F.regexp_replace(name, r"^(?:\.\.?/)++", ""))
 
 
 def _python() -> Column:
@@ -104,10 +104,10 @@ def _rust() -> Column:
     outer = F.col("path").rlike(r"(?:^|/)(?:mod|lib|main)\.rs$")
     own = F.when(outer, _up(F.lit(0))).otherwise(F.regexp_replace("path", r"\.rs$", ""))
     modules = F.transform(_all(r"\bmod[ \t]+(\w+)[ \t]*;"), lambda x: _join(own, x))
-    form = r"\buse\s+((?:crate|super|self)(?:::\w+)*)(?:::\{([^}]*)\})?"
+    form = r"\buse\s+((?:crate|super|self)(?:::\w+)*+)(?:::\{([^}]*)\})?"
 
     def used(name: Column, inner: Column) -> Column:
-        rest = F.replace(F.regexp_replace(name, r"^(?:(?:crate|super|self)(?:::|$))+", ""), F.lit("::"), F.lit("/"))
+        rest = F.replace(F.regexp_replace(name, r"^(?:(?:crate|super|self)(?:::|$))++", ""), F.lit("::"), F.lit("/"))
         around = _up(F.regexp_count(name, F.lit(r"\bsuper\b")) - F.when(outer, 0).otherwise(1))
         base = F.when(name.startswith("super"), _join(around, rest)).when(name.startswith("self"), _join(own, rest)).otherwise(rest)
         members = F.transform(_names(inner), lambda x: _join(base, F.replace(x, F.lit("::"), F.lit("/"))))
