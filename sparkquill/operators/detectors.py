@@ -281,8 +281,7 @@ def layer_violations(edges: DataFrame, allowed: DataFrame) -> DataFrame:
 
 def cycle_members(edges: DataFrame) -> DataFrame:
     """(path, component, n_nodes, length, cycle): everything on a cycle, with a shortest cycle of its strongly connected component."""
-    inner = graph.cyclic_edges(edges)
-    return graph.members(inner).join(graph.cycles(inner), "component").select(F.col("node").alias("path"), "component", "n_nodes", "length", "cycle")
+    return graph.circles(edges).withColumnRenamed("node", "path")
 
 
 def cycle_issues(edges: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import random
 import re
 import subprocess
+import time
 
 import pytest
 from hypothesis import given
@@ -91,26 +92,68 @@ def strong(edges):
     return {a: min(b for b in far[a] if a in far[b]) for a in far if a in far[a]}
 
 
-def test_components_are_those_of_a_search(spark):
+def knots():
     rng = random.Random(1)
     edges = {(f"{g}{rng.choice('abcdefgh')}", f"{g}{rng.choice('abcdefgh')}") for g in range(12) for _ in range(11)}
-    edges |= {(f"{g}a", f"{g + 1}b") for g in range(11)}
-    inner = graph.cyclic_edges(edges_of(spark, edges))
+    return edges | {(f"{g}a", f"{g + 1}b") for g in range(11)}
+
+
+@pytest.mark.parametrize("bound", [0, 20, graph.BOUND])
+def test_components_are_those_of_a_search(spark, bound):
+    edges = knots()
+    inner = graph.cyclic_edges(edges_of(spark, edges), bound)
     assert {r.node: r.component for r in graph.members(inner).collect()} == strong(edges)
-    for r in graph.cycles(inner).collect():
+    found = graph.cycles(inner, bound).collect()
+    for r in found:
         nodes = r.cycle.split(">")
         assert nodes[0] == nodes[-1] == r.component and len(nodes) == r.length + 1 == len(set(nodes)) + 1
         assert set(zip(nodes, nodes[1:], strict=False)) <= edges
         assert r.n_nodes == sum(c == r.component for c in strong(edges).values())
+    cycles = {r.component: (r.n_nodes, r.length, r.cycle) for r in found}
+    assert sorted(map(tuple, graph.circles(edges_of(spark, edges), bound).collect())) == sorted((node, c, *cycles[c]) for node, c in strong(edges).items())
+
+
+@given(st.sets(st.tuples(st.sampled_from("abcdefg"), st.sampled_from("abcdefg")), max_size=18))
+def test_circles_of_a_graph_held_whole(edges):
+    """Against every simple path."""
+
+    def back(path):
+        for a, b in edges:
+            if a == path[-1] and b == path[0]:
+                yield [*path, b]
+            elif a == path[-1] and b not in path:
+                yield from back([*path, b])
+
+    far = strong(edges)
+    found = {node: (component, n, length, cycle) for node, component, n, length, cycle in graph._circles(sorted(edges))}
+    assert set(found) == set(far)
+    for node, (component, n, length, cycle) in found.items():
+        best = min(back([component]), key=lambda p: (len(p), p))
+        assert component == far[node] and n == sum(c == component for c in far.values())
+        assert length == len(best) - 1 and cycle == ">".join(best)
+
+
+@pytest.mark.parametrize("n", [32, 500, 5_000])
+def test_rings_take_a_few_jobs_whatever_their_length(spark, n):
+    edges = [(f"r{k:05}", f"r{(k + 1) % n:05}") for k in range(n)]
+    spark.sparkContext.setJobGroup(f"ring {n}", "ring")
+    began = time.time()
+    rows = graph.circles(edges_of(spark, edges)).collect()
+    took, jobs = time.time() - began, spark.sparkContext.statusTracker().getJobIdsForGroup(f"ring {n}")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(rows) == n and {r.length for r in rows} == {n} and {r.component for r in rows} == {"r00000"}
+    assert len(jobs) <= 8 and took < 15
 
 
 def test_circles_of_any_length(spark):
     ring = lambda name, n: {(f"{name}{k:02}", f"{name}{(k + 1) % n:02}") for k in range(n)}
     edges = ring("s", 7) | ring("t", 20) | ring("u", 5) | ring("v", 6) | {("u00", "v03"), ("v04", "u02"), ("loop", "loop"), ("s00", "t00"), ("end", "s01"), ("t03", "after")}
-    found = {r.component: (r.n_nodes, r.length) for r in graph.cycles(graph.cyclic_edges(edges_of(spark, edges))).collect()}
-    assert found == {"s00": (7, 7), "t00": (20, 20), "u00": (11, 5), "loop": (1, 1)}
+    for bound in (30, graph.BOUND):
+        found = {r.component: (r.n_nodes, r.length) for r in graph.circles(edges_of(spark, edges), bound).collect()}
+        assert found == {"s00": (7, 7), "t00": (20, 20), "u00": (11, 5), "loop": (1, 1)}
     assert graph.cyclic_edges(edges_of(spark, {("a", "b"), ("b", "c")})).count() == 0
     assert d.cycle_members(edges_of(spark, {("a", "b")})).count() == 0
+    assert graph.circles(spark.createDataFrame([(None, "a"), ("a", None)], "src string, dst string")).count() == 0
 
 
 def test_a_long_circle_of_imports_blocks(spark):
