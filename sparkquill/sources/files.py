@@ -1,8 +1,7 @@
-"""Sources: a project's files, git's change list, and a table's texts as files."""
+"""Sources: a project's files (see project), git's change list, and a table's texts as files."""
 
 from __future__ import annotations
 
-import os
 import subprocess
 from collections.abc import Iterator
 
@@ -11,10 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill import sample
-from sparkquill.functions.text import class_of, glob_to_regex, language_of, layer_of
-
-#: Directories that hold no files of a project.
-NO_SOURCES = (".git",)
+from sparkquill.functions.text import class_of, language_of, layer_of
+from sparkquill.sources import project
 
 
 def with_traits(files: DataFrame) -> DataFrame:
@@ -36,46 +33,58 @@ def _below(base: str) -> Column:
     return F.when(F.startswith(whole, F.lit(f"{base}/")), F.substring(whole, len(base) + 2, 1 << 30)).otherwise(F.regexp_extract(whole, "([^/]*)$", 1))
 
 
-def _unlisted(base: str) -> list[str]:
-    """Files below a local base that Spark's listing leaves out, as they or a directory of theirs begin with _ or a dot: ``__init__.py``, ``.env``."""
-    out = []
-    for folder, folders, files in os.walk(base):
-        folders[:] = [f for f in folders if f not in NO_SOURCES]
-        inner = os.path.relpath(folder, base).replace(os.sep, "/")
-        hidden = any(part[:1] in "_." for part in inner.split("/")) and inner != "."
-        out += [name if inner == "." else f"{inner}/{name}" for name in files if hidden or name[:1] in "_."]
-    return sorted(out)
-
+def _source(spark: SparkSession, uri: str, pattern: str, content: bool) -> DataFrame:
+    spark.dataSource.register(project.ProjectSource)
+    return spark.read.format("project").option("path", uri).option("pattern", pattern).option("content", str(content).lower()).load()
 
-def _opened(spark: SparkSession, base: str, paths: list[str]) -> DataFrame:
-    """(path, content) of local files, read by tasks; Spark reads local paths by the same rule, that all machines see them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, texts = [], []
-            for path in batch.column(0).to_pylist():
-                try:
-                    with open(f"{base}/{path}", "rb") as file:
-                        texts.append(file.read().decode("utf-8", "replace"))
-                        names.append(path)
-                except OSError:  # gone since it was listed, or a broken link
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["path", "content"])
-
-    return spark.createDataFrame([(p,) for p in paths], "path string").mapInArrow(run, "path string, content string")
+def place(spark: SparkSession, root: str) -> str | None:
+    """What pyarrow opens root by, however it is written: a local path or a URI; None where it has no file system for the scheme."""
+    scheme, base = _qualified(spark, root)
+    uri = (base or "/") if scheme == "file" else root
+    try:
+        project.opened(uri)
+    except ValueError:
+        return None
+    return uri
 
 
 def read_project(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Every file below root as (path, content, ...), path relative to root; root may be any file system that Spark reads.
 
-    Files that Spark's listing hides (names that begin with _ or a dot, but for .git) are read too where root is local.
+    Hidden files (names that begin with _ or a dot) are read too, but for those in excluded folders, by the source of
+    project. On schemes that only Spark's JVM knows, Spark's reader is used, which leaves hidden files out.
     """
-    scheme, base = _qualified(spark, root)
-    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(_below(base).alias("path"), F.col("value").alias("content"))
-    hidden = _unlisted(base) if scheme == "file" else []
-    if hidden:
-        rows = rows.unionByName(_opened(spark, base, hidden).where(F.lit(pattern == "*") | F.regexp_extract("path", "([^/]*)$", 1).rlike(glob_to_regex(pattern))))
-    return with_traits(rows)
+    uri = place(spark, root)
+    if uri is not None:
+        return with_traits(_source(spark, uri, pattern, content=True))
+    base = _qualified(spark, root)[1]
+    return with_traits(spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select(_below(base).alias("path"), F.col("value").alias("content")))
+
+
+def list_project(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, size, modified) of the files that read_project reads, without opening any."""
+    uri = place(spark, root)
+    if uri is None:
+        raise ValueError(f"{root} can't be listed without Spark's reader")
+    return _source(spark, uri, pattern, content=False).select("path", "size", "modified")
+
+
+def open_files(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
+    """paths (path, ...) below root with content, read by tasks; files that are gone are left out."""
+    uri = place(spark, root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = project.opened(uri)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                found = pa.array([project.text_of(system, f"{base.rstrip('/')}/{p}") for p in part.column(0).to_pylist()], pa.string())
+                kept = pa.RecordBatch.from_arrays([*part.columns, found], [*part.schema.names, "content"])
+                yield kept.filter(found.is_valid())
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in paths.schema)
+    return paths.mapInArrow(run, f"{kinds}, content string")
 
 
 def git_changes(root: str, base: str = "HEAD") -> list[str]:
