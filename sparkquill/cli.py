@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquill.plans import gate
+from sparkquill.plans.facts import refresh
 from sparkquill.session import ship
 from sparkquill.sources import files
 from sparkquill.sources import rules as sources
@@ -21,11 +22,14 @@ RULES = ".quality/rules.json"
 PAGE = 1_000
 
 
-def scan(spark: SparkSession, root: str, mode: str = "personal", rules: str | None = None) -> DataFrame:
-    """All issues of the project at root; rules: a catalog's path, by default the project's own, if there is one."""
+def scan(spark: SparkSession, root: str, mode: str = "personal", rules: str | None = None, facts: str | None = None) -> DataFrame:
+    """All issues of the project at root; rules: a catalog's path, by default the project's own, if there is one; facts: a folder that
+    keeps what is known of the project, so that only files that have changed since the last scan are opened."""
     path = Path(rules) if rules else Path(root) / RULES
     found = sources.valid_rules(spark, path.read_text())[0] if path.exists() else []
     changed = spark.createDataFrame([(p,) for p in files.git_changes(root)], "path string") if mode == "diff" else None
+    if facts:
+        return gate.issues_of(refresh(spark, root, facts, found).facts, mode, changed)
     return gate.collect_issues(files.read_project(spark, root), found, mode, changed=changed)
 
 
@@ -38,7 +42,7 @@ def page(issues: DataFrame, limit: int = PAGE) -> list[str]:
     return out
 
 
-def _call(spark: SparkSession, root: str, params: object) -> list[str]:
+def _call(spark: SparkSession, root: str, params: object, facts: str | None) -> list[str]:
     """The texts that a tool gives; a ValueError says what is wrong with params."""
     if not isinstance(params, dict) or params.get("name") not in ("scan", "verdict"):
         raise ValueError("no such tool")
@@ -50,11 +54,11 @@ def _call(spark: SparkSession, root: str, params: object) -> list[str]:
         raise ValueError(f"mode must be one of {', '.join(gate.MODES)}")
     if not isinstance(limit, int) or isinstance(limit, bool) or not 0 <= limit <= 100 * PAGE:
         raise ValueError(f"limit must be a number up to {100 * PAGE}")
-    issues = scan(spark, root, mode)
+    issues = scan(spark, root, mode, facts=facts)
     return [str(gate.verdict(issues).first()["exit_code"])] if params["name"] == "verdict" else page(issues, limit)
 
 
-def answer(spark: SparkSession, root: str, lines: Iterable[str]) -> Iterator[str]:
+def answer(spark: SparkSession, root: str, lines: Iterable[str], facts: str | None = None) -> Iterator[str]:
     """JSON-RPC 2.0 answers to requests, one a line: ``initialize``, ``tools/list`` and ``tools/call`` of ``scan`` and ``verdict``. No request ends the server."""
 
     def failed(number: object, code: int, message: str) -> str:
@@ -80,7 +84,7 @@ def answer(spark: SparkSession, root: str, lines: Iterable[str]) -> Iterator[str
             yield json.dumps(head | {"result": {"tools": [{"name": n, "inputSchema": tool} for n in ("scan", "verdict")]}})
         elif method == "tools/call":
             try:
-                text = _call(spark, root, request.get("params"))
+                text = _call(spark, root, request.get("params"), facts)
             except ValueError as wrong:
                 yield failed(request["id"], -32602, str(wrong))
             except Exception as wrong:  # noqa: BLE001  a scan that fails is answered, and the next request served
@@ -96,15 +100,16 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--path", default=".")
     parser.add_argument("--mode", choices=gate.MODES, default="personal")
     parser.add_argument("--rules")
+    parser.add_argument("--facts", help="folder outside of the project that keeps what is known of unchanged files")
     parser.add_argument("--serve", action="store_true", help="answer JSON-RPC requests from stdin")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sparkquill").getOrCreate()
     ship(spark)
     if args.serve:
-        for line in answer(spark, args.path, sys.stdin):
+        for line in answer(spark, args.path, sys.stdin, args.facts):
             print(line, flush=True)
         return 0
-    issues = scan(spark, args.path, args.mode, args.rules).cache()
+    issues = scan(spark, args.path, args.mode, args.rules, args.facts).cache()
     for row in gate.as_json(issues).toLocalIterator():
         print(row["issue"])
     return gate.verdict(issues).first()["exit_code"]

@@ -15,7 +15,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.functions.text import PLACES, layer_of, places, strip_comments
+from sparkquill.functions.text import PLACES, layer_of, let, places, strip_comments
 from sparkquill.operators import graph, imports
 from sparkquill.session import cut
 from sparkquill.sources.rules import Rule
@@ -220,18 +220,30 @@ def structure_issues(parts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- duplicates
 
 
-def line_blocks(files: DataFrame, size: int = LIMITS["block_lines"]) -> DataFrame:
-    """(path, line, hash) of every run of size lines, trimmed, without blank ones; line is where the run starts. Built within each row."""
+def blocks_of(size: int = LIMITS["block_lines"]) -> Column:
+    """array<struct<line, hash>> of every run of size lines of content, trimmed, without blank ones; line is where the run starts, hash its MD5."""
     lines = F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct(F.trim(x).alias("text"), (i + 1).alias("line"))), lambda x: x["text"] != "")
-    rows = files.select("path", lines.alias("lines")).where(F.size("lines") >= size).select("path", "lines", F.col("lines.text").alias("texts"))
-    blocks = F.transform(F.sequence(F.lit(1), F.size("lines") - (size - 1)), lambda i: F.struct(F.get("lines", i - 1)["line"].alias("line"), F.md5(F.array_join(F.slice("texts", i, F.lit(size)), "\n").cast("binary")).alias("hash")))
-    return rows.select("path", F.inline(blocks))
+
+    def runs(lines: Column) -> Column:
+        one = lambda texts: F.transform(F.sequence(F.lit(1), F.size(texts) - (size - 1)), lambda i: F.struct(F.get(lines, i - 1)["line"].alias("line"), F.unhex(F.md5(F.array_join(F.slice(texts, i, F.lit(size)), "\n").cast("binary"))).alias("hash")))
+        return F.when(F.size(lines) >= size, let(lines.getField("text"), one)).otherwise(F.array().cast("array<struct<line:int,hash:binary>>"))
+
+    return F.coalesce(let(lines, runs), F.array().cast("array<struct<line:int,hash:binary>>"))
+
+
+def line_blocks(files: DataFrame, size: int = LIMITS["block_lines"]) -> DataFrame:
+    """(path, line, hash) of blocks_of each file."""
+    return files.select("path", F.inline(blocks_of(size)))
+
+
+def _hex(digest: Column) -> Column:
+    return F.lower(F.hex(digest))
 
 
 def duplicate_blocks(files: DataFrame, size: int = LIMITS["block_lines"]) -> DataFrame:
     """(hash, occurrences, n_files, first_path) of blocks that stand more than once."""
     blocks = line_blocks(files, size).groupBy("hash", "path").agg(F.count("*").alias("n"))
-    return blocks.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_files"), F.min("path").alias("first_path")).where("occurrences > 1")
+    return blocks.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_files"), F.min("path").alias("first_path")).where("occurrences > 1").withColumn("hash", _hex(F.col("hash")))
 
 
 def duplicate_files(files: DataFrame) -> DataFrame:
@@ -239,12 +251,14 @@ def duplicate_files(files: DataFrame) -> DataFrame:
     return files.groupBy(F.md5(F.col("content").cast("binary")).alias("hash")).agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
 
 
-def duplicate_issues(files: DataFrame) -> DataFrame:
-    """An issue for each place of each block that stands more than once: counts by hash meet the blocks again, and adaptive
-    execution splits a block that is everywhere."""
-    counts = line_blocks(files).groupBy("hash").agg(F.count("*").alias("occurrences")).where("occurrences > 1")
-    rows = line_blocks(files).join(counts, "hash")
-    return rows.select("path", F.col("line").cast("int"), F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("hash").alias("found"), F.concat(F.lit("stands "), F.col("occurrences").cast("string"), F.lit(" times")).alias("message"))
+def duplicate_issues(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """An issue for each place of each of the blocks (path, line, hash) that stands more than once, or for those in the paths of only: counts by hash
+    meet the blocks again, and adaptive execution splits a block that is everywhere."""
+    own = blocks if only is None else blocks.join(only, "path", "left_semi")
+    counted = blocks if only is None else blocks.join(own.select("hash").distinct(), "hash", "left_semi")
+    counts = counted.groupBy("hash").agg(F.count("*").alias("occurrences")).where("occurrences > 1")
+    rows = own.join(counts, "hash")
+    return rows.select("path", F.col("line").cast("int"), F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), _hex(F.col("hash")).alias("found"), F.concat(F.lit("stands "), F.col("occurrences").cast("string"), F.lit(" times")).alias("message"))
 
 
 # ---------------------------------------------------------------- names

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sparkquill import sample
 from sparkquill.functions.text import class_of
 from sparkquill.operators import detectors, imports
-from sparkquill.operators.structure import identifiers, structure
+from sparkquill.plans import facts
 from sparkquill.session import cut
 from sparkquill.sources.rules import Rule
 
@@ -42,29 +42,38 @@ def collect_issues(files: DataFrame, rules: Sequence[Rule] = (), mode: str = "pe
     In ``diff`` mode the issues are those of changed (path). Files are all the same: imports, repeated blocks and usual names
     are of the whole project, so that what a changed file breaks together with unchanged ones is found.
     """
+    changed = _changed(mode, changed)
+    measured = None if changed is None else files.join(changed, "path", "left_semi")
+    return issues_of(facts.gather(files, rules, trees, mode == "team", measured), mode, changed)
+
+
+def _changed(mode: str, changed: DataFrame | None) -> DataFrame | None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
-    spark = files.sparkSession
-    if mode == "diff":
-        if changed is None:
-            raise ValueError("diff mode needs the changed paths")
-        changed = cut(changed.select("path").distinct())
-    only = (lambda rows: rows.join(changed, "path", "left_semi")) if mode == "diff" else (lambda rows: rows)
-    # One scan: matches of each file, and what languages' files import.
-    found = [*detectors.security_matches(), *detectors.exception_matches(), *detectors.size_matches(), *detectors.custom_matches(list(rules))]
-    rows = detectors.matches(files, found)
-    known = F.col("lang") != "other"
-    rows = cut(rows.where(known | (F.size("matches") > 0)).select("path", "lang", "matches", F.when(known, imports.candidates()).alias("imports"), F.when(known, imports.package()).alias("package")))
-    edges = cut(imports.edges(rows.where(known).select("path", "lang", "imports", "package")))
+    if mode != "diff":
+        return None
+    if changed is None:
+        raise ValueError("diff mode needs the changed paths")
+    return cut(changed.select("path").distinct())
+
+
+def issues_of(known: facts.Facts, mode: str = "personal", changed: DataFrame | None = None) -> DataFrame:
+    """All issues that follow from facts, in ``diff`` mode those of changed (path)."""
+    changed = _changed(mode, changed)
+    only = (lambda rows: rows) if changed is None else (lambda rows: rows.join(changed, "path", "left_semi"))
+    spark = known.files.sparkSession
+    edges = cut(imports.edges(known.files.where("lang != 'other'").select("path", "lang", "imports", "package")))
     parts = [
-        only(detectors.exploded(rows)),
-        only(detectors.structure_issues(structure(only(files), trees))),
-        only(detectors.duplicate_issues(switched_on(files, "duplicate_code"))),
+        detectors.exploded(only(known.files)),
+        detectors.structure_issues(only(known.parts)),
+        detectors.duplicate_issues(switched_on(known.files, "duplicate_code").select("path", F.inline("blocks")), changed),
         only(detectors.cycle_issues(edges)),
         only(detectors.layer_issues(edges, allowed_layers(spark))),
     ]
     if mode == "team":
-        parts.append(detectors.naming_issues(cut(identifiers(files))))
+        if known.names is None:
+            raise ValueError("team mode needs the facts' names")
+        parts.append(detectors.naming_issues(known.names))
     return adapt(reduce(DataFrame.unionByName, parts))
 
 

@@ -15,8 +15,9 @@ from sparkquill.sources import project
 
 
 def with_traits(files: DataFrame) -> DataFrame:
-    """files (path, content) with lang, file_class and layer."""
-    return files.select("path", "content", language_of(F.col("path")).alias("lang"), class_of(F.col("path")).alias("file_class"), layer_of(F.col("path")).alias("layer"))
+    """files (path, content, ...) with lang, file_class and layer."""
+    traits = {"lang": language_of(F.col("path")), "file_class": class_of(F.col("path")), "layer": layer_of(F.col("path"))}
+    return files.select("path", "content", *[x.alias(name) for name, x in traits.items()], *[c for c in files.columns if c not in ("path", "content", *traits)])
 
 
 def _qualified(spark: SparkSession, root: str) -> tuple[str, str]:

@@ -12,6 +12,7 @@ import time
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from sparkquill import cli, sample
 from sparkquill.functions.text import glob_to_regex, portable
@@ -19,8 +20,10 @@ from sparkquill.operators import detectors as d
 from sparkquill.operators import graph
 from sparkquill.operators.outline import outline
 from sparkquill.operators.structure import measure, structure
+from sparkquill.plans import facts as stored
 from sparkquill.plans import gate
 from sparkquill.sources import files as sources
+from sparkquill.sources import project as source
 from sparkquill.sources import rules as catalogs
 from sparkquill.sources.rules import Rule
 from sparkquill.streaming.watch import watch
@@ -333,6 +336,98 @@ def test_roots_however_they_are_written(spark, project, monkeypatch):
     assert {r.path for r in cli.scan(spark, str(project / "app"), "diff").collect()} == {"bad.py"}
 
 
+def key_rows(df):
+    return sorted(tuple(r) for r in df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in d.ISSUE]).collect())
+
+
+def test_scans_with_kept_facts_open_what_has_changed(spark, tmp_path):
+    root, store = tmp_path / "p", str(tmp_path / "facts")
+    (root / "app" / "domain").mkdir(parents=True)
+    block = "".join(f"line_{k} = {k}\n" for k in range(7))
+    for k in range(60):
+        (root / "app" / f"m{k}.py").write_text(f"import app.m{k + 1}\n" + (block if k < 2 else f"x{k} = {k}\n"))
+    (root / "app" / "domain" / "__init__.py").write_text("from app import m3\n")
+    (root / "app" / "web.ts").write_text("function do_it() { try { a(); } catch (e) { } }\nfunction doThis() { }\nfunction doThat() { }\n")
+    rule = Rule("R", "", "info", "python", r"\bx7\b", "m", "")
+    same = lambda facts, *rules, **how: key_rows(gate.issues_of(facts, "team", **how)) == key_rows(gate.collect_issues(sources.read_project(spark, str(root)), list(rules), "team", **how))
+    first = stored.refresh(spark, str(root), store)
+    assert (first.opened, first.version) == (62, 1) and same(first.facts)
+    assert stored.refresh(spark, str(root), store).opened == 0
+    (root / "app" / "m5.py").write_text("import app.m4\n" + block)  # a circle, and a third copy
+    status = (root / "app" / "m9.py").stat()
+    (root / "app" / "m9.py").write_text("y" + (root / "app" / "m9.py").read_text()[1:])  # behind the listing's back: nobody may open it
+    os.utime(root / "app" / "m9.py", ns=(status.st_atime_ns, status.st_mtime_ns))
+    second = stored.refresh(spark, str(root), store)
+    assert (second.opened, second.version) == (1, 2)
+    (root / "app" / "m9.py").write_text("i" + (root / "app" / "m9.py").read_text()[1:])
+    os.utime(root / "app" / "m9.py", ns=(status.st_atime_ns, status.st_mtime_ns))
+    assert same(second.facts)
+    changed = spark.createDataFrame([("app/m5.py",)], "path string")
+    found = key_rows(gate.issues_of(second.facts, "diff", changed))
+    assert found == key_rows(gate.collect_issues(sources.read_project(spark, str(root)), (), "diff", changed=changed))
+    assert {r[2] for r in found} == {"dependency_cycle", "duplicate_block"}
+    (root / "app" / "m1.py").unlink()
+    (root / "app" / ".env").write_text("token = 'abcdefgh'\n")
+    third = stored.refresh(spark, str(root), store)
+    assert (third.opened, third.version) == (1, 3) and same(third.facts)
+    ruled = stored.refresh(spark, str(root), store, [rule])  # other rules: all facts anew
+    assert ruled.opened == 62 and same(ruled.facts, rule) and "R" in {r.rule_id for r in gate.issues_of(ruled.facts).collect()}
+    with pytest.raises(ValueError):
+        stored.refresh(spark, str(root), str(root / "facts"))
+
+
+def test_versions_of_facts_are_merged_and_cut_short_ones_written_again(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "p", str(tmp_path / "facts")
+    root.mkdir()
+    monkeypatch.setattr(stored, "VERSIONS", 3)
+    for k in range(5):
+        (root / f"f{k}.py").write_text(f"password = 'hunter{k}hunter{k}'\n")
+        if k == 3:  # a run that died before its last table
+            os.makedirs(f"{store}/version=9/files")
+        facts = stored.refresh(spark, str(root), store).facts
+        assert {r.path for r in facts.files.collect()} == {f"f{i}.py" for i in range(k + 1)}
+        assert len(stored._metas(spark, store)) <= 3
+    assert key_rows(gate.issues_of(facts)) == key_rows(gate.collect_issues(sources.read_project(spark, str(root))))
+
+
+def test_command_line_with_kept_facts(spark, project, tmp_path):
+    store = str(tmp_path / "kept")
+    for _ in range(2):
+        assert key_rows(cli.scan(spark, str(project), "diff", facts=store)) == key_rows(cli.scan(spark, str(project), "diff"))
+    assert stored.versions(spark, store) == [1]
+
+
+def test_the_project_source(spark, tmp_path):
+    root = tmp_path / "a b%c"
+    for name in ("x.py", "_y.py", ".hid/z.py", ".git/no.py", "deep/er/__init__.py", "deep/.git/no.py", "bin.dat", "deep/é.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"\xff\x00" if name == "bin.dat" else name.encode())
+    (root / "deep" / "loop").symlink_to(root)
+    (root / "broken.py").symlink_to(root / "nothing")
+    whole = {n: n for n in ("x.py", "_y.py", ".hid/z.py", "deep/er/__init__.py", "deep/é.py")}
+    for tasks in (1, 2, 64):
+        for uri in (str(root), root.as_uri()):
+            rows = spark.read.format("project").option("path", uri).option("tasks", tasks).option("pattern", "*.py").load().collect()
+            assert {r.path: r.content for r in rows} == whole and all(r.size == len(r.content.encode()) for r in rows)
+    rows = sources.list_project(spark, str(root)).collect()
+    assert {r.path for r in rows} == {*whole, "bin.dat"} and all(r.modified > 0 for r in rows)
+    assert {r.path: r.content for r in sources.read_project(spark, str(root)).collect()}["bin.dat"] == "\ufffd\x00"
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(30):
+        (many / f"f{k}").write_text("")
+    reader = source.ProjectReader({"path": str(many)})
+    assert len(reader.partitions()) == 1
+    source.FILES, before = 7, source.FILES
+    try:
+        parts = reader.partitions()
+        assert len(parts) == 5 and sorted(p for part in parts for b in reader.read(part) for p in b.column(0).to_pylist()) == sorted(f"f{k}" for k in range(30))
+    finally:
+        source.FILES = before
+    with pytest.raises(ValueError):
+        source.opened("viewfs://store/x")
+
+
 def test_changes_are_judged_with_what_is_unchanged(spark):
     table = files(spark, ("app/domain/a.py", "import app.infra.b\n"), ("app/infra/b.py", "import app.domain.a\n" + "".join(f"v{k} = {k}\n" for k in range(6))), ("app/c.py", "".join(f"v{k} = {k}\n" for k in range(6)) + "password = 'hunter2hunter2'\n"))
     changed = lambda *paths: {(r.path, r.rule_id) for r in gate.collect_issues(table, mode="diff", changed=spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
