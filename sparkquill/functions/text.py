@@ -70,20 +70,22 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _without_comments(content: Column, pattern: str) -> Column:
+def _without_comments(content: Column, pattern: Column) -> Column:
     """content without comments but with the newlines within them, so that lines keep their numbers."""
-    pieces, found = F.split(content, pattern, -1), F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
+    pieces, found = F.split(content, pattern, -1), F.regexp_extract_all(content, pattern, F.lit(0))
     kept = F.transform(found, lambda x: F.when(x.startswith("/"), F.regexp_replace(x, "[^\n]+", "")).otherwise(x))
     return F.array_join(F.zip_with(pieces, F.concat(kept, F.array(F.lit(""))), lambda piece, x: F.concat(piece, x)), "")
 
 
 def strip_comments(content: Column, lang: Column) -> Column:
     """content without comments, lines kept apart; of a language without a stripper it is unchanged."""
-    out = F
-    for name, pattern in COMMENTS.items():
-        plain = F.regexp_replace(content, pattern, "$1")
-        out = out.when(lang == name, plain if name == "python" else F.when(content.contains("/*"), _without_comments(content, pattern)).otherwise(plain))
-    return out.otherwise(content)
+    pattern = F.create_map(*[F.lit(x) for pair in COMMENTS.items() for x in pair])[lang]
+
+    def stripped(pattern: Column) -> Column:
+        plain = F.regexp_replace(content, pattern, F.lit("$1"))
+        return F.when(pattern.isNull(), content).when((lang == "python") | ~content.contains("/*"), plain).otherwise(_without_comments(content, pattern))
+
+    return let(pattern, stripped)
 
 
 #: Characters that mark where a match begins and ends.
@@ -96,7 +98,7 @@ def _lines_of(marked: Column) -> Column:
     return F.flatten(F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(i + 1, F.length(line) - F.length(F.replace(line, F.lit(_OPEN), F.lit(""))))))
 
 
-def places(text: Column, pattern: str) -> Column:
+def places(text: Column, pattern: Column) -> Column:
     """array<struct<found, line>>: every match of a pattern in order, with the 1-based line at which it starts (null if a match is empty).
 
     The pattern is searched for once, which puts marks around its matches; the rest is done to texts that have marks. Texts that hold
@@ -117,7 +119,7 @@ def places(text: Column, pattern: str) -> Column:
         return F.when(F.size(found) == 0, F.array().cast(PLACES)).otherwise(paired(found, _lines_of(F.array_join(parts, ""))))
 
     holds = text.contains(_OPEN) | text.contains(_SHUT)
-    return F.when(holds, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), twice)).otherwise(let(F.regexp_replace(text, pattern, f"{_OPEN}$0{_SHUT}"), marked))
+    return F.when(holds, let(F.regexp_extract_all(text, pattern, F.lit(0)), twice)).otherwise(let(F.regexp_replace(text, pattern, F.lit(f"{_OPEN}$0{_SHUT}")), marked))
 
 
 def glob_to_regex(glob: str) -> str:

@@ -1,24 +1,24 @@
 """Detectors: files (path, lang, file_class, layer, content) to issues or metrics, by column expressions over one scan.
 
-Detectors that need one file at a time are arrays of matches, built of literal patterns that share one projection, so a scan of
-all of them reads and strips each file once. Each pattern stands behind a gate of words that a match can't do without, found
-by plain search; so most files pass most patterns by. A match is known by file, rule, line and text, and repeats within a
-file are dropped within its row: nothing is shuffled. Every detector gives ISSUE columns.
+Patterns, built in or of custom rules, are rows of one constant array (Lookup), which one expression goes through for each file; so the
+plan is the same for a thousand rules as for one. Each pattern stands behind a gate of words that a match can't do without, found by
+plain search; so most files pass most patterns by. A match is known by file, rule, line and text, and repeats within a file are
+dropped within its row: nothing is shuffled. Every detector gives ISSUE columns.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkquill.functions.text import PLACES, layer_of, let, places, strip_comments
+from sparkquill.functions.text import glob_to_regex, layer_of, let, places, strip_comments
 from sparkquill.operators import graph, imports
 from sparkquill.session import cut
-from sparkquill.sources.rules import Rule
+from sparkquill.sources.rules import Rule, required
 
 ISSUE = ("path", "line", "rule_id", "category", "severity", "confidence", "found", "message")
 #: Confidence of a match in raw text, in stripped text, of a syntax tree, of a dependency cycle.
@@ -87,41 +87,80 @@ def with_code(files: DataFrame) -> DataFrame:
     return files.withColumn("code", strip_comments(F.col("content"), F.col("lang")))
 
 
-def _no_matches() -> Column:
-    return F.array().cast(_MATCH)
-
+@dataclass(frozen=True)
+class Lookup:
+    """A pattern and where it is looked for: in files of languages, of a layer or with a path like glob (None: all), in their code or in their
+    whole content; words as of Search. raw and stripped: the confidence of a match in files without and with a comment stripper."""
 
-def _match(category: str, rule: str, severity: str, message: str | Column, confidence: Column, found: Column, line: Column) -> Column:
-    message = F.lit(message) if isinstance(message, str) else message
-    return F.struct(F.lit(category).alias("category"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), message.alias("message"), confidence.cast("int").alias("confidence"), found.alias("found"), line.cast("int").alias("line"))
+    category: str
+    rule_id: str
+    severity: str
+    message: str
+    pattern: str
+    words: tuple[tuple[str, ...], ...] = ()
+    languages: tuple[str, ...] | None = None
+    layer: str | None = None
+    glob: str | None = None
+    in_code: bool = True
+    raw: int = STRIPPED
+    stripped: int = STRIPPED
 
 
-def _has(words: tuple[tuple[str, ...], ...]) -> Column:
-    return reduce(and_, (reduce(or_, (F.col("lower").contains(word) for word in any_of)) for any_of in words))
+_LOOKUP = "array<struct<category:string,rule_id:string,severity:string,message:string,pattern:string,words:array<array<string>>,languages:array<string>,layer:string,glob:string,in_code:boolean,raw:int,stripped:int>>"
 
 
-def _pattern_matches(category: str, rules: dict[str, Pattern], confidence: Column) -> list[Column]:
-    """Each search behind its own gate; a text that no search of a rule may match in makes no array for it."""
-    out = []
-    for rule, p in rules.items():
-        applies = F.col("lang").isin(*p.languages) if p.languages else F.lit(True)
-        found = [F.when(_has(x.words), places(F.col("code"), x.pattern)).otherwise(F.array().cast(PLACES)) for x in p.searches]
-        matches = F.transform(F.array_distinct(F.concat(*found)) if len(found) > 1 else F.array_distinct(found[0]), lambda x: _match(category, rule, p.severity, p.message, confidence, x["found"], x["line"]))  # noqa: B023
-        out.append(F.when(applies & reduce(or_, (_has(x.words) for x in p.searches)), matches).otherwise(_no_matches()))
-    return out
+def _lookups(category: str, rules: dict[str, Pattern], raw: int) -> list[Lookup]:
+    return [Lookup(category, rule, p.severity, p.message, x.pattern, x.words, p.languages or None, raw=raw) for rule, p in rules.items() for x in p.searches]
 
 
-def security_matches() -> list[Column]:
+def security_lookups(rules: dict[str, Pattern] = SECURITY) -> list[Lookup]:
     """Red lines by three passes: raw text, text without comments, and that across lines.
 
     A match that stripped text has holds at STRIPPED. One that the raw text alone has stood in a comment and is dropped; so where
     comments can be stripped the raw pass only decides, by its words, whether the others are made. Files of languages without
     a stripper have their raw text matched, at RAW."""
-    return _pattern_matches("security", SECURITY, F.when(F.col("lang") == "other", RAW).otherwise(STRIPPED))
+    return _lookups("security", rules, RAW)
+
+
+def exception_lookups() -> list[Lookup]:
+    return _lookups("exception_handling", EXCEPTIONS, STRIPPED)
+
+
+def custom_lookups(rules: Sequence[Rule]) -> list[Lookup]:
+    """Every match of each rule's pattern in the raw text of files in its scope."""
+    return [Lookup("custom", r.id, r.severity, r.message, r.pattern, required(r.pattern), (r.target,) if r.kind == "language" else None, r.target if r.kind == "layer" else None, glob_to_regex(r.target) if r.kind == "glob" else None, False, RAW, RAW) for r in rules]
+
+
+def looked_up(lookups: Sequence[Lookup]) -> Column:
+    """The matches of lookups in a file (path, lang, layer, content, code)."""
+    if not lookups:
+        return F.array().cast(_MATCH)
+    table = F.from_json(F.lit(json.dumps([vars(x) for x in lookups])), _LOOKUP)
 
+    words = F.from_json(F.lit(json.dumps(sorted({word for x in lookups for any_of in x.words for word in any_of}))), "array<string>")
 
-def exception_matches() -> list[Column]:
-    return _pattern_matches("exception_handling", EXCEPTIONS, F.lit(STRIPPED))
+    def applies(x: Column, held: Column) -> Column:
+        where = (x["languages"].isNull() | F.array_contains(x["languages"], F.col("lang"))) & (x["layer"].isNull() | (x["layer"] == F.col("layer"))) & (x["glob"].isNull() | F.coalesce(F.rlike("path", x["glob"]), F.lit(False)))
+        return where & F.forall(x["words"], lambda any_of: F.arrays_overlap(any_of, held))
+
+    def of_one(x: Column, code: Column) -> Column:
+        named = lambda hit: F.struct(x["category"], x["rule_id"], x["severity"], x["message"], F.when(F.col("lang") == "other", x["raw"]).otherwise(x["stripped"]).alias("confidence"), hit["found"], hit["line"])
+        return F.transform(F.array_distinct(places(F.when(x["in_code"], code).otherwise(F.col("content")), x["pattern"])), named)
+
+    # Within let both texts are computed once; as columns they would be drawn into the lambdas, and computed for each word.
+    held = let(F.lower("content"), lambda lower: F.filter(words, lambda word: lower.contains(word)))
+    found = let(held, lambda held: F.filter(table, lambda x: applies(x, held)))
+    every = lambda fitting: F.when(F.size(fitting) == 0, F.array().cast(_MATCH)).otherwise(let(F.col("code"), lambda code: F.flatten(F.transform(fitting, lambda x: of_one(x, code)))).cast(_MATCH))
+    return F.coalesce(let(found, every), F.array().cast(_MATCH))
+
+
+def _no_matches() -> Column:
+    return F.array().cast(_MATCH)
+
+
+def _match(category: str, rule: str, severity: str, message: str | Column, confidence: Column, found: Column, line: Column) -> Column:
+    message = F.lit(message) if isinstance(message, str) else message
+    return F.struct(F.lit(category).alias("category"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), message.alias("message"), confidence.cast("int").alias("confidence"), found.alias("found"), line.cast("int").alias("line"))
 
 
 def _over(category: str, value: Column, found: Column, line: Column, confidence: Column) -> Column:
@@ -138,41 +177,38 @@ def size_matches() -> list[Column]:
     ]
 
 
-def custom_matches(rules: list[Rule]) -> list[Column]:
-    """Every match of each rule's pattern in the raw text of files in its scope. Rules are settings, so they are literals."""
-    out = []
-    for rule in rules:
-        matches = F.transform(F.array_distinct(places(F.col("content"), rule.pattern)), lambda x: _match("custom", rule.id, rule.severity, rule.message, F.lit(RAW), x["found"], x["line"]))  # noqa: B023
-        out.append(F.when(rule.fits(), matches).otherwise(_no_matches()))
-    return out
-
-
-def matches(files: DataFrame, found: list[Column]) -> DataFrame:
-    """files (path, content, ...) with code and their matches in one array, each once."""
-    rows = with_code(files).withColumn("lower", F.lower("content"))
-    return rows.withColumn("matches", F.array_distinct(F.flatten(F.array(*found)))).drop("lower")
+def matches(lookups: Sequence[Lookup], further: Sequence[Column] = ()) -> Column:
+    """The matches of a file (path, lang, layer, content, code), and the further ones, each once."""
+    return F.array_distinct(F.flatten(F.array(looked_up(lookups), *further)))
 
 
 def exploded(rows: DataFrame) -> DataFrame:
+    """ISSUE rows of a stored column matches."""
     return rows.select("path", F.inline("matches")).select(*ISSUE)
 
 
+def hits(files: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
+    """ISSUE rows of lookups. The array goes into the generator as it is: of a column the optimizer would test the size first, and so
+    compute it twice."""
+    return with_code(files).select("path", F.inline(matches(lookups))).select(*ISSUE)
+
+
 def three_scans(files: DataFrame) -> DataFrame:
-    return exploded(matches(files, security_matches()))
+    return hits(files, security_lookups())
 
 
 def rule_hits(files: DataFrame, rule: str) -> DataFrame:
     """Matches of one red line: path, found, n."""
-    rows = exploded(matches(files, _pattern_matches("security", {rule: SECURITY[rule]}, F.lit(STRIPPED))))
+    rows = hits(files, security_lookups({rule: SECURITY[rule]}))
     return rows.groupBy("path", "found").agg(F.count("*").alias("n"))
 
 
 def exception_issues(files: DataFrame) -> DataFrame:
-    return exploded(matches(files, exception_matches()))
+    return hits(files, exception_lookups())
 
 
 def custom_issues(files: DataFrame, rules: list[Rule]) -> DataFrame:
-    return exploded(matches(files, custom_matches(rules)))
+    return hits(files, custom_lookups(rules))
 
 
 def rule_scope(files: DataFrame, rules: list[Rule]) -> DataFrame:

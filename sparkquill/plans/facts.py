@@ -42,17 +42,15 @@ class Facts:
 
 def drawn(files: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
     """files (path, lang, layer, content, ...) as rows of Facts.files and columns keep. One pass: comments are stripped once."""
-    found = [*detectors.security_matches(), *detectors.exception_matches(), *detectors.size_matches(), *detectors.custom_matches(list(rules))]
+    lookups = [*detectors.security_lookups(), *detectors.exception_lookups(), *detectors.custom_lookups(rules)]
     known = F.col("lang") != "other"
-    rows = detectors.matches(files, found).withColumn("blocks", detectors.blocks_of())
-    return rows.select("path", *keep, "lang", "matches", F.when(known, imports.candidates()).alias("imports"), F.when(known, imports.package()).alias("package"), "blocks")
+    found = [detectors.matches(lookups, detectors.size_matches()).alias("matches"), detectors.blocks_of().alias("blocks")]
+    return detectors.with_code(files).select("path", *keep, "lang", *found, F.when(known, imports.candidates()).alias("imports"), F.when(known, imports.package()).alias("package"))
 
 
 def gather(files: DataFrame, rules: Sequence[Rule] = (), trees: bool = True, names: bool = False, measured: DataFrame | None = None) -> Facts:
-    """Facts of files; those that hold nothing are left out. measured: the files whose parts are wanted, by default all."""
-    rows = drawn(files, rules)
-    rows = cut(rows.where((F.col("lang") != "other") | (F.size("matches") > 0) | (F.size("blocks") > 0)))
-    return Facts(rows, structure(files if measured is None else measured, trees), cut(identifiers(files)) if names else None)
+    """Facts of files. measured: the files whose parts are wanted, by default all."""
+    return Facts(cut(drawn(files, rules)), structure(files if measured is None else measured, trees), cut(identifiers(files)) if names else None)
 
 
 # ---------------------------------------------------------------- store

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,40 @@ class Rule:
         return F.lit(True) if self.kind == "all" else F.col("layer" if self.kind == "layer" else "lang") == self.target
 
 
+def required(pattern: str, least: int = 3) -> tuple[tuple[str, ...], ...]:
+    """Words, in lower case, that any match of a pattern holds: one tuple of a single word for each run of plain ASCII letters and signs that
+    no match can do without; none where the pattern can't be read so. Patterns are Java's; where Python's parser takes one, literals
+    outside of alternatives, options and classes mean the same in both."""
+    # Comments in patterns, case beyond ASCII, and sets within sets, which Java reads otherwise.
+    if re.search(r"\(\?[a-z]*[xuU]|\[[^\]]*\[|&&", pattern):
+        return ()
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            parsed = re._parser.parse(re.sub(r"\(\?<(\w)", r"(?P<\1", pattern))
+    except (re.error, RecursionError, OverflowError, ValueError):
+        return ()
+    found: list[str] = []
+
+    def walk(items) -> None:
+        run = ""
+        for op, value in [*items, (None, None)]:
+            name = str(op)
+            if name == "LITERAL" and 32 <= value < 127:
+                run += chr(value).lower()
+                continue
+            if len(run) >= least:
+                found.append(run)
+            run = ""
+            if name == "SUBPATTERN":
+                walk(value[3])
+            elif name in ("MAX_REPEAT", "POSSESSIVE_REPEAT", "MIN_REPEAT") and value[0] >= 1:
+                walk(value[2])
+
+    walk(parsed)
+    return tuple((word,) for word in dict.fromkeys(found))
+
+
 def parse_rules(spark: SparkSession, text: str) -> DataFrame:
     """A catalog's JSON text as rows of FIELDS."""
     rows = spark.createDataFrame([(text,)], "json string")

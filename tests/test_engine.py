@@ -7,6 +7,7 @@ import os
 import random
 import re
 import subprocess
+import sys
 import time
 
 import pytest
@@ -268,6 +269,58 @@ def test_long_and_null_texts(spark):
     assert d.file_sizes(rows).count() == 4
 
 
+@pytest.mark.parametrize("n", [1_000_000])
+def test_any_number_of_escapes_in_every_language(n):
+    """In a JVM of its own, where nothing is compiled yet and the stack is shallow."""
+    program = f'''
+import json, sys
+sys.path.insert(0, {str(sources.__file__.rsplit("/sparkquill/", 1)[0])!r})
+from pyspark.sql import SparkSession, functions as F
+from sparkquill.operators import detectors as d
+from sparkquill.sources.files import with_traits
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
+n = {n}
+rows = [("a." + e, 'x = "' + chr(92) * 2 * n + '"; y = \\'' + (chr(92) + "n") * n + "\\' // gone" + chr(10) + "# gone" + chr(10)) for e in ("py", "js", "java", "go", "cs", "cc", "rs")]
+rows.append(("b.rs", "use " + "a::" * n + "b;" + chr(10) + "use super" + "::c" * n + ";"))
+rows.append(("b.js", "import '" + "../" * n + "x'"))
+files = with_traits(spark.createDataFrame(rows, "path string, content string"))
+print(json.dumps([{{r.path: r.n for r in d.with_code(files).select("path", (F.length("content") - F.length("code")).alias("n")).collect()}}, d.dependency_edges(files).count(), d.three_scans(files).count()]))
+'''
+    out = subprocess.run([sys.executable, "-c", program], capture_output=True, text=True, timeout=400)
+    assert out.returncode == 0, out.stderr[-2_000:]
+    gone, edges, found = json.loads(out.stdout.strip().splitlines()[-1])
+    assert gone == {"a.py": 6, "b.rs": 0, "b.js": 0} | {f"a.{e}": 7 for e in ("js", "java", "go", "cs", "cc", "rs")}
+    assert edges == found == 0
+
+
+@pytest.mark.parametrize("pattern,words", [("foo|bar", ()), ("foobar", ("foobar",)), ("(?i)FooBar\\s+(baz|q)x", ("foobar",)), ("a[bc]def(?:ghi)+(?:jkl)?(mno)*", ("def", "ghi")), ("(?<x>abc)\\1", ("abc",)), ("(?x)abc def", ()), ("\\Qabc\\E", ()), ("[a[bc]]xyz", ()), ("(?iu)kelvin", ()), ("\\vabc", ("abc",)), ("(unclosed", ()), ("(?=abc)d", ()), ("(?:abcd|abce)fgh", ("abc", "fgh")), ("\\p{L}abc", ()), ("éabc", ("abc",))])
+def test_words_that_a_match_holds(pattern, words):
+    assert catalogs.required(pattern) == tuple((w,) for w in words)
+
+
+def test_a_thousand_rules(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcde") for _ in range(n))
+    shapes = [lambda: letters(4), lambda: f"{letters(3)}[a-c]+{letters(2)}", lambda: f"(?i){letters(3).upper()}", lambda: f"{letters(2)}|{letters(5)}", lambda: rf"\\b{letters(3)}\\w*{letters(1)}\\b"]
+    targets = ["all", "python", "domain", "*.js", "app/**/x.py"]
+    rules = [Rule(f"R{k}", "", "warn", rng.choice(targets), rng.choice(shapes)(), "m", "") for k in range(1_000)]
+    texts = {path: "".join(rng.choice(["abcde", "ABCdE", " ", "\n", letters(3)]) for _ in range(400)) for path in ("app/domain/x.py", "web/y.js", "app/z.go", "notes.txt")}
+    fits = {"all": lambda p: True, "python": lambda p: p.endswith(".py"), "domain": lambda p: "/domain/" in p, "*.js": lambda p: p.endswith(".js"), "app/**/x.py": lambda p: p.endswith("/x.py")}
+    expected = {(path, rule.id, text.count("\n", 0, m.start()) + 1, m[0]) for path, text in texts.items() for rule in rules if fits[rule.target](path) for m in re.finditer(rule.pattern, text)}
+    table = files(spark, *texts.items())
+    began = time.time()
+    df = d.custom_issues(table, rules)
+    df._jdf.queryExecution().executedPlan()
+    assert time.time() - began < 5
+    assert {(r.path, r.rule_id, r.line, r.found) for r in df.collect()} == expected
+
+
+def test_texts_with_marks_of_their_own(spark):
+    text = "\x01token = 'abcdefgh'\n\x02 token = 'abcd\x01efgh'\n"
+    rows = d.three_scans(files(spark, ("b.txt", text))).collect()
+    assert sorted((r.line, r.found) for r in rows) == [(1, "token = 'abcdefgh'"), (2, "token = 'abcd\x01efgh'")]
+
+
 def test_bad_rules_are_named_and_left_out(spark):
     rules, bad = catalogs.valid_rules(spark, sample.RULES_JSON)
     assert bad == ["BROKEN"] and len(rules) == 4
