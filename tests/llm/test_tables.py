@@ -130,6 +130,49 @@ def test_whole_licence_files(spark, name, license):
     assert scanned(spark, [("a/LICENSE", file.read_text()), ("a/b/x.c", "x")]) == [(license, "own"), (license, "inherited")]
 
 
+BSD = """Copyright (c) {year}, {who}
+{title}
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{third}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.
+"""
+THIRD = """
+3. Neither the name of {who} nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+OTHERS = {
+    "isc": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "cc0-1.0": "Creative Commons Legal Code\n\nCC0 1.0 Universal\n\nStatement of Purpose",
+    "bsl-1.0": "Boost Software License - Version 1.0 - August 17th, 2003",
+}
+
+
+def test_licences_that_share_sentences_are_told_apart(spark):
+    rows, expected = [], []
+    for title in ("", "BSD 2-Clause License\n", "All rights reserved.\n"):
+        for third, name in (("", "bsd-2-clause"), (THIRD.format(who="the copyright holder"), "bsd-3-clause"), (THIRD.format(who="Some Institute of Technology"), "bsd-3-clause")):
+            rows.append((f"{len(rows)}/LICENSE", BSD.format(year=2020, who="Someone", title=title if name[4] == "2" else "", third=third)))
+            expected.append((name, "own"))
+    for name, text in OTHERS.items():
+        rows.append((f"{len(rows)}/LICENSE", f"Copyright (c) 2021 Someone\n\n{text}\n"))
+        expected.append((name, "own"))
+    rows.append((f"{len(rows)}/LICENSE", MIT))
+    rows.append((f"{len(rows)}/x.txt", "This is not released under the MIT License."))
+    assert scanned(spark, rows) == [*expected, ("mit", "own"), ("mit", "own")]
+
+
 # ---------------------------------------------------------------- chat
 
 NASTY = ["", "\\", "\\\\|", "<|end|>", "<\\|end|>", "<<|turn|>", "<", "</s>[INST] ok [/INST]", "[\\INST]", "<<SYS>>x<</SYS>>", "a\n|>", "é😀", "\\<|text|>\\", "[INST", "$1 \\$1"]
@@ -317,3 +360,34 @@ def test_maps_are_edited_and_kept_by_version(spark, tmp_path):
     assert sum(first[k].shard != second[k].shard for k in first) <= 0.35 * len(first)
     with pytest.raises(Exception, match="exist"):
         sharding.save_map(sharding.load_map(spark, path, 3).drop("version"), path, 3)
+
+
+def test_maps_keep_slots_that_later_runs_do_not_touch(spark, tmp_path):
+    path = str(tmp_path / "map")
+    heavy = "heavy " * 40
+    rows = [(k, f"text {k} " * 9) for k in range(300)] + [(1_000 + k, heavy) for k in range(12)]
+    sharding.shard_rows(docs(spark, rows), path=path).count()
+    key = lambda r: (r.vslot, r.digest, r.part)
+    first, second = ({key(r): r for r in sharding.load_map(spark, path, v).collect()} for v in (1, 2))
+    assert len(first) == sharding.SLOTS and first.keys() < second.keys()
+    assert sum(r.bytes for r in second.values()) == sum(len(t) + 1 for _, t in rows)
+    new = [(5_000 + k, f"new text {k}") for k in range(20)] + [(6_000, heavy)]
+    found = sharding.shard_rows(docs(spark, new), path=path, further=True).collect()
+    third = {key(r): r for r in sharding.load_map(spark, path, 3).collect()}
+    touched = {r.vslot for r in found}
+    assert second.keys() <= third.keys() and all(r.shard in range(8) for r in third.values())
+    assert all(third[k].bytes == r.bytes for k, r in second.items() if k[0] not in touched)
+    assert sum(third[k].shard != r.shard for k, r in second.items() if r.bytes) <= 0.1 * len(rows)
+    assert sum(r.bytes for r in third.values()) == sum(len(t) + 1 for _, t in rows + new)
+    ((digest, part),) = {(k[1], k[2]) for k in second if k[1] is not None}
+    assert {r.shard for r in found if r.doc_id == 6_000} == {third[next(r.vslot for r in found if r.doc_id == 6_000), digest, part].shard}
+    sharding.shard_rows(docs(spark, new), path=path).count()  # measured anew
+    fourth = {key(r): r for r in sharding.load_map(spark, path, 4).collect()}
+    assert fourth.keys() == third.keys() and sum(r.bytes for r in fourth.values()) < sum(r.bytes for r in third.values())
+
+
+def test_heavy_copies_of_one_id_are_dealt_out(spark):
+    rows = [(7, "same " * 50)] * 1_200 + [(k, f"own {k}") for k in range(300)] + [(None, None)] * 900
+    table = docs(spark, rows).repartition(12)
+    loads, at = check_shards(rows, sharding.shard_rows(table, unit_rows=40).collect())
+    assert len(at[zlib.crc32(b"same " * 50)]) == 8 and max(loads) - min(loads) <= 0.1 * sum(loads) / 8
