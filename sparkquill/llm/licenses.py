@@ -6,7 +6,8 @@ SPDX lines; they stand for whole licence texts too, as one of them is in each. A
 from one of the template's words to another one, of up to SPAN times the template's words and over any line ends. So a notice
 counts by itself, whatever stands beside it or in its line. A window must also hold what the template has of the licence's
 name: "released under license" is no "mit", and version 2 of a licence isn't version 3. A document takes the licence of the
-greatest cosine that reaches the threshold.
+greatest cosine that reaches the threshold; a licence that another one adds a clause to (OUTRANKS) gives way to it. Bags of words
+don't read sentences: "not released under the MIT License" holds a notice.
 
 A licence file is a document named as one, or of which the notice is a large part. It holds for its directory and those below,
 up to the next one: each directory's ancestors are joined to the directories that have a licence file, and the deepest one
@@ -34,7 +35,12 @@ from sparkquill.llm.common import cut
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
-    ("bsd-3-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-2-clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsl-1.0", "Boost Software License Version 1.0"),
+    ("cc0-1.0", "CC0 1.0 Universal"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "The origin of this software must not be misrepresented; you must not claim that you wrote the original software"),
     ("cc-by-4.0", "Licensed under CC BY 4.0"),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
@@ -64,6 +70,8 @@ TEMPLATES = (
     ("mpl-2.0", "Mozilla Public License Version 2.0"),
 )
 TEMPLATES += tuple((name, f"SPDX-License-Identifier: {name}") for name in sorted({name for name, _ in TEMPLATES}))
+#: The first has a clause that the second lacks, and all else of it: where both are found, the first holds.
+OUTRANKS = (("bsd-3-clause", "bsd-2-clause"),)
 #: The longest window, in a template's words.
 SPAN = 3
 STOPWORDS = ("a", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "in", "into", "is", "it", "may", "not", "of", "on", "or", "the", "this", "to", "under", "was", "with", "you")
@@ -179,7 +187,8 @@ def scan_licenses(files: DataFrame, threshold: float = 0.7, licence_share: float
     counted = cut(counted)
     df = {r.term: r.df for r in counted.where(F.col("term").isin("", *_vocabulary())).collect()}
     n = df.get("", 0)
-    weights = _weights({t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in _vocabulary()})
+    idf_of = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in _vocabulary()}
+    weights = _weights(idf_of)
     templates = _templates(weights)
     least = (threshold - 1e-6) ** 2 - 1e-9  # of a template's squared length, by Cauchy-Schwarz; scores are rounded
     held = F.arrays_overlap(terms(text), _strings(_anchors(weights, least)))
@@ -187,9 +196,14 @@ def scan_licenses(files: DataFrame, threshold: float = 0.7, licence_share: float
     directory = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", ""))
     rows = cut(files.select("doc_id", "path", directory.alias("dir"), windows.alias("x"), F.monotonically_increasing_id().alias("row")))
     words = rows.where("size(x.windows) > 0").select("row", F.posexplode("x.windows").alias("window", "w")).select("row", "window", "w.k", F.posexplode("w.words").alias("at", "term"))
+    # Words of templates are in every window; theirs are at hand, so no key of the join gathers them.
+    known = F.try_element_at(_map(idf_of), F.col("term"))
     idf = counted.select("term", (F.log((F.lit(float(n)) + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    whole = words.join(idf, "term").groupBy("row", "window", "k").agg(F.sort_array(F.collect_list(F.struct("at", "term", "idf"))).alias("words"))
-    best = whole.select("row", _score(F.col("words"), F.element_at(templates, F.col("k"))).alias("x")).where(F.col("x.less") <= -threshold).groupBy("row").agg(F.min("x").alias("best"))
+    others = words.where(known.isNull()).join(idf, "term")
+    whole = words.where(known.isNotNull()).withColumn("idf", known).unionByName(others).groupBy("row", "window", "k").agg(F.sort_array(F.collect_list(F.struct("at", "term", "idf"))).alias("words"))
+    best = whole.select("row", _score(F.col("words"), F.element_at(templates, F.col("k"))).alias("x")).where(F.col("x.less") <= -threshold).groupBy("row").agg(F.min("x").alias("best"), *[F.min(F.when(F.col("x.license") == more, F.col("x"))).alias(f"more_{k}") for k, (more, _) in enumerate(OUTRANKS)])
+    for k, (_, less) in enumerate(OUTRANKS):
+        best = best.withColumn("best", F.when((F.col("best.license") == less) & F.col(f"more_{k}").isNotNull(), F.col(f"more_{k}")).otherwise(F.col("best"))).drop(f"more_{k}")
     found = cut(rows.join(best, "row", "left").select("doc_id", "path", "dir", F.col("best.license").alias("own"), (-F.col("best.less")).alias("score"), (-F.col("best.size")).alias("size"), "x.n_words"))
     is_file = F.col("own").isNotNull() & (F.coalesce(F.col("path").rlike(NAMED), F.lit(False)) | (F.col("size") >= licence_share * F.col("n_words")))
     found = found.withColumn("licence_file", is_file).drop("size", "n_words")
@@ -211,6 +225,7 @@ def _sql() -> str:
 
     values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
     names = ", ".join(f"({k}, '{word}')" for k, (name, text) in enumerate(TEMPLATES) for word in _named(name, text))
+    outranked = " OR ".join(f"(license = '{less}' AND doc_id IN (SELECT doc_id FROM named_runs WHERE license = '{more}'))" for more, less in OUTRANKS)
     return rf"""
 WITH templates AS (
   SELECT k, license, term, count(*) AS tf FROM (
@@ -248,8 +263,10 @@ scored AS (
   SELECT doc_id, k, start, pos - start + 1 AS size, round(dot / sqrt(square), 6) AS score FROM running JOIN n_names USING (k) WHERE w IS NOT NULL AND held = n_names),
 runs AS (
   SELECT * FROM scored WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY doc_id, k, start ORDER BY score DESC, size) = 1),
+named_runs AS (SELECT doc_id, license, size, score FROM runs JOIN (SELECT DISTINCT k, license FROM templates) USING (k)),
 best AS (
-  SELECT doc_id, license, size, score FROM runs JOIN (SELECT DISTINCT k, license FROM templates) USING (k)
+  SELECT doc_id, license, size, score FROM named_runs r
+  WHERE NOT ({outranked})
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, size DESC) = 1),
 found AS (
   SELECT p.doc_id, path, dir, license AS own, score,
