@@ -36,10 +36,16 @@ def slot_rows(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     return rows.withColumn("vslot", F.pmod("digest", F.lit(slots)).cast("int"))
 
 
-def large_texts(rows: DataFrame, shards: int) -> DataFrame:
-    """(digest, parts, share) of the texts that have entries of their own: parts is null for one entry. Only slots that are that heavy are looked into."""
+def held(slot_map: DataFrame) -> int:
+    """The bytes that a map counts."""
+    return slot_map.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+
+
+def large_texts(rows: DataFrame, shards: int, total: int = 0) -> DataFrame:
+    """(digest, parts, share) of the texts that have entries of their own: parts is null for one entry. total: bytes that the shards hold already, if
+    those are more than the rows' own. Only slots that are that heavy are looked into."""
     sums = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"))
-    heavy = sums.withColumn("share", F.sum("bytes").over(Window.partitionBy()) / shards).where(F.col("bytes") > F.col("share") * LARGE)
+    heavy = sums.withColumn("share", F.greatest(F.sum("bytes").over(Window.partitionBy()), F.lit(total)) / shards).where(F.col("bytes") > F.col("share") * LARGE)
     texts = rows.join(F.broadcast(heavy.select("vslot", "share")), "vslot").groupBy("digest", "share").agg(F.sum("size").alias("bytes"))
     return texts.where(F.col("bytes") > F.col("share") * LARGE).select("digest", F.when(F.col("bytes") > F.col("share"), PARTS).alias("parts"), "share")
 
@@ -71,7 +77,7 @@ def merged(entries: DataFrame, previous: DataFrame, shards: int, further: bool =
     """(vslot, digest, part, bytes, old): all entries of the previous map and of these. bytes: what these have (and further: what the map has
     too), else what the map has; old: the shard that an entry was on, for a text that leaves its slot that of the slot. A slot that held
     nothing, beside others that did, has nothing to move and no old shard."""
-    filled = previous.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"] > 0
+    filled = held(previous) > 0
     slots = previous.where("digest IS NULL").select(F.col("vslot").alias("__slot"), F.col("shard").alias("__at"))
     both = previous.select(*ENTRY, F.col("bytes").alias("had"), "shard").unionByName(entries.select(*ENTRY, "bytes"), allowMissingColumns=True)
     found = both.groupBy(*ENTRY).agg(F.sum("bytes").alias("new"), F.sum("had").alias("had"), F.max("shard").alias("old"))
@@ -138,7 +144,7 @@ def shard_rows(docs: DataFrame, shards: int = 8, slots: int = SLOTS, unit_rows:
         save_map(first_map(spark, shards, slots), path, version := 1)
     before = load_map(spark, path, version)
     rows = cut(slot_rows(docs, slots))
-    large = large_texts(rows, shards)
+    large = large_texts(rows, shards, held(before))
     crowded = crowded_ids(rows, large)
     kept = before.where("digest IS NOT NULL").groupBy("digest").agg(F.when(F.max("part").isNotNull(), PARTS).alias("parts"))
     large = kept.unionByName(large.select("digest", "parts")).groupBy("digest").agg(F.max("parts").alias("parts"))
