@@ -86,7 +86,10 @@ _METRICS = """measured AS (
 part_issues AS (
   SELECT path, CAST(line AS INTEGER) AS line, 'too_high_' || m.c AS rule_id, m.c AS category, 'warn' AS severity, CASE WHEN lang = 'python' AND %(trees)s AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable') THEN 90 ELSE 80 END AS confidence, found, CAST(m.v AS VARCHAR) || ' is over the limit' AS message
   FROM measured WHERE m.v > m.most
-  UNION ALL SELECT path, CAST(line AS INTEGER), 'swallowed_error', 'exception_handling', 'block', 90, '', 'an error is swallowed' FROM parts WHERE kind = 'empty_handler'),
+  UNION ALL SELECT path, CAST(line AS INTEGER), 'empty_handler', 'security', 'block', 90, '', 'an error is swallowed' FROM parts WHERE kind = 'empty_handler'
+  UNION ALL SELECT path, CAST(line AS INTEGER), kind, 'exception_handling', 'warn', 90, '', CASE kind WHEN 'bare_except' THEN 'catches everything' ELSE 'catches more than it can handle' END FROM parts WHERE kind IN ('bare_except', 'broad_catch')),
+placed_issues AS (
+  SELECT * FROM line_issues WHERE NOT (%(trees)s AND rule_id IN ('empty_handler', 'bare_except', 'broad_catch') AND path LIKE '%%.py' AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable'))),
 long_files AS (
   SELECT path, 1 AS line, 'too_high_lines' AS rule_id, 'lines' AS category, 'warn' AS severity, 80 AS confidence, '' AS found, CAST(len(string_split(content, chr(10))) AS VARCHAR) || ' is over the limit' AS message
   FROM raw WHERE len(string_split(content, chr(10))) > 500)"""
@@ -132,7 +135,7 @@ _OFF = f"off(file_class, category) AS ({values_sql(gate.SWITCHED_OFF)})"
 
 
 def _issues(team: bool = False, trees: bool = False, where: str = "true") -> str:
-    plain = f"""SELECT {ISSUE} FROM line_issues UNION ALL SELECT {ISSUE} FROM part_issues UNION ALL SELECT {ISSUE} FROM long_files
+    plain = f"""SELECT {ISSUE} FROM placed_issues UNION ALL SELECT {ISSUE} FROM part_issues UNION ALL SELECT {ISSUE} FROM long_files
   UNION ALL SELECT {ISSUE} FROM duplicate_issues UNION ALL SELECT {ISSUE} FROM graph_issues""" + f" UNION ALL SELECT {ISSUE} FROM naming" * team
     return _with(_FILES, _OFF, _TEXT_ISSUES, _LINES, _PARTS if trees else _PLAIN, _METRICS % {"trees": str(trees).lower()}, _DUPLICATES, _GRAPH, _NAMING, f"""plain AS ({plain}),
 issues AS (
@@ -164,7 +167,8 @@ ORACLE_SQL: dict[str, str] = {
     "scan_files": _with(_FILES) + "SELECT path, lang, file_class, layer, CAST(length(content) AS INTEGER) AS n_chars FROM files",
     "scan_diff": _issues(trees=True, where=_CHANGED) + f"SELECT {ISSUE} FROM issues",
     "scan_team": _issues(team=True) + f"SELECT {ISSUE} FROM issues",
-    "load_rules": _with(_RULES) + f"SELECT {_RULE} FROM catalog",
+    "load_rules": _with(_FILES, _RULES) + f"""SELECT {_RULE}, CASE r->>'target' WHEN 'domain' THEN (SELECT count(*) FROM files WHERE layer = 'domain') WHEN 'python' THEN (SELECT count(*) FROM files WHERE lang = 'python')
+  WHEN '*.ts' THEN (SELECT count(*) FROM files WHERE path LIKE '%.ts') ELSE (SELECT count(*) FROM files) END AS n_files FROM catalog""",
     "detect_language": _with(_FILES) + "SELECT lang, count(*) AS n_files FROM files GROUP BY lang",
     "classify_file": _with(_FILES) + "SELECT file_class, count(*) AS n_files FROM files GROUP BY file_class",
     "classify_layer": _with(_FILES) + "SELECT layer, count(*) AS n_files FROM files GROUP BY layer",
@@ -172,7 +176,8 @@ ORACLE_SQL: dict[str, str] = {
     "rule_scope": _with(_FILES) + "SELECT 'DOMAIN_HAS_NO_CLOCK' AS id, path FROM files WHERE layer = 'domain' UNION ALL SELECT 'PY_RUN_IS_NAMED', path FROM files WHERE lang = 'python' UNION ALL SELECT 'ANY_LICENSE', path FROM files",
     "rule_scope_glob": _with(_FILES) + "SELECT 'TS_HOSTS_BY_NAME' AS id, path FROM files WHERE path LIKE '%.ts'",
     "custom_rules": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'custom'",
-    "constraint_view": _with(_RULES) + f"SELECT id, '[' || upper(severity) || '] ' || target || ': ' || description || ' - ' || suggestion AS line FROM (SELECT {_RULE} FROM catalog) WHERE id <> 'BROKEN'",
+    "constraint_view": _with(_FILES, _RULES) + f"""SELECT path, id, '[' || upper(severity) || '] ' || target || ': ' || description || ' - ' || suggestion AS line FROM (SELECT {_RULE} FROM catalog) JOIN files
+  ON CASE target WHEN 'domain' THEN layer = 'domain' WHEN 'python' THEN lang = 'python' WHEN '*.ts' THEN path LIKE '%.ts' ELSE true END WHERE id <> 'BROKEN'""",
     "strip_comments": _with(_RAW) + f"SELECT path, md5(content) AS stripped_md5, CAST(length(content) AS INTEGER) AS n_chars FROM {_code('raw')}",
     "three_scan_security": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'security'",
     "red_lines": _with(_RAW, _TEXT_ISSUES, _LINES) + "SELECT rule_id, confidence, count(*) AS n_issues, count(DISTINCT path) AS n_files FROM line_issues WHERE category = 'security' GROUP BY ALL",
@@ -181,7 +186,7 @@ ORACLE_SQL: dict[str, str] = {
     "dangerous_calls": _hits("dangerous_call"),
     "log_leak": _hits("sensitive_log"),
     "empty_handlers": _hits("empty_handler"),
-    "exception_handling": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'exception_handling'",
+    "exception_handling": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'exception_handling' OR rule_id = 'empty_handler'",
     "file_size": _with(_RAW) + "SELECT path, CAST(length(content) AS INTEGER) AS n_chars, CAST(len(string_split(content, chr(10))) AS INTEGER) AS n_lines FROM raw",
     "complexity_regex": _part("function", "lang, name, line, complexity", trees=False),
     "param_count_regex": _part("function", "lang, name, line, n_params", trees=False),

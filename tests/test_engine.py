@@ -193,11 +193,41 @@ def test_contrast_pair(spark):
 def test_python_is_measured_by_its_trees(spark):
     rows = gate.collect_issues(files(spark, ("app/x.py", BAD), ("app/y.py", "def f(:\n" + "def g(a):\n" + "  if x: pass\n" * 20), ("app/z.py", "if x: pass\n" * 40))).collect()
     found = {(r.path, r.rule_id, r.found, r.line, r.confidence) for r in rows}
-    assert {("app/x.py", "too_high_params", "handle", 2, d.SYNTAX), ("app/x.py", "too_high_nesting", "handle", 2, d.SYNTAX), ("app/x.py", "swallowed_error", "", 12, d.SYNTAX)} <= found
+    assert {("app/x.py", "too_high_params", "handle", 2, d.SYNTAX), ("app/x.py", "too_high_nesting", "handle", 2, d.SYNTAX), ("app/x.py", "empty_handler", "", 12, d.SYNTAX)} <= found
+    assert [(r.rule_id, r.confidence) for r in rows if r.path == "app/x.py" and r.line == 12] == [("empty_handler", d.SYNTAX)]  # one issue for one handler
     assert ("app/y.py", "too_high_complexity", "g", 2, d.STRIPPED) in found
     assert not any(path == "app/z.py" and rule == "too_high_complexity" for path, rule, *_ in found)
 
 
+def test_handlers_are_judged_by_what_they_hold(spark):
+    shape = "def f():\n    try:\n        g()\n    except{what}:\n        {body}\n"
+    cases = [("", "pass", "empty_handler"), (" ValueError", "...", "empty_handler"), (" Exception as e", "'why'", "empty_handler"), ("", "raise", None), ("", "log.error('x')", "bare_except"), (" Exception", "x = 1", "broad_catch"),
+        (" Exception", "logger.exception('x')", None), (" (OSError, BaseException) as e", "raise X() from e", None), (" (OSError, Exception)", "return 1", "broad_catch"), (" KeyError", "x = 1", None), (" Exception", "logging.warning(1)\n        x = 1", None)]
+    rows = gate.collect_issues(files(spark, *[(f"m{k}.py", shape.format(what=what, body=body)) for k, (what, body, _) in enumerate(cases)])).where("category != 'duplicate_code'").collect()
+    assert sorted((r.path, r.line, r.rule_id, r.confidence) for r in rows) == sorted((f"m{k}.py", 4, rule, d.SYNTAX) for k, (_, _, rule) in enumerate(cases) if rule)
+    other = [("a.java", "class A { void f() { try { g(); } catch (Exception e) { } try { h(); } catch (Exception e) { k(); } } }"), ("b.cs", "class B { void F() { try { G(); } catch { } } }"), ("c.py", "def broken(:\ntry:\n  g()\nexcept Exception: pass\n")]
+    found = sorted((r.path, r.rule_id) for r in gate.collect_issues(files(spark, *other)).collect())
+    assert found == [("a.java", "broad_catch"), ("a.java", "empty_handler"), ("b.cs", "empty_handler"), ("c.py", "empty_handler")]
+
+
+def test_severities_are_read_in_any_case_and_unknown_ones_named(spark):
+    text = json.dumps({"rules": [{"id": n, "severity": s, "target": "all", "pattern": "x"} for n, s in (("A", "BLOCK"), ("B", " Warn"), ("C", "fatal"), ("D", ""), ("E", None))]})
+    rules, bad = catalogs.valid_rules(spark, text)
+    assert [(r.id, r.severity) for r in rules] == [("A", "block"), ("B", "warn")] and bad == ["C", "D", "E"]
+    assert gate.verdict(gate.collect_issues(files(spark, ("a.txt", "x")), rules[:1])).first().exit_code == 2
+
+
+def test_constraints_of_a_path(spark, project):
+    (project / ".quality").mkdir()
+    (project / ".quality" / "rules.json").write_text(sample.RULES_JSON)
+    call = lambda name, **arguments: json.loads(next(cli.answer(spark, str(project), [json.dumps({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": arguments}})])))
+    texts = [x["text"] for x in call("constraints", path="app/domain/x.ts")["result"]["content"]]
+    assert [t.split(":")[0] for t in texts] == ["[WARN] domain", "[INFO] *.ts", "[INFO] all"]
+    found = [json.loads(x["text"]) for x in call("check", path="app/x.py", content="token = 'abcdefgh'\n")["result"]["content"]]
+    assert found[0]["issues"] == 1 and found[1]["rule_id"] == "hardcoded_secret" and found[1]["line"] == 1
+    assert call("check", path="app/x.py")["error"]["code"] == call("constraints")["error"]["code"] == -32602
+
+
 def test_structure_rows(spark):
     rows = structure(files(spark, ("a.py", "class A:\n  def f(self): pass\n  async def g(self, *a, k=1, **b): return [x for x in a if x]\n"), ("b.py", "def ("), ("c.txt", "x"), ("d.js", None))).collect()
     kinds = sorted(((r.path, r.kind, r.name, r.n_params, r.n_methods, r.complexity) for r in rows), key=repr)
