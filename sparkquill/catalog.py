@@ -13,7 +13,7 @@ from sparkquill.operators.structure import identifiers, structure
 from sparkquill.oracle import ORACLE_SQL
 from sparkquill.plans import gate
 from sparkquill.sources.files import all_files, sample_files
-from sparkquill.sources.rules import Rule, as_table, parse_rules, valid_rules
+from sparkquill.sources.rules import Rule, parse_rules, scoped, valid_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -70,7 +70,7 @@ QUERIES: dict[str, Query] = {
     "scan_files": _on_files(lambda f: f.select("path", "lang", "file_class", "layer", F.length("content").alias("n_chars"))),
     "scan_diff": scan_diff,
     "scan_team": _issues("team"),
-    "load_rules": lambda spark, sf_dir: parse_rules(spark, sample.RULES_JSON),
+    "load_rules": lambda spark, sf_dir: scoped(all_files(spark, sf_dir), parse_rules(spark, sample.RULES_JSON)),
     "detect_language": _on_files(lambda f: f.groupBy("lang").agg(F.count("*").alias("n_files"))),
     "classify_file": _on_files(lambda f: f.groupBy("file_class").agg(F.count("*").alias("n_files"))),
     "classify_layer": _on_files(lambda f: f.groupBy("layer").agg(F.count("*").alias("n_files"))),
@@ -78,7 +78,7 @@ QUERIES: dict[str, Query] = {
     "rule_scope": lambda spark, sf_dir: d.rule_scope(all_files(spark, sf_dir), [r for r in _rules(spark) if r.kind != "glob"]),
     "rule_scope_glob": lambda spark, sf_dir: d.rule_scope(all_files(spark, sf_dir), [r for r in _rules(spark) if r.kind == "glob"]),
     "custom_rules": lambda spark, sf_dir: d.custom_issues(all_files(spark, sf_dir), _rules(spark)),
-    "constraint_view": lambda spark, sf_dir: gate.constraints(as_table(spark, _rules(spark))),
+    "constraint_view": lambda spark, sf_dir: gate.constraints(all_files(spark, sf_dir), _rules(spark)),
     "strip_comments": _on_files(lambda f: d.with_code(f).select("path", F.md5(F.col("code").cast("binary")).alias("stripped_md5"), F.length("code").alias("n_chars"))),
     "three_scan_security": _on_files(d.three_scans),
     "red_lines": _on_files(lambda f: d.three_scans(f).groupBy("rule_id", "confidence").agg(F.count("*").alias("n_issues"), F.count_distinct("path").alias("n_files"))),

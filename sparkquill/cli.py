@@ -22,17 +22,28 @@ RULES = ".quality/rules.json"
 PAGE = 1_000
 
 
-def scan(spark: SparkSession, root: str, mode: str = "personal", rules: str | None = None, facts: str | None = None) -> DataFrame:
-    """All issues of the project at root; rules: a catalog's path, by default the project's own, if there is one; facts: a folder that
-    keeps what is known of the project, so that only files that have changed since the last scan are opened."""
+def project_rules(spark: SparkSession, root: str, rules: str | None = None) -> list[sources.Rule]:
+    """The rules of a catalog's path, by default the project's own, if there is one."""
     path = Path(rules) if rules else Path(root) / RULES
-    found = sources.valid_rules(spark, path.read_text())[0] if path.exists() else []
+    return sources.valid_rules(spark, path.read_text())[0] if path.exists() else []
+
+
+def scan(spark: SparkSession, root: str, mode: str = "personal", rules: str | None = None, facts: str | None = None) -> DataFrame:
+    """All issues of the project at root; rules: see project_rules; facts: a folder that keeps what is known of the project, so that only
+    files that have changed since the last scan are opened."""
+    found = project_rules(spark, root, rules)
     changed = spark.createDataFrame([(p,) for p in files.git_changes(root)], "path string") if mode == "diff" else None
     if facts:
         return gate.issues_of(refresh(spark, root, facts, found).facts, mode, changed)
     return gate.collect_issues(files.read_project(spark, root), found, mode, changed=changed)
 
 
+def constraints(spark: SparkSession, root: str, path: str, rules: str | None = None) -> list[str]:
+    """The constraints that the project's rules put on a path, to be given before its code is written."""
+    one = files.with_traits(spark.createDataFrame([(path, "")], "path string, content string"))
+    return [r["line"] for r in gate.constraints(one, project_rules(spark, root, rules)).collect()]
+
+
 def page(issues: DataFrame, limit: int = PAGE) -> list[str]:
     """The count of issues, then the worst ones, each as JSON."""
     issues = issues.cache()
@@ -42,24 +53,37 @@ def page(issues: DataFrame, limit: int = PAGE) -> list[str]:
     return out
 
 
+#: What each tool needs to be told; the rest is optional.
+TOOLS = {"scan": (), "verdict": (), "constraints": ("path",), "check": ("path", "content")}
+_ARGUMENTS = {"mode": {"enum": list(gate.MODES)}, "limit": {"type": "integer"}, "path": {"type": "string"}, "content": {"type": "string"}}
+
+
 def _call(spark: SparkSession, root: str, params: object, facts: str | None) -> list[str]:
     """The texts that a tool gives; a ValueError says what is wrong with params."""
-    if not isinstance(params, dict) or params.get("name") not in ("scan", "verdict"):
+    if not isinstance(params, dict) or params.get("name") not in TOOLS:
         raise ValueError("no such tool")
-    arguments = params.get("arguments") or {}
+    name, arguments = params["name"], params.get("arguments") or {}
     if not isinstance(arguments, dict):
         raise ValueError("arguments must be an object")
+    for needed in TOOLS[name]:
+        if not isinstance(arguments.get(needed), str):
+            raise ValueError(f"{needed} must be a string")
     mode, limit = arguments.get("mode", "personal"), arguments.get("limit", PAGE)
     if mode not in gate.MODES:
         raise ValueError(f"mode must be one of {', '.join(gate.MODES)}")
     if not isinstance(limit, int) or isinstance(limit, bool) or not 0 <= limit <= 100 * PAGE:
         raise ValueError(f"limit must be a number up to {100 * PAGE}")
+    if name == "constraints":
+        return constraints(spark, root, arguments["path"])
+    if name == "check":
+        text = files.with_traits(spark.createDataFrame([(arguments["path"], arguments["content"])], "path string, content string"))
+        return page(gate.collect_issues(text, project_rules(spark, root)), limit)
     issues = scan(spark, root, mode, facts=facts)
-    return [str(gate.verdict(issues).first()["exit_code"])] if params["name"] == "verdict" else page(issues, limit)
+    return [str(gate.verdict(issues).first()["exit_code"])] if name == "verdict" else page(issues, limit)
 
 
 def answer(spark: SparkSession, root: str, lines: Iterable[str], facts: str | None = None) -> Iterator[str]:
-    """JSON-RPC 2.0 answers to requests, one a line: ``initialize``, ``tools/list`` and ``tools/call`` of ``scan`` and ``verdict``. No request ends the server."""
+    """JSON-RPC 2.0 answers to requests, one a line: ``initialize``, ``tools/list`` and ``tools/call`` of TOOLS. No request ends the server."""
 
     def failed(number: object, code: int, message: str) -> str:
         return json.dumps({"jsonrpc": "2.0", "id": number, "error": {"code": code, "message": message}})
@@ -80,8 +104,7 @@ def answer(spark: SparkSession, root: str, lines: Iterable[str], facts: str | No
         if method == "initialize":
             yield json.dumps(head | {"result": {"protocolVersion": "2024-11-05", "capabilities": {"tools": {}}, "serverInfo": {"name": "sparkquill", "version": "0.1"}}})
         elif method == "tools/list":
-            tool = {"type": "object", "properties": {"mode": {"enum": list(gate.MODES)}, "limit": {"type": "integer"}}}
-            yield json.dumps(head | {"result": {"tools": [{"name": n, "inputSchema": tool} for n in ("scan", "verdict")]}})
+            yield json.dumps(head | {"result": {"tools": [{"name": n, "inputSchema": {"type": "object", "properties": _ARGUMENTS, "required": list(needed)}} for n, needed in TOOLS.items()]}})
         elif method == "tools/call":
             try:
                 text = _call(spark, root, request.get("params"), facts)
@@ -101,6 +124,7 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--mode", choices=gate.MODES, default="personal")
     parser.add_argument("--rules")
     parser.add_argument("--facts", help="folder outside of the project that keeps what is known of unchanged files")
+    parser.add_argument("--constraints", metavar="FILE", help="print what the rules ask of a file, and end")
     parser.add_argument("--serve", action="store_true", help="answer JSON-RPC requests from stdin")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("sparkquill").getOrCreate()
@@ -109,6 +133,9 @@ def main(argv: list[str] | None = None) -> int:
         for line in answer(spark, args.path, sys.stdin, args.facts):
             print(line, flush=True)
         return 0
+    if args.constraints:
+        print("\n".join(constraints(spark, args.path, args.constraints, args.rules)))
+        return 0
     issues = scan(spark, args.path, args.mode, args.rules, args.facts).cache()
     for row in gate.as_json(issues).toLocalIterator():
         print(row["issue"])

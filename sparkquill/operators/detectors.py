@@ -76,12 +76,15 @@ SECURITY = {
 EXCEPTIONS = {
     "bare_except": Pattern("warn", (Search(r"\bexcept[ \t]*:", (("except",),)), Search(r"\bcatch[ \t]*\{", (("catch",),))), "catches everything", ("python", "csharp")),
     "broad_catch": Pattern("warn", (Search(r"\bexcept[ \t]*\(?[ \t]*(?:Base)?Exception\b", (("except",), ("exception",))), Search(r"\bcatch[ \t]*\([ \t]*(?:final[ \t]+)?(?:Exception|Throwable)\b", (("catch",), ("exception", "throwable"))), Search(r"\bcatch[ \t]*\([ \t]*\.\.\.", (("catch",), ("...",)))), "catches more than it can handle", ("python", "java", "csharp", "cpp")),
-    "swallowed_error": Pattern("block", _HANDLER, "an error is swallowed", ("python", "javascript", "java", "go", "csharp", "cpp", "rust")),
     "ignored_error": Pattern("warn", (Search(r"\b_[ \t]*:?=[ \t]*[\w.:]+\(", (("_",), ("=",))),), "an error is dropped", ("go", "rust")),
     "may_panic": Pattern("warn", (Search(r"\.unwrap\(\)", ((".unwrap(",),)), Search(r"\.expect\([^)\n]*\)", ((".expect(",),)), Search(r"\bpanic\(", (("panic(",),))), "an error ends the program", ("go", "rust")),
 }
 
 
+#: Rules of handlers, the one that counts where several hold first: category, rule, pattern.
+HANDLERS = (("security", "empty_handler", SECURITY["empty_handler"]), *(("exception_handling", rule, EXCEPTIONS[rule]) for rule in ("bare_except", "broad_catch")))
+
+
 def with_code(files: DataFrame) -> DataFrame:
     """files with code: the text without comments, or as it is for languages without a stripper."""
     return files.withColumn("code", strip_comments(F.col("content"), F.col("lang")))
@@ -123,6 +126,7 @@ def security_lookups(rules: dict[str, Pattern] = SECURITY) -> list[Lookup]:
 
 
 def exception_lookups() -> list[Lookup]:
+    """All rules of handlers but the red line."""
     return _lookups("exception_handling", EXCEPTIONS, STRIPPED)
 
 
@@ -178,8 +182,15 @@ def size_matches() -> list[Column]:
 
 
 def matches(lookups: Sequence[Lookup], further: Sequence[Column] = ()) -> Column:
-    """The matches of a file (path, lang, layer, content, code), and the further ones, each once."""
-    return F.array_distinct(F.flatten(F.array(looked_up(lookups), *further)))
+    """The matches of a file (path, lang, layer, content, code), and the further ones, each once; of a handler that swallows its error nothing else
+    is said: what a less rule finds begins as the red line's match does, in the same line."""
+
+    def once(found: Column) -> Column:
+        empty = F.filter(found, lambda x: x["rule_id"] == "empty_handler")
+        less = lambda x, swallowing: x["rule_id"].isin("bare_except", "broad_catch") & F.exists(swallowing, lambda y: (x["line"] == y["line"]) & F.startswith(y["found"], x["found"]))
+        return let(empty, lambda swallowing: F.when(F.size(swallowing) == 0, found).otherwise(F.filter(found, lambda x: ~F.coalesce(less(x, swallowing), F.lit(False)))))
+
+    return let(F.array_distinct(F.flatten(F.array(looked_up(lookups), *further))), once)
 
 
 def exploded(rows: DataFrame) -> DataFrame:
@@ -204,7 +215,8 @@ def rule_hits(files: DataFrame, rule: str) -> DataFrame:
 
 
 def exception_issues(files: DataFrame) -> DataFrame:
-    return hits(files, exception_lookups())
+    """Issues of handlers, red line included."""
+    return hits(files, [*security_lookups({"empty_handler": SECURITY["empty_handler"]}), *exception_lookups()])
 
 
 def custom_issues(files: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -249,8 +261,15 @@ def structure_issues(parts: DataFrame) -> DataFrame:
     found, confidence = F.coalesce("name", F.lit("")), F.when(F.col("by") == "tree", SYNTAX).otherwise(STRIPPED)
     limits = (("complexity", "complexity", F.lit(True)), ("nesting", "nesting", F.col("lang") == "python"), ("params", "n_params", F.lit(True)), ("methods", "n_methods", F.col("lang").isin("python", "java", "csharp")))
     over = [F.when((F.col(column) > LIMITS[category]) & applies, _over(category, F.col(column), found, F.col("line"), confidence)) for category, column, applies in limits]
-    empty = F.when(F.col("kind") == "empty_handler", _match("exception_handling", "swallowed_error", "block", "an error is swallowed", confidence, found, F.col("line")))
-    return parts.select("path", F.inline(F.array_compact(F.array(*over, empty)))).select(*ISSUE).distinct()
+    faults = [F.when(F.col("kind") == rule, _match(category, rule, p.severity, p.message, confidence, found, F.col("line"))) for category, rule, p in HANDLERS]
+    return parts.select("path", F.inline(F.array_compact(F.array(*over, *faults)))).select(*ISSUE).distinct()
+
+
+def unparsed(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """found (path, lang, rule_id, ...) without what patterns say of handlers in Python files that parse, where trees have judged them."""
+    rules = [rule for _, rule, _ in HANDLERS]
+    judged = (F.col("lang") == "python") & F.col("rule_id").isin(*rules)
+    return found.where(~judged).unionByName(found.where(judged).join(parts.where("kind = 'unparsable'").select("path"), "path", "left_semi"))
 
 
 # ---------------------------------------------------------------- duplicates

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkquill.functions.text import strip_comments
 from sparkquill.operators.outline import outline
 
-#: kind: function, class, empty_handler or unparsable; by: tree or patterns.
+#: kind: function, class, a handler's fault (empty_handler, bare_except, broad_catch) or unparsable; by: tree or patterns.
 SCHEMA = "path string, lang string, kind string, name string, line int, complexity int, nesting int, n_params int, n_methods int, by string"
 NAMES = "path string, lang string, kind string, name string, line int"
 #: In order: the first that fits names the style.
@@ -43,6 +43,7 @@ VARIABLES = {
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
 _BLOCK = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.With, ast.AsyncWith, ast.Try, ast.Match)
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
+_LOGGED, _LOGGER = ("debug", "info", "warning", "warn", "error", "exception", "critical", "log"), re.compile(r"(?i)log")
 
 
 def _within(node: ast.AST) -> Iterator[ast.AST]:
@@ -63,6 +64,27 @@ def _depth(node: ast.AST) -> int:
     return deepest
 
 
+def _named(node: ast.AST | None) -> list[str]:
+    """The last names of a handler's types."""
+    nodes = node.elts if isinstance(node, ast.Tuple) else [node]
+    return [x.attr if isinstance(x, ast.Attribute) else getattr(x, "id", "") for x in nodes]
+
+
+def _fault(handler: ast.ExceptHandler) -> str | None:
+    """What is wrong with a handler, if anything: it holds nothing, or takes all or too much and neither raises nor, if it names its type, logs."""
+    if all(isinstance(x, ast.Pass) or (isinstance(x, ast.Expr) and isinstance(x.value, ast.Constant)) for x in handler.body):
+        return "empty_handler"
+    inner = [x for part in handler.body for x in ast.walk(part)]
+    if any(isinstance(x, ast.Raise) for x in inner):
+        return None
+    if handler.type is None:
+        return "bare_except"
+    if not {"Exception", "BaseException"} & set(_named(handler.type)):
+        return None
+    logs = any(isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in _LOGGED and _LOGGER.search(ast.unparse(x.func.value)) for x in inner)
+    return None if logs else "broad_catch"
+
+
 def by_tree(content: str) -> list[tuple] | None:
     """(kind, name, line, complexity, nesting, n_params, n_methods) of Python text; None if it doesn't parse."""
     try:
@@ -79,8 +101,8 @@ def by_tree(content: str) -> list[tuple] | None:
             rows.append(("function", node.name, node.lineno, 1 + decisions, _depth(node), params, None))
         elif isinstance(node, ast.ClassDef):
             rows.append(("class", node.name, node.lineno, None, None, None, sum(isinstance(x, _FUNCTION) for x in node.body)))
-        elif isinstance(node, ast.ExceptHandler) and all(isinstance(x, ast.Pass) for x in node.body):
-            rows.append(("empty_handler", None, node.lineno, None, None, None, None))
+        elif isinstance(node, ast.ExceptHandler) and (fault := _fault(node)):
+            rows.append((fault, None, node.lineno, None, None, None, None))
     return rows
 
 
@@ -110,7 +132,7 @@ def _code(files: DataFrame) -> DataFrame:
 
 
 def structure(files: DataFrame, trees: bool = True) -> DataFrame:
-    """SCHEMA: one row for each function, class and empty handler, and each Python file that doesn't parse. Without trees Python is outlined by patterns too."""
+    """SCHEMA: one row for each function, class and faulty handler, and each Python file that doesn't parse. Without trees Python is outlined by patterns too."""
     return _code(files).mapInPandas(_each(SCHEMA, lambda lang, content: measure(lang, content, trees)), SCHEMA)
 
 

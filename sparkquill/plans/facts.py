@@ -33,11 +33,13 @@ TABLES = ("files", "parts", "names")
 
 @dataclass(frozen=True)
 class Facts:
-    """files (path, lang, matches, imports, package, blocks), parts (structure.SCHEMA), names (of identifiers; None if not drawn)."""
+    """files (path, lang, matches, imports, package, blocks), parts (structure.SCHEMA), names (of identifiers; None if not drawn); trees:
+    whether Python was parsed for parts."""
 
     files: DataFrame
     parts: DataFrame
     names: DataFrame | None
+    trees: bool = True
 
 
 def drawn(files: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
@@ -50,7 +52,7 @@ def drawn(files: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
 
 def gather(files: DataFrame, rules: Sequence[Rule] = (), trees: bool = True, names: bool = False, measured: DataFrame | None = None) -> Facts:
     """Facts of files. measured: the files whose parts are wanted, by default all."""
-    return Facts(cut(drawn(files, rules)), structure(files if measured is None else measured, trees), cut(identifiers(files)) if names else None)
+    return Facts(cut(drawn(files, rules)), structure(files if measured is None else measured, trees), cut(identifiers(files)) if names else None, trees)
 
 
 # ---------------------------------------------------------------- store

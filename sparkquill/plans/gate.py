@@ -64,7 +64,7 @@ def issues_of(known: facts.Facts, mode: str = "personal", changed: DataFrame | N
     spark = known.files.sparkSession
     edges = cut(imports.edges(known.files.where("lang != 'other'").select("path", "lang", "imports", "package")))
     parts = [
-        detectors.exploded(only(known.files)),
+        detectors.unparsed(only(known.files).select("path", "lang", F.inline("matches")), known.parts).select(*detectors.ISSUE) if known.trees else detectors.exploded(only(known.files)),
         detectors.structure_issues(only(known.parts)),
         detectors.duplicate_issues(switched_on(known.files, "duplicate_code").select("path", F.inline("blocks")), changed),
         only(detectors.cycle_issues(edges)),
@@ -95,7 +95,7 @@ def by_severity(issues: DataFrame) -> DataFrame:
 
 
 def rank() -> Column:
-    """RANKS of severity; a rule's severity of another name counts as info."""
+    """RANKS of severity; rules of other severities aren't loaded."""
     return reduce(lambda out, pair: F.when(F.col("severity") == pair[0], pair[1]).otherwise(out), RANKS.items(), F.lit(0))
 
 
@@ -109,6 +109,7 @@ def as_json(issues: DataFrame) -> DataFrame:
     return issues.select(F.to_json(F.struct(*detectors.ISSUE), {"ignoreNullFields": "false"}).alias("issue"))
 
 
-def constraints(rules: DataFrame) -> DataFrame:
-    """The rules as sentences to put before code is written."""
-    return rules.select("id", F.concat(F.lit("["), F.upper("severity"), F.lit("] "), "target", F.lit(": "), "description", F.lit(" - "), "suggestion").alias("line"))
+def constraints(files: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(path, id, line): for each file (path, lang, layer) the rules in whose scope it is, as sentences to put before its code is written."""
+    lines = F.array_compact(F.array(*[F.when(r.fits(), F.struct(F.lit(r.id).alias("id"), F.lit(f"[{r.severity.upper()}] {r.target}: {r.description} - {r.suggestion}").alias("line"))) for r in rules]))
+    return files.select("path", F.inline(lines)) if rules else files.sparkSession.createDataFrame([], "path string, id string, line string")

@@ -14,6 +14,7 @@ from sparkquill.functions.text import glob_to_regex, portable
 
 FIELDS = ("id", "description", "severity", "target", "pattern", "message", "suggestion")
 RULE = f"struct<{','.join(f'{f}:string' for f in FIELDS)}>"
+SEVERITIES = ("info", "warn", "block")
 LAYER_TARGETS = ("domain", "application", "infrastructure", "presentation")
 LANGUAGE_TARGETS = ("python", "javascript", "java", "go", "csharp", "cpp", "rust")
 
@@ -81,10 +82,14 @@ def parse_rules(spark: SparkSession, text: str) -> DataFrame:
 
 
 def valid_rules(spark: SparkSession, text: str) -> tuple[list[Rule], list[str]]:
-    """The rules of a catalog whose patterns Java compiles, and the ids of the rest: a bad pattern would end a whole job."""
+    """The rules of a catalog whose patterns Java compiles and whose severities are known, in any case, and the ids of the rest: a bad pattern
+    would end a whole job, and a severity of another name would never block."""
     good, bad = [], []
     for fields in json.loads(text)["rules"]:
-        rule = Rule(**{f: str(fields.get(f) or "") for f in FIELDS} | {"pattern": portable(str(fields.get("pattern") or ""))})
+        rule = Rule(**{f: str(fields.get(f) or "") for f in FIELDS} | {"pattern": portable(str(fields.get("pattern") or "")), "severity": str(fields.get("severity") or "").strip().lower()})
+        if rule.severity not in SEVERITIES:
+            bad.append(rule.id)
+            continue
         try:
             spark.sparkContext._jvm.java.util.regex.Pattern.compile(rule.pattern)
         except Exception:  # noqa: BLE001  whatever Java raises, the pattern is what it can't take
@@ -94,5 +99,15 @@ def valid_rules(spark: SparkSession, text: str) -> tuple[list[Rule], list[str]]:
     return good, bad
 
 
+def scoped(files: DataFrame, rules: DataFrame) -> DataFrame:
+    """rules (of parse_rules) with n_files: how many of files (path, lang, layer) are in each one's scope."""
+    target = F.col("target")
+    known = rules.select("target").distinct().collect()  # settings, of bounded size
+    fits = {r.target: Rule(*[""] * 3, r.target, *[""] * 3).fits() for r in known if r.target is not None}
+    counts = files.agg(*[F.count_if(F.coalesce(x, F.lit(False))).alias(f"n{k}") for k, x in enumerate(fits.values())]).first() if fits else ()
+    n_files = F.create_map(*[F.lit(x) for pair in zip(fits, counts, strict=True) for x in pair])[target] if fits else F.lit(None)
+    return rules.withColumn("n_files", F.coalesce(n_files, F.lit(0)).cast("long"))
+
+
 def as_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([tuple(getattr(r, f) for f in FIELDS) for r in rules], ", ".join(f"{f} string" for f in FIELDS))

@@ -205,7 +205,7 @@ def test_handlers_are_judged_by_what_they_hold(spark):
         (" Exception", "logger.exception('x')", None), (" (OSError, BaseException) as e", "raise X() from e", None), (" (OSError, Exception)", "return 1", "broad_catch"), (" KeyError", "x = 1", None), (" Exception", "logging.warning(1)\n        x = 1", None)]
     rows = gate.collect_issues(files(spark, *[(f"m{k}.py", shape.format(what=what, body=body)) for k, (what, body, _) in enumerate(cases)])).where("category != 'duplicate_code'").collect()
     assert sorted((r.path, r.line, r.rule_id, r.confidence) for r in rows) == sorted((f"m{k}.py", 4, rule, d.SYNTAX) for k, (_, _, rule) in enumerate(cases) if rule)
-    other = [("a.java", "class A { void f() { try { g(); } catch (Exception e) { } try { h(); } catch (Exception e) { k(); } } }"), ("b.cs", "class B { void F() { try { G(); } catch { } } }"), ("c.py", "def broken(:\ntry:\n  g()\nexcept Exception: pass\n")]
+    other = [("a.java", "class A { void f() { try { g(); } catch (Exception e) { }\n try { h(); } catch (Exception e) { k(); } } }"), ("b.cs", "class B { void F() { try { G(); } catch { } } }"), ("c.py", "def broken(:\ntry:\n  g()\nexcept Exception: pass\n")]
     found = sorted((r.path, r.rule_id) for r in gate.collect_issues(files(spark, *other)).collect())
     assert found == [("a.java", "broad_catch"), ("a.java", "empty_handler"), ("b.cs", "empty_handler"), ("c.py", "empty_handler")]
 
