@@ -97,14 +97,17 @@ _BLOCKS = """trimmed AS (
   SELECT path, stands, line, row_number() OVER (PARTITION BY path ORDER BY stands) AS k FROM (
     SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS stands, trim(unnest(string_split(content, chr(10)))) AS line FROM {0}) WHERE line <> ''),
 blocks AS (
-  SELECT path, stands, count(*) OVER w AS n, md5(string_agg(line, chr(10)) OVER w) AS hash FROM trimmed
+  SELECT path, stands, k, count(*) OVER w AS n, md5(string_agg(line, chr(10)) OVER w) AS hash FROM trimmed
   WINDOW w AS (PARTITION BY path ORDER BY k ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
 dup_blocks AS (
   SELECT hash, count(*) AS occurrences, count(DISTINCT path) AS n_files, min(path) AS first_path FROM blocks WHERE n = 6 GROUP BY 1 HAVING count(*) > 1)"""
 _DUPLICATES = _BLOCKS.format("(SELECT f.path, f.content FROM files f WHERE file_class NOT IN ('generated', 'migration'))") + """,
+runs AS (
+  SELECT path, stands, k, hash, occurrences, k - row_number() OVER (PARTITION BY path ORDER BY k) AS island FROM blocks JOIN dup_blocks USING (hash) WHERE n = 6),
 duplicate_issues AS (
-  SELECT path, CAST(stands AS INTEGER) AS line, 'duplicate_block' AS rule_id, 'duplicate_code' AS category, 'warn' AS severity, 80 AS confidence, hash AS found, 'stands ' || CAST(occurrences AS VARCHAR) || ' times' AS message
-  FROM blocks JOIN dup_blocks USING (hash) WHERE n = 6)"""
+  SELECT path, CAST(arg_min(stands, k) AS INTEGER) AS line, 'duplicate_block' AS rule_id, 'duplicate_code' AS category, 'warn' AS severity, 80 AS confidence, arg_min(hash, k) AS found,
+    'stands ' || CAST(min(occurrences) AS VARCHAR) || ' times' || CASE WHEN count(*) > 1 THEN ', ' || CAST(count(*) + 5 AS VARCHAR) || ' lines long' ELSE '' END AS message
+  FROM runs GROUP BY path, island)"""
 _EDGES = f"edges(src, dst) AS ({_values(answers.EDGES)})"
 
 

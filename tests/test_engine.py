@@ -370,6 +370,15 @@ def test_duplicates_count_where_they_are_switched_on(spark):
     assert found("build/generated/x.js", "src/a.js") == []
 
 
+def test_a_copied_region_is_one_issue_at_each_place(spark):
+    copy = "".join(f"let v{k} = {k};\n" + "\n" * (k % 3) for k in range(100))
+    own = lambda name, n: "".join(f"let {name}{k} = {k};\n" for k in range(n))
+    rows = [("a.js", own("a", 7) + copy + own("b", 9)), ("b.js", copy), ("c.js", own("c", 3) + copy[: copy.index("let v20")] + own("d", 2) + copy[copy.index("let v50") : copy.index("let v56")]), ("d.js", own("e", 40))]
+    found = sorted((r.path, r.line, r.message) for r in gate.collect_issues(files(spark, *rows)).where("rule_id = 'duplicate_block'").collect())
+    middle = rows[2][1][: rows[2][1].index("let v50")].count("\n") + 1
+    assert found == [("a.js", 8, "stands 2 times, 100 lines long"), ("b.js", 1, "stands 2 times, 100 lines long"), ("c.js", 4, "stands 3 times, 20 lines long"), ("c.js", middle, "stands 3 times")]
+
+
 def test_modes_and_verdicts(spark):
     with pytest.raises(ValueError):
         gate.collect_issues(files(spark, ("a.py", "")), mode="other")
