@@ -12,7 +12,7 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.functions.text import glob_to_regex, layer_of, let, places, strip_comments
@@ -276,18 +276,19 @@ def unparsed(found: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def blocks_of(size: int = LIMITS["block_lines"]) -> Column:
-    """array<struct<line, hash>> of every run of size lines of content, trimmed, without blank ones; line is where the run starts, hash its MD5."""
+    """array<struct<at, line, hash>> of every run of size lines of content, trimmed, without blank ones; at counts the runs from 1, line is where one
+    starts, hash its MD5."""
     lines = F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.struct(F.trim(x).alias("text"), (i + 1).alias("line"))), lambda x: x["text"] != "")
 
     def runs(lines: Column) -> Column:
-        one = lambda texts: F.transform(F.sequence(F.lit(1), F.size(texts) - (size - 1)), lambda i: F.struct(F.get(lines, i - 1)["line"].alias("line"), F.unhex(F.md5(F.array_join(F.slice(texts, i, F.lit(size)), "\n").cast("binary"))).alias("hash")))
-        return F.when(F.size(lines) >= size, let(lines.getField("text"), one)).otherwise(F.array().cast("array<struct<line:int,hash:binary>>"))
+        one = lambda texts: F.transform(F.sequence(F.lit(1), F.size(texts) - (size - 1)), lambda i: F.struct(i.alias("at"), F.get(lines, i - 1)["line"].alias("line"), F.unhex(F.md5(F.array_join(F.slice(texts, i, F.lit(size)), "\n").cast("binary"))).alias("hash")))
+        return F.when(F.size(lines) >= size, let(lines.getField("text"), one)).otherwise(F.array().cast("array<struct<at:int,line:int,hash:binary>>"))
 
-    return F.coalesce(let(lines, runs), F.array().cast("array<struct<line:int,hash:binary>>"))
+    return F.coalesce(let(lines, runs), F.array().cast("array<struct<at:int,line:int,hash:binary>>"))
 
 
 def line_blocks(files: DataFrame, size: int = LIMITS["block_lines"]) -> DataFrame:
-    """(path, line, hash) of blocks_of each file."""
+    """(path, at, line, hash) of blocks_of each file."""
     return files.select("path", F.inline(blocks_of(size)))
 
 
@@ -306,14 +307,18 @@ def duplicate_files(files: DataFrame) -> DataFrame:
     return files.groupBy(F.md5(F.col("content").cast("binary")).alias("hash")).agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
 
 
-def duplicate_issues(blocks: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """An issue for each place of each of the blocks (path, line, hash) that stands more than once, or for those in the paths of only: counts by hash
-    meet the blocks again, and adaptive execution splits a block that is everywhere."""
+def duplicate_issues(blocks: DataFrame, only: DataFrame | None = None, size: int = LIMITS["block_lines"]) -> DataFrame:
+    """An issue for each place of each region of blocks (path, at, line, hash) that stand more than once, or for those in the paths of only.
+
+    Counts by hash meet the blocks again, and adaptive execution splits a block that is everywhere. Blocks that follow each other in a
+    file are one region, found by a window over what a single file repeats."""
     own = blocks if only is None else blocks.join(only, "path", "left_semi")
     counted = blocks if only is None else blocks.join(own.select("hash").distinct(), "hash", "left_semi")
     counts = counted.groupBy("hash").agg(F.count("*").alias("occurrences")).where("occurrences > 1")
-    rows = own.join(counts, "hash")
-    return rows.select("path", F.col("line").cast("int"), F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), _hex(F.col("hash")).alias("found"), F.concat(F.lit("stands "), F.col("occurrences").cast("string"), F.lit(" times")).alias("message"))
+    runs = own.join(counts, "hash").withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("path").orderBy("at")))
+    rows = runs.groupBy("path", "island").agg(F.min(F.struct("at", "line", "hash")).alias("first"), F.count("*").alias("n"), F.min("occurrences").alias("times"))
+    long = F.when(F.col("n") > 1, F.concat(F.lit(", "), (F.col("n") + size - 1).cast("string"), F.lit(" lines long"))).otherwise("")
+    return rows.select("path", F.col("first.line").cast("int").alias("line"), F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), _hex(F.col("first.hash")).alias("found"), F.concat(F.lit("stands "), F.col("times").cast("string"), F.lit(" times"), long).alias("message"))
 
 
 # ---------------------------------------------------------------- names

@@ -27,7 +27,7 @@ from sparkquill.sources.files import list_project, open_files, with_traits
 from sparkquill.sources.rules import Rule
 
 #: Versions that are read together at most, and what tells that facts were drawn by other code.
-VERSIONS, FORM = 8, 1
+VERSIONS, FORM = 8, 2
 TABLES = ("files", "parts", "names")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -56,9 +57,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as a table into the shared folder and read back. Unlike cut() it also forgets what the optimizer inferred of its
-    columns, which grows from round to round of a loop of joins on equal labels."""
+    columns, which grows from round to round of a loop of joins on equal labels. Tables are deleted when the program ends, or by forget()."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid4().hex}"
+    _tables.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def forget() -> None:
+    """Deletes what stored() wrote; nothing that reads from it may be run afterwards."""
+    while _tables:
+        spark, path = _tables.pop()
+        if spark.sparkContext._jsc is None:  # stopped: nothing is left to delete by
+            continue
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -15,7 +15,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkquill import cli, sample
+from sparkquill import cli, sample, session
 from sparkquill.functions.text import glob_to_regex, portable
 from sparkquill.operators import detectors as d
 from sparkquill.operators import graph
@@ -149,6 +149,14 @@ def test_rings_take_a_few_jobs_whatever_their_length(spark, n):
     assert len(jobs) <= 8 and took < 15
 
 
+def test_tables_of_rounds_are_deleted(spark):
+    session.forget()
+    before = set(os.listdir(session.shared_folder(spark).removeprefix("file:")))
+    assert graph.circles(edges_of(spark, {("a", "b"), ("b", "a")})).count() == 2
+    session.forget()
+    assert not {x for x in set(os.listdir(session.shared_folder(spark).removeprefix("file:"))) - before if x.startswith("table-")}
+
+
 def test_circles_of_any_length(spark):
     ring = lambda name, n: {(f"{name}{k:02}", f"{name}{(k + 1) % n:02}") for k in range(n)}
     edges = ring("s", 7) | ring("t", 20) | ring("u", 5) | ring("v", 6) | {("u00", "v03"), ("v04", "u02"), ("loop", "loop"), ("s00", "t00"), ("end", "s01"), ("t03", "after")}
