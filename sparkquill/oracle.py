@@ -88,8 +88,11 @@ part_issues AS (
   FROM measured WHERE m.v > m.most
   UNION ALL SELECT path, CAST(line AS INTEGER), 'empty_handler', 'security', 'block', 90, '', 'an error is swallowed' FROM parts WHERE kind = 'empty_handler'
   UNION ALL SELECT path, CAST(line AS INTEGER), kind, 'exception_handling', 'warn', 90, '', CASE kind WHEN 'bare_except' THEN 'catches everything' ELSE 'catches more than it can handle' END FROM parts WHERE kind IN ('bare_except', 'broad_catch')),
+told(path, line, origin) AS (%(reached)s),
 placed_issues AS (
-  SELECT * FROM line_issues WHERE NOT (%(trees)s AND rule_id IN ('empty_handler', 'bare_except', 'broad_catch') AND path LIKE '%%.py' AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable'))),
+  SELECT path, line, rule_id, category, severity, CASE WHEN %(trees)s AND rule_id = 'dangerous_call' AND origin IS NOT NULL THEN 90 ELSE confidence END AS confidence, found,
+    CASE WHEN %(trees)s AND rule_id = 'dangerous_call' AND origin IS NOT NULL THEN message || ': ' || origin ELSE message END AS message
+  FROM line_issues LEFT JOIN told USING (path, line) WHERE NOT (%(trees)s AND rule_id IN ('empty_handler', 'bare_except', 'broad_catch') AND path LIKE '%%.py' AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable'))),
 long_files AS (
   SELECT path, 1 AS line, 'too_high_lines' AS rule_id, 'lines' AS category, 'warn' AS severity, 80 AS confidence, '' AS found, CAST(len(string_split(content, chr(10))) AS VARCHAR) || ' is over the limit' AS message
   FROM raw WHERE len(string_split(content, chr(10))) > 500)"""
@@ -140,7 +143,7 @@ _OFF = f"off(file_class, category) AS ({values_sql(gate.SWITCHED_OFF)})"
 def _issues(team: bool = False, trees: bool = False, where: str = "true") -> str:
     plain = f"""SELECT {ISSUE} FROM placed_issues UNION ALL SELECT {ISSUE} FROM part_issues UNION ALL SELECT {ISSUE} FROM long_files
   UNION ALL SELECT {ISSUE} FROM duplicate_issues UNION ALL SELECT {ISSUE} FROM graph_issues""" + f" UNION ALL SELECT {ISSUE} FROM naming" * team
-    return _with(_FILES, _OFF, _TEXT_ISSUES, _LINES, _PARTS if trees else _PLAIN, _METRICS % {"trees": str(trees).lower()}, _DUPLICATES, _GRAPH, _NAMING, f"""plain AS ({plain}),
+    return _with(_FILES, _OFF, _TEXT_ISSUES, _LINES, _PARTS if trees else _PLAIN, _METRICS % {"trees": str(trees).lower(), "reached": _values(answers.REACHED)}, _DUPLICATES, _GRAPH, _NAMING, f"""plain AS ({plain}),
 issues AS (
   SELECT p.* FROM plain p JOIN files f USING (path) WHERE {where} AND (p.category = 'security' OR NOT EXISTS (SELECT 1 FROM off WHERE off.file_class = f.file_class AND off.category = p.category)))""", recursive=True)
 
@@ -189,6 +192,7 @@ ORACLE_SQL: dict[str, str] = {
     "dangerous_calls": _hits("dangerous_call"),
     "log_leak": _hits("sensitive_log"),
     "empty_handlers": _hits("empty_handler"),
+    "external_input": f"SELECT path, CAST(line AS INTEGER) AS line, origin FROM ({_values(answers.REACHED)}) AS r(path, line, origin) UNION ALL SELECT 'tools/clean.py', 8, 'constant'",
     "exception_handling": _with(_RAW, _TEXT_ISSUES, _LINES) + f"SELECT {ISSUE} FROM line_issues WHERE category = 'exception_handling' OR rule_id = 'empty_handler'",
     "file_size": _with(_RAW) + "SELECT path, CAST(length(content) AS INTEGER) AS n_chars, CAST(len(string_split(content, chr(10))) AS INTEGER) AS n_lines FROM raw",
     "complexity_regex": _part("function", "lang, name, line, complexity", trees=False),

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkquill import cli, sample, session
 from sparkquill.functions.text import glob_to_regex, portable
 from sparkquill.operators import detectors as d
-from sparkquill.operators import graph
+from sparkquill.operators import flow, graph
 from sparkquill.operators.outline import outline
 from sparkquill.operators.structure import measure, structure
 from sparkquill.plans import facts as stored
@@ -282,6 +282,88 @@ def edges_in(spark, *rows):
     return {(r.src, r.dst) for r in d.dependency_edges(files(spark, *rows)).collect()}
 
 
+def origins(spark, *rows, **options):
+    return {(r.path, r.line): r.origin for r in flow.reaching(d.cut(flow.flows(files(spark, *rows))), **options).collect()}
+
+
+TOOLS = "import os\n\ndef go(command):\n    line = command\n    os.system(line)\n\ndef safe(command):\n    os.system(command)\n\ndef twice(x, *rest, **more):\n    return x + x\n"
+MAIN = """import os, sys
+import app.tools as t
+from app.tools import go, twice
+from .tools import safe
+
+PREFIX = "ls "
+
+def main():
+    first = input()
+    second = first.strip() + " -l"
+    go(second)
+    safe(PREFIX + "-a")
+    eval(twice(sys.argv[1]))
+    eval(twice("1"))
+    exec(PREFIX)
+    exec(int(input()))
+    exec(other.thing())
+
+def changed(n):
+    a = b = c = "1"
+    for _ in n:
+        eval(c)
+        c = b
+        b = a
+        a = input()
+    x = input()
+    x = "2"
+    eval(x)
+
+def alone(code):
+    eval(code)
+
+class Box:
+    def run(self, code):
+        eval(self.code)
+        self.inner("3")
+
+    def inner(self, code, more=None):
+        exec(code)
+
+main()
+changed([])
+"""
+
+
+@pytest.mark.parametrize("bound", [graph.BOUND, 0])
+def test_external_input_through_assignments_calls_and_files(spark, bound):
+    found = origins(spark, ("app/tools.py", TOOLS), ("app/main.py", MAIN), ("app/bad.py", "def x(:\n eval(y)"), ("a.js", "eval(x)"), bound=bound)
+    at = {line: origin for (path, line), origin in found.items() if path == "app/main.py"}
+    assert found[("app/tools.py", 5)] == "input at app/main.py:9 input"  # two assignments and a call
+    assert found[("app/tools.py", 8)] == "constant"
+    assert at == {
+        13: "input at app/main.py:13 sys.argv", 14: "input at app/main.py:13 sys.argv", 15: "constant", 16: "constant", 17: "unknown",
+        22: "input at app/main.py:25 input", 28: "constant", 31: "parameter code of alone in app/main.py", 35: "unknown", 39: "parameter code of Box.inner in app/main.py",
+    }
+    assert {path for path, _ in found} == {"app/tools.py", "app/main.py"}
+
+
+def test_dangerous_calls_are_judged_by_what_reaches_them(spark):
+    rows = [("app/tools.py", TOOLS), ("app/main.py", MAIN), ("web/a.js", "eval(x)")]
+    issues = {(r.path, r.line): (r.confidence, r.message) for r in gate.collect_issues(files(spark, *rows)).where("rule_id = 'dangerous_call'").collect()}
+    assert issues[("app/tools.py", 5)] == (90, "input may be run as code: input at app/main.py:9 input")
+    assert ("app/tools.py", 8) not in issues and ("app/main.py", 15) not in issues
+    assert issues[("app/main.py", 17)] == (80, "input may be run as code")
+    assert issues[("web/a.js", 1)] == (80, "input may be run as code")
+    calm = gate.collect_issues(files(spark, ("app/a.py", "def f(x):\n    return x\n"), ("app/b.py", None)))
+    assert calm.where("rule_id = 'dangerous_call'").isEmpty()
+
+
+def test_flows_of_odd_trees():
+    deep = "x = " + "+".join(["input()"] * 3000) + "\neval(x)"
+    assert isinstance(flow.of_file("a.py", deep), list)
+    odd = "async def f(*a, k=lambda: 0, **b):\n    async with a as (c, *d), b:\n        (yield c)\n    try:\n        d[0].x = a\n    except* E as e:\n        eval(e)\n    match a:\n        case [1, *r] if (z := r): exec(z)\n    while k: k += 1\n    return {i: j for i, j in b if i}, f'{c}'\n"
+    assert {r[2] for r in flow.of_file("a.py", odd) if r[0] == "flow" and r[2].startswith("s|")} == {"s|a.py|7", "s|a.py|9"}
+    assert flow.of_file("a.py", "") == [] and flow.of_file("a.py", "\0") == []
+
+
 def test_imports_are_resolved_as_the_languages_do(spark):
     assert edges_in(spark, ("p/src/shop/a.py", "import os, shop.b as x, shop.c\nfrom . import d\nfrom ..shop.e import f\nfrom .pkg import (g,\n  h as i)\n"), *[(f"p/src/shop/{n}.py", "") for n in ("b", "c", "d", "e", "pkg/__init__", "pkg/g", "pkg/h")], ("q/src/shop/b.py", "")) == {("p/src/shop/a.py", f"p/src/shop/{n}.py") for n in ("b", "c", "d", "e", "pkg/__init__", "pkg/g", "pkg/h")}
     assert edges_in(spark, ("w/a/x.ts", "import y from '../b/y.js'; const z = require('./z'); import('..'); export * from '@/deep/q'; import 'react'"), ("w/b/y.js", ""), ("w/a/z.tsx", ""), ("w/index.js", ""), ("deep/q.ts", "")) == {("w/a/x.ts", n) for n in ("w/b/y.js", "w/a/z.tsx", "w/index.js", "deep/q.ts")}
