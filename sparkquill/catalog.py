@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkquill import sample
 from sparkquill.operators import detectors as d
+from sparkquill.operators import flow
 from sparkquill.operators.structure import identifiers, structure
 from sparkquill.oracle import ORACLE_SQL
 from sparkquill.plans import gate
@@ -87,6 +88,7 @@ QUERIES: dict[str, Query] = {
     "dangerous_calls": _on_files(lambda f: d.rule_hits(f, "dangerous_call")),
     "log_leak": _on_files(lambda f: d.rule_hits(f, "sensitive_log")),
     "empty_handlers": _on_files(lambda f: d.rule_hits(f, "empty_handler")),
+    "external_input": _on_files(lambda f: flow.reaching(d.cut(flow.flows(f)))),
     "exception_handling": _on_files(d.exception_issues),
     "file_size": _on_files(d.file_sizes),
     "complexity_regex": _parts("function", "lang", "name", "line", "complexity", trees=False),

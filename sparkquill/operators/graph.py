@@ -121,6 +121,49 @@ def circles(edges: DataFrame, bound: int = BOUND) -> DataFrame:
     return members(inner).join(cycles(inner, bound), "component").select("node", "component", "n_nodes", "length", "cycle")
 
 
+def _spread(pairs: Iterable[tuple[str, str, str | None]]) -> Iterator[tuple[str, str]]:
+    """(node, label) of edges (src, dst, None) and starts (node, node, label), held whole: labels in order, each to nodes that have none yet."""
+    after: dict[str, list[str]] = defaultdict(list)
+    starts = []
+    for a, b, label in pairs:
+        if label is None:
+            after[a].append(b)
+        else:
+            starts.append((label, a))
+    seen: set[str] = set()
+    for label, start in sorted(starts):
+        todo = [start]
+        while todo:
+            node = todo.pop()
+            if node not in seen:
+                seen.add(node)
+                todo.extend(after.get(node, ()))
+                yield node, label
+
+
+def spread(edges: DataFrame, starts: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(node, label): of each node that starts (node, label) reach along edges (src, dst) the least label that does. Up to bound edges and starts go
+    within one task; more by joins, a round a step of the longest way, only from nodes whose label the last round has lowered."""
+    whole = stored(edges.select("src", "dst").distinct())
+    starts = stored(starts.groupBy("node").agg(F.min("label").alias("label")))
+    if whole.count() + starts.count() <= bound:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            triples = (row for batch in batches for row in zip(batch["src"], batch["dst"], batch["label"], strict=True))
+            yield pd.DataFrame(list(_spread(triples)), columns=["node", "label"])
+
+        both = whole.withColumn("label", F.lit(None).cast("string")).unionByName(starts.select(F.col("node").alias("src"), F.col("node").alias("dst"), "label"))
+        return both.coalesce(1).mapInPandas(run, "node string, label string")
+    labels = new = starts
+    while True:
+        steps = new.join(whole, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("label").alias("label")).withColumnRenamed("dst", "node")
+        known = labels.withColumnRenamed("label", "before")
+        new = stored(steps.join(known, "node", "left").where("before IS NULL OR label < before").select("node", "label"))
+        if new.isEmpty():
+            return labels
+        labels = stored(labels.unionByName(new).groupBy("node").agg(F.min("label").alias("label")))
+
+
 def _labelled(edges: DataFrame) -> DataFrame:
     """(src, dst, component) of at most BOUND edges, in one task."""
 

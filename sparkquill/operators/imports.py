@@ -135,7 +135,7 @@ def package() -> Column:
     return F.coalesce(named, directory)
 
 
-def _keys(rows: DataFrame) -> DataFrame:
+def keys(rows: DataFrame) -> DataFrame:
     """(key, root, dst) of files by their paths; root is null for the whole path."""
     stem = F.when(F.col("lang") == "cpp", F.col("path")).otherwise(F.regexp_replace("path", r"\.[A-Za-z]+$", ""))
     index = F.regexp_replace(stem, r"(?:^|/)(?:__init__|index|mod)$", "")
@@ -152,7 +152,7 @@ def edges(facts: DataFrame) -> DataFrame:
     importing file stands under no root or under the same one.
     """
     wanted = facts.select(F.col("path").alias("src"), "lang", F.when(F.col("path").rlike(ROOTS), F.regexp_extract("path", f"({ROOTS[1:]})", 1)).alias("from"), F.coalesce("package", F.lit("")).alias("own"), F.explode("imports").alias("key")).where("key != own")
-    files = _keys(facts.where(F.col("lang").isin(*LANGUAGES)))
+    files = keys(facts.where(F.col("lang").isin(*LANGUAGES)))
     same = (F.col("lang") == F.col("to")) & (F.col("root").isNull() | F.col("from").isNull() | (F.col("root") == F.col("from")))
     direct = wanted.join(files, "key").where(same & (F.col("src") != F.col("dst"))).select("src", "dst")
     packages = facts.where("package IS NOT NULL").select(F.col("path").alias("dst"), F.col("lang").alias("to"), F.col("package").alias("key"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkquill import sample
 from sparkquill.functions.text import class_of
-from sparkquill.operators import detectors, imports
+from sparkquill.operators import detectors, flow, imports
 from sparkquill.plans import facts
 from sparkquill.session import cut
 from sparkquill.sources.rules import Rule
@@ -64,7 +64,7 @@ def issues_of(known: facts.Facts, mode: str = "personal", changed: DataFrame | N
     spark = known.files.sparkSession
     edges = cut(imports.edges(known.files.where("lang != 'other'").select("path", "lang", "imports", "package")))
     parts = [
-        detectors.unparsed(only(known.files).select("path", "lang", F.inline("matches")), known.parts).select(*detectors.ISSUE) if known.trees else detectors.exploded(only(known.files)),
+        _by_trees(only(known.files).select("path", "lang", F.inline("matches")), known) if known.trees else detectors.exploded(only(known.files)),
         detectors.structure_issues(only(known.parts)),
         detectors.duplicate_issues(switched_on(known.files, "duplicate_code").select("path", F.inline("blocks")), changed),
         only(detectors.cycle_issues(edges)),
@@ -77,6 +77,11 @@ def issues_of(known: facts.Facts, mode: str = "personal", changed: DataFrame | N
     return adapt(reduce(DataFrame.unionByName, parts))
 
 
+def _by_trees(found: DataFrame, known: facts.Facts) -> DataFrame:
+    """Matches where trees have their say of handlers and of dangerous calls."""
+    return flow.judged(detectors.unparsed(found, known.parts), known.flows, detectors.SYNTAX).select(*detectors.ISSUE)
+
+
 def switched_on(files: DataFrame, category: str) -> DataFrame:
     """files without those whose class switches a category off."""
     off = [file_class for file_class, c in SWITCHED_OFF if c == category]
