@@ -1,9 +1,9 @@
 """Near-duplicates of embedding vectors: spherical-cap filters from a structured random product code.
 
 A filter direction is a pair of code words, one for each half of a randomly rotated space, so size * size directions need
-2 * size words only. List decoding goes down the halves and drops what can no longer exceed the cap. Each vector's cap is
-as wide as lets it hold ``filters`` directions, which keeps recall even where the code is thin. Vectors meet where they
-hold the same direction, and only there are they compared, by cosine in double precision.
+2 * size words only. List decoding goes down the halves and drops what can no longer exceed the cap. A vector holds all
+directions above the cap; where the code is thin it is lowered until ``filters`` are, which keeps recall even. Vectors meet where
+they hold the same direction, and only there are they compared, by cosine in double precision.
 
 At scale: the code grows with the square root of the number of vectors, so a direction holds about ``bucket`` of them and
 each vector meets as many at any size. Equal vectors are one row. Vectors within half the link angle of a leader (the
@@ -34,16 +34,19 @@ def product_code(dim: int, size: int, seed: int = 20_477) -> tuple[np.ndarray, l
     return rotation, [w / np.linalg.norm(w, axis=1, keepdims=True) for w in words]
 
 
-def list_decode(vectors: np.ndarray, rotation: np.ndarray, words: list[np.ndarray], wanted: int) -> np.ndarray:
-    """The wanted best filter directions of each unit vector, sorted: its cap is lowered until it holds so many."""
+def list_decode(vectors: np.ndarray, rotation: np.ndarray, words: list[np.ndarray], wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """All filter directions that exceed each unit vector's cap: how many each has, and their codes in order, vector after vector.
+
+    The cap is the same for all, one that a random vector exceeds wanted times on average; for a vector that exceeds it less often it
+    is lowered just so far that wanted directions do (all there are, if there are fewer)."""
     dim, size = vectors.shape[1], len(words[0])
     total = size ** len(words)
     wanted = min(wanted, total)
     rotated = vectors @ rotation
     at = np.cumsum([0, *(w.shape[1] for w in words)])
     scores = [rotated[:, at[k] : at[k + 1]] @ w.T for k, w in enumerate(words)]
-    usual = NormalDist().inv_cdf(max(1e-12, 1 - min(0.9, 2 * wanted / total))) * math.sqrt(len(words) / dim)
-    out = np.empty((len(vectors), wanted), np.int32)
+    usual = NormalDist().inv_cdf(max(1e-12, 1 - min(0.9, wanted / total))) * math.sqrt(len(words) / dim)
+    counts, out = np.empty(len(vectors), np.int64), []
     for i in range(len(vectors)):
         own = [s[i] for s in scores]
         cap = usual
@@ -56,9 +59,11 @@ def list_decode(vectors: np.ndarray, rotation: np.ndarray, words: list[np.ndarra
             if len(sums) >= wanted:
                 break
             cap -= 0.25 / math.sqrt(dim)
-        best = np.lexsort((codes, -sums))[:wanted] if len(sums) > wanted else slice(None)
-        out[i] = np.sort(codes[best])
-    return out
+        if cap < usual:
+            codes = codes[sums >= np.partition(sums, len(sums) - wanted)[len(sums) - wanted]]
+        counts[i] = len(codes)
+        out.append(np.sort(codes).astype(np.int32))
+    return counts, np.concatenate([np.empty(0, np.int32), *out])
 
 
 def unit_vectors(rows: np.ndarray) -> np.ndarray:
@@ -82,8 +87,8 @@ def _decode(size: int, wanted: int):
                 rows = np.flatnonzero(dims == dim)
                 codes[dim] = codes.get(dim) or product_code(dim, size)
                 for part in np.array_split(rows, max(1, len(rows) // 2048)):
-                    held = list_decode(unit_vectors(_matrix(vectors.take(pa.array(part)))), *codes[dim], wanted)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, held.size + 1, held.shape[1]), pa.int32()), pa.array(held.reshape(-1)))
+                    counts, held = list_decode(unit_vectors(_matrix(vectors.take(pa.array(part)))), *codes[dim], wanted)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(held))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(part)), lists], ["rep", "filters"])
 
     return run
@@ -121,13 +126,15 @@ def _verify(cosine: float):
             if not len(rows):
                 continue
             linked, ids, mult = linked[np.ix_(rows, rows)], ids[rows], mult[rows]
-            held, own = _matrix(unit.column("filters"))[rows], unit.column("filter")[0].as_py()
+            filters, own = unit.column("filters").take(pa.array(rows)), unit.column("filter")[0].as_py()
+            filters = filters.combine_chunks() if isinstance(filters, pa.ChunkedArray) else filters
+            held, owner = filters.flatten().to_numpy(), np.repeat(np.arange(len(rows)), np.diff(filters.offsets.to_numpy()))
             lower = held < own
             values, inverse, counts = np.unique(held[lower], return_inverse=True, return_counts=True)
             first = np.ones(linked.shape, bool)
             if (counts > 1).any():
                 shared = np.zeros((len(rows), len(values)), np.float32)
-                shared[np.nonzero(lower)[0], inverse] = 1
+                shared[owner[lower], inverse] = 1
                 shared = shared[:, counts > 1]
                 first = shared @ shared.T == 0
             linked &= first
