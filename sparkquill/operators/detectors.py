@@ -338,8 +338,8 @@ def naming_issues(names: DataFrame) -> DataFrame:
 
 
 def facts(rows: DataFrame) -> DataFrame:
-    """(path, lang, imports, package) of files with code, for those of a language."""
-    return rows.where("lang != 'other'").select("path", "lang", imports.candidates().alias("imports"), imports.package().alias("package"))
+    """(path, lang, imports, package, roots) of files with code."""
+    return rows.select("path", "lang", imports.candidates().alias("imports"), imports.package().alias("package"), imports.roots().alias("roots")).where("lang != 'other' OR roots IS NOT NULL")
 
 
 def dependency_edges(files: DataFrame) -> DataFrame:

@@ -1,20 +1,27 @@
 """What a file imports, by its language's own forms, and which files or packages that names.
 
 An import becomes candidates: paths that it may stand for. A file is known by its path (without extension, but for C and C++),
-also as seen from its source root (ROOTS), and by its directory if it is that directory's index. Go, Java and C# import
+also as seen from its source root (ROOTS), and by its directory if it is that directory's index. Where a project says itself what
+its modules are called (go.mod, Cargo.toml, tsconfig.json and jsconfig.json), names are led to folders by their longest prefix. Go, Java and C# import
 packages too: a package is a node of its own, written as a path that ends in ``/``, which each of its files belongs to; so a
 package of n files that m files import takes m + n edges rather than m * n. Candidates meet files by equal keys alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkquill.functions.text import COMMENTS
+
 LANGUAGES = ("python", "javascript", "java", "go", "csharp", "cpp", "rust")
 #: What stands before the part of a path that imports name.
+#: Not so where a manifest says it.
 ROOTS = r"^(?:.*?/)??(?:src/main/java|src/test/java|src|lib|include|python|app)/"
 _STRING = "array<string>"
+#: Begins a candidate that is only guessed, and doesn't count where a manifest of its language lies above the file.
+GUESS = "?"
+ROOT = "array<struct<lang:string,prefix:string,folder:string,within:string,nearest:boolean>>"
 
 
 def _all(pattern: str, group: int = 1) -> Column:
@@ -66,7 +73,9 @@ def _python() -> Column:
 def _javascript() -> Column:
     named = _all(r"(?:\bfrom|\bimport[ \t]*\(?|\brequire[ \t]*\()\s*[\"']([^\"'\n]+)[\"']")
     bare = lambda x: F.regexp_replace(x, r"\.(?:jsx?|tsx?|mjs)$", "")
-    return F.transform(named, lambda x: F.when(x.rlike(r"^\.\.?(?:/|$)"), _resolved(bare(F.when(x.isin(".", ".."), F.concat(x, F.lit("/"))).otherwise(x)))).otherwise(bare(F.regexp_replace(x, r"^[@~]/", ""))))
+    near = lambda x: _resolved(bare(F.when(x.isin(".", ".."), F.concat(x, F.lit("/"))).otherwise(x)))
+    far = lambda x: F.when(x.rlike("^[@~]/"), _strings(x, F.concat(F.lit(GUESS), F.regexp_replace(x, "^[@~]/", "")))).otherwise(_strings(x))
+    return F.flatten(F.transform(named, lambda x: F.when(x.rlike(r"^\.\.?(?:/|$)"), _strings(near(x))).otherwise(far(bare(x)))))
 
 
 def _java() -> Column:
@@ -76,14 +85,14 @@ def _java() -> Column:
 
 
 def _go() -> Column:
-    """A package's path, also without its first parts, which may name the module: host, owner, project."""
+    """A package's path, and guesses without its first parts, which may name the module: host, owner, project."""
     single, blocks = _all(r"(?:^|\n)import[ \t]+(?:[\w.]+[ \t]+)?\"([^\"\n]+)\""), _all(r"(?:^|\n)import[ \t]*\(([^)]*)\)")
     named = F.concat(single, F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit(r"\"([^\"\n]+)\""), F.lit(1)))))
 
     def without(x: Column) -> Column:
         parts = F.split(x, "/")
         most = F.least(F.size(parts) - 1, F.when(parts[0].contains("."), 3).otherwise(1))
-        return F.transform(F.sequence(F.lit(0), most), lambda k: F.concat(F.array_join(F.slice(parts, k + 1, F.size(parts)), "/"), F.lit("/")))
+        return F.transform(F.sequence(F.lit(0), most), lambda k: F.concat(F.when(k > 0, GUESS).otherwise(""), F.array_join(F.slice(parts, k + 1, F.size(parts)), "/"), F.lit("/")))
 
     return F.flatten(F.transform(named, without))
 
@@ -113,7 +122,14 @@ def _rust() -> Column:
         members = F.transform(_names(inner), lambda x: _join(base, F.replace(x, F.lit("::"), F.lit("/"))))
         return F.filter(F.concat(F.array(base), members, F.transform(F.concat(F.array(base), members), lambda x: F.regexp_replace(x, "/?[^/]*$", ""))), lambda x: x != "")
 
-    return F.concat(modules, F.flatten(F.zip_with(_all(form, 1), _all(form, 2), used)))
+    other = r"\buse\s+((?!(?:crate|super|self|std|core|alloc)\b)\w+(?:::\w+)*+)(?:::\{([^}]*)\})?"
+
+    def of_crate(name: Column, inner: Column) -> Column:
+        base = F.replace(name, F.lit("::"), F.lit("/"))
+        named = F.concat(F.array(base), F.transform(_names(inner), lambda x: _join(base, F.replace(x, F.lit("::"), F.lit("/")))))
+        return F.filter(F.concat(named, F.transform(named, lambda x: F.regexp_replace(x, "/?[^/]*$", ""))), lambda x: x != "")
+
+    return F.concat(modules, F.flatten(F.zip_with(_all(form, 1), _all(form, 2), used)), F.flatten(F.zip_with(_all(other, 1), _all(other, 2), of_crate)))
 
 
 _CANDIDATES = {"python": _python, "javascript": _javascript, "java": _java, "go": _go, "csharp": _csharp, "cpp": _cpp, "rust": _rust}
@@ -135,6 +151,54 @@ def package() -> Column:
     return F.coalesce(named, directory)
 
 
+def _root(lang: str, prefix: Column, folder: Column, within: Column, nearest: bool) -> Column:
+    return F.struct(F.lit(lang).alias("lang"), prefix.alias("prefix"), F.rtrim(folder, F.lit("/")).alias("folder"), within.alias("within"), F.lit(nearest).alias("nearest"))
+
+
+def roots() -> Column:
+    """ROOT of a file of path and content: names that begin with prefix lie in folder. within: whom that concerns, files below it ('' for all);
+    nearest: whether manifests nearer to a file go before longer prefixes. Null for other files than manifests."""
+    content, here, everywhere = F.col("content"), _up(F.lit(0)), F.lit("")
+    found = lambda pattern, group: F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
+    moved = r"(?m)^[ \t]*(?:replace[ \t]+)?(\S+)(?:[ \t]+v\S+)?[ \t]*=>[ \t]*(\.{1,2}/\S*)"
+    modules = F.transform(found(r"(?m)^[ \t]*module[ \t]+\"?([^\s\"]+)", 1), lambda x: _root("go", x, here, here, False))
+    replaced = F.zip_with(found(moved, 1), found(moved, 2), lambda x, to: _root("go", x, _resolved(to), here, False))
+    names = [F.regexp_extract(content, rf"(?m)^[ \t]*\[{part}\][^\[]*?^[ \t]*name[ \t]*=[ \t]*\"([^\"]+)\"", 1) for part in ("lib", "package")]
+    crate = F.replace(F.when(names[0] != "", names[0]).otherwise(names[1]), F.lit("-"), F.lit("_"))
+    crates = F.filter(F.array(_root("rust", crate, _join(here, F.lit("src")), everywhere, False)), lambda x: x["prefix"] != "")
+    plain = F.regexp_replace(F.regexp_replace(content, COMMENTS["javascript"], "$1"), r",(\s*[}\]])", "$1")
+    options = F.from_json(plain, "compilerOptions struct<baseUrl:string,paths:map<string,array<string>>>")["compilerOptions"]
+    base = F.concat(F.lit("./"), F.coalesce(options["baseUrl"], F.lit(".")), F.lit("/"))
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"/?\*$|/\.(?=/|$)", ""), r"(?<=/)(?!\.\.?/)[^/]+/\.\./", "")
+    aliases = F.flatten(F.transform(F.map_entries(options["paths"]), lambda e: F.transform(e["value"], lambda to: _root("javascript", tidy(e["key"]), _resolved(tidy(F.concat(base, to))), here, True))))
+    whole = F.when(options["baseUrl"].isNotNull(), F.array(_root("javascript", everywhere, _resolved(base), here, True)))
+    none = F.array().cast(ROOT)
+    settings = F.concat(F.coalesce(aliases, none), F.coalesce(whole, none))
+    named = lambda pattern: F.col("path").rlike(rf"(?:^|/)(?:{pattern})$")
+    return F.when(named(r"go\.mod"), F.concat(modules, replaced)).when(named(r"Cargo\.toml"), crates).when(named(r"(?:ts|js)config(?:\.\w+)?\.json"), settings).cast(ROOT)
+
+
+def _led(wanted: DataFrame, roots: DataFrame) -> DataFrame:
+    """wanted with keys led to folders by manifests' roots: of each the nearest manifest's and then the longest prefix that fits; names as they are
+    written stay, guesses only where no manifest of their language lies above the file."""
+    guessed = F.col("key").startswith(GUESS)
+    above = F.transform(F.sequence(F.lit(1), F.size(F.split("src", "/"))), lambda k: F.array_join(F.slice(F.split("src", "/"), F.lit(1), k - 1), "/"))
+    free = wanted.where(guessed)
+    covered = free.select("src", "lang").distinct().withColumn("within", F.explode(above)).join(roots.where("lang != 'rust'").select("lang", "within").distinct(), ["lang", "within"]).select("src", "lang").distinct()
+    free = free.join(covered, ["src", "lang"], "left_anti").withColumn("key", F.substring("key", F.lit(2), F.length("key")))
+    plain = wanted.where(~guessed)
+    parts = F.split("key", "/")
+    fits = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    below = (F.col("within") == "") | F.startswith("src", F.concat("within", F.lit("/")))
+    met = plain.withColumn("prefix", F.explode(F.array_distinct(fits))).join(roots, ["lang", "prefix"]).where(below)
+    order = F.struct(F.when(F.col("nearest"), F.length("within")).otherwise(0).alias("near"), F.length("prefix").alias("long"))
+    met = met.withColumn("rank", F.rank().over(Window.partitionBy("src", "lang", "key").orderBy(order.desc()))).where("rank = 1")
+    rest = F.when(F.col("prefix") == "", F.col("key")).otherwise(F.substring("key", F.length("prefix") + 2, F.length("key")))
+    key = _join(F.col("folder"), F.when((rest == "") & (F.col("lang") == "rust"), "lib").otherwise(rest))
+    key = F.when(F.col("key").endswith("/") & ~key.endswith("/"), F.concat(key, F.lit("/"))).otherwise(key)
+    return plain.unionByName(free).unionByName(met.withColumn("key", key).select(*wanted.columns))
+
+
 def keys(rows: DataFrame) -> DataFrame:
     """(key, root, dst) of files by their paths; root is null for the whole path."""
     stem = F.when(F.col("lang") == "cpp", F.col("path")).otherwise(F.regexp_replace("path", r"\.[A-Za-z]+$", ""))
@@ -146,12 +210,15 @@ def keys(rows: DataFrame) -> DataFrame:
 
 
 def edges(facts: DataFrame) -> DataFrame:
-    """(src, dst): a file imports a file or a package of its language, and an imported package has a file; for facts (path, lang, imports, package).
+    """(src, dst): a file imports a file or a package of its language, and an imported package has a file; for facts (path, lang, imports, package,
+    roots), a stored table.
 
     From a source root a file sees its own root first; another root's file counts only if it is the same language's and the
     importing file stands under no root or under the same one.
     """
-    wanted = facts.select(F.col("path").alias("src"), "lang", F.when(F.col("path").rlike(ROOTS), F.regexp_extract("path", f"({ROOTS[1:]})", 1)).alias("from"), F.coalesce("package", F.lit("")).alias("own"), F.explode("imports").alias("key")).where("key != own")
+    wanted = facts.select(F.col("path").alias("src"), "lang", F.when(F.col("path").rlike(ROOTS), F.regexp_extract("path", f"({ROOTS[1:]})", 1)).alias("from"), F.coalesce("package", F.lit("")).alias("own"), F.explode("imports").alias("key"))
+    led = facts.where("size(roots) > 0").select(F.inline("roots")).distinct()
+    wanted = (wanted.withColumn("key", F.ltrim("key", F.lit(GUESS))) if led.isEmpty() else _led(wanted, led)).where("key != own")
     files = keys(facts.where(F.col("lang").isin(*LANGUAGES)))
     same = (F.col("lang") == F.col("to")) & (F.col("root").isNull() | F.col("from").isNull() | (F.col("root") == F.col("from")))
     direct = wanted.join(files, "key").where(same & (F.col("src") != F.col("dst"))).select("src", "dst")

@@ -1,6 +1,6 @@
 """Facts of files: what a scan draws from each file alone, and a stored, versioned table of them for scans of changes.
 
-files has a row for each file: its matches, imports, package and blocks of lines; parts its functions, classes and handlers; names
+files has a row for each file: its matches, imports, package, roots of modules and blocks of lines; parts its functions, classes and handlers; names
 what it declares; flows what goes from where to where within its functions. All issues follow from facts (see gate), so a file is opened once, and an unchanged file not at all: a store keeps the
 facts of a project by version, each version those of the files that changed since the one before. A file's facts are current
 unless a later version names its path. What has changed is told by a listing of sizes and times, which opens nothing.
@@ -27,13 +27,13 @@ from sparkquill.sources.files import list_project, open_files, with_traits
 from sparkquill.sources.rules import Rule
 
 #: Versions that are read together at most, and what tells that facts were drawn by other code.
-VERSIONS, FORM = 8, 3
+VERSIONS, FORM = 8, 4
 TABLES = ("files", "parts", "names", "flows")
 
 
 @dataclass(frozen=True)
 class Facts:
-    """files (path, lang, matches, imports, package, blocks), parts (structure.SCHEMA), names (of identifiers; None if not drawn), flows (flow.FLOWS,
+    """files (path, lang, matches, imports, package, roots, blocks), parts (structure.SCHEMA), names (of identifiers; None if not drawn), flows (flow.FLOWS,
     None without trees); trees: whether Python was parsed for parts."""
 
     files: DataFrame
@@ -48,7 +48,7 @@ def drawn(files: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
     lookups = [*detectors.security_lookups(), *detectors.exception_lookups(), *detectors.custom_lookups(rules)]
     known = F.col("lang") != "other"
     found = [detectors.matches(lookups, detectors.size_matches()).alias("matches"), detectors.blocks_of().alias("blocks")]
-    return detectors.with_code(files).select("path", *keep, "lang", *found, F.when(known, imports.candidates()).alias("imports"), F.when(known, imports.package()).alias("package"))
+    return detectors.with_code(files).select("path", *keep, "lang", *found, F.when(known, imports.candidates()).alias("imports"), F.when(known, imports.package()).alias("package"), imports.roots().alias("roots"))
 
 
 def gather(files: DataFrame, rules: Sequence[Rule] = (), trees: bool = True, names: bool = False, measured: DataFrame | None = None) -> Facts:

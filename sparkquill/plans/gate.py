@@ -62,7 +62,7 @@ def issues_of(known: facts.Facts, mode: str = "personal", changed: DataFrame | N
     changed = _changed(mode, changed)
     only = (lambda rows: rows) if changed is None else (lambda rows: rows.join(changed, "path", "left_semi"))
     spark = known.files.sparkSession
-    edges = cut(imports.edges(known.files.where("lang != 'other'").select("path", "lang", "imports", "package")))
+    edges = cut(imports.edges(known.files.where("lang != 'other' OR roots IS NOT NULL").select("path", "lang", "imports", "package", "roots")))
     parts = [
         _by_trees(only(known.files).select("path", "lang", F.inline("matches")), known) if known.trees else detectors.exploded(only(known.files)),
         detectors.structure_issues(only(known.parts)),

@@ -374,6 +374,28 @@ def test_imports_are_resolved_as_the_languages_do(spark):
     assert edges_in(spark, ("k/src/main.rs", "mod a;\nuse crate::b::{c, d::e};\n"), ("k/src/a.rs", "use super::b;"), ("k/src/b/mod.rs", "use self::c::X;"), ("k/src/b/c.rs", ""), ("k/src/b/d.rs", "")) == {("k/src/main.rs", "k/src/a.rs"), ("k/src/main.rs", "k/src/b/c.rs"), ("k/src/main.rs", "k/src/b/d.rs"), ("k/src/main.rs", "k/src/b/mod.rs"), ("k/src/a.rs", "k/src/b/mod.rs"), ("k/src/b/mod.rs", "k/src/b/c.rs")}
 
 
+def test_roots_of_modules_are_read_from_manifests(spark):
+    rows = [
+        ("svc/go.mod", "module example.com/acme/shop\n\ngo 1.22\nreplace example.com/acme/util => ../util\n"),
+        ("svc/main/a.go", 'package main\nimport (\n "example.com/acme/shop/store"\n "example.com/acme/util/text"\n "example.com/other/main2/near"\n)\n'),
+        ("svc/store/s.go", "package store\n"), ("util/text/t.go", "package text\n"), ("near/n.go", "package near\n"),
+        ("web/tsconfig.json", '{ // aliases\n "compilerOptions": {"baseUrl": "./src", "paths": {"@app/*": ["app/*"], "@app/deep/*": ["deep/*", "../gen/*",], "@/*": ["./*"]}}}'),
+        ("web/src/app/x.ts", 'import a from "@app/y";\nimport b from "@app/deep/z";\nimport c from "@/main";\nimport d from "util/q";\nimport e from "@apple/y";\n'),
+        ("web/src/app/y.ts", ""), ("web/src/deep/z.ts", ""), ("web/gen/z.ts", ""), ("web/src/app/deep/z.ts", ""), ("web/src/main.ts", ""), ("main.ts", ""), ("web/src/util/q.ts", ""),
+        ("other/x.ts", 'import a from "@app/y";\nimport c from "@/main";\n'),
+        ("crates/my-core/Cargo.toml", '[package]\nname = "my-core"\nversion = "1"\n'), ("crates/my-core/src/lib.rs", "pub mod rule;\n"), ("crates/my-core/src/rule.rs", ""),
+        ("crates/tool/src/main.rs", "use my_core::rule::{Rule, Level};\nuse my_core::Thing;\nuse mycore::rule;\nuse std::io;\n"),
+        ("empty/go.mod", ""), ("empty/tsconfig.json", "{"), ("empty/Cargo.toml", None), ("bare/tsconfig.json", "{}"),
+    ]
+    found = {(r.src, r.dst) for r in d.dependency_edges(files(spark, *rows)).collect()}
+    assert found == {
+        ("svc/main/a.go", "svc/store/"), ("svc/store/", "svc/store/s.go"), ("svc/main/a.go", "util/text/"), ("util/text/", "util/text/t.go"),
+        ("web/src/app/x.ts", "web/src/app/y.ts"), ("web/src/app/x.ts", "web/src/deep/z.ts"), ("web/src/app/x.ts", "web/gen/z.ts"), ("web/src/app/x.ts", "web/src/main.ts"), ("web/src/app/x.ts", "web/src/util/q.ts"),
+        ("other/x.ts", "main.ts"), ("other/x.ts", "web/src/main.ts"),  # below no manifest and no source root: guessed
+        ("crates/my-core/src/lib.rs", "crates/my-core/src/rule.rs"), ("crates/tool/src/main.rs", "crates/my-core/src/rule.rs"), ("crates/tool/src/main.rs", "crates/my-core/src/lib.rs"),
+    }
+
+
 def test_secret_in_a_comment_is_dropped_and_lines_are_raw(spark):
     text = "/* token = 'abcdefgh' */\n\nconst t = 1; const token = 'ijklmnop';\n"
     (row,) = d.three_scans(files(spark, ("a.js", text))).collect()
