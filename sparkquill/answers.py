@@ -17,8 +17,10 @@ TRAITS = (
     ('erp/src/main/java/shop/presentation/OrderController.java', 'java', 'source', 'presentation'),
     ('internal/domain/price.go', 'go', 'source', 'domain'),
     ('internal/infra/cache.go', 'go', 'source', 'infrastructure'),
+    ('native/census.c', 'cpp', 'source', 'none'),
     ('native/services/matrix.cpp', 'cpp', 'source', 'application'),
     ('native/services/matrix.h', 'cpp', 'source', 'application'),
+    ('native/tally.c', 'cpp', 'source', 'none'),
     ('native/ui/window.h', 'cpp', 'source', 'presentation'),
     ('shop/application/checkout.py', 'python', 'source', 'application'),
     ('shop/domain/__init__.py', 'python', 'source', 'domain'),
@@ -97,8 +99,10 @@ PARTS = (
     ('erp/src/main/java/shop/presentation/OrderController.java', 'java', 'function', 'show', 5, 1, 0, 1, None),
     ('internal/domain/price.go', 'go', 'function', 'Load', 5, 1, 0, 1, None),
     ('internal/infra/cache.go', 'go', 'function', 'Get', 3, 1, 0, 1, None),
+    ('native/census.c', 'cpp', 'function', 'census', 3, 4, 2, 3, None),
     ('native/services/matrix.cpp', 'cpp', 'function', 'multiply', 4, 5, 3, 2, None),
     ('native/services/matrix.h', 'cpp', 'class', 'Matrix', 1, None, None, None, 0),
+    ('native/tally.c', 'cpp', 'function', 'tally', 1, 4, 2, 3, None),
     ('shop/application/checkout.py', 'python', 'empty_handler', None, 10, None, None, None, None),
     ('shop/application/checkout.py', 'python', 'function', 'check_out', 7, 2, 1, 7, None),
     ('shop/domain/money.py', 'python', 'function', 'round_up', 3, 1, 0, 2, None),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkquill import sample
 from sparkquill.operators import detectors as d
-from sparkquill.operators import flow
+from sparkquill.operators import copies, flow
 from sparkquill.operators.structure import identifiers, structure
 from sparkquill.oracle import ORACLE_SQL
 from sparkquill.plans import gate
@@ -97,6 +97,7 @@ QUERIES: dict[str, Query] = {
     "nesting_braces": nesting_braces,
     "dup_blocks": _on_files(d.duplicate_blocks),
     "dup_files": _on_files(d.duplicate_files),
+    "renamed_copies": _on_files(lambda f: copies.regions(d.cut(copies.prints(f, prose=True)))),
     "naming_consistency": _on_files(lambda f: d.naming_issues(d.cut(identifiers(f)))),
     "dep_edges": _on_files(d.dependency_edges),
     "dep_cycles": _on_files(lambda f: d.cycle_members(d.dependency_edges(f))),

@@ -307,8 +307,9 @@ def duplicate_files(files: DataFrame) -> DataFrame:
     return files.groupBy(F.md5(F.col("content").cast("binary")).alias("hash")).agg(F.count("*").alias("copies"), F.min("path").alias("first_path")).where("copies > 1")
 
 
-def duplicate_issues(blocks: DataFrame, only: DataFrame | None = None, size: int = LIMITS["block_lines"]) -> DataFrame:
-    """An issue for each place of each region of blocks (path, at, line, hash) that stand more than once, or for those in the paths of only.
+def duplicate_regions(blocks: DataFrame, only: DataFrame | None = None, size: int = LIMITS["block_lines"]) -> DataFrame:
+    """(path, line, last_line, n, times, hash) of each region of n adjacent blocks (path, at, line, hash) that stand more than once, or of those in the
+    paths of only; times: how often the rarest stands. Blank lines in the last block aren't counted for last_line.
 
     Counts by hash meet the blocks again, and adaptive execution splits a block that is everywhere. Blocks that follow each other in a
     file are one region, found by a window over what a single file repeats."""
@@ -316,9 +317,23 @@ def duplicate_issues(blocks: DataFrame, only: DataFrame | None = None, size: int
     counted = blocks if only is None else blocks.join(own.select("hash").distinct(), "hash", "left_semi")
     counts = counted.groupBy("hash").agg(F.count("*").alias("occurrences")).where("occurrences > 1")
     runs = own.join(counts, "hash").withColumn("island", F.col("at") - F.row_number().over(Window.partitionBy("path").orderBy("at")))
-    rows = runs.groupBy("path", "island").agg(F.min(F.struct("at", "line", "hash")).alias("first"), F.count("*").alias("n"), F.min("occurrences").alias("times"))
+    rows = runs.groupBy("path", "island").agg(F.min(F.struct("at", "line", "hash")).alias("first"), (F.max("line") + size - 1).alias("last_line"), F.count("*").alias("n"), F.min("occurrences").alias("times"))
+    return rows.select("path", F.col("first.line").cast("int").alias("line"), "last_line", "n", "times", _hex(F.col("first.hash")).alias("hash"))
+
+
+def duplicate_issues(regions: DataFrame, size: int = LIMITS["block_lines"]) -> DataFrame:
+    """An issue for each of duplicate_regions."""
     long = F.when(F.col("n") > 1, F.concat(F.lit(", "), (F.col("n") + size - 1).cast("string"), F.lit(" lines long"))).otherwise("")
-    return rows.select("path", F.col("first.line").cast("int").alias("line"), F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), _hex(F.col("first.hash")).alias("found"), F.concat(F.lit("stands "), F.col("times").cast("string"), F.lit(" times"), long).alias("message"))
+    return regions.select("path", "line", F.lit("duplicate_block").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("hash").alias("found"), F.concat(F.lit("stands "), F.col("times").cast("string"), F.lit(" times"), long).alias("message"))
+
+
+def renamed_issues(renamed: DataFrame, exact: DataFrame) -> DataFrame:
+    """An issue for each of copies.regions but those that lie by half of their lines or more in one of duplicate_regions, which says it already."""
+    a, b = renamed.alias("a"), exact.select("path", F.col("line").alias("begin"), F.col("last_line").alias("end")).alias("b")
+    common = F.least("a.last_line", "b.end") - F.greatest("a.line", "b.begin") + 1
+    rows = a.join(b, (F.col("a.path") == F.col("b.path")) & (2 * common >= F.col("a.last_line") - F.col("a.line") + 1), "left_anti")
+    message = F.concat(F.lit("to line "), F.col("last_line").cast("string"), F.lit(" stands "), F.col("n_places").cast("string"), F.lit(" times but for names and literals"))
+    return rows.select("path", "line", F.lit("renamed_copy").alias("rule_id"), F.lit("duplicate_code").alias("category"), F.lit("warn").alias("severity"), F.lit(STRIPPED).alias("confidence"), F.col("hash").alias("found"), message.alias("message"))
 
 
 # ---------------------------------------------------------------- names

@@ -39,14 +39,16 @@ DECISIONS = {
 _CONTROL = r"\b(?:else|return|new|throw|switch|try|do|finally|using|lock|delete|sizeof|await|yield|typeof)\b|\?\.|\?\?|\?:|\?[,)>;]"
 _DOUBLE, _SINGLE, _BACK = r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'", r"`(?:[^`\\]|\\.)*`"
 _SLASHES = r"//[^\n]*|/\*[\s\S]*?\*/"
-_SKIPPED = {
+#: Comments and string literals.
+SKIPPED = {
     "python": rf"\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|{_DOUBLE}|{_SINGLE}|#[^\n]*",
     "javascript": rf"{_SLASHES}|{_DOUBLE}|{_SINGLE}|{_BACK}",
     "go": rf"{_SLASHES}|{_DOUBLE}|{_BACK}|{_SINGLE}",
     "rust": rf"{_SLASHES}|{_DOUBLE}|'(?:[^'\\\n]|\\.)'",
+    **dict.fromkeys(("java", "csharp", "cpp"), rf"{_SLASHES}|{_DOUBLE}|{_SINGLE}"),
 }
 _TOKENS = {
-    lang: re.compile(rf"(?P<skip>{_SKIPPED.get(lang, rf'{_SLASHES}|{_DOUBLE}|{_SINGLE}')}|{_CONTROL})|(?P<decides>{DECISIONS[lang]})|(?P<type>{CLASSES})|(?P<head>{HEADS[lang]})|[{{}};]")
+    lang: re.compile(rf"(?P<skip>{SKIPPED[lang]}|{_CONTROL})|(?P<decides>{DECISIONS[lang]})|(?P<type>{CLASSES})|(?P<head>{HEADS[lang]})|[{{}};]")
     for lang in HEADS
 }
 _ASSIGNED = re.compile(r"(\w+)\s*[:=]\s*(?:async\b|\(|\w+\s*=>)")

@@ -7,6 +7,7 @@ reachability, the policy, the gate) and all that is found in documents is worked
 from __future__ import annotations
 
 from sparkquill import answers, sample
+from sparkquill.operators import copies
 from sparkquill.plans import gate
 from sparkquill.sample import quoted, values_sql
 
@@ -111,6 +112,43 @@ duplicate_issues AS (
   SELECT path, CAST(arg_min(stands, k) AS INTEGER) AS line, 'duplicate_block' AS rule_id, 'duplicate_code' AS category, 'warn' AS severity, 80 AS confidence, arg_min(hash, k) AS found,
     'stands ' || CAST(min(occurrences) AS VARCHAR) || ' times' || CASE WHEN count(*) > 1 THEN ', ' || CAST(count(*) + 5 AS VARCHAR) || ' lines long' ELSE '' END AS message
   FROM runs GROUP BY path, island)"""
+#: Tokens of the sample's code and of words, each with its line; names as distances within 40 tokens; the least of 21 hashes, the later of equals.
+_LITERAL = r"\x22\x22\x22(?:[^\x22]|\x22[^\x22]|\x22\x22[^\x22])*\x22\x22\x22|\x22(?:[^\x22\\\n]|\\[^\n])*\x22|\x27(?:[^\x27\\\n]|\\[^\n])*\x27"
+_KEPT = {**{lang: copies.BRACES for lang in ("javascript", "java", "go", "csharp", "cpp", "rust")}, **copies.WORDS}
+_COPIES = f"""coded AS (
+  SELECT path, lang, regexp_extract_all(content, {quoted(_LITERAL + "|[A-Za-z_][A-Za-z0-9_]*|[0-9][0-9A-Za-z_.]*|[^ ]")}) AS m FROM {_code("sample")} JOIN traits USING (path) WHERE lang <> 'other'
+  UNION ALL SELECT path, 'other', regexp_extract_all(content, '[^\\x20\\x09-\\x0D]+|\\n') FROM raw LEFT JOIN traits USING (path) WHERE coalesce(lang, 'other') = 'other'),
+keywords AS ({" UNION ALL ".join(f"SELECT '{lang}' AS lang, unnest({sorted(words)}) AS t" for lang, words in _KEPT.items())}),
+pieces AS (SELECT path, lang, generate_subscripts(m, 1) AS j, unnest(m) AS t FROM coded),
+on_lines AS (SELECT *, 1 + coalesce(sum({_NL.format("t")}) OVER (PARTITION BY path ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM pieces),
+signs AS (
+  SELECT path, lang, row_number() OVER (PARTITION BY path ORDER BY j) AS k, line, lang <> 'other' AND regexp_matches(t, '^[A-Za-z_]') AND w.t IS NULL AS named,
+    CASE WHEN lang = 'other' THEN regexp_replace(t, '[0-9]+', '0', 'g') WHEN regexp_matches(t, '^[0-9]') THEN '0' WHEN length(t) > 1 AND t[1] IN (chr(34), chr(39)) THEN repeat(chr(34), 2) ELSE t END AS t
+  FROM on_lines LEFT JOIN keywords w USING (lang, t) WHERE regexp_matches(t, '[^\\x20\\x09-\\x0D]')),
+named AS (SELECT *, CASE WHEN named THEN lag(k) OVER (PARTITION BY path, named, t ORDER BY k) END AS prev FROM signs),
+starts AS (SELECT path, k, unnest(range(k, k + 40)) AS pos FROM named WHERE lang <> 'other'),
+grams AS (
+  SELECT path, k, arg_min(line, pos) AS line, arg_max(line, pos) AS last, string_agg(CASE WHEN named THEN 'v' || CASE WHEN prev >= s.k THEN pos - prev ELSE 0 END ELSE t END, ' ' ORDER BY pos) AS gram, count(DISTINCT t) AS varied
+  FROM starts s JOIN (SELECT path, k AS pos, line, named, prev, t FROM named) USING (path, pos) GROUP BY path, k HAVING count(*) = 40
+  UNION ALL SELECT path, k, line, last, gram, len(list_distinct(string_split(gram, ' '))) FROM (
+    SELECT path, k, line, last_value(line) OVER w AS last, string_agg(t, ' ') OVER w AS gram, count(*) OVER w AS n FROM named WHERE lang = 'other'
+    WINDOW w AS (PARTITION BY path ORDER BY k ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)) WHERE n = 40),
+digests AS (SELECT path, k, line, last, md5(gram) AS hash, varied, count(*) OVER (PARTITION BY path) AS total FROM grams),
+windows AS (
+  SELECT path, least(total, 21) AS wanted, count(*) OVER w AS n, min(hash || lpad(CAST(999999999 - k AS VARCHAR), 9, '0')) OVER w AS least FROM digests
+  WINDOW w AS (PARTITION BY path ORDER BY k ROWS BETWEEN CURRENT ROW AND 20 FOLLOWING)),
+picked AS (SELECT DISTINCT path, 999999999 - CAST(least[33:] AS INTEGER) AS k FROM windows WHERE n = wanted),
+prints AS (SELECT path, line, last, hash, row_number() OVER (PARTITION BY path ORDER BY k) AS pos FROM picked JOIN digests USING (path, k) WHERE varied >= 8 %s),
+shared AS (SELECT hash, count(*) AS n_places FROM prints GROUP BY hash HAVING count(*) > 1),
+alike AS (SELECT *, pos - row_number() OVER (PARTITION BY path ORDER BY pos) AS island FROM prints JOIN shared USING (hash)),
+renamed AS (
+  SELECT path, CAST(arg_min(line, pos) AS INTEGER) AS line, CAST(max(last) AS INTEGER) AS last_line, min(n_places) AS n_places, arg_min(hash, pos) AS hash FROM alike GROUP BY path, island)"""
+_RENAMED = _COPIES % "AND path IN (SELECT path FROM traits WHERE lang <> 'other' AND file_class NOT IN ('generated', 'migration'))" + """,
+exact AS (SELECT path, min(stands) AS line, max(stands) + 5 AS last_line FROM runs GROUP BY path, island),
+renamed_issues AS (
+  SELECT path, line, 'renamed_copy' AS rule_id, 'duplicate_code' AS category, 'warn' AS severity, 80 AS confidence, hash AS found,
+    'to line ' || CAST(last_line AS VARCHAR) || ' stands ' || CAST(n_places AS VARCHAR) || ' times but for names and literals' AS message
+  FROM renamed r WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.path = r.path AND 2 * (least(r.last_line, e.last_line) - greatest(r.line, e.line) + 1) >= r.last_line - r.line + 1))"""
 _EDGES = f"edges(src, dst) AS ({_values(answers.EDGES)})"
 
 
@@ -142,8 +180,8 @@ _OFF = f"off(file_class, category) AS ({values_sql(gate.SWITCHED_OFF)})"
 
 def _issues(team: bool = False, trees: bool = False, where: str = "true") -> str:
     plain = f"""SELECT {ISSUE} FROM placed_issues UNION ALL SELECT {ISSUE} FROM part_issues UNION ALL SELECT {ISSUE} FROM long_files
-  UNION ALL SELECT {ISSUE} FROM duplicate_issues UNION ALL SELECT {ISSUE} FROM graph_issues""" + f" UNION ALL SELECT {ISSUE} FROM naming" * team
-    return _with(_FILES, _OFF, _TEXT_ISSUES, _LINES, _PARTS if trees else _PLAIN, _METRICS % {"trees": str(trees).lower(), "reached": _values(answers.REACHED)}, _DUPLICATES, _GRAPH, _NAMING, f"""plain AS ({plain}),
+  UNION ALL SELECT {ISSUE} FROM duplicate_issues UNION ALL SELECT {ISSUE} FROM renamed_issues UNION ALL SELECT {ISSUE} FROM graph_issues""" + f" UNION ALL SELECT {ISSUE} FROM naming" * team
+    return _with(_FILES, _OFF, _TEXT_ISSUES, _LINES, _PARTS if trees else _PLAIN, _METRICS % {"trees": str(trees).lower(), "reached": _values(answers.REACHED)}, _DUPLICATES, _RENAMED, _GRAPH, _NAMING, f"""plain AS ({plain}),
 issues AS (
   SELECT p.* FROM plain p JOIN files f USING (path) WHERE {where} AND (p.category = 'security' OR NOT EXISTS (SELECT 1 FROM off WHERE off.file_class = f.file_class AND off.category = p.category)))""", recursive=True)
 
@@ -201,6 +239,7 @@ ORACLE_SQL: dict[str, str] = {
     "nesting_braces": _with(_RAW, _TEXTS, _DEPTHS) + "SELECT * FROM depths",
     "dup_blocks": _with(_RAW, _BLOCKS.format("raw")) + "SELECT * FROM dup_blocks",
     "dup_files": _with(_RAW) + "SELECT md5(content) AS hash, count(*) AS copies, min(path) AS first_path FROM raw GROUP BY 1 HAVING count(*) > 1",
+    "renamed_copies": _with(_FILES, _COPIES % "") + "SELECT path, line, last_line, n_places, hash FROM renamed",
     "naming_consistency": _with(_NAMING) + f"SELECT {ISSUE} FROM naming",
     "dep_edges": _with(_EDGES) + "SELECT * FROM edges",
     "dep_cycles": _with(_EDGES, _cycles("edges"), recursive=True) + "SELECT node AS path, component, n_nodes, length, cycle FROM circles",

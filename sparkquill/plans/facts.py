@@ -1,7 +1,7 @@
 """Facts of files: what a scan draws from each file alone, and a stored, versioned table of them for scans of changes.
 
 files has a row for each file: its matches, imports, package, roots of modules and blocks of lines; parts its functions, classes and handlers; names
-what it declares; flows what goes from where to where within its functions. All issues follow from facts (see gate), so a file is opened once, and an unchanged file not at all: a store keeps the
+what it declares; flows what goes from where to where within its functions; prints the fingerprints of its code. All issues follow from facts (see gate), so a file is opened once, and an unchanged file not at all: a store keeps the
 facts of a project by version, each version those of the files that changed since the one before. A file's facts are current
 unless a later version names its path. What has changed is told by a listing of sizes and times, which opens nothing.
 
@@ -20,26 +20,27 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkquill.operators import detectors, flow, imports
+from sparkquill.operators import copies, detectors, flow, imports
 from sparkquill.operators.structure import identifiers, structure
 from sparkquill.session import cut
 from sparkquill.sources.files import list_project, open_files, with_traits
 from sparkquill.sources.rules import Rule
 
 #: Versions that are read together at most, and what tells that facts were drawn by other code.
-VERSIONS, FORM = 8, 4
-TABLES = ("files", "parts", "names", "flows")
+VERSIONS, FORM = 8, 5
+TABLES = ("files", "parts", "names", "flows", "prints")
 
 
 @dataclass(frozen=True)
 class Facts:
     """files (path, lang, matches, imports, package, roots, blocks), parts (structure.SCHEMA), names (of identifiers; None if not drawn), flows (flow.FLOWS,
-    None without trees); trees: whether Python was parsed for parts."""
+    None without trees), prints (copies.PRINTS; None if not drawn); trees: whether Python was parsed for parts."""
 
     files: DataFrame
     parts: DataFrame
     names: DataFrame | None
     flows: DataFrame | None = None
+    prints: DataFrame | None = None
     trees: bool = True
 
 
@@ -53,7 +54,7 @@ def drawn(files: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
 
 def gather(files: DataFrame, rules: Sequence[Rule] = (), trees: bool = True, names: bool = False, measured: DataFrame | None = None) -> Facts:
     """Facts of files. measured: the files whose parts are wanted, by default all."""
-    return Facts(cut(drawn(files, rules)), structure(files if measured is None else measured, trees), cut(identifiers(files)) if names else None, flow.flows(files) if trees else None, trees)
+    return Facts(cut(drawn(files, rules)), structure(files if measured is None else measured, trees), cut(identifiers(files)) if names else None, flow.flows(files) if trees else None, cut(copies.prints(files)), trees)
 
 
 # ---------------------------------------------------------------- store
@@ -160,8 +161,8 @@ def refresh(spark: SparkSession, root: str, store: str, rules: Sequence[Rule] =
         gone = cut(seen.join(listed, "path", "left_anti").select("path"))
         if changed.isEmpty() and gone.isEmpty():
             return Refreshed(load(spark, store, metas), metas[-1].number, 0)
-    files = with_traits(open_files(spark, root, changed)).persist()  # opened once for all four tables
-    tables = {"files": drawn(files, rules, "size", "modified"), "parts": structure(files), "names": identifiers(files), "flows": flow.flows(files)}
+    files = with_traits(open_files(spark, root, changed)).persist()  # opened once for all tables
+    tables = {"files": drawn(files, rules, "size", "modified"), "parts": structure(files), "names": identifiers(files), "flows": flow.flows(files), "prints": copies.prints(files)}
     if gone is not None:
         tables["files"] = tables["files"].unionByName(gone, allowMissingColumns=True)
     metas.append(_write(spark, store, number, tables, key, anew))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkquill import sample
 from sparkquill.functions.text import class_of
-from sparkquill.operators import detectors, flow, imports
+from sparkquill.operators import copies, detectors, flow, imports
 from sparkquill.plans import facts
 from sparkquill.session import cut
 from sparkquill.sources.rules import Rule
@@ -63,13 +63,16 @@ def issues_of(known: facts.Facts, mode: str = "personal", changed: DataFrame | N
     only = (lambda rows: rows) if changed is None else (lambda rows: rows.join(changed, "path", "left_semi"))
     spark = known.files.sparkSession
     edges = cut(imports.edges(known.files.where("lang != 'other' OR roots IS NOT NULL").select("path", "lang", "imports", "package", "roots")))
+    exact = detectors.duplicate_regions(switched_on(known.files, "duplicate_code").select("path", F.inline("blocks")), changed)
     parts = [
         _by_trees(only(known.files).select("path", "lang", F.inline("matches")), known) if known.trees else detectors.exploded(only(known.files)),
         detectors.structure_issues(only(known.parts)),
-        detectors.duplicate_issues(switched_on(known.files, "duplicate_code").select("path", F.inline("blocks")), changed),
+        detectors.duplicate_issues(exact),
         only(detectors.cycle_issues(edges)),
         only(detectors.layer_issues(edges, allowed_layers(spark))),
     ]
+    if known.prints is not None:
+        parts.append(detectors.renamed_issues(copies.regions(switched_on(known.prints, "duplicate_code"), changed), exact))
     if mode == "team":
         if known.names is None:
             raise ValueError("team mode needs the facts' names")

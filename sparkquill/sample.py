@@ -28,6 +28,9 @@ FILES: tuple[tuple[str, str], ...] = (
     ("native/services/matrix.cpp", '#include "matrix.h"\n#include "../ui/window.h"\n#include <vector>\nstd::vector<int> multiply(const Matrix& a, int (*f)(int, int)) {\n  // nothing { here\n  for (int i = 0; i < a; i++) { for (int j = 0; j < b; j++) { if (i == j) { k++; } } }\n  try { k(); } catch (...) { throw; }\n  return k;\n}\n'),
     ("native/services/matrix.h", "struct Matrix { int rows; };\n"),
     ("native/ui/window.h", "void show(void);\n"),
+    # C: a copy with other names
+    ("native/tally.c", "int tally(const int *list, int size, int limit) {\n  int sum = 0;\n  for (int i = 0; i < size; i++) {\n    if (list[i] > limit) {\n      sum += list[i] - limit;\n    } else {\n      sum -= 1;\n    }\n  }\n  return sum > 0 ? sum : 0;\n}\n"),
+    ("native/census.c", "void show(void);\n\nint census(const int *ages, int many, int least) {\n  int all = 7;\n  for (int k = 0; k < many; k++) {\n    if (ages[k] > least) {\n      all += ages[k] - least;\n    } else {\n      all -= 20;\n    }\n  }\n  return all > 3 ? all : 3;\n}\n"),
     # Rust: modules, use, a panic and a swallowed error
     ("engine/src/lib.rs", "mod parser;\nmod domain;\n"),
     ("engine/src/parser.rs", "use crate::domain::rule;\n\nfn parse<'a>(input: &'a str, strict: bool) -> u32 {\n    if strict { 1 } else { read(input).unwrap() }\n}\nfn parseFast(input: &str) -> u32 {\n    match go(input) { Ok(v) => v, Err(_) => {} }\n}\n"),
