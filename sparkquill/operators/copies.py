@@ -17,6 +17,7 @@ import keyword
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,7 +52,7 @@ def tokens(lang: str, text: str) -> tuple[list[str], list[int], list[bool]]:
         if kind == "skip" and token[0] not in "\"'`":
             continue
         if kind is None:
-            token = _DIGITS.sub("0", token)
+            token = token if token.isalpha() else _DIGITS.sub("0", token)
         elif kind != "sign" and token not in words:
             token = {"skip": '""', "number": "0"}.get(kind, token)
         out.append(token)
@@ -60,10 +61,14 @@ def tokens(lang: str, text: str) -> tuple[list[str], list[int], list[bool]]:
     return out, lines, named
 
 
-def fingerprints(lang: str, text: str) -> list[tuple[int, int, int, bytes]]:
-    """(at, line, last, hash) of a text, in order."""
-    out, lines, named = tokens(lang, text)
+def _passages(out: list[str], named: list[bool]) -> Iterator[bytes]:
+    """The GRAM tokens from each one on, with names as distances."""
     count = len(out) - GRAM + 1
+    if not any(named):  # nothing changes from one passage to the next: each is cut from the same bytes
+        parts = [x.encode("utf-8", "surrogatepass") for x in out]
+        whole, starts = b" ".join(parts), [0, *accumulate(len(x) + 1 for x in parts)]
+        yield from (whole[starts[i] : starts[i + GRAM] - 1] for i in range(count))
+        return
     after: dict[int, int] = {}
     before: dict[str, int] = {}
     coded = list(out)
@@ -74,24 +79,32 @@ def fingerprints(lang: str, text: str) -> list[tuple[int, int, int, bytes]]:
             if seen is not None:
                 after[seen] = i
             before[token] = i
-    held: deque[tuple[str, int]] = deque()  # hashes that may still be the least of a window, rising
-    picked: list[tuple[int, int, int, bytes]] = []
-    at = last = -1
     for i in range(count):
         if i - 1 in after:  # what a name referred to has left the passage
             coded[after[i - 1]] = "v0"
-        digest = hashlib.md5(" ".join(coded[i : i + GRAM]).encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+        yield " ".join(coded[i : i + GRAM]).encode("utf-8", "surrogatepass")
+
+
+def fingerprints(lang: str, text: str) -> list[tuple[int, int, int, bytes]]:
+    """(at, line, last, hash) of a text, in order."""
+    out, lines, named = tokens(lang, text)
+    held: deque[tuple[bytes, int]] = deque()  # hashes that may still be the least of a window, rising
+    picked: list[tuple[int, int, int, bytes]] = []
+    full = min(WINDOW, len(out) - GRAM + 1) - 1
+    at = last = -1
+    for i, passage in enumerate(_passages(out, named)):
+        digest = hashlib.md5(passage, usedforsecurity=False).digest()
         while held and held[-1][0] >= digest:
             held.pop()
         held.append((digest, i))
         if held[0][1] <= i - WINDOW:
             held.popleft()
-        if i < min(WINDOW, count) - 1 or held[0][1] == last:
+        if i < full or held[0][1] == last:
             continue
         digest, last = held[0]
         if len(set(out[last : last + GRAM])) >= VARIED:
             at += 1
-            picked.append((at, lines[last], lines[last + GRAM - 1], bytes.fromhex(digest)))
+            picked.append((at, lines[last], lines[last + GRAM - 1], digest))
     return picked
 
 

@@ -193,11 +193,6 @@ def matches(lookups: Sequence[Lookup], further: Sequence[Column] = ()) -> Column
     return let(F.array_distinct(F.flatten(F.array(looked_up(lookups), *further))), once)
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """ISSUE rows of a stored column matches."""
-    return rows.select("path", F.inline("matches")).select(*ISSUE)
-
-
 def hits(files: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
     """ISSUE rows of lookups. The array goes into the generator as it is: of a column the optimizer would test the size first, and so
     compute it twice."""
@@ -272,6 +267,14 @@ def unparsed(found: DataFrame, parts: DataFrame) -> DataFrame:
     return found.where(~judged).unionByName(found.where(judged).join(parts.where("kind = 'unparsable'").select("path"), "path", "left_semi"))
 
 
+def unhandled(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """found (path, line, rule_id, ...) without handlers of everything that raise again, and broad ones that at least log, as outlines tell by their bodies."""
+    caught = F.col("rule_id").isin("bare_except", "broad_catch")
+    acts = parts.where("kind IN ('raised', 'logged')").select(F.col("path").alias("of"), "kind", F.col("line").alias("begin"))
+    acted = (F.col("path") == F.col("of")) & (F.col("line") == F.col("begin")) & ((F.col("kind") == "raised") | (F.col("rule_id") == "broad_catch"))
+    return found.where(~caught).unionByName(found.where(caught).join(acts, acted, "left_anti"))
+
+
 # ---------------------------------------------------------------- duplicates
 
 

@@ -57,6 +57,41 @@ _RECEIVER = re.compile(r"func\s*\([^()]*\)\s*(?=\w)")
 _BRACKETS = re.compile(r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
 
 
+#: Languages whose handlers are told by their braces; what ends or logs an error in one.
+_HANDLERS = {
+    lang: re.compile(rf"(?P<skip>{SKIPPED[lang]})|(?P<catch>\bcatch\b)|(?P<raised>\bthrow\b)|(?P<logged>\b_?(?i:log)\w*\s*(?:\.|->|::)\s*\w+\s*\(|\bLOG\w*\()|[{{}}]")
+    for lang in ("java", "csharp", "cpp")
+}
+
+
+def handlers(text: str, lang: str) -> list[tuple[str, int]]:
+    """(raised or logged, line) of handlers that raise again, or else log: of each line on which all handlers do at least that."""
+    open_: list[list] = []  # line, depth, what it does: 0 nothing, 1 logs, 2 raises
+    judged: dict[int, int] = {}
+    pending = None
+    depth, line, at = 0, 1, 0
+    for token in _HANDLERS[lang].finditer(text) if lang in _HANDLERS else ():
+        line += text.count("\n", at, token.start())
+        at, kind = token.start(), token.lastgroup
+        if kind == "catch":
+            pending = line
+        elif kind in ("raised", "logged"):
+            for handler in open_:
+                handler[2] = max(handler[2], 2 if kind == "raised" else 1)
+        elif token[0] == "{":
+            depth += 1
+            if pending is not None:
+                open_.append([pending, depth, 0])
+                pending = None
+        elif token[0] == "}":
+            if open_ and open_[-1][1] == depth:
+                begun, _, does = open_.pop()
+                judged[begun] = min(judged.get(begun, 2), does)
+            depth -= 1
+    judged |= {begun: 0 for begun, _, _ in open_}
+    return [("raised" if does == 2 else "logged", begun) for begun, does in sorted(judged.items()) if does]
+
+
 def n_params(params: str) -> int:
     """Commas within brackets of any kind part nothing; of a bare * or / and C's void none counts."""
     before = None

@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquill.functions.text import strip_comments
-from sparkquill.operators.outline import outline
+from sparkquill.operators.outline import handlers, outline
 
-#: kind: function, class, a handler's fault (empty_handler, bare_except, broad_catch) or unparsable; by: tree or patterns.
+#: kind: function, class, a handler's fault (empty_handler, bare_except, broad_catch), a handler that is raised or logged, or unparsable; by: tree or patterns.
 SCHEMA = "path string, lang string, kind string, name string, line int, complexity int, nesting int, n_params int, n_methods int, by string"
 NAMES = "path string, lang string, kind string, name string, line int"
 #: In order: the first that fits names the style.
@@ -112,6 +112,7 @@ def measure(lang: str, content: str, trees: bool = True) -> list[tuple]:
     if found is not None:
         return [(*row, "tree") for row in found]
     rows = [(p.kind, p.name, p.line, p.complexity, p.nesting, p.n_params, None, "patterns") if p.kind == "function" else (p.kind, p.name, p.line, None, None, None, p.n_methods, "patterns") for p in outline(content, lang)]
+    rows += [(kind, None, line, None, None, None, None, "patterns") for kind, line in handlers(content, lang)]
     return [("unparsable", None, None, None, None, None, None, "tree"), *rows] if trees and lang == "python" else rows
 
 
@@ -132,7 +133,7 @@ def _code(files: DataFrame) -> DataFrame:
 
 
 def structure(files: DataFrame, trees: bool = True) -> DataFrame:
-    """SCHEMA: one row for each function, class and faulty handler, and each Python file that doesn't parse. Without trees Python is outlined by patterns too."""
+    """SCHEMA: one row for each function, class and judged handler, and each Python file that doesn't parse. Without trees Python is outlined by patterns too."""
     return _code(files).mapInPandas(_each(SCHEMA, lambda lang, content: measure(lang, content, trees)), SCHEMA)
 
 

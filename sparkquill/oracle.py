@@ -93,7 +93,8 @@ told(path, line, origin) AS (%(reached)s),
 placed_issues AS (
   SELECT path, line, rule_id, category, severity, CASE WHEN %(trees)s AND rule_id = 'dangerous_call' AND origin IS NOT NULL THEN 90 ELSE confidence END AS confidence, found,
     CASE WHEN %(trees)s AND rule_id = 'dangerous_call' AND origin IS NOT NULL THEN message || ': ' || origin ELSE message END AS message
-  FROM line_issues LEFT JOIN told USING (path, line) WHERE NOT (%(trees)s AND rule_id IN ('empty_handler', 'bare_except', 'broad_catch') AND path LIKE '%%.py' AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable'))),
+  FROM line_issues LEFT JOIN told USING (path, line) WHERE NOT (%(trees)s AND rule_id IN ('empty_handler', 'bare_except', 'broad_catch') AND path LIKE '%%.py' AND path NOT IN (SELECT path FROM parts WHERE kind = 'unparsable'))
+    AND NOT (rule_id IN ('bare_except', 'broad_catch') AND path IN (SELECT s.path FROM sample s WHERE regexp_matches(string_split(s.content, chr(10))[line], 'catch[^{}]*[{][^{}]*\\bthrow\\b')))),
 long_files AS (
   SELECT path, 1 AS line, 'too_high_lines' AS rule_id, 'lines' AS category, 'warn' AS severity, 80 AS confidence, '' AS found, CAST(len(string_split(content, chr(10))) AS VARCHAR) || ' is over the limit' AS message
   FROM raw WHERE len(string_split(content, chr(10))) > 500)"""

@@ -27,7 +27,7 @@ from sparkquill.sources.files import list_project, open_files, with_traits
 from sparkquill.sources.rules import Rule
 
 #: Versions that are read together at most, and what tells that facts were drawn by other code.
-VERSIONS, FORM = 8, 5
+VERSIONS, FORM = 8, 6
 TABLES = ("files", "parts", "names", "flows", "prints")
 
 
@@ -54,7 +54,7 @@ def drawn(files: DataFrame, rules: Sequence[Rule], *keep: str) -> DataFrame:
 
 def gather(files: DataFrame, rules: Sequence[Rule] = (), trees: bool = True, names: bool = False, measured: DataFrame | None = None) -> Facts:
     """Facts of files. measured: the files whose parts are wanted, by default all."""
-    return Facts(cut(drawn(files, rules)), structure(files if measured is None else measured, trees), cut(identifiers(files)) if names else None, flow.flows(files) if trees else None, cut(copies.prints(files)), trees)
+    return Facts(cut(drawn(files, rules)), cut(structure(files if measured is None else measured, trees)), cut(identifiers(files)) if names else None, flow.flows(files) if trees else None, cut(copies.prints(files)), trees)
 
 
 # ---------------------------------------------------------------- store

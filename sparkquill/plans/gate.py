@@ -64,8 +64,9 @@ def issues_of(known: facts.Facts, mode: str = "personal", changed: DataFrame | N
     spark = known.files.sparkSession
     edges = cut(imports.edges(known.files.where("lang != 'other' OR roots IS NOT NULL").select("path", "lang", "imports", "package", "roots")))
     exact = detectors.duplicate_regions(switched_on(known.files, "duplicate_code").select("path", F.inline("blocks")), changed)
+    found = detectors.unhandled(only(known.files).select("path", "lang", F.inline("matches")), known.parts)
     parts = [
-        _by_trees(only(known.files).select("path", "lang", F.inline("matches")), known) if known.trees else detectors.exploded(only(known.files)),
+        _by_trees(found, known) if known.trees else found.select(*detectors.ISSUE),
         detectors.structure_issues(only(known.parts)),
         detectors.duplicate_issues(exact),
         only(detectors.cycle_issues(edges)),

@@ -19,7 +19,7 @@ from sparkquill import cli, sample, session
 from sparkquill.functions.text import glob_to_regex, portable
 from sparkquill.operators import detectors as d
 from sparkquill.operators import flow, graph
-from sparkquill.operators.outline import outline
+from sparkquill.operators.outline import handlers, outline
 from sparkquill.operators.structure import measure, structure
 from sparkquill.plans import facts as stored
 from sparkquill.plans import gate
@@ -218,6 +218,25 @@ def test_handlers_are_judged_by_what_they_hold(spark):
     assert found == [("a.java", "broad_catch"), ("a.java", "empty_handler"), ("b.cs", "empty_handler"), ("c.py", "empty_handler")]
 
 
+@pytest.mark.parametrize("trees", [True, False])
+def test_handlers_in_braces_are_judged_by_what_they_hold(spark, trees):
+    shape = "class A {{ void f() {{\n try {{ g(); }}\n {what} {{\n  {body}\n }}\n}} }}\n"
+    broad, bare, all_ = "catch (Exception e)", "catch", "catch (...)"
+    cases = [("java", broad, "x = 1;", "broad_catch"), ("java", broad, "throw new X(e);", None), ("java", broad, "if (a) { for (;;) { throw e; } }", None), ("java", broad, "LOGGER.warn(e);", None), ("java", broad, '// throw e;\n k("log.warn( throw");', "broad_catch"),
+        ("java", broad, "try { h(); } catch (IOException i) { throw i; }", None), ("java", "catch (Throwable t)", "catalog.add(t);", "broad_catch"), ("cs", bare, "k();", "bare_except"), ("cs", bare, "_logger.LogError(1);", "bare_except"), ("cs", bare, "k(); throw;", None),
+        ("cs", broad, "_logger.LogError(e);", None), ("cs", broad + " when (e.Ok)", "throw;", None), ("cpp", all_, "std::abort();", "broad_catch"), ("cpp", all_, "throw;", None), ("cpp", all_, "LOG(ERROR) << 1;", None), ("cpp", all_, "log->error(1);", None),
+        ("java", "catch (Exception e) { throw e; } catch (Exception o)", "k();", "broad_catch")]
+    rows = gate.collect_issues(files(spark, *[(f"m{k}.{end}", shape.format(what=what, body=body)) for k, (end, what, body, _) in enumerate(cases)]), trees=trees).where("category IN ('exception_handling', 'security')").collect()
+    assert {(r.path, r.line, r.rule_id, r.confidence) for r in rows} == {(f"m{k}.{end}", 3, rule, d.STRIPPED) for k, (end, _, _, rule) in enumerate(cases) if rule}
+
+
+def test_handlers_of_odd_texts():
+    assert handlers("", "java") == handlers("} } catch {", "csharp") == handlers("catch (Exception e) { throw e;", "java") == []  # the last one never ends
+    assert handlers("catch (A a) { throw a; }", "javascript") == []
+    assert handlers("{\n" * 1000 + "catch (A a) { log.a(); }" + "catch (B b) { throw b; }", "java") == [("logged", 1001)]
+    assert handlers("catch (A a) {" * 3000 + "throw a;" + "}" * 3000, "java") == [("raised", 1)]
+
+
 def test_severities_are_read_in_any_case_and_unknown_ones_named(spark):
     text = json.dumps({"rules": [{"id": n, "severity": s, "target": "all", "pattern": "x"} for n, s in (("A", "BLOCK"), ("B", " Warn"), ("C", "fatal"), ("D", ""), ("E", None))]})
     rules, bad = catalogs.valid_rules(spark, text)
