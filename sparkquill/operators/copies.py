@@ -6,7 +6,8 @@ hash; of WINDOW hashes that follow each other the least (of equals the last) is
 alike passages of GRAM + WINDOW - 1 tokens share one, and only about two in WINDOW + 1 hashes leave the file's row. Fingerprints of fewer
 than VARIED different tokens, as tables of numbers give, are left out.
 
-Files are worked on one at a time within Arrow batches; what is shared is found by counts of hashes. Adjacent shared fingerprints of
+Files are worked on one at a time within Arrow batches, a file a PIECE of tokens at a time, and rows leave in batches of ROWS, so a Python worker
+holds no more than a batch of texts. What is shared is found by counts of hashes. Adjacent shared fingerprints of
 a file are one region. Null and short texts have no fingerprints. Paths are taken to be unique.
 """
 
@@ -17,17 +18,20 @@ import keyword
 import re
 from collections import deque
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquill.operators.outline import SKIPPED
 
 GRAM, WINDOW, VARIED = 40, 21, 8
+#: Tokens that are held at a time, and fingerprints that leave a worker together.
+PIECE, ROWS = 1 << 14, 1 << 13
 #: at: the number of a fingerprint in its file; line, last: where its first and last token stand.
 PRINTS = "path string, lang string, at int, line int, last int, hash binary"
+_PRINTS = pa.schema({"path": pa.string(), "lang": pa.string(), "at": pa.int32(), "line": pa.int32(), "last": pa.int32(), "hash": pa.binary()})
 # Words of the languages with braces that are no names.
 BRACES = frozenset(
     """abstract as async await bool boolean break byte case catch char class const continue crate decimal default defer delete do double dyn else enum
@@ -41,9 +45,8 @@ _CODE = {lang: re.compile(rf"(?P<skip>{skip})|(?P<name>[^\W\d]\w*)|(?P<number>\d
 _PROSE, _DIGITS = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[0-9]+")
 
 
-def tokens(lang: str, text: str) -> tuple[list[str], list[int], list[bool]]:
+def _read(lang: str, text: str) -> Iterator[tuple[str, int, bool]]:
     """The tokens of a text, their lines, and which of them are names. Texts of no language have words, in which only numbers are alike."""
-    out, lines, named = [], [], []
     line, at = 1, 0
     words = WORDS.get(lang, BRACES)
     for found in (_CODE.get(lang) or _PROSE).finditer(text):
@@ -55,10 +58,13 @@ def tokens(lang: str, text: str) -> tuple[list[str], list[int], list[bool]]:
             token = token if token.isalpha() else _DIGITS.sub("0", token)
         elif kind != "sign" and token not in words:
             token = {"skip": '""', "number": "0"}.get(kind, token)
-        out.append(token)
-        lines.append(line)
-        named.append(kind == "name" and token not in words)
-    return out, lines, named
+        yield token, line, kind == "name" and token not in words
+
+
+def tokens(lang: str, text: str) -> tuple[list[str], list[int], list[bool]]:
+    """What _read finds, as columns."""
+    rows = list(_read(lang, text))
+    return [x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows]
 
 
 def _passages(out: list[str], named: list[bool]) -> Iterator[bytes]:
@@ -85,39 +91,64 @@ def _passages(out: list[str], named: list[bool]) -> Iterator[bytes]:
         yield " ".join(coded[i : i + GRAM]).encode("utf-8", "surrogatepass")
 
 
-def fingerprints(lang: str, text: str) -> list[tuple[int, int, int, bytes]]:
+def _fingerprints(lang: str, text: str) -> Iterator[tuple[int, int, int, bytes]]:
     """(at, line, last, hash) of a text, in order."""
-    out, lines, named = tokens(lang, text)
+    rows = _read(lang, text)
+    out: list[str] = []
+    lines: list[int] = []
+    named: list[bool] = []
     held: deque[tuple[bytes, int]] = deque()  # hashes that may still be the least of a window, rising
-    picked: list[tuple[int, int, int, bytes]] = []
-    full = min(WINDOW, len(out) - GRAM + 1) - 1
     at = last = -1
-    for i, passage in enumerate(_passages(out, named)):
-        digest = hashlib.md5(passage, usedforsecurity=False).digest()
-        while held and held[-1][0] >= digest:
-            held.pop()
-        held.append((digest, i))
-        if held[0][1] <= i - WINDOW:
-            held.popleft()
-        if i < full or held[0][1] == last:
-            continue
-        digest, last = held[0]
-        if len(set(out[last : last + GRAM])) >= VARIED:
-            at += 1
-            picked.append((at, lines[last], lines[last + GRAM - 1], digest))
-    return picked
+    base = i = 0  # the numbers of the first token held and of the next passage
+    while True:
+        piece = list(islice(rows, PIECE))
+        for kept, column in zip((out, lines, named), zip(*piece, strict=True), strict=False):
+            kept.extend(column)
+        least = []
+        for passage in _passages(out[i - base :], named[i - base :]) if piece else ():
+            digest = hashlib.md5(passage, usedforsecurity=False).digest()
+            while held and held[-1][0] >= digest:
+                held.pop()
+            held.append((digest, i))
+            if held[0][1] <= i - WINDOW:
+                held.popleft()
+            i += 1
+            if i >= WINDOW and held[0][1] != last:
+                least.append(held[0])
+                last = held[0][1]
+        if not piece and 0 < i < WINDOW:  # all passages are one window
+            least.append(held[0])
+        for digest, k in least:
+            k -= base
+            if len(set(out[k : k + GRAM])) >= VARIED:
+                at += 1
+                yield at, lines[k], lines[k + GRAM - 1], digest
+        if not piece:
+            return
+        past = max(0, i - WINDOW - base)  # earlier tokens are in no window to come
+        del out[:past], lines[:past], named[:past]
+        base += past
 
 
-def prints(files: DataFrame, prose: bool = False) -> DataFrame:
-    """PRINTS of files (path, lang, content); those of no language only with prose."""
+def fingerprints(lang: str, text: str) -> list[tuple[int, int, int, bytes]]:
+    """(at, line, last, hash) of a text, in order."""
+    return list(_fingerprints(lang, text))
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(path, lang, *x) for path, lang, content in zip(batch["path"], batch["lang"], batch["content"], strict=True) for x in fingerprints(lang, content)]
-            yield pd.DataFrame(rows, columns=["path", "lang", "at", "line", "last", "hash"]).astype(dict.fromkeys(("at", "line", "last"), "int32"))
+def _batched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """PRINTS of batches (path, lang, content), ROWS at a time. Texts become Python strings one by one."""
+    for batch in batches:
+        rows = ((path.as_py(), lang.as_py(), *x) for path, lang, content in zip(*batch.columns, strict=True) for x in _fingerprints(lang.as_py(), content.as_py()))
+        while part := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, field.type) for x, field in zip(zip(*part, strict=True), _PRINTS, strict=True)], schema=_PRINTS)
+        del batch, rows
+        pa.default_memory_pool().release_unused()
 
+
+def prints(files: DataFrame, prose: bool = False) -> DataFrame:
+    """PRINTS of files (path, lang, content); those of no language only with prose."""
     known = files.where("content IS NOT NULL") if prose else files.where("lang != 'other' AND content IS NOT NULL")
-    return known.select("path", "lang", "content").mapInPandas(run, PRINTS)
+    return known.select("path", "lang", "content").mapInArrow(_batched, PRINTS)
 
 
 def regions(found: DataFrame, only: DataFrame | None = None) -> DataFrame:

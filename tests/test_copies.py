@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from sparkquill import sample
@@ -46,6 +48,29 @@ def test_fingerprints_are_those_of_their_definition(seed):
     assert copies.fingerprints("other", text) == slow("other", text)
 
 
+@pytest.mark.parametrize("piece", (1, 7, 40, 64, 1000))
+def test_pieces_of_tokens_change_nothing(monkeypatch, piece):
+    monkeypatch.setattr(copies, "PIECE", piece)
+    for n in (0, 3, 9, 25):
+        text = program(n) + "x = [" + "0, " * 60 + "]\n" + renamed(program(n), "pqrstuv")
+        assert copies.fingerprints("python", text) == slow("python", text) and copies.fingerprints("other", text) == slow("other", text)
+
+
+def test_a_worker_holds_few_rows_at_a_time(monkeypatch):
+    monkeypatch.setattr(copies, "ROWS", 256)
+    words = [chr(97 + x % 26) + chr(97 + x // 26) for x in range(600)]
+    texts = [" ".join(random.Random(k).choices(words, k=1500)) for k in range(60)]
+    batch = pa.RecordBatch.from_pydict({"path": [str(k) for k in range(60)], "lang": ["other"] * 60, "content": texts})
+    tracemalloc.start()
+    sizes = [out.num_rows for out in copies._batched(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) > 20 * copies.ROWS and max(sizes) <= copies.ROWS and peak < 1e6
+    few = batch.slice(0, 5)
+    rows = [tuple(x.values()) for out in copies._batched(iter([few, few.slice(0, 0)])) for x in out.to_pylist()]
+    assert rows == [(str(k), "other", *x) for k in range(5) for x in copies.fingerprints("other", texts[k])]
+
+
 def test_empty_short_and_odd_texts():
     assert not any(copies.fingerprints(lang, text) for lang in ("python", "rust", "other") for text in ("", "\n\n", "a b c", "\ud800", "'", '"""'))
     assert not copies.fingerprints("python", "x = [" + "0, " * 5000 + "]")  # a table of numbers
